@@ -1,11 +1,13 @@
 """Queries of the training-data operators and the SQL that gives the same rows, by name."""
 
-from tessera.llm import chat_format
+from tessera.llm import chat_format, decontaminate
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
 }
