@@ -1,9 +1,10 @@
 """Queries of the training-data operators and the SQL that gives the same rows, by name."""
 
-from tessera.llm import chat_format, decontaminate
+from tessera.llm import chat_format, decontaminate, quality
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_quality": quality.op7_quality,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 
