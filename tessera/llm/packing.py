@@ -37,7 +37,7 @@ from tessera.llm._spark import checkpointed
 
 SEQUENCE = 2048
 #: Steps of local search at most; each handles all bins of two classes.
-STEPS = 20_000
+STEPS = 4_000
 
 
 @cache

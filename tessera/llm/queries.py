@@ -1,11 +1,12 @@
 """Queries of the training-data operators and the SQL that gives the same rows, by name."""
 
-from tessera.llm import chat_format, decontaminate, packing, quality, secrets_scan, simhash
+from tessera.llm import chat_format, decontaminate, flac, packing, quality, secrets_scan, simhash
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_secrets": secrets_scan.op5_secrets,
+    "op6_flac": flac.op6_flac,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_chat_format": chat_format.op9_chat_format,
