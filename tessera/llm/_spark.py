@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,3 +44,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, read from Parquet files in the shared checkpoint folder; for what is too large to keep row by row. The files go when the driver ends."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{context.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, context, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(context, path: str) -> None:
+    try:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended, and its folder with it
+        return

@@ -1,8 +1,9 @@
 """Queries of the training-data operators and the SQL that gives the same rows, by name."""
 
-from tessera.llm import chat_format, decontaminate, flac, packing, quality, secrets_scan, simhash
+from tessera.llm import chat_format, decontaminate, flac, lattice_lm, packing, quality, secrets_scan, simhash
 
 QUERIES = {
+    "op1_lattice_lm": lattice_lm.op1_lattice_lm,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_secrets": secrets_scan.op5_secrets,
