@@ -1,9 +1,10 @@
 """Queries of the training-data operators and the SQL that gives the same rows, by name."""
 
-from tessera.llm import chat_format, decontaminate, flac, lattice_lm, packing, quality, secrets_scan, simhash
+from tessera.llm import chat_format, decontaminate, flac, lattice_lm, license_scan, packing, quality, secrets_scan, simhash, suffix_dedup
 
 QUERIES = {
     "op1_lattice_lm": lattice_lm.op1_lattice_lm,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_secrets": secrets_scan.op5_secrets,
@@ -11,6 +12,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_chat_format": chat_format.op9_chat_format,
+    "op10_licenses": license_scan.op10_licenses,
 }
 
 ORACLES = {
