@@ -41,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").unionByName(low.select(F.col("a").alias("x"), "m").where("a <> m"))
         edges = checkpointed(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(roots)
 
 
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as X
@@ -65,12 +66,12 @@ def fingerprints_of(buf: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) ->
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in X.slices(batches):
         fp = fingerprints_of(*X.text_buffer(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
-    return X.only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_fingerprint, "doc_id long, fp long")
+    """doc_id, th (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
+    return X.only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "text").mapInArrow(_fingerprint, "doc_id long, th long, fp long")
 
 
 # --- groups of bits and their thresholds
@@ -185,7 +186,7 @@ def plan(nodes: DataFrame, radius: int = RADIUS) -> tuple[np.ndarray, list[list[
 
 
 def _signatures(groups: list[list[int]], t: list[int]):
-    """Rows (b: hash of group and key, used: mask of the group's bits, fp, rep, own: indexed or only a probe)."""
+    """Rows (b: hash of group and key, used: mask of the group's bits, fp, own: indexed or only a probe)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +199,7 @@ def _signatures(groups: list[list[int]], t: list[int]):
                         b = X.mix(X.mix(_keys(turned, bits) + np.uint64(1)) + np.uint64(g))
                         n = len(fp)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(b.view(np.int64)), pa.array(np.full(n, mask, np.uint64).view(np.int64)), batch.column("fp"), batch.column("rep"), pa.array(np.full(n, k == 0))], ["b", "used", "fp", "rep", "own"]
+                            [pa.array(b.view(np.int64)), pa.array(np.full(n, mask, np.uint64).view(np.int64)), batch.column("fp"), pa.array(np.full(n, k == 0))], ["b", "used", "fp", "own"]
                         )
 
     return run
@@ -220,7 +221,7 @@ def _split(corr: np.ndarray, radius: int):
                 for g, bits in enumerate(known[mask]):
                     finer = X.mix(X.mix(b[at] + _keys(fp[at], bits)) + np.uint64(g + 1))
                     both = mask | sum(1 << k for k in bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), pa.array(np.full(len(at), both, np.uint64).view(np.int64)), rows.column("fp"), rows.column("rep"), rows.column("own")], ["b", "used", "fp", "rep", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), pa.array(np.full(len(at), both, np.uint64).view(np.int64)), rows.column("fp"), rows.column("own")], ["b", "used", "fp", "own"])
 
     return run
 
@@ -252,7 +253,7 @@ def _link(radius: int):
         """The partition's rows come in order of b; the last b of a batch waits for the next batch."""
         kept = None
         for batch in batches:
-            cols = [batch.column("b").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)]
+            cols = [batch.column("b").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("own").to_numpy(zero_copy_only=False)]
             cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
             kept = [x[cut:] for x in cols]
@@ -264,18 +265,18 @@ def _link(radius: int):
 
 
 def _links(cols: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
-    b, fp, rep, own = cols
+    b, fp, own = cols
     parent = link_runs(b, fp, own, radius)
-    at = np.flatnonzero(rep != rep[parent])
+    at = np.flatnonzero(fp != fp[parent])
     if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[parent[at]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(fp[parent[at]].view(np.int64))], ["a", "b"])
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
-    """Links (a, b) between the ids `rep` of distinct fingerprints `fp` that connect what lies within `radius` of each other."""
+    """Links (a, b) between distinct fingerprints `fp` that connect what lies within `radius` of each other."""
     corr, groups, t = plan(nodes, radius)
-    schema = "b long, used long, fp long, rep long, own boolean"
-    rows = nodes.select("fp", "rep").mapInArrow(_signatures(groups, t), schema)
+    schema = "b long, used long, fp long, own boolean"
+    rows = nodes.select("fp").mapInArrow(_signatures(groups, t), schema)
     found = None
     for _ in range(64):  # each round fixes at least one more bit of a full key
         rows = checkpointed(rows)
@@ -283,7 +284,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame
         large = sizes.where(F.col("n") > full).select("b")
         some = not large.isEmpty()
         small = rows.join(sizes.where(F.col("n") <= full).select("b") if some else sizes.select("b"), "b", "left_semi")
-        small = small.select("b", "fp", "rep", "own").repartition("b").sortWithinPartitions("b", "rep")
+        small = small.select("b", "fp", "own").repartition("b").sortWithinPartitions("b", "fp")
         part = small.mapInArrow(_link(radius), "a long, b long")
         found = part if found is None else found.unionByName(part)
         if not some:
@@ -292,15 +293,38 @@ def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame
     return found
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
-    """doc_id, fp and component_id of every row: the smallest doc_id among those reached over links of `radius` bits or fewer."""
+def classes(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
+    """doc_id, th, fp, class and component_id of every row. Rows whose fingerprints connect over links of `radius` bits or fewer share a class; component_id is its smallest doc_id, or null."""
     fps = checkpointed(fingerprints(docs))
-    # a fingerprint's id is its smallest doc_id; one without any gets a negative stand-in that names no document
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.coalesce("least", F.lit(1 << 62) + F.pmod(F.col("fp"), F.lit(1 << 61)))))
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     got = components(links(nodes, radius, full))
-    named = nodes.join(got, nodes["rep"] == got["id"], "left").select("fp", F.coalesce("component", "rep").alias("c"))
-    named = named.select(F.col("fp").alias("own_fp"), F.when(F.col("c") < 1 << 62, F.col("c")).alias("component_id"))
-    return fps.join(named, fps["fp"] == named["own_fp"]).select("doc_id", "fp", "component_id")
+    linked = nodes.join(got, nodes["fp"] == got["id"]).select("id", "component", "least")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.join(ids, "component").select("id", "component", "component_id")
+    named = nodes.join(linked, nodes["fp"] == linked["id"], "left").select(
+        F.col("fp").alias("own_fp"), F.coalesce("component", "fp").alias("class"), F.when(F.col("id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    return fps.join(named, fps["fp"] == named["own_fp"]).select("doc_id", "th", "fp", "class", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    return classes(docs, radius, full).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
+    """One row of each class of near duplicates, with all columns: the one with the smallest doc_id (of repeated ids, with the smallest hash of its text).
+
+    The smallest of each class is found on ids and hashes alone, map-side first; texts move once.
+    """
+    last = (1 << 63) - 1
+    first = classes(docs, radius, full).groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(last)).alias("d"), F.col("th").alias("t"))).alias("k")).select("k.d", "k.t")
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("r")).select(F.coalesce(F.col("r.doc_id").cast("long"), F.lit(last)).alias("d"), F.xxhash64(F.coalesce(F.col("r.text").cast("string"), F.lit(""))).alias("t"), "r")
+    kept = keyed.join(first, ["d", "t"], "left_semi")
+    # rows that repeat an id and a text lie together after the join: no exchange
+    one = F.row_number().over(W.partitionBy("d", "t").orderBy("d"))
+    return kept.withColumn("n", one).where("n = 1").select("r.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
