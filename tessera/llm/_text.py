@@ -130,3 +130,24 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind in "fi" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def rewritten(df: DataFrame, make) -> DataFrame:
+    """All columns of `df`, through make() -> (batch -> batch), a slice at a time; the columns keep their types."""
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for batch in slices(batches):
+            yield change(batch)
+
+    return df.mapInArrow(run, schema)
+
+
+def with_text(batch: pa.RecordBatch, texts: list[str], n_chars: str = "n_chars") -> pa.RecordBatch:
+    """The batch with other texts, and their lengths where it has a column for them."""
+    columns = {n: batch.column(n) for n in batch.schema.names}
+    columns["text"] = pa.array(texts, batch.schema.field("text").type)
+    if n_chars in columns:
+        columns[n_chars] = pa.array([len(t) for t in texts], batch.schema.field(n_chars).type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)

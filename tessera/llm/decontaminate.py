@@ -226,3 +226,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGIN
   sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of `docs`, all columns, without an occurrence of a window of any item. Nothing is shuffled."""
+    for block in _blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast(Patterns(block, window))
+        docs = X.rewritten(docs, lambda sent=sent: _clean(sent.value))
+    return docs
+
+
+def _clean(find: Patterns):
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, at = X.text_buffer(batch.column("text"))
+        buf = X.LOWER[raw]
+        start, end, words_at = X.word_spans(buf, at, X.ALNUM)
+        clean = np.ones(batch.num_rows, bool)
+        for w, *_ in find.occurrences(buf, start, end, X.span_hashes(buf, start, end), words_at):
+            clean[np.searchsorted(words_at, w, "right") - 1] = False
+        return batch.filter(pa.array(clean))
+
+    return change
