@@ -1 +1,381 @@
-"""Queries."""
+"""Retrieval: vectors, BM25, fusion, hierarchy, hydration and context."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import retrieval as R
+from tessera.operators.scope import chunk_filter
+from tessera.plans.registry import query
+
+_COS = "round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+_Q = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 10)"
+
+
+def queries(v):
+    return v.table("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
+def _dense(k, where="true"):
+    return f"SELECT query_id, node_id, document_id, section_id, score, rank FROM (SELECT query_id, c.node_id, c.document_id, c.section_id, {_COS} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, c.node_id) AS BIGINT) AS rank FROM v_chunks c, {_Q} q WHERE {where}) x WHERE rank <= {k}"
+
+
+def dense(v, k, chunks=None):
+    return R.dense_topk(queries(v), v.chunks if chunks is None else chunks, k).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("v01_cosine", f"SELECT query_id, node_id, {_COS} AS score FROM v_chunks c, {_Q} q")
+def v01(v):
+    pairs = v.chunks.crossJoin(F.broadcast(queries(v)))
+    return pairs.select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+
+
+@query("v02_filtered_dense_topk", _dense(20, "c.document_id IN (1, 2, 3, 5, 8, 13, 21, 34)"))
+def v02(v):
+    return dense(v, 20, v.chunks.where(chunk_filter([1, 2, 3, 5, 8, 13, 21, 34])))
+
+
+@query("o07_topk_vector", _dense(8))
+def o07(v):
+    return dense(v, 8)
+
+
+@query("p11_metadata_prefilter", "SELECT node_id FROM v_chunks WHERE document_id IN (3, 4) AND section_id = 2")
+def p11(v):
+    return v.chunks.where(chunk_filter([3, 4], 2)).select("node_id")
+
+
+@query("p11_deny_all", "SELECT node_id FROM v_chunks WHERE false")
+def p11d(v):
+    return v.chunks.where(chunk_filter()).select("node_id")
+
+
+@query("v14_allowed_documents", "SELECT DISTINCT document_id FROM v_access WHERE tenant_id = 3 UNION SELECT id FROM v_documents WHERE tenant_id = 3 AND deleted_at IS NULL")
+def v14(v):
+    own = v.documents.where("tenant_id = 3 AND deleted_at IS NULL").select(F.col("id").alias("document_id"))
+    return v.access.where("tenant_id = 3").select("document_id").unionByName(own).distinct()
+
+
+_T = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(replace(lower(text), chr(10), ' '), '[^\p{L}\p{M}\p{N}_\s.,-]', ' ', 'g'), '[.,_-]', ' ', 'g'), '\s+'), lambda w: length(w) > 1 AND w NOT IN ('the', 'a', 'of', 'and', 'is'))"
+_BM = f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_T}) AS term FROM documents) x GROUP BY 1, 2), z AS (SELECT doc_id, len({_T}) AS dl FROM documents),
+ n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM z), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_T}) AS term FROM benchmark WHERE item_id < 12) x GROUP BY 1, 2),
+ s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term) JOIN z USING (doc_id), n GROUP BY 1, 2),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM s)"""
+
+
+def terms():
+    return T.clean_terms(F.col("text"))
+
+
+def bm25(v, k=10):
+    q = v.table("benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), F.explode(terms()).alias("term"))
+    s = R.bm25(q, v.table("documents").select("doc_id", "text"), terms(), "doc_id").withColumn("score", F.round("score", 6))
+    return R.ranked(s, k, "query_id", F.desc("score"), F.col("doc_id")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("v05_bm25", f"{_BM} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
+def v05(v):
+    return bm25(v)
+
+
+@query("a21_corpus_statistics", f"{_BM} SELECT term, df, (SELECT n FROM n) AS n, round((SELECT avgdl FROM n), 6) AS avgdl FROM f WHERE df > 5")
+def a21(v):
+    d = v.table("documents").select("doc_id", "text")
+    df = R.term_counts(d, terms(), "doc_id").groupBy("term").agg(F.count("*").alias("df")).where("df > 5")
+    n = d.select(F.size(terms()).alias("dl")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return df.crossJoin(F.broadcast(n))
+
+
+@query("v03_sparse_topk", f"{_BM} SELECT query_id, doc_id FROM r WHERE rank <= 3")
+def v03(v):
+    return bm25(v, 3).select("query_id", "doc_id")
+
+
+def lexical(v, k):
+    """A second ranking over the same nodes: those of the query's section, by distance of ids."""
+    q = v.table("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
+    s = v.chunks.join(F.broadcast(q), "section_id").select("query_id", "node_id", (1.0 / (1 + F.abs(F.col("node_id") - F.col("query_id")))).alias("score"))
+    return R.ranked(s, k, "query_id", F.desc("score"), F.col("node_id")).withColumn("rank", F.col("rank").cast("long"))
+
+
+_LEX = "SELECT query_id, node_id, score, rank FROM (SELECT q.query_id, c.node_id, 1.0 / (1 + abs(c.node_id - q.query_id)) AS score, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY 1.0 / (1 + abs(c.node_id - q.query_id)) DESC, c.node_id) AS BIGINT) AS rank FROM v_chunks c JOIN (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id < 10) q ON c.section_id = q.label) x WHERE rank <= 20"
+
+
+@query("v04_fusion_reciprocal", f"SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.node_id, s.node_id) AS node_id, round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 8) AS score FROM ({_dense(20)}) d FULL JOIN ({_LEX}) s ON d.query_id = s.query_id AND d.node_id = s.node_id")
+def v04(v):
+    return R.fuse_reciprocal(dense(v, 20), lexical(v, 20), "node_id").select("query_id", "node_id", F.round("score", 8).alias("score"))
+
+
+def _scaled(x):
+    return f"SELECT query_id, node_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS z FROM ({x}) y WINDOW w AS (PARTITION BY query_id)"
+
+
+@query("v04_fusion_weighted", f"SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.node_id, s.node_id) AS node_id, round(0.5 * coalesce(d.z, 0) + 0.5 * coalesce(s.z, 0), 6) AS score FROM ({_scaled(_dense(20))}) d FULL JOIN ({_scaled(_LEX)}) s ON d.query_id = s.query_id AND d.node_id = s.node_id")
+def v04w(v):
+    return R.fuse_weighted(dense(v, 20), lexical(v, 20), "node_id").select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "v06_phrase_boost",
+    f"""WITH q AS (SELECT item_id AS query_id, {_T} AS t FROM benchmark WHERE item_id < 12), g AS (SELECT query_id, n, array_to_string(t[k : k + n - 1], ' ') AS gram FROM (SELECT query_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM q, (VALUES (2), (3), (4)) x(n) WHERE len(t) >= n) y),
+ d AS (SELECT doc_id, ' ' || array_to_string({_T}, ' ') || ' ' AS body FROM documents), u AS (SELECT DISTINCT query_id, n, gram FROM g)
+ SELECT query_id, doc_id, CAST(sum(5 * n) AS BIGINT) AS boost FROM u JOIN d ON contains(body, ' ' || gram || ' ') GROUP BY 1, 2""",
+)
+def v06(v):
+    """5n for each of a query's n-grams (2 to 4 terms) that a document has: n-grams meet by equality, not by search."""
+
+    def grams(df, key):
+        t = df.select(key, terms().alias("t"))
+        each = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(0))), lambda k: F.when((k >= 1) & (k + n - 1 <= F.size("t")), F.struct(n.cast("long").alias("n"), F.array_join(F.slice("t", k, n), " ").alias("gram"))))))
+        return t.select(key, F.explode(F.array_distinct(F.filter(each, lambda x: x.isNotNull()))).alias("g")).select(key, "g.n", "g.gram")
+
+    q = grams(v.table("benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    d = grams(v.table("documents").select("doc_id", "text"), "doc_id")
+    return d.join(q, ["n", "gram"]).groupBy("query_id", "doc_id").agg(F.sum(5 * F.col("n")).alias("boost"))
+
+
+_SECV = "(SELECT section_id, min(node_id) AS head FROM v_chunks GROUP BY 1)"
+
+
+@query(
+    "v07_section_route",
+    f"""WITH h AS (SELECT c.section_id, c.embedding FROM v_chunks c JOIN {_SECV} s ON c.node_id = s.head),
+ t AS (SELECT * FROM (SELECT query_id, c.section_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, c.section_id) AS r FROM h c, {_Q} q) x WHERE r <= 3)
+ SELECT query_id, section_id, node_id, score, rank FROM (SELECT q.query_id, c.section_id, c.node_id, {_COS} AS score, CAST(row_number() OVER (PARTITION BY q.query_id, c.section_id ORDER BY {_COS} DESC, c.node_id) AS BIGINT) AS rank FROM t JOIN {_Q} q ON q.query_id = t.query_id JOIN v_chunks c ON c.section_id = t.section_id) y WHERE rank <= 4""",
+)
+def v07(v):
+    heads = v.chunks.groupBy("section_id").agg(F.min("node_id").alias("node_id"))
+    sec = v.chunks.join(heads, ["section_id", "node_id"]).select("section_id", "embedding")
+    top = R.dense_topk(queries(v), sec, 3, "section_id").select("query_id", "section_id")
+    pairs = v.chunks.join(F.broadcast(top.join(queries(v), "query_id")), "section_id")
+    scored = pairs.select("query_id", "section_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    return R.ranked(scored, 4, ["query_id", "section_id"], F.desc("score"), F.col("node_id")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "j12_section_fan_out",
+    "SELECT section_id, node_id, rank FROM (SELECT section_id, node_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY document_id, node_id) AS BIGINT) AS rank FROM v_chunks WHERE section_id IN (1, 4, 6)) x WHERE rank <= 8",
+)
+def j12(v):
+    hit = v.spark.createDataFrame([(1,), (4,), (6,)], "section_id int")
+    return R.ranked(v.chunks.join(F.broadcast(hit), "section_id"), 8, "section_id", F.col("document_id"), F.col("node_id")).select("section_id", "node_id", F.col("rank").cast("long").alias("rank"))
+
+
+_CH = "(SELECT node_id, node_id % 40 AS parent_id FROM v_chunks)"
+
+
+@query(
+    "v08_auto_merge",
+    f"""WITH h AS (SELECT query_id, node_id, score FROM ({_dense(200)}) d), c AS {_CH}, s AS (SELECT parent_id, count(*) AS size FROM c GROUP BY 1),
+ x AS (SELECT query_id, node_id, c.parent_id, score, count(*) OVER (PARTITION BY query_id, c.parent_id) / CAST(size AS DOUBLE) > 0.5 AS merged FROM h JOIN c USING (node_id) JOIN s ON s.parent_id = c.parent_id)
+ SELECT query_id, 'leaf' AS kind, node_id AS id, round(score, 6) AS score FROM x WHERE NOT merged UNION ALL SELECT query_id, 'parent', parent_id, round(avg(score), 6) FROM x WHERE merged GROUP BY 1, 3""",
+)
+def v08(v):
+    children = v.chunks.select("node_id", (F.col("node_id") % 40).alias("parent_id"))
+    m = R.auto_merge(dense(v, 200).select("query_id", "node_id", "score"), children)
+    return m.select("query_id", "kind", "id", F.round("score", 6).alias("score"))
+
+
+@query("v09_window_replacement", "SELECT document_id, section_id, coalesce(CASE WHEN order_index % 2 = 0 THEN title || ': ' || content END, content) AS text FROM v_sections")
+def v09(v):
+    window = F.when(F.col("order_index") % 2 == 0, F.concat("title", F.lit(": "), "content"))
+    return v.sections.select("document_id", "section_id", F.coalesce(window, F.col("content")).alias("text"))
+
+
+@query("v10_bi_encoder_rerank", f"SELECT query_id, node_id, score FROM (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM ({_dense(20, 'c.node_id % 2 = 0')}) d) x WHERE r <= 5")
+def v10(v):
+    return R.ranked(dense(v, 20, v.chunks.where("node_id % 2 = 0")), 5, "query_id", F.desc("score"), F.col("node_id"), name="r").select("query_id", "node_id", "score")
+
+
+@query("v11_cross_encoder_rerank", f"SELECT query_id, node_id, round(-score, 6) AS score FROM ({_dense(6)}) d")
+def v11(v):
+    """The plug-in of this query turns the order round."""
+    return R.rescored(dense(v, 6).select("query_id", "node_id", "score"), lambda batch: -batch["score"]).withColumn("score", F.round("score", 6))
+
+
+_CONF = f"SELECT query_id, count(*) AS n, max(score) FILTER (rank = 1) AS top, max(score) FILTER (rank = 2) AS second, count(DISTINCT document_id) AS documents FROM ({_dense(6)}) d GROUP BY 1"
+
+
+@query("a17_confidence", f"SELECT query_id, n, top, second, documents, round(CASE WHEN top = 0 THEN 0 WHEN second > 0 THEN top / second ELSE 999 END, 6) AS ratio FROM ({_CONF}) c")
+def a17(v):
+    return R.confidence(dense(v, 6)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("f14_rerank_skip", f"SELECT query_id, CASE WHEN n <= 1 THEN 'single' WHEN CASE WHEN second > 0 THEN top / second ELSE 999 END >= 1.35 THEN 'dominant' END AS reason FROM ({_CONF}) c")
+def f14(v):
+    c = R.confidence(dense(v, 6))
+    return c.select("query_id", R.rerank_decision(F.lit("short query"), F.col("n"), F.col("top"), F.col("second")).alias("reason"))
+
+
+@query("v12_rerank_when_useful", f"SELECT d.query_id, node_id, CASE WHEN CASE WHEN second > 0 THEN top / second ELSE 999 END >= 1.35 THEN score ELSE round(1 - score, 6) END AS score FROM ({_dense(6)}) d JOIN ({_CONF}) c USING (query_id)")
+def v12(v):
+    h = dense(v, 6)
+    c = R.confidence(h).select("query_id", R.rerank_decision(F.lit("short query"), F.col("n"), F.col("top"), F.col("second")).alias("reason"))
+    return h.join(F.broadcast(c), "query_id").select("query_id", "node_id", F.when(F.col("reason").isNotNull(), F.col("score")).otherwise(F.round(1 - F.col("score"), 6)).alias("score"))
+
+
+@query("w05_rank_in_query", _dense(10).replace("SELECT query_id, node_id, document_id, section_id, score, rank FROM", "SELECT query_id, node_id, rank FROM", 1))
+def w05(v):
+    return dense(v, 10).select("query_id", "node_id", "rank")
+
+
+@query("w06_keep_first_per_node", "SELECT id, document_id, pos FROM (SELECT id, document_id, pos, row_number() OVER (PARTITION BY tenant_id, document_id ORDER BY created_at, id, pos) AS r FROM v_citations WHERE tenant_id IS NOT NULL) x WHERE r = 1")
+def w06(v):
+    w = W.partitionBy("tenant_id", "document_id").orderBy("created_at", "id", "pos")
+    return v.citations.where("tenant_id IS NOT NULL").withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "document_id", "pos")
+
+
+_TWO = f"SELECT query_id, document_id, score FROM ({_dense(20)}) a UNION ALL SELECT query_id, document_id, round(score * 0.9, 6) FROM ({_dense(8, 'c.section_id < 5')}) b"
+
+
+@query("o06_sort_dedup_limit", f"SELECT query_id, document_id, score, rank FROM (SELECT query_id, document_id, max(score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, document_id) AS BIGINT) AS rank FROM ({_TWO}) t GROUP BY 1, 2) x WHERE rank <= 10")
+def o06(v):
+    a = dense(v, 20).select("query_id", "document_id", "score")
+    b = dense(v, 8, v.chunks.where("section_id < 5")).select("query_id", "document_id", F.round(F.col("score") * 0.9, 6).alias("score"))
+    return R.dedup_limit(a.unionByName(b), 10, "document_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("o12_long_context_reorder", f"SELECT query_id, node_id, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE 10 + 1 - rank // 2 END AS place FROM ({_dense(10)}) d")
+def o12(v):
+    return dense(v, 10).select("query_id", "node_id", R.long_context_order(F.col("rank"), F.lit(10)).alias("place"))
+
+
+@query("j10_hydration", f"SELECT d.query_id, d.node_id, coalesce(s.title, 'Untitled') AS title, coalesce(nullif(trim(s.content), ''), 'node ' || d.node_id) AS text FROM ({_dense(6)}) d LEFT JOIN v_sections s ON s.document_id = d.document_id AND s.order_index = d.section_id")
+def j10(v):
+    s = v.sections.select("document_id", F.col("order_index").alias("section_id"), "title", "content")
+    h = dense(v, 6).join(s, ["document_id", "section_id"], "left")
+    return h.select("query_id", "node_id", F.coalesce("title", F.lit("Untitled")).alias("title"), F.coalesce(F.nullif(F.trim("content"), F.lit("")), F.concat(F.lit("node "), F.col("node_id").cast("string"))).alias("text"))
+
+
+@query("j11_child_parent", "SELECT c.document_id, c.section_id, p.title AS parent_title FROM v_sections c JOIN v_sections p ON p.document_id = c.document_id AND p.section_id = c.parent_section_id")
+def j11(v):
+    p = v.sections.select("document_id", F.col("section_id").alias("parent_section_id"), F.col("title").alias("parent_title"))
+    return v.sections.join(p, ["document_id", "parent_section_id"]).select("document_id", "section_id", "parent_title")
+
+
+@query("j13_prefix_children", "SELECT document_id, code, child FROM (SELECT p.document_id, p.section_code AS code, c.section_code AS child, row_number() OVER (PARTITION BY p.document_id, p.section_code ORDER BY c.order_index) AS r FROM v_sections p JOIN v_sections c ON c.document_id = p.document_id AND c.section_code LIKE p.section_code || '.%') x WHERE r <= 5")
+def j13(v):
+    """Each code meets its prefixes by equality instead of by comparison."""
+    parts = F.split("section_code", r"\.")
+    c = v.sections.where(F.size(parts) > 1).select("document_id", "order_index", F.col("section_code").alias("child"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("code"))
+    p = v.sections.select("document_id", F.col("section_code").alias("code"))
+    return R.ranked(c.join(p, ["document_id", "code"]), 5, ["document_id", "code"], F.col("order_index")).select("document_id", "code", "child")
+
+
+@query("j14_siblings", "SELECT document_id, section_id, sibling FROM (SELECT a.document_id, a.section_id, b.section_id AS sibling, row_number() OVER (PARTITION BY a.document_id, a.section_id ORDER BY b.order_index) AS r FROM v_sections a JOIN v_sections b ON a.document_id = b.document_id AND a.parent_section_id = b.parent_section_id AND a.section_id <> b.section_id WHERE length(a.content) < 200) x WHERE r <= 4")
+def j14(v):
+    a = v.sections.where(F.length("content") < 200).select("document_id", "parent_section_id", "section_id")
+    b = v.sections.select("document_id", "parent_section_id", F.col("section_id").alias("sibling"), "order_index")
+    both = a.join(b, ["document_id", "parent_section_id"]).where("section_id <> sibling")
+    return R.ranked(both, 4, ["document_id", "section_id"], F.col("order_index")).select("document_id", "section_id", "sibling")
+
+
+@query("v17_expansion", "SELECT p.document_id, p.section_id, p.content || coalesce(chr(10) || string_agg(c.content, chr(10) ORDER BY c.order_index), '') AS text FROM v_sections p LEFT JOIN v_sections c ON c.document_id = p.document_id AND c.parent_section_id = p.section_id GROUP BY p.document_id, p.section_id, p.content")
+def v17(v):
+    c = v.sections.where("parent_section_id IS NOT NULL").groupBy("document_id", F.col("parent_section_id").alias("section_id")).agg(F.array_sort(F.collect_list(F.struct("order_index", "content"))).alias("c"))
+    more = F.concat(F.lit("\n"), F.array_join(F.transform("c", lambda x: x["content"]), "\n"))
+    return v.sections.join(c, ["document_id", "section_id"], "left").select("document_id", "section_id", F.concat("content", F.coalesce(more, F.lit(""))).alias("text"))
+
+
+@query("j17_query_corpus", f"SELECT query_id, count(*) AS pairs, round(max({_COS}), 6) AS best FROM v_chunks c, {_Q} q GROUP BY 1")
+def j17(v):
+    def score(pairs):
+        return pairs.select("query_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("s"))
+
+    return R.against(queries(v), v.chunks, score).groupBy("query_id").agg(F.count("*").alias("pairs"), F.max("s").alias("best"))
+
+
+_RANKED = "SELECT document_id AS query_id, order_index + 1 AS rank, content FROM v_sections"
+
+
+@query("w04_running_cutoff", f"SELECT query_id, rank, upto FROM (SELECT query_id, rank, CAST(sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS upto FROM ({_RANKED}) r) x WHERE upto <= 1500")
+def w04(v):
+    h = v.sections.select(F.col("document_id").alias("query_id"), (F.col("order_index") + 1).alias("rank"), "content")
+    return R.pack_context(h, "content", 1500).select("query_id", "rank", "upto")
+
+
+@query("t31_prompt_packing", f"SELECT query_id, string_agg('[' || rank || '] ' || content, chr(10) || chr(10) ORDER BY rank) AS prompt FROM (SELECT query_id, rank, content, sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM ({_RANKED}) r) x WHERE upto <= 3000 GROUP BY 1")
+def t31(v):
+    h = v.sections.select(F.col("document_id").alias("query_id"), (F.col("order_index") + 1).alias("rank"), "content")
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "content")
+    p = R.pack_context(h, "content", 3000).select("query_id", F.struct("rank", block.alias("b")).alias("s"))
+    return p.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["b"]), "\n\n").alias("prompt"))
+
+
+@query("t32_latest_user_message", "SELECT conversation_id, last(content ORDER BY turn) AS question FROM v_messages WHERE role = 'user' AND trim(content) <> '' GROUP BY 1")
+def t32(v):
+    return v.messages.where("role = 'user' AND trim(content) <> ''").groupBy("conversation_id").agg(F.max_by("content", "turn").alias("question"))
+
+
+@query("t33_retrieval_queries", "SELECT conversation_id, list(n ORDER BY turn DESC)[1:3] AS sizes FROM (SELECT conversation_id, turn, CAST(length(content) AS BIGINT) AS n FROM v_messages WHERE role = 'user') m GROUP BY 1")
+def t33(v):
+    newest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("turn", "content")))), lambda s: s["content"])
+    g = v.messages.where("role = 'user'").groupBy("conversation_id").agg(F.slice(newest, 1, 3).alias("q"))
+    return g.select("conversation_id", F.transform("q", lambda x: F.length(x).cast("long")).alias("sizes"))
+
+
+@query("t34_history_window", "SELECT conversation_id, turn FROM (SELECT conversation_id, turn, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS r FROM v_messages) x WHERE r <= 6")
+def t34(v):
+    return R.ranked(v.messages, 6, "conversation_id", F.desc("turn")).select("conversation_id", "turn")
+
+
+@query("t35_citations", f"SELECT query_id, list(document_id || '#' || node_id ORDER BY rank) AS citations FROM ({_dense(6)}) d GROUP BY 1")
+def t35(v):
+    c = F.concat_ws("#", F.col("document_id").cast("string"), F.col("node_id").cast("string"))
+    return dense(v, 6).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c.alias("c")))), lambda x: x["c"]).alias("citations"))
+
+
+@query("v13_retrieval_orchestration", f"SELECT query_id, document_id, score, rank FROM (SELECT query_id, document_id, max(score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, document_id) AS BIGINT) AS rank FROM ({_dense(20, 'c.document_id IN (SELECT document_id FROM v_access WHERE tenant_id < 8)')}) t GROUP BY 1, 2) x WHERE rank <= 6")
+def v13(v):
+    """Scope, dense search, dedup with the best score, limit."""
+    scope = v.access.where("tenant_id < 8").select("document_id").distinct()
+    return R.dedup_limit(dense(v, 20, v.chunks.join(scope, "document_id", "left_semi")).select("query_id", "document_id", "score"), 6, "document_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("v15_embedding_batches", "SELECT item_id AS id, CAST(length(text) AS DOUBLE) AS first FROM benchmark")
+def v15(v):
+    """The plug-in of this query embeds a text as its length."""
+    t = v.table("benchmark").select(F.col("item_id").alias("id"), "text")
+    return R.embedded(t, lambda texts: [[float(len(x)), 1.0] for x in texts]).select("id", F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("k19_embedding_memo", "SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 7.0 ELSE CAST(length(text) AS DOUBLE) END AS first FROM benchmark")
+def k19(v):
+    t = v.table("benchmark").select(F.col("item_id").alias("id"), "text")
+    memo = t.where("id % 2 = 0").select(F.md5("text").alias("h"), F.array(F.lit(7.0).cast("float")).alias("embedding")).dropDuplicates(["h"])
+    return R.memoised(t, memo, lambda texts: [[float(len(x))] for x in texts]).select("id", F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("v18_semantic_cache", f"SELECT query_id, node_id AS hit FROM ({_dense(1, 'c.node_id >= 10 AND c.document_id % 2 = q.query_id % 2')}) d WHERE 1 - score <= 0.95")
+def v18(v):
+    """Nearest entry of the same tenant, if its distance is within the threshold."""
+    pairs = v.chunks.where("node_id >= 10").crossJoin(F.broadcast(queries(v))).where("document_id % 2 = query_id % 2")
+    s = pairs.select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id")).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
+
+
+@query("v19_cache_delta", "SELECT node_id, CASE WHEN node_id % 5 = 1 THEN 7 ELSE 1 END AS ttl_days FROM v_chunks WHERE node_id % 5 <> 0")
+def v19(v):
+    """Entries of disliked answers go, those of liked ones live longer."""
+    d = v.chunks.where("node_id % 5 = 0").select("node_id")
+    like = v.chunks.where("node_id % 5 = 1").select("node_id", F.lit(7).alias("more"))
+    return v.chunks.join(d, "node_id", "left_anti").join(like, "node_id", "left").select("node_id", F.coalesce("more", F.lit(1)).alias("ttl_days"))
+
+
+@query("v20_vector_delete", "SELECT node_id FROM v_chunks WHERE document_id NOT IN (7, 9)")
+def v20(v):
+    gone = v.spark.createDataFrame([(7,), (9,)], "document_id long")
+    return v.chunks.join(F.broadcast(gone), "document_id", "left_anti").select("node_id")
+
+
+@query("v21_evidence_gate", "SELECT document_id, bool_or(trim(content) <> '' OR title <> '') AS enough FROM v_sections GROUP BY 1")
+def v21(v):
+    return v.sections.groupBy("document_id").agg(F.bool_or((F.trim("content") != "") | (F.col("title") != "")).alias("enough"))
+
+
+@query("v22_grounding_needed", f"SELECT query_id, NOT (n <= 2 AND documents = 1 AND CASE WHEN second > 0 THEN top / second ELSE 999 END >= 1.35) AS needed FROM ({_CONF}) c")
+def v22(v):
+    c = R.confidence(dense(v, 6))
+    return c.select("query_id", (~((F.col("n") <= 2) & (F.col("documents") == 1) & (F.col("ratio") >= 1.35))).alias("needed"))
