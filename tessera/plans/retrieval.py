@@ -170,12 +170,12 @@ _CH = "(SELECT node_id, node_id % 40 AS parent_id FROM v_chunks)"
     "v08_auto_merge",
     f"""WITH h AS (SELECT query_id, node_id, score FROM ({_dense(200)}) d), c AS {_CH}, s AS (SELECT parent_id, count(*) AS size FROM c GROUP BY 1),
  x AS (SELECT query_id, node_id, c.parent_id, score, count(*) OVER (PARTITION BY query_id, c.parent_id) / CAST(size AS DOUBLE) > 0.5 AS merged FROM h JOIN c USING (node_id) JOIN s ON s.parent_id = c.parent_id)
- SELECT query_id, 'leaf' AS kind, node_id AS id, round(score, 6) AS score FROM x WHERE NOT merged UNION ALL SELECT query_id, 'parent', parent_id, round(avg(score), 6) FROM x WHERE merged GROUP BY 1, 3""",
+ SELECT query_id, 'leaf' AS kind, node_id AS id, round(score, 9) AS score FROM x WHERE NOT merged UNION ALL SELECT query_id, 'parent', parent_id, round(avg(score), 9) FROM x WHERE merged GROUP BY 1, 3""",
 )
 def v08(v):
     children = v.chunks.select("node_id", (F.col("node_id") % 40).alias("parent_id"))
     m = R.auto_merge(dense(v, 200).select("query_id", "node_id", "score"), children)
-    return m.select("query_id", "kind", "id", F.round("score", 6).alias("score"))
+    return m.select("query_id", "kind", "id", F.round("score", 9).alias("score"))
 
 
 @query("v09_window_replacement", "SELECT document_id, section_id, coalesce(CASE WHEN order_index % 2 = 0 THEN title || ': ' || content END, content) AS text FROM v_sections")

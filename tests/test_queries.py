@@ -1,6 +1,7 @@
 """Every query against the rows that its SQL twin gives in DuckDB."""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -20,6 +21,28 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """Rows of all queries, several at a time: name -> (columns in order of names, rows) or what went wrong."""
+
+    def run(name):
+        try:
+            df = QUERIES[name](spark, SF)
+            names = sorted(df.columns)
+            return names, df.select(*names).collect()
+        except Exception as e:  # shown by the query's own test
+            return e
+
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(QUERIES, pool.map(run, QUERIES), strict=True))
+
+
+def rows_of(results, name):
+    if isinstance(results[name], Exception):
+        raise results[name]
+    return results[name]
+
+
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "None"
@@ -33,17 +56,15 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_same_rows(spark, db, name):
-    df = QUERIES[name](spark, SF)
-    names = sorted(df.columns)
-    got = sorted(tuple(map(plain, r)) for r in df.select(*names).collect())
+def test_same_rows(results, db, name):
+    names, rows = rows_of(results, name)
     found = db.execute(SQL[name])
     columns = [d[0] for d in found.description]
     assert sorted(columns) == names
     at = [columns.index(n) for n in names]
-    assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+    assert sorted(tuple(map(plain, r)) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_runs(results, name):
+    assert rows_of(results, name)[1]
