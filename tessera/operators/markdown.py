@@ -219,3 +219,60 @@ def emitted(events: list[tuple[str, float]], step: float = 5.0) -> list[bool]:
         if go:
             last = (stage, percent)
     return out
+
+
+_OVERRIDES = ((re.compile(r"^\s*(chapter|part|appendix)\b", re.I), 1), (re.compile(r"^\s*(section|article)\b", re.I), 2))
+
+
+def parse_items(items: list[tuple[str, int | None, str]], deepest: int = 3) -> list[dict]:
+    """Sections of a parsed document's items (kind, level, text), in order.
+
+    A title is level 0 and closes everything. Headings deeper than `deepest` belong to the body. Page headers and footers are
+    ignored, pictures and tables counted, tables kept as text. Sections with any content, title, picture or table are kept.
+    """
+    out: list[dict] = []
+    stack: list[dict] = []
+    now: dict | None = None
+
+    def begin(title: str, level: int) -> dict:
+        while stack and stack[-1]["level"] >= level:
+            stack.pop()
+        parent = stack[-1] if stack else None
+        s = {"section_id": f"sec_{len(out) + 1:04d}", "parent_section_id": parent["section_id"] if parent else None, "title": title, "level": level, "breadcrumb": [*(parent["breadcrumb"] if parent else []), title], "body": [], "pictures": 0, "tables": 0}
+        stack.append(s)
+        out.append(s)
+        return s
+
+    for kind, level, text in items:
+        if kind in ("page_header", "page_footer"):
+            continue
+        if kind in ("title", "heading"):
+            depth = 0 if kind == "title" else next((n for p, n in _OVERRIDES if p.match(text)), level or 1)
+            if depth <= deepest:
+                now = begin(text, depth)
+                continue
+        if now is None:
+            now = begin("", 1)
+        if kind == "picture":
+            now["pictures"] += 1
+        else:
+            now["tables"] += kind == "table"
+            now["body"].append(text)
+    for i, s in enumerate(out):
+        s["content"] = "\n".join(s.pop("body")).strip()
+        s["order_index"] = i
+    return [s for s in out if s["content"] or s["title"] or s["pictures"] or s["tables"]]
+
+
+def item_sections(items: DataFrame) -> DataFrame:
+    """Sections of items (document_id, seq, kind, level, text); a document's items are brought together, in order of seq."""
+    names = ["section_id", "parent_section_id", "title", "level", "breadcrumb", "content", "pictures", "tables", "order_index"]
+    g = items.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "level", "text"))).alias("items"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, *(s[n] for n in names)) for d, x in zip(batch["document_id"], batch["items"], strict=True) for s in parse_items([(i["kind"], i["level"], i["text"]) for i in x])]
+            yield pd.DataFrame(rows, columns=["document_id", *names])
+
+    schema = "document_id long, section_id string, parent_section_id string, title string, level int, breadcrumb array<string>, content string, pictures int, tables int, order_index int"
+    return g.mapInPandas(run, schema)

@@ -359,3 +359,23 @@ def o13(v):
 def k15(v):
     u = v.usage.groupBy("tenant_id").agg(F.sum("prompt_tokens").alias("i"), F.sum("completion_tokens").alias("o"))
     return u.select("tenant_id", money.payload(money.cost_micros(F.col("i"), F.col("o"), PRICE_IN, PRICE_OUT)).alias("m")).select("tenant_id", "m.*")
+
+
+@query("f23_injected_now", f"SELECT max({N} - created_at) >= INTERVAL 0 SECOND AS past, count(*) AS n FROM v_usage")
+def f23(v):
+    """The current time is a parameter, so that results can be repeated."""
+    return v.usage.agg((F.max(v.now - F.col("created_at")) >= F.expr("INTERVAL '0' SECOND")).alias("past"), F.count("*").alias("n"))
+
+
+@query("t37_usage_normalise", f"SELECT id, coalesce(CASE WHEN id % 4 > 0 THEN total_tokens END, prompt_tokens + completion_tokens) AS total, prompt_tokens * {PRICE_IN} + completion_tokens * {PRICE_OUT} AS micros, CAST((prompt_tokens * {PRICE_IN} + completion_tokens * {PRICE_OUT} + 500000) // 1000000 AS BIGINT) AS vnd FROM v_usage")
+def t37(v):
+    total = F.coalesce(F.when(F.col("id") % 4 > 0, F.col("total_tokens")), F.col("prompt_tokens") + F.col("completion_tokens"))
+    micros = money.cost_micros(F.col("prompt_tokens"), F.col("completion_tokens"), PRICE_IN, PRICE_OUT)
+    return v.usage.select("id", total.alias("total"), micros.alias("micros"), money.rounded_vnd(micros).alias("vnd"))
+
+
+@query("c17_expired_tokens", f"SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM v_keys k WHERE k.key_id = e.user_id AND k.expires_at > {N})")
+def c17(v):
+    """Tokens on a list of revoked ones that hasn't expired are refused."""
+    black = v.keys.where(F.col("expires_at") > v.now).select(F.col("key_id").alias("user_id"))
+    return v.table("events").join(black, "user_id", "left_anti").select("event_id")

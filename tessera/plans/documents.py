@@ -379,3 +379,13 @@ def k22(v):
     old = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("h"))).otherwise(F.array().cast("array<string>"))
     new = F.when(F.size(old) == 0, T.faq_hashes(F.array("text"))).otherwise(old)
     return v.table("benchmark").select("item_id", F.when(F.element_at(new, 1) == "h", 1).otherwise(0).alias("kept"))
+
+
+@query("t03_section_parse_items", """WITH i AS (SELECT doc_id AS document_id, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents), s AS (SELECT document_id, count(*) FILTER (k % 3 = 0) AS sections FROM i GROUP BY 1) SELECT document_id, sections FROM s""")
+def t03(v):
+    """Every third line is a heading, of level 1 or 2."""
+    d = v.table("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(M.lines_of(F.col("text"))).alias("seq", "text"))
+    k = F.col("seq")
+    kind = F.when(k % 3 == 0, "heading").when(k % 3 == 1, "text").otherwise("picture")
+    items = d.select("document_id", k.alias("seq"), kind.alias("kind"), F.when(k % 6 == 0, 1).otherwise(2).alias("level"), F.concat(F.lit("x "), "text").alias("text"))
+    return M.item_sections(items).groupBy("document_id").agg(F.count("*").alias("sections"))

@@ -122,3 +122,20 @@ def test_trees(spark):
 def test_packing_keeps_budget(spark):
     h = spark.createDataFrame([(1, 1, "x" * 40), (1, 2, "x" * 50), (1, 3, "x" * 20), (1, 4, "x")], "query_id int, rank int, text string")
     assert [r.rank for r in R.pack_context(h, "text", 100).orderBy("rank").collect()] == [1, 2]
+
+
+def test_items():
+    items = [
+        ("page_header", None, "h"), ("text", None, "before"), ("title", None, "Doc"), ("heading", 1, "One"), ("heading", 4, "deep"), ("text", None, "body"), ("heading", 2, "Chapter 2"),
+        ("picture", None, ""), ("table", None, "| a |"), ("heading", 3, "Article 5"), ("page_footer", None, "f"), ("title", None, "Next"), ("text", None, "t"),
+    ]
+    s = M.parse_items(items)
+    assert [(x["section_id"], x["title"], x["level"], x["parent_section_id"], x["content"], x["pictures"], x["tables"]) for x in s] == [
+        ("sec_0001", "", 1, None, "before", 0, 0),
+        ("sec_0002", "Doc", 0, None, "", 0, 0),
+        ("sec_0003", "One", 1, "sec_0002", "deep\nbody", 0, 0),
+        ("sec_0004", "Chapter 2", 1, "sec_0002", "| a |", 1, 1),
+        ("sec_0005", "Article 5", 2, "sec_0004", "", 0, 0),
+        ("sec_0006", "Next", 0, None, "t", 0, 0),
+    ]
+    assert M.parse_items([]) == []
