@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as X
-from tessera.llm._spark import checkpointed, components
+from tessera.llm._spark import checkpointed, components, saved
 
 RADIUS, SHINGLE = 3, 3
 #: Fingerprints of one key that are compared in one place; a key with more is split.
@@ -304,6 +304,8 @@ def classes(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFram
     named = nodes.join(linked, nodes["fp"] == linked["id"], "left").select(
         F.col("fp").alias("own_fp"), F.coalesce("component", "fp").alias("class"), F.when(F.col("id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
     )
+    # written and read again, it comes to the next join through an exchange of its own, so that Spark can split a fingerprint of very many copies
+    named = saved(named)
     return fps.join(named, fps["fp"] == named["own_fp"]).select("doc_id", "th", "fp", "class", "component_id")
 
 
