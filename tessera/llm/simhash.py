@@ -293,9 +293,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame
     return found
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
-    """doc_id, th, fp, class and component_id of every row. Rows whose fingerprints connect over links of `radius` bits or fewer share a class; component_id is its smallest doc_id, or null."""
-    fps = checkpointed(fingerprints(docs))
+def _named(fps: DataFrame, radius: int, full: int) -> DataFrame:
+    """own_fp, class and component_id of each distinct fingerprint of (doc_id, fp)."""
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     got = components(links(nodes, radius, full))
     linked = nodes.join(got, nodes["fp"] == got["id"]).select("id", "component", "least")
@@ -305,7 +304,13 @@ def classes(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFram
         F.col("fp").alias("own_fp"), F.coalesce("component", "fp").alias("class"), F.when(F.col("id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
     )
     # written and read again, it comes to the next join through an exchange of its own, so that Spark can split a fingerprint of very many copies
-    named = saved(named)
+    return saved(named)
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
+    """doc_id, th, fp, class and component_id of every row. Rows whose fingerprints connect over links of `radius` bits or fewer share a class; component_id is its smallest doc_id, or null."""
+    fps = checkpointed(fingerprints(docs))
+    named = _named(fps, radius, full)
     return fps.join(named, fps["fp"] == named["own_fp"]).select("doc_id", "th", "fp", "class", "component_id")
 
 
@@ -317,10 +322,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, full: int = FULL) ->
 def one_of_each(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
     """One row of each class of near duplicates, with all columns: the one with the smallest doc_id (of repeated ids, with the smallest hash of its text).
 
-    The smallest of each class is found on ids and hashes alone, map-side first; texts move once.
+    The smallest of each fingerprint, then of each class, is found on ids and hashes alone, map-side first; texts move once.
     """
     last = (1 << 63) - 1
-    first = classes(docs, radius, full).groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(last)).alias("d"), F.col("th").alias("t"))).alias("k")).select("k.d", "k.t")
+    fps = checkpointed(fingerprints(docs))
+    named = _named(fps, radius, full)
+    least = fps.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(last)).alias("d"), F.col("th").alias("t"))).alias("k"))
+    first = least.join(named, least["fp"] == named["own_fp"]).groupBy("class").agg(F.min("k").alias("k")).select("k.d", "k.t")
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("r")).select(F.coalesce(F.col("r.doc_id").cast("long"), F.lit(last)).alias("d"), F.xxhash64(F.coalesce(F.col("r.text").cast("string"), F.lit(""))).alias("t"), "r")
     kept = keyed.join(first, ["d", "t"], "left_semi")
