@@ -211,9 +211,9 @@ def t25(v):
     return d.select("document_id", F.col("node").alias("section_id"), "cyclic")
 
 
-@query("t26_tree_depth", "SELECT document_id, section_id, CASE WHEN order_index = 0 THEN 0 WHEN order_index <= 2 THEN 1 WHEN order_index <= 6 THEN 2 ELSE 3 END AS depth FROM v_sections".replace("THEN 0", "THEN CAST(0 AS BIGINT)"))
+@query("t26_tree_depth", "SELECT document_id, section_id, CASE WHEN order_index = 0 THEN 0 WHEN order_index <= 2 THEN 1 WHEN order_index <= 6 THEN 2 ELSE 3 END AS depth FROM v_sections".replace("THEN 0", "THEN CAST(0 AS BIGINT)"), whole="SELECT document_id, section_id, CAST(length(bin(order_index + 1)) - 1 AS BIGINT) AS depth FROM v_sections")
 def t26(v):
-    return H.depths(v.sections, "document_id", "section_id", "parent_section_id", 16).select("document_id", F.col("node").alias("section_id"), "depth")
+    return H.depths(v.sections, "document_id", "section_id", "parent_section_id", 32).select("document_id", F.col("node").alias("section_id"), "depth")
 
 
 @query("p09_escaped_substring", r"SELECT document_id, section_id FROM v_sections WHERE title ILIKE '%5 sec%' OR content ILIKE '%the\_of%' ESCAPE '\'")

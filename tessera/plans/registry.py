@@ -1,4 +1,7 @@
-"""Queries and their SQL twins. A query is a function of Views; its name begins with the id of the operator it shows."""
+"""Queries and their SQL twins. A query is a function of Views; its name begins with the id of the operator it shows.
+
+The given SQL of some queries takes a part of the input. Such a query has a second form over the whole of it, NAME_whole, with SQL of its own.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.views import Views, with_views
+from tessera.views import Views, whole_sql, with_views
 
 MODULES = ("analytics", "scans", "scalars", "documents", "retrieval", "gates", "mutations", "evaluation", "streams", "extensions")
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_WHOLE: set[str] = set()
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query; without SQL it has no SQL form."""
+def query(name: str, sql: str | None = None, whole: str | None = None):
+    """Registers a query; without SQL it has no SQL form. `whole`: SQL over the whole input, where that isn't `sql` with the cuts of views and query sets taken out."""
 
     def add(f: Callable[[Views], DataFrame]):
         if name in _QUERIES:
@@ -24,6 +28,10 @@ def query(name: str, sql: str | None = None):
         _QUERIES[name] = f
         if sql is not None:
             _SQL[name] = with_views(sql)
+            every = whole_sql(sql if whole is None else whole)
+            if every != _SQL[name]:
+                _QUERIES[f"{name}_whole"], _SQL[f"{name}_whole"] = f, every
+                _WHOLE.add(f"{name}_whole")
         return f
 
     return add
@@ -36,7 +44,7 @@ def _load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {n: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for n, f in _QUERIES.items()}
+    return {n: (lambda spark, sf_dir, f=f, whole=n in _WHOLE: f(Views(spark, sf_dir, whole))) for n, f in _QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:

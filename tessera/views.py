@@ -50,12 +50,20 @@ SELECT doc_id AS document_id, k AS order_index, 'sec-' || lpad(CAST(k AS VARCHAR
 FROM (SELECT doc_id, text, unnest(range(0, least(len(string_split(text, chr(10))), 9))) AS k FROM documents) d""",
 }
 
+#: SQL of views over the whole input, where that above takes a part.
+WHOLE = {
+    "v_sections": """
+SELECT doc_id AS document_id, k AS order_index, printf('sec-%04d', k) AS section_id, CASE WHEN k > 0 THEN printf('sec-%04d', (k - 1) // 2) END AS parent_section_id,
+  CAST(1 + k // 3 AS VARCHAR) || CASE WHEN k % 3 > 0 THEN '.' || CAST(k % 3 AS VARCHAR) ELSE '' END AS section_code, content, CAST(1 + k AS VARCHAR) || ' Section' AS title, 1 + k % 3 AS level
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents) d""",
+}
+
 
 class Views:
-    """DataFrames of the views over a folder of tables."""
+    """DataFrames of the views over a folder of tables; with `whole`, none takes a part of its table."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.dir, self.whole = spark, sf_dir, whole
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -164,10 +172,11 @@ class Views:
 
     @cached_property
     def sections(self) -> DataFrame:
-        """Up to nine lines of each document as a binary tree of sections."""
-        d = self.table("documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 9)).alias("p", "content"))
+        """The lines of each document (the first nine, where not `whole`) as a binary tree of sections."""
+        lines = F.split("text", "\n", -1)
+        d = self.table("documents").select("doc_id", F.posexplode(lines if self.whole else F.slice(lines, 1, 9)).alias("p", "content"))
         k = F.col("p").cast("long")
-        code = lambda c: F.concat(F.lit("sec-"), F.lpad(c.cast("string"), 4, "0"))
+        code = lambda c: F.format_string("sec-%04d", c)
         third = F.floor(k / 3)
         return d.select(
             F.col("doc_id").alias("document_id"),
@@ -181,21 +190,26 @@ class Views:
         )
 
 
-def with_views(sql: str) -> str:
+def whole_sql(sql: str) -> str:
+    """The query over the whole input, with its views."""
+    return with_views(sql, SQL | WHOLE)
+
+
+def with_views(sql: str, views: dict[str, str] = SQL) -> str:
     """The query, with the views that it names (and those that they name) before it."""
     need: list[str] = []
 
     def add(text: str) -> None:
         for name in re.findall(r"\bv_\w+\b", text):
-            if name in SQL and name not in need:
-                add(SQL[name])
+            if name in views and name not in need:
+                add(views[name])
                 if name not in need:
                     need.append(name)
 
     add(sql)
     if not need:
         return sql
-    head = ",\n".join(f"{n} AS ({SQL[n]})" for n in need)
+    head = ",\n".join(f"{n} AS ({views[n]})" for n in need)
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
