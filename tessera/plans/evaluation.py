@@ -14,8 +14,8 @@ _CASES = f"SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' EN
 
 
 def ranks(v):
-    q = v.table("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
-    relevant = v.chunks.join(F.broadcast(q), "section_id").where("node_id <> query_id").select("query_id", "node_id")
+    q = v.table("embeddings").where(v.chosen("vec_id < 10")).select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
+    relevant = v.chunks.join(q, "section_id").where("node_id <> query_id").select("query_id", "node_id")
     return E.first_ranks(dense(v, 5), relevant, "node_id")
 
 

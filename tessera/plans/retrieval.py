@@ -15,7 +15,7 @@ _Q = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 10)"
 
 
 def queries(v):
-    return v.table("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return v.table("embeddings").where(v.chosen("vec_id < 10")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 def _dense(k, where="true"):
@@ -28,8 +28,10 @@ def dense(v, k, chunks=None):
 
 @query("v01_cosine", f"SELECT query_id, node_id, {_COS} AS score FROM v_chunks c, {_Q} q")
 def v01(v):
-    pairs = v.chunks.crossJoin(F.broadcast(queries(v)))
-    return pairs.select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    def score(pairs):
+        return pairs.select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+
+    return R.against(queries(v), v.chunks, score)
 
 
 @query("v02_filtered_dense_topk", _dense(20, "c.document_id IN (1, 2, 3, 5, 8, 13, 21, 34)"))
@@ -70,7 +72,7 @@ def terms():
 
 
 def bm25(v, k=10):
-    q = v.table("benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), F.explode(terms()).alias("term"))
+    q = v.table("benchmark").where(v.chosen("item_id < 12")).select(F.col("item_id").alias("query_id"), F.explode(terms()).alias("term"))
     s = R.bm25(q, v.table("documents").select("doc_id", "text"), terms(), "doc_id").withColumn("score", F.round("score", 6))
     return R.ranked(s, k, "query_id", F.desc("score"), F.col("doc_id")).withColumn("rank", F.col("rank").cast("long"))
 
@@ -95,8 +97,8 @@ def v03(v):
 
 def lexical(v, k):
     """A second ranking over the same nodes: those of the query's section, by distance of ids."""
-    q = v.table("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
-    s = v.chunks.join(F.broadcast(q), "section_id").select("query_id", "node_id", (1.0 / (1 + F.abs(F.col("node_id") - F.col("query_id")))).alias("score"))
+    q = v.table("embeddings").where(v.chosen("vec_id < 10")).select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
+    s = v.chunks.join(q, "section_id").select("query_id", "node_id", (1.0 / (1 + F.abs(F.col("node_id") - F.col("query_id")))).alias("score"))
     return R.ranked(s, k, "query_id", F.desc("score"), F.col("node_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -131,7 +133,7 @@ def v06(v):
         each = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(0))), lambda k: F.when((k >= 1) & (k + n - 1 <= F.size("t")), F.struct(n.cast("long").alias("n"), F.array_join(F.slice("t", k, n), " ").alias("gram"))))))
         return t.select(key, F.explode(F.array_distinct(F.filter(each, lambda x: x.isNotNull()))).alias("g")).select(key, "g.n", "g.gram")
 
-    q = grams(v.table("benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    q = grams(v.table("benchmark").where(v.chosen("item_id < 12")).select(F.col("item_id").alias("query_id"), "text"), "query_id")
     d = grams(v.table("documents").select("doc_id", "text"), "doc_id")
     return d.join(q, ["n", "gram"]).groupBy("query_id", "doc_id").agg(F.sum(5 * F.col("n")).alias("boost"))
 
@@ -149,7 +151,7 @@ def v07(v):
     heads = v.chunks.groupBy("section_id").agg(F.min("node_id").alias("node_id"))
     sec = v.chunks.join(heads, ["section_id", "node_id"]).select("section_id", "embedding")
     top = R.dense_topk(queries(v), sec, 3, "section_id").select("query_id", "section_id")
-    pairs = v.chunks.join(F.broadcast(top.join(queries(v), "query_id")), "section_id")
+    pairs = v.chunks.join(top.join(queries(v), "query_id"), "section_id")
     scored = pairs.select("query_id", "section_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
     return R.ranked(scored, 4, ["query_id", "section_id"], F.desc("score"), F.col("node_id")).withColumn("rank", F.col("rank").cast("long"))
 
@@ -213,7 +215,7 @@ def f14(v):
 def v12(v):
     h = dense(v, 6)
     c = R.confidence(h).select("query_id", R.rerank_decision(F.lit("short query"), F.col("n"), F.col("top"), F.col("second")).alias("reason"))
-    return h.join(F.broadcast(c), "query_id").select("query_id", "node_id", F.when(F.col("reason").isNotNull(), F.col("score")).otherwise(F.round(1 - F.col("score"), 6)).alias("score"))
+    return h.join(c, "query_id").select("query_id", "node_id", F.when(F.col("reason").isNotNull(), F.col("score")).otherwise(F.round(1 - F.col("score"), 6)).alias("score"))
 
 
 @query("w05_rank_in_query", _dense(10).replace("SELECT query_id, node_id, document_id, section_id, score, rank FROM", "SELECT query_id, node_id, rank FROM", 1))
@@ -351,9 +353,11 @@ def k19(v):
 @query("v18_semantic_cache", f"SELECT query_id, node_id AS hit FROM ({_dense(1, 'c.node_id >= 10 AND c.document_id % 2 = q.query_id % 2')}) d WHERE 1 - score <= 0.95")
 def v18(v):
     """Nearest entry of the same tenant, if its distance is within the threshold."""
-    pairs = v.chunks.where("node_id >= 10").crossJoin(F.broadcast(queries(v))).where("document_id % 2 = query_id % 2")
-    s = pairs.select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
-    return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id")).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
+    def nearest(pairs):
+        s = pairs.where("document_id % 2 = query_id % 2").select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+        return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id"))
+
+    return R.against(queries(v), v.chunks.where(v.chosen("node_id >= 10")), nearest).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
 
 
 @query("v19_cache_delta", "SELECT node_id, CASE WHEN node_id % 5 = 1 THEN 7 ELSE 1 END AS ttl_days FROM v_chunks WHERE node_id % 5 <> 0")

@@ -58,6 +58,9 @@ SELECT doc_id AS document_id, k AS order_index, printf('sec-%04d', k) AS section
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents) d""",
 }
 
+#: Query sets of the given SQL, and those over the whole input: a twentieth of the vectors, all texts, all entries that aren't queries.
+QUERY_SETS = {"vec_id < 10": "vec_id % 20 = 0", "item_id < 12": "true", "node_id >= 10": "node_id % 20 <> 0"}
+
 
 class Views:
     """DataFrames of the views over a folder of tables; with `whole`, none takes a part of its table."""
@@ -68,6 +71,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def chosen(self, rows: str) -> str:
+        """The condition of a query set, or that of the set it stands for where `whole`."""
+        return QUERY_SETS[rows] if self.whole else rows
+
     @property
     def now(self):
         return F.lit(NOW).cast("timestamp_ntz")
@@ -192,6 +199,8 @@ class Views:
 
 def whole_sql(sql: str) -> str:
     """The query over the whole input, with its views."""
+    for part, whole in QUERY_SETS.items():
+        sql = re.sub(rf"\b{part}\b", whole, sql)
     return with_views(sql, SQL | WHOLE)
 
 

@@ -27,3 +27,26 @@ def test_sections_of_all_lines(spark, long_documents):
     assert rows(spark, "t26_tree_depth_whole", folder, "document_id", "section_id", "depth") == sorted((i, f"sec-{k:04d}", (k + 1).bit_length() - 1) for i, k, _ in each)
     assert rows(spark, "j11_child_parent_whole", folder, "document_id", "section_id", "parent_title") == sorted((i, f"sec-{k:04d}", f"{1 + (k - 1) // 2} Section") for i, k, _ in each if k)
     assert rows(spark, "t16_base_metadata_whole", folder, "document_id", "sections") == [(i, len(cs)) for i, cs in lines.items()]
+
+
+def test_query_sets(spark, tmp_path, monkeypatch):
+    from tessera.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)  # eight query vectors in blocks
+    vectors = [(i, [float(i % 7), float(i % 11), 1.0], i % 3) for i in range(150)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"term{i} common") for i in range(30)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"term{i} common words") for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = range(0, 150, 20)
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    scores = {q: sorted((-round(cosine(vectors[q][1], e), 6), i) for i, e, _ in vectors) for q in asked}
+    assert rows(spark, "v01_cosine_whole", tmp_path, "query_id", "node_id", "score") == sorted((q, i, -s) for q in asked for s, i in scores[q])
+    assert rows(spark, "o07_topk_vector_whole", tmp_path, "query_id", "rank", "node_id") == sorted((q, r, i) for q in asked for r, (_, i) in enumerate(scores[q][:8], 1))
+    assert rows(spark, "e03_hits_and_reciprocal_rank_whole", tmp_path, "query_id") == [(q,) for q in asked]
+    best = {q: next((i, -s) for s, i in scores[q] if i % 20 and i % 50 % 2 == q % 2) for q in asked}
+    assert rows(spark, "v18_semantic_cache_whole", tmp_path, "query_id", "hit") == [(q, i) for q, (i, s) in best.items() if 1 - s <= 0.95]
+    assert rows(spark, "v03_sparse_topk_whole", tmp_path, "query_id", "doc_id")[::3] == [(q, 0) for q in range(30)]
+    assert {q for q, d in rows(spark, "v03_sparse_topk_whole", tmp_path, "query_id", "doc_id") if q == d} == set(range(30))
