@@ -72,8 +72,8 @@ class Views:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def chosen(self, rows: str) -> str:
-        """The condition of a query set, or that of the set it stands for where `whole`."""
-        return QUERY_SETS[rows] if self.whole else rows
+        """The condition that the given SQL sets; where `whole`, all rows, or the set it stands for."""
+        return QUERY_SETS.get(rows, "true") if self.whole else rows
 
     @property
     def now(self):

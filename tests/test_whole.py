@@ -50,3 +50,23 @@ def test_query_sets(spark, tmp_path, monkeypatch):
     assert rows(spark, "v18_semantic_cache_whole", tmp_path, "query_id", "hit") == [(q, i) for q, (i, s) in best.items() if 1 - s <= 0.95]
     assert rows(spark, "v03_sparse_topk_whole", tmp_path, "query_id", "doc_id")[::3] == [(q, 0) for q in range(30)]
     assert {q for q, d in rows(spark, "v03_sparse_topk_whole", tmp_path, "query_id", "doc_id") if q == d} == set(range(30))
+
+
+def test_whole_tables(spark, tmp_path):
+    from datetime import datetime
+
+    events = [(i, datetime(2024, 1, 1), i % 7, "view", 1.0, "{}") for i in range(990, 1010)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k, f"N{k}") for k in range(20)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    texts = {i: "a\nb\nc\nd" if i == 403 else "same" if i in (404, 405) else f"text {i} " + "x" * 2500 * (i == 402) for i in (5, 99, 299, *range(400, 420))}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(spark, "u02_set_difference_whole", tmp_path, "id", "gone") == [(i, sorted({i % 3, i % 5, i % 7} - {i % 2, i % 4})) for i, *_ in events]
+    assert rows(spark, "u03_set_union_whole", tmp_path, "id", "both") == [(i, sorted({i % 3, i % 5, i % 2, i % 4})) for i, *_ in events]
+    assert rows(spark, "t25_cycle_detection_whole", tmp_path, "document_id", "section_id", "cyclic") == [(403, f"sec-{k:04d}", k > 1) for k in range(4)]
+    assert rows(spark, "j03_tenants_of_documents_whole", tmp_path, "id", "tenants") == sorted((i, [f"N{(i + 7) % 20}"] * (i % 4 == 0)) for i in texts)
+    assert rows(spark, "s04_object_write_whole", tmp_path, "doc_id", "text") == sorted(texts.items())
+    ready = {t for i, t in texts.items() if i % 10 > 1}
+    assert rows(spark, "j16_dedup_probe_whole", tmp_path, "doc_id", "known") == sorted((i, t in ready) for i, t in texts.items())
+    chunks = rows(spark, "t12_chunk_rule_whole", tmp_path, "document_id", "chunk", "text")
+    assert [(d, t) for d, _, t in chunks if d != 402] == sorted((i, t) for i, t in texts.items() if i != 402)
+    assert "".join(t for d, _, t in chunks if d == 402).replace(" ", "") == texts[402].replace(" ", "")
