@@ -4,7 +4,7 @@ Base patterns (leftmost, not overlapping, each kind for itself) find assignments
 strings. Besides, every value that stands after a credential word is costed by dynamic programming: the cheapest
 segmentation into words, dates, repeats, keyboard walks and brute-force spans, each with its number of
 guesses, gives log10 of the guesses an informed attacker needs. A value that costs `MIN_GUESSES` or more
-and overlaps no base span is added as kind `guess`.
+and lies within no base span is added as kind `guess`; it may overlap base spans, which stay.
 
 Words for the segmentation are a ranked list and a parameter; the default is short and stated below.
 
@@ -134,13 +134,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], guesser: Guesser, least: float = MIN_GUESSES) -> list[tuple[int, int, int]]:
-    """Values in a credential context that cost `least` or more and overlap no base span."""
+    """Values in a credential context that cost `least` or more and lie within no base span."""
     found = []
     if "=" not in text and ":" not in text:
         return found
     for m in CONTEXT.finditer(text):
         s, e = m.span(1)
-        if e - s <= LONGEST and not any(a < e and s < b for a, _, b in base) and guesser.cheapest(text[s:e])[0] >= least:
+        if e - s <= LONGEST and not any(a <= s and e <= b for a, _, b in base) and guesser.cheapest(text[s:e])[0] >= least:
             found.append((s, 3, e))
     return found
 
