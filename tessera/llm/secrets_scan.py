@@ -8,12 +8,12 @@ and lies within no base span is added as kind `guess`; it may overlap base spans
 
 Words for the segmentation are a ranked list and a parameter; the default is short and stated below.
 
-Defined results: null and empty texts have no spans; a value of more than `LONGEST` characters is no password and
-is left to the base patterns; repeated documents give a row each; an empty table gives no rows; other columns are left out. Positions are code points, ends exclusive.
+Defined results: null and empty texts have no spans; values of any length are costed; repeated documents give a row each; an empty table gives no rows; other columns are left out. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -32,8 +32,6 @@ CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|pass|secret|token|cre
 
 #: log10 of the guesses from which a value counts as a secret.
 MIN_GUESSES = 8.0
-#: Characters of the longest value that counts as a password.
-LONGEST = 256
 
 # Rows of the keyboard layouts that walks follow, and a ranked list of common words.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -79,31 +77,61 @@ class Guesser:
         """(start, end, log10 of guesses, kind) of every part of s that an attacker would not try letter by letter."""
         low = s.lower()
         plain = low.translate(_LEET)
+        for i in range(len(s)):
+            for j, cost, kind in self.pieces_at(s, low, plain, i):
+                yield i, j, cost, kind
+
+    def pieces_at(self, s: str, low: str, plain: str, i: int) -> Iterator[tuple[int, float, str]]:
+        """(end, log10 of guesses, kind) of the parts that begin at i; `low` and `plain` are s in lower case, and that with letters for digits."""
+        n = len(s)
+        for j in range(i + 2, min(n, i + self.longest) + 1):
+            for k, extra in ((low, 0.0), (plain, 0.6)):
+                if (rank := self.rank.get(k[i:j])) is not None:
+                    upper = sum(c.isupper() for c in s[i:j])
+                    case = 0.0 if not upper else 0.3 if upper == j - i or (upper == 1 and s[i].isupper()) else math.log10(max(2, math.comb(j - i, upper)))
+                    yield j, math.log10(rank + 1) + extra + case, "word"
+                    break
+        if m := _DATE.match(s, i):
+            yield m.end(), 2.2 if m.end() - i == 4 else 4.6, "date"
+        for size in (1, 2, 3, 4):  # the unit that repeats
+            j = i + size
+            while j + size <= n and s[j : j + size] == s[i : i + size]:
+                j += size
+            if j - i >= max(3, 2 * size):
+                yield j, size * math.log10(self._pool(s[i])) + math.log10((j - i) // size), "repeat"
+        j, turns, way = i + 1, 0, None
+        while j < n and low[j] in _NEAR.get(low[j - 1], ""):
+            step = _NEAR[low[j - 1]].index(low[j])
+            turns += step != way
+            way = step
+            j += 1
+        if j - i >= 3:
+            yield j, math.log10(47 * (j - i)) + turns * math.log10(5), "walk"
+
+    def reaches(self, s: str, least: float) -> bool:
+        """Whether the cheapest segmentation of s costs `least` or more.
+
+        Parts cost something, so only places that are reached for less go on, and the answer is known when none is left: the work
+        follows what can be reached for `least`, not the length of s.
+        """
+        if least <= 0:
+            return True
+        low = s.lower()
+        plain = low.translate(_LEET)
         n = len(s)
-        for i in range(n):
-            for j in range(i + 2, min(n, i + self.longest) + 1):
-                for k, extra in ((low, 0.0), (plain, 0.6)):
-                    if (rank := self.rank.get(k[i:j])) is not None:
-                        upper = sum(c.isupper() for c in s[i:j])
-                        case = 0.0 if not upper else 0.3 if upper == j - i or (upper == 1 and s[i].isupper()) else math.log10(max(2, math.comb(j - i, upper)))
-                        yield i, j, math.log10(rank + 1) + extra + case, "word"
-                        break
-            if m := _DATE.match(s, i):
-                yield i, m.end(), 2.2 if m.end() - i == 4 else 4.6, "date"
-            for size in (1, 2, 3, 4):  # the unit that repeats
-                j = i + size
-                while j + size <= n and s[j : j + size] == s[i : i + size]:
-                    j += size
-                if j - i >= max(3, 2 * size):
-                    yield i, j, size * math.log10(self._pool(s[i])) + math.log10((j - i) // size), "repeat"
-            j, turns, way = i + 1, 0, None
-            while j < n and low[j] in _NEAR.get(low[j - 1], ""):
-                step = _NEAR[low[j - 1]].index(low[j])
-                turns += step != way
-                way = step
-                j += 1
-            if j - i >= 3:
-                yield i, j, math.log10(47 * (j - i)) + turns * math.log10(5), "walk"
+        best, open_ = {0: 0.0}, [0]
+        while open_:
+            i = heapq.heappop(open_)
+            if i == n:
+                return False
+            new = 0.3 if i else 0.0
+            steps = [(j, best[i] + cost + new) for j, cost, _ in self.pieces_at(s, low, plain, i)]
+            for j, cost in [(i + 1, best[i] + math.log10(self._pool(s[i]))), *steps]:
+                if cost < least:
+                    if j not in best:
+                        heapq.heappush(open_, j)
+                    best[j] = min(cost, best.get(j, cost))
+        return True
 
     def cheapest(self, s: str) -> tuple[float, list[tuple[int, int, str]]]:
         """The cost of s and the parts of its cheapest segmentation."""
@@ -140,7 +168,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], guesser: Guesser, l
         return found
     for m in CONTEXT.finditer(text):
         s, e = m.span(1)
-        if e - s <= LONGEST and not any(a <= s and e <= b for a, _, b in base) and guesser.cheapest(text[s:e])[0] >= least:
+        if not any(a <= s and e <= b for a, _, b in base) and guesser.reaches(text[s:e], least):
             found.append((s, 3, e))
     return found
 

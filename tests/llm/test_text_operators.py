@@ -140,6 +140,28 @@ def test_values_past_base_spans():
     assert S.guess_spans(inside, S.base_spans(inside), S.Guesser()) == []
 
 
+@pytest.mark.parametrize("value", ["Xk9#mQ$v2!" + "&next=abc" * 60, "Xk9#m7" + "€" * 300, "z!" * 3 + "#" * 20_000, "q#1" + "qw" * 20_000 + "Z~"])
+def test_long_values(value):
+    text = f"pwd: {value} auth={value}"
+    spans = S.guess_spans(text, S.base_spans(text), S.Guesser())
+    assert [text[s:e] for s, _, e in spans] == [value, value]
+
+
+def test_long_guessable_values():
+    text = f"auth={'a' * 100_000} pwd={'password' * 2}{'1' * 1000}"
+    g = S.Guesser()
+    assert S.guess_spans(text, [], g) == [] and g.cheapest("passwordpassword" + "1" * 1000)[0] < S.MIN_GUESSES
+
+
+def test_reaches_as_cheapest():
+    g = S.Guesser()
+    rng = np.random.default_rng(3)
+    parts = ["password", "p4ss", "qwert", "2021", "aaa", "abab", "x", "7", "#", "É", "Summer", "zxcv"]
+    for _ in range(500):
+        s = "".join(rng.choice(parts, rng.integers(1, 7)))
+        assert all(g.reaches(s, least) == (g.cheapest(s)[0] >= least) for least in (0, 3, 8, 12)), s
+
+
 def test_guess_costs():
     g = S.Guesser()
     cost = lambda s: g.cheapest(s)[0]
