@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,11 @@ _TEN = math.log(10)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _add(x: float, y: float) -> float:
+    """log(exp(x) + exp(y)), y finite."""
+    return max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf else y
+
+
 class Pieces:
     """Byte strings with natural-log scores; a word's first byte is a space. The last score is that of a word's end."""
 
@@ -120,17 +126,39 @@ class Pieces:
         out[-1] += weight.sum()
         return out
 
-    def one(self, word: bytes) -> float:
-        """The marginal of one word of any length, with its end."""
+    @cached_property
+    def plain(self) -> list[float]:
+        return self.scores.tolist()
+
+    def _alpha(self, word: bytes) -> list[float]:
+        """`forward` for one word of any length."""
         alpha = [0.0] + [-math.inf] * len(word)
-        index, scores = self.index, self.scores
+        index, scores = self.index, self.plain
         for i in range(len(word)):
             if alpha[i] > -math.inf:
                 for j in range(i + 1, min(len(word), i + self.longest) + 1):
                     if (k := index.get(word[i:j])) is not None:
-                        x, y = alpha[j], alpha[i] + scores[k]
-                        alpha[j] = max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf else y
-        return alpha[-1] + scores[-1]
+                        alpha[j] = _add(alpha[j], alpha[i] + scores[k])
+        return alpha
+
+    def one(self, word: bytes) -> float:
+        """The marginal of one word of any length, with its end."""
+        return self._alpha(word)[-1] + self.plain[-1]
+
+    def add_expected(self, word: bytes, out: np.ndarray) -> None:
+        """Adds to `out` the expected uses of each piece, and of the end, in one word of any length."""
+        alpha = self._alpha(word)
+        beta = [-math.inf] * len(word) + [0.0]
+        index, scores, uses = self.index, self.plain, {}
+        for i in range(len(word) - 1, -1, -1):
+            for j in range(i + 1, min(len(word), i + self.longest) + 1):
+                if (k := index.get(word[i:j])) is not None and beta[j] > -math.inf:
+                    through = beta[j] + scores[k]
+                    uses[k] = uses.get(k, 0.0) + math.exp(alpha[i] + through - alpha[-1])
+                    beta[i] = _add(beta[i], through)
+        for k, x in uses.items():
+            out[k] += x
+        out[-1] += 1
 
     def by_length(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, chunk: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Words of up to TOGETHER bytes as (rows, matrix with the leading space), those of one length together."""
@@ -210,6 +238,8 @@ def _expect(model):
             buf, start, size = _word_arrays(batch)
             for _, words in pieces.by_length(buf, start, size):
                 total += pieces.expected(words, np.ones(len(words)))
+            for r in np.flatnonzero(size > TOGETHER).tolist():
+                pieces.add_expected(b" " + buf[start[r] : start[r] + size[r]].tobytes(), total)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
 

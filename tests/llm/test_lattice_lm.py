@@ -47,6 +47,31 @@ def test_expected_uses_add_up():
     assert sum(u * len(p) for u, p in zip(uses, pieces.pieces, strict=False)) == pytest.approx(6 * 5)
 
 
+def test_expected_uses_of_one_word():
+    pieces = toy()
+    for word in (b" abcab", b" x", b" " + b"abc" * 15):
+        words = np.frombuffer(word, np.uint8)[None].astype(np.uint64)
+        got = np.zeros(len(pieces.scores))
+        pieces.add_expected(word, got)
+        assert got == pytest.approx(pieces.expected(words, np.ones(1)))
+
+
+def test_long_words_train(spark):
+    """A piece that only a word longer than TOGETHER bytes uses gets evidence."""
+    from pyspark.sql import functions as F
+
+    first = L.vocabulary()
+    long = "information" * 200
+    assert len(long) > L.TOGETHER
+    docs = spark.createDataFrame([("the cat", True), (long, True)], "text string, train boolean")
+    model, _ = L.learn(docs.select("train", F.col("text")), rounds=1)
+    want = np.full(len(first.scores), L.FLOOR)
+    for w in (b" the", b" cat", b" " + long.encode()):
+        first.add_expected(w, want)
+    assert model.pieces.scores == pytest.approx(np.log(want / want.sum()))
+    assert want.sum() - L.FLOOR * len(want) > 200
+
+
 @pytest.mark.parametrize("head", [0, 1 << 18])
 def test_table(spark, tmp_path, monkeypatch, head):
     monkeypatch.setattr(L, "HEAD", head)
