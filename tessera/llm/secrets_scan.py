@@ -6,7 +6,9 @@ segmentation into words, dates, repeats, keyboard walks and brute-force spans, e
 guesses, gives log10 of the guesses an informed attacker needs. A value that costs `MIN_GUESSES` or more
 and lies within no base span is added as kind `guess`; it may overlap base spans, which stay.
 
-Words for the segmentation are a ranked list and a parameter; the default is short and stated below.
+Words for the segmentation are a ranked list and a parameter. By default they are the list stated below, then the `DICTIONARY` most frequent
+words (letters only) of the texts themselves, without those in base spans and in values of a credential context, so that a secret
+does not become a word by being repeated.
 
 Defined results: null and empty texts have no spans; values of any length are costed; repeated documents give a row each; an empty table gives no rows; other columns are left out. Positions are code points, ends exclusive.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +36,9 @@ CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|pass|secret|token|cre
 #: log10 of the guesses from which a value counts as a secret.
 MIN_GUESSES = 8.0
 
+#: Most words of the texts that join the list (a bound on what is sent to each task), their letters, and how often they occur at least.
+DICTIONARY, LETTERS, OFTEN = 1 << 16, (3, 24), 2
+
 # Rows of the keyboard layouts that walks follow, and a ranked list of common words.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 WORDS = (
@@ -173,6 +179,34 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], guesser: Guesser, l
     return found
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _open_words(text: str) -> list[str]:
+    """The words of a text in lower case, outside base spans and values of a credential context."""
+    hidden = [(s, e) for s, _, e in base_spans(text)]
+    if "=" in text or ":" in text:
+        hidden += [m.span(1) for m in CONTEXT.finditer(text)]
+    low, high = LETTERS
+    return [w for w in _WORD.findall((redact(text, hidden, " ") if hidden else text).lower()) if low <= len(w) <= high]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in X.slices(batches):
+        found = Counter()
+        for text in batch.column("text").to_pylist():
+            found.update(_open_words(text or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+
+def ranked_words(docs: DataFrame) -> tuple[str, ...]:
+    """WORDS, and the most frequent words of all texts, by falling count."""
+    from pyspark.sql import functions as F
+
+    counts = X.only(docs, "text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+    return (*WORDS, *(r["word"] for r in top))
+
 
 def _scan(words: tuple[str, ...], least: float):
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -190,8 +224,9 @@ def _scan(words: tuple[str, ...], least: float):
     return run
 
 
-def find_secrets(docs: DataFrame, words: tuple[str, ...] = tuple(WORDS), least: float = MIN_GUESSES) -> DataFrame:
-    """doc_id and spans (kind, start, end; by start, then kind) of every row of `docs`. Nothing is shuffled."""
+def find_secrets(docs: DataFrame, words: tuple[str, ...] | None = None, least: float = MIN_GUESSES) -> DataFrame:
+    """doc_id and spans (kind, start, end; by start, then kind) of every row of `docs`. Without `words`, those of the texts are counted first; nothing else is shuffled."""
+    words = ranked_words(docs) if words is None else words
     return X.only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan(words, least), "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
@@ -223,8 +258,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact_secrets(docs: DataFrame, words: tuple[str, ...] = tuple(WORDS), least: float = MIN_GUESSES, mark: str = "[secret]") -> DataFrame:
-    """The rows of `docs`, all columns, with every secret in their texts replaced by a mark."""
+def redact_secrets(docs: DataFrame, words: tuple[str, ...] | None = None, least: float = MIN_GUESSES, mark: str = "[secret]") -> DataFrame:
+    """The rows of `docs`, all columns, with every secret in their texts replaced by a mark. Words are those of `find_secrets`."""
+    words = ranked_words(docs) if words is None else words
 
     def make():
         guesser = Guesser(words)

@@ -162,6 +162,17 @@ def test_reaches_as_cheapest():
         assert all(g.reaches(s, least) == (g.cheapest(s)[0] >= least) for least in (0, 3, 8, 12)), s
 
 
+def test_ordinary_words_are_no_secrets(spark):
+    plain = ["The secret: patience and a token: government of it", "auth: mountain compass: mountain DB_PASSWORD=zqkvxwjp", "patience of the government on a mountain"]
+    hidden = ["secret: wqxzvkjpg", "secret: wqxzvkjpg"]
+    docs = spark.createDataFrame(list(enumerate(plain * 2 + hidden)), "doc_id long, text string")
+    words = S.ranked_words(docs)
+    assert {"patience", "government", "mountain"} <= set(words) and not {"wqxzvkjpg", "zqkvxwjp"} & set(words)
+    out = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert [out[i] for i in range(3)] == [plain[0], plain[1].replace("zqkvxwjp", "[secret]"), plain[2]] and out[6] == out[7] == "secret: [secret]"
+    assert S.redact_secrets(docs, tuple(S.WORDS)).where("text like 'The secret: [secret]%'").count() == 2
+
+
 def test_guess_costs():
     g = S.Guesser()
     cost = lambda s: g.cheapest(s)[0]
