@@ -126,13 +126,8 @@ def t11(v):
     return M.chunks(v.table("documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
-@query("t12_chunk_rule_short", "SELECT doc_id AS document_id, CAST(0 AS INTEGER) AS chunk, text FROM documents WHERE length(text) <= 2000")
+@query("t12_chunk_rule")
 def t12(v):
-    return M.chunks(v.table("documents").where(F.length("text") <= 2000).select(F.col("doc_id").alias("document_id"), "text"))
-
-
-@query("t12_chunk_rule_whole")
-def t12w(v):
     """Texts of all lengths: the long ones are split."""
     return M.chunks(v.table("documents").select(F.col("doc_id").alias("document_id"), "text"))
 
@@ -206,18 +201,18 @@ def t24(v):
     return g.join(bad, "document_id", "left").na.fill(0, ["orphans"])
 
 
-@query("t25_cycle_detection", "SELECT document_id, section_id, order_index >= 2 AS cyclic FROM v_sections WHERE document_id < 100 AND document_id IN (SELECT document_id FROM v_sections GROUP BY 1 HAVING count(*) >= 4)", whole="SELECT document_id, section_id, order_index >= 2 AS cyclic FROM v_sections WHERE document_id IN (SELECT document_id FROM v_sections GROUP BY 1 HAVING count(*) >= 4)")
+@query("t25_cycle_detection", "SELECT document_id, section_id, order_index >= 2 AS cyclic FROM v_sections WHERE document_id IN (SELECT document_id FROM v_sections GROUP BY 1 HAVING count(*) >= 4)")
 def t25(v):
     """Sections 2 and 3 point at each other, so these and what hangs from them (4 on) are cyclic, if 3 exists; others hang from the root or from section 1."""
     n = W.partitionBy("document_id")
-    s = v.sections.where(v.chosen("document_id < 100")).withColumn("n", F.count("*").over(n)).where("n >= 4")
+    s = v.sections.withColumn("n", F.count("*").over(n)).where("n >= 4")
     k = F.col("order_index")
     up = F.when(k == 2, "sec-0003").when(k == 3, "sec-0002").when(k > 3, "sec-0003").otherwise(F.col("parent_section_id"))
     d = H.depths(s.withColumn("parent_section_id", up), "document_id", "section_id", "parent_section_id")
     return d.select("document_id", F.col("node").alias("section_id"), "cyclic")
 
 
-@query("t26_tree_depth", "SELECT document_id, section_id, CASE WHEN order_index = 0 THEN 0 WHEN order_index <= 2 THEN 1 WHEN order_index <= 6 THEN 2 ELSE 3 END AS depth FROM v_sections".replace("THEN 0", "THEN CAST(0 AS BIGINT)"), whole="SELECT document_id, section_id, CAST(length(bin(order_index + 1)) - 1 AS BIGINT) AS depth FROM v_sections")
+@query("t26_tree_depth", "SELECT document_id, section_id, CAST(length(bin(order_index + 1)) - 1 AS BIGINT) AS depth FROM v_sections")
 def t26(v):
     return H.depths(v.sections, "document_id", "section_id", "parent_section_id", 32).select("document_id", F.col("node").alias("section_id"), "depth")
 
@@ -307,16 +302,16 @@ def u01(v):
     return v.chunks.where("section_id < 3").select("node_id").unionByName(v.chunks.where("document_id < 10").select("node_id"))
 
 
-@query("u02_set_difference", "SELECT id, list_sort(list_filter([id % 3, id % 5, id % 7], lambda x: NOT list_contains([id % 2, id % 4], x))) AS gone FROM v_usage WHERE id < 1000".replace("list_sort(", "list_sort(list_distinct(").replace("x))) AS gone", "x)))) AS gone").replace("))))", "))))"), whole="SELECT id, list_sort(list_distinct(list_filter([id % 3, id % 5, id % 7], lambda x: NOT list_contains([id % 2, id % 4], x)))) AS gone FROM v_usage")
+@query("u02_set_difference", "SELECT id, list_sort(list_distinct(list_filter([id % 3, id % 5, id % 7], lambda x: NOT list_contains([id % 2, id % 4], x)))) AS gone FROM v_usage")
 def u02(v):
     i = F.col("id")
-    return v.usage.where(v.chosen("id < 1000")).select("id", F.array_sort(F.array_except(F.array(i % 3, i % 5, i % 7), F.array(i % 2, i % 4))).alias("gone"))
+    return v.usage.select("id", F.array_sort(F.array_except(F.array(i % 3, i % 5, i % 7), F.array(i % 2, i % 4))).alias("gone"))
 
 
-@query("u03_set_union", "SELECT id, list_sort(list_distinct([id % 3, id % 5, id % 2, id % 4])) AS both FROM v_usage WHERE id < 1000".replace(" both ", ' "both" '), whole='SELECT id, list_sort(list_distinct([id % 3, id % 5, id % 2, id % 4])) AS "both" FROM v_usage')
+@query("u03_set_union", 'SELECT id, list_sort(list_distinct([id % 3, id % 5, id % 2, id % 4])) AS "both" FROM v_usage')
 def u03(v):
     i = F.col("id")
-    return v.usage.where(v.chosen("id < 1000")).select("id", F.array_sort(F.array_union(F.array(i % 3, i % 5), F.array(i % 2, i % 4))).alias("both"))
+    return v.usage.select("id", F.array_sort(F.array_union(F.array(i % 3, i % 5), F.array(i % 2, i % 4))).alias("both"))
 
 
 @query("u04_ordered_distinct", "SELECT conversation_id, list(role ORDER BY first_turn) AS roles FROM (SELECT conversation_id, role, min(turn) AS first_turn FROM v_messages GROUP BY 1, 2) m GROUP BY 1")
@@ -362,9 +357,9 @@ def j15(v):
     return v.chunks.where("section_id IS NOT NULL").join(known, ["document_id", "section_id"], "left_anti").select("node_id")
 
 
-@query("j16_dedup_probe", "SELECT doc_id, sha256(text) IN (SELECT sha256 FROM v_documents WHERE status = 'ready' AND id < 300) AS known FROM documents", whole="SELECT doc_id, sha256(text) IN (SELECT sha256 FROM v_documents WHERE status = 'ready') AS known FROM documents")
+@query("j16_dedup_probe", "SELECT doc_id, sha256(text) IN (SELECT sha256 FROM v_documents WHERE status = 'ready') AS known FROM documents")
 def j16(v):
-    seen = v.documents.where("status = 'ready'").where(v.chosen("id < 300")).select("sha256").distinct().withColumn("known", F.lit(True))
+    seen = v.documents.where("status = 'ready'").select("sha256").distinct().withColumn("known", F.lit(True))
     return v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256")).join(seen, "sha256", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 

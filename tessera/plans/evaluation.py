@@ -8,20 +8,20 @@ from tessera.operators import evaluate as E
 from tessera.plans.registry import query
 from tessera.plans.retrieval import _dense, dense
 
-_REL = "SELECT q.vec_id AS query_id, c.node_id FROM v_chunks c JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id < 10) q ON c.section_id = q.label WHERE c.node_id <> q.vec_id"
+_REL = "SELECT q.vec_id AS query_id, c.node_id FROM v_chunks c JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id % 20 = 0) q ON c.section_id = q.label WHERE c.node_id <> q.vec_id"
 _RANK = f"SELECT h.query_id, CAST(coalesce(min(CASE WHEN r.node_id IS NOT NULL THEN rank END), 0) AS BIGINT) AS rank FROM ({_dense(5)}) h LEFT JOIN ({_REL}) r ON r.query_id = h.query_id AND r.node_id = h.node_id GROUP BY 1"
-_CASES = f"SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, rank, CAST(rank BETWEEN 1 AND 1 AS INTEGER) AS hit1, CAST(rank BETWEEN 1 AND 3 AS INTEGER) AS hit3, CAST(rank BETWEEN 1 AND 5 AS INTEGER) AS hit5, CASE WHEN rank >= 1 THEN 1.0 / rank ELSE 0.0 END AS rr, (query_id % 5) / 4.0 AS recall FROM ({_RANK}) k"
+_CASES = f"SELECT query_id, CASE WHEN query_id // 20 % 2 = 0 THEN 'even' ELSE 'odd' END AS category, rank, CAST(rank BETWEEN 1 AND 1 AS INTEGER) AS hit1, CAST(rank BETWEEN 1 AND 3 AS INTEGER) AS hit3, CAST(rank BETWEEN 1 AND 5 AS INTEGER) AS hit5, CASE WHEN rank >= 1 THEN 1.0 / rank ELSE 0.0 END AS rr, (query_id // 20 % 5) / 4.0 AS recall FROM ({_RANK}) k"
 
 
 def ranks(v):
-    q = v.table("embeddings").where(v.chosen("vec_id < 10")).select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
+    q = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
     relevant = v.chunks.join(q, "section_id").where("node_id <> query_id").select("query_id", "node_id")
     return E.first_ranks(dense(v, 5), relevant, "node_id")
 
 
 def cases(v):
-    kind = F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")
-    return ranks(v).select("query_id", kind.alias("category"), "rank", *E.case_metrics(F.col("rank")), ((F.col("query_id") % 5) / 4.0).alias("recall"))
+    kind = F.when(F.expr("query_id div 20 % 2 = 0"), "even").otherwise("odd")
+    return ranks(v).select("query_id", kind.alias("category"), "rank", *E.case_metrics(F.col("rank")), (F.expr("query_id div 20 % 5") / 4.0).alias("recall"))
 
 
 @query("e01_target_match", "SELECT document_id, section_id, coalesce(section_code = '2' OR starts_with(section_code, '2.'), false) OR contains(lower(title), '2') AS matches FROM v_sections")

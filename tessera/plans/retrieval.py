@@ -11,11 +11,11 @@ from tessera.operators.scope import chunk_filter
 from tessera.plans.registry import query
 
 _COS = "round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
-_Q = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 10)"
+_Q = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0)"
 
 
 def queries(v):
-    return v.table("embeddings").where(v.chosen("vec_id < 10")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 def _dense(k, where="true"):
@@ -62,7 +62,7 @@ def v14(v):
 
 _T = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(replace(lower(text), chr(10), ' '), '[^\p{L}\p{M}\p{N}_\s.,-]', ' ', 'g'), '[.,_-]', ' ', 'g'), '\s+'), lambda w: length(w) > 1 AND w NOT IN ('the', 'a', 'of', 'and', 'is'))"
 _BM = f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_T}) AS term FROM documents) x GROUP BY 1, 2), z AS (SELECT doc_id, len({_T}) AS dl FROM documents),
- n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM z), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_T}) AS term FROM benchmark WHERE item_id < 12) x GROUP BY 1, 2),
+ n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM z), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_T}) AS term FROM benchmark) x GROUP BY 1, 2),
  s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term) JOIN z USING (doc_id), n GROUP BY 1, 2),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM s)"""
 
@@ -72,7 +72,7 @@ def terms():
 
 
 def bm25(v, k=10):
-    q = v.table("benchmark").where(v.chosen("item_id < 12")).select(F.col("item_id").alias("query_id"), F.explode(terms()).alias("term"))
+    q = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.explode(terms()).alias("term"))
     s = R.bm25(q, v.table("documents").select("doc_id", "text"), terms(), "doc_id").withColumn("score", F.round("score", 6))
     return R.ranked(s, k, "query_id", F.desc("score"), F.col("doc_id")).withColumn("rank", F.col("rank").cast("long"))
 
@@ -97,12 +97,12 @@ def v03(v):
 
 def lexical(v, k):
     """A second ranking over the same nodes: those of the query's section, by distance of ids."""
-    q = v.table("embeddings").where(v.chosen("vec_id < 10")).select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
+    q = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
     s = v.chunks.join(q, "section_id").select("query_id", "node_id", (1.0 / (1 + F.abs(F.col("node_id") - F.col("query_id")))).alias("score"))
     return R.ranked(s, k, "query_id", F.desc("score"), F.col("node_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
-_LEX = "SELECT query_id, node_id, score, rank FROM (SELECT q.query_id, c.node_id, 1.0 / (1 + abs(c.node_id - q.query_id)) AS score, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY 1.0 / (1 + abs(c.node_id - q.query_id)) DESC, c.node_id) AS BIGINT) AS rank FROM v_chunks c JOIN (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id < 10) q ON c.section_id = q.label) x WHERE rank <= 20"
+_LEX = "SELECT query_id, node_id, score, rank FROM (SELECT q.query_id, c.node_id, 1.0 / (1 + abs(c.node_id - q.query_id)) AS score, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY 1.0 / (1 + abs(c.node_id - q.query_id)) DESC, c.node_id) AS BIGINT) AS rank FROM v_chunks c JOIN (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0) q ON c.section_id = q.label) x WHERE rank <= 20"
 
 
 @query("v04_fusion_reciprocal", f"SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.node_id, s.node_id) AS node_id, round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 8) AS score FROM ({_dense(20)}) d FULL JOIN ({_LEX}) s ON d.query_id = s.query_id AND d.node_id = s.node_id")
@@ -121,7 +121,7 @@ def v04w(v):
 
 @query(
     "v06_phrase_boost",
-    f"""WITH q AS (SELECT item_id AS query_id, {_T} AS t FROM benchmark WHERE item_id < 12), g AS (SELECT query_id, n, array_to_string(t[k : k + n - 1], ' ') AS gram FROM (SELECT query_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM q, (VALUES (2), (3), (4)) x(n) WHERE len(t) >= n) y),
+    f"""WITH q AS (SELECT item_id AS query_id, {_T} AS t FROM benchmark), g AS (SELECT query_id, n, array_to_string(t[k : k + n - 1], ' ') AS gram FROM (SELECT query_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM q, (VALUES (2), (3), (4)) x(n) WHERE len(t) >= n) y),
  d AS (SELECT doc_id, ' ' || array_to_string({_T}, ' ') || ' ' AS body FROM documents), u AS (SELECT DISTINCT query_id, n, gram FROM g)
  SELECT query_id, doc_id, CAST(sum(5 * n) AS BIGINT) AS boost FROM u JOIN d ON contains(body, ' ' || gram || ' ') GROUP BY 1, 2""",
 )
@@ -133,7 +133,7 @@ def v06(v):
         each = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(0))), lambda k: F.when((k >= 1) & (k + n - 1 <= F.size("t")), F.struct(n.cast("long").alias("n"), F.array_join(F.slice("t", k, n), " ").alias("gram"))))))
         return t.select(key, F.explode(F.array_distinct(F.filter(each, lambda x: x.isNotNull()))).alias("g")).select(key, "g.n", "g.gram")
 
-    q = grams(v.table("benchmark").where(v.chosen("item_id < 12")).select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    q = grams(v.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
     d = grams(v.table("documents").select("doc_id", "text"), "doc_id")
     return d.join(q, ["n", "gram"]).groupBy("query_id", "doc_id").agg(F.sum(5 * F.col("n")).alias("boost"))
 
@@ -350,14 +350,14 @@ def k19(v):
     return R.memoised(t, memo, lambda texts: [[float(len(x))] for x in texts]).select("id", F.col("embedding")[0].cast("double").alias("first"))
 
 
-@query("v18_semantic_cache", f"SELECT query_id, node_id AS hit FROM ({_dense(1, 'c.node_id >= 10 AND c.document_id % 2 = q.query_id % 2')}) d WHERE 1 - score <= 0.95")
+@query("v18_semantic_cache", f"SELECT query_id, node_id AS hit FROM ({_dense(1, 'c.node_id % 20 <> 0 AND c.document_id % 2 = q.query_id // 20 % 2')}) d WHERE 1 - score <= 0.95")
 def v18(v):
     """Nearest entry of the same tenant, if its distance is within the threshold."""
     def nearest(pairs):
-        s = pairs.where("document_id % 2 = query_id % 2").select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+        s = pairs.where("document_id % 2 = query_id div 20 % 2").select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
         return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id"))
 
-    return R.against(queries(v), v.chunks.where(v.chosen("node_id >= 10")), nearest).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
+    return R.against(queries(v), v.chunks.where("node_id % 20 <> 0"), nearest).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
 
 
 @query("v19_cache_delta", "SELECT node_id, CASE WHEN node_id % 5 = 1 THEN 7 ELSE 1 END AS ttl_days FROM v_chunks WHERE node_id % 5 <> 0")

@@ -45,36 +45,21 @@ SELECT doc_id AS id, source AS file_name, CAST(row_number() OVER (PARTITION BY s
     "v_audit": "SELECT event_id, ts, CASE WHEN event_id % 50 = 0 THEN ' ' ELSE event_type END AS action, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 11 = 0 THEN 'None' ELSE CAST(user_id AS VARCHAR) END AS actor, props AS details_json FROM events",
     "v_keys": "SELECT s_suppkey AS key_id, s_name AS name, CAST(s_nationkey AS BIGINT) AS provider, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-30 00:00:00' - s_suppkey * INTERVAL 37 MINUTE END AS last_used_at, CASE WHEN s_suppkey % 4 = 0 THEN TIMESTAMP '2024-01-30 12:00:00' + s_suppkey * INTERVAL 29 MINUTE END AS rate_limited_until, s_suppkey % 5 <> 0 AS is_active, CASE WHEN s_suppkey % 6 = 0 THEN TIMESTAMP '2024-01-30 20:00:00' + s_suppkey * INTERVAL 7 MINUTE END AS expires_at, sha256(s_name) AS key_hash FROM supplier",
     "v_sections": """
-SELECT doc_id AS document_id, k AS order_index, 'sec-' || lpad(CAST(k AS VARCHAR), 4, '0') AS section_id, CASE WHEN k > 0 THEN 'sec-' || lpad(CAST((k - 1) // 2 AS VARCHAR), 4, '0') END AS parent_section_id,
-  CAST(1 + k // 3 AS VARCHAR) || CASE WHEN k % 3 > 0 THEN '.' || CAST(k % 3 AS VARCHAR) ELSE '' END AS section_code, split_part(text, chr(10), 1 + CAST(k AS INTEGER)) AS content, CAST(1 + k + 0 AS VARCHAR) || ' Section' AS title, 1 + k % 3 AS level
-FROM (SELECT doc_id, text, unnest(range(0, least(len(string_split(text, chr(10))), 9))) AS k FROM documents) d""",
-}
-
-#: SQL of views over the whole input, where that above takes a part.
-WHOLE = {
-    "v_sections": """
 SELECT doc_id AS document_id, k AS order_index, printf('sec-%04d', k) AS section_id, CASE WHEN k > 0 THEN printf('sec-%04d', (k - 1) // 2) END AS parent_section_id,
   CAST(1 + k // 3 AS VARCHAR) || CASE WHEN k % 3 > 0 THEN '.' || CAST(k % 3 AS VARCHAR) ELSE '' END AS section_code, content, CAST(1 + k AS VARCHAR) || ' Section' AS title, 1 + k % 3 AS level
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents) d""",
 }
 
-#: Query sets of the given SQL, and those over the whole input: a twentieth of the vectors, all texts, all entries that aren't queries.
-QUERY_SETS = {"vec_id < 10": "vec_id % 20 = 0", "item_id < 12": "true", "node_id >= 10": "node_id % 20 <> 0"}
-
 
 class Views:
-    """DataFrames of the views over a folder of tables; with `whole`, none takes a part of its table."""
+    """DataFrames of the views over a folder of tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def chosen(self, rows: str) -> str:
-        """The condition that the given SQL sets; where `whole`, all rows, or the set it stands for."""
-        return QUERY_SETS.get(rows, "true") if self.whole else rows
-
     @property
     def now(self):
         return F.lit(NOW).cast("timestamp_ntz")
@@ -179,9 +164,8 @@ class Views:
 
     @cached_property
     def sections(self) -> DataFrame:
-        """The lines of each document (the first nine, where not `whole`) as a binary tree of sections."""
-        lines = F.split("text", "\n", -1)
-        d = self.table("documents").select("doc_id", F.posexplode(lines if self.whole else F.slice(lines, 1, 9)).alias("p", "content"))
+        """The lines of each document as a binary tree of sections."""
+        d = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "content"))
         k = F.col("p").cast("long")
         code = lambda c: F.format_string("sec-%04d", c)
         third = F.floor(k / 3)
@@ -197,28 +181,21 @@ class Views:
         )
 
 
-def whole_sql(sql: str) -> str:
-    """The query over the whole input, with its views."""
-    for part, whole in QUERY_SETS.items():
-        sql = re.sub(rf"\b{part}\b", whole, sql)
-    return with_views(sql, SQL | WHOLE)
-
-
-def with_views(sql: str, views: dict[str, str] = SQL) -> str:
+def with_views(sql: str) -> str:
     """The query, with the views that it names (and those that they name) before it."""
     need: list[str] = []
 
     def add(text: str) -> None:
         for name in re.findall(r"\bv_\w+\b", text):
-            if name in views and name not in need:
-                add(views[name])
+            if name in SQL and name not in need:
+                add(SQL[name])
                 if name not in need:
                     need.append(name)
 
     add(sql)
     if not need:
         return sql
-    head = ",\n".join(f"{n} AS ({views[n]})" for n in need)
+    head = ",\n".join(f"{n} AS ({SQL[n]})" for n in need)
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"

@@ -1,4 +1,4 @@
-"""Queries over the whole of their input, where the given SQL takes a part: `*_whole` against plain statements on a small fixture."""
+"""Queries over the whole of their input, against plain statements on a small fixture."""
 
 import pytest
 
@@ -23,10 +23,10 @@ def long_documents(spark, tmp_path_factory):
 def test_sections_of_all_lines(spark, long_documents):
     folder, lines = long_documents
     each = [(i, k, c) for i, cs in lines.items() for k, c in enumerate(cs)]
-    assert rows(spark, "t20_drop_empty_whole", folder, "document_id", "section_id", "content") == sorted((i, f"sec-{k:04d}", c) for i, k, c in each if c)
-    assert rows(spark, "t26_tree_depth_whole", folder, "document_id", "section_id", "depth") == sorted((i, f"sec-{k:04d}", (k + 1).bit_length() - 1) for i, k, _ in each)
-    assert rows(spark, "j11_child_parent_whole", folder, "document_id", "section_id", "parent_title") == sorted((i, f"sec-{k:04d}", f"{1 + (k - 1) // 2} Section") for i, k, _ in each if k)
-    assert rows(spark, "t16_base_metadata_whole", folder, "document_id", "sections") == [(i, len(cs)) for i, cs in lines.items()]
+    assert rows(spark, "t20_drop_empty", folder, "document_id", "section_id", "content") == sorted((i, f"sec-{k:04d}", c) for i, k, c in each if c)
+    assert rows(spark, "t26_tree_depth", folder, "document_id", "section_id", "depth") == sorted((i, f"sec-{k:04d}", (k + 1).bit_length() - 1) for i, k, _ in each)
+    assert rows(spark, "j11_child_parent", folder, "document_id", "section_id", "parent_title") == sorted((i, f"sec-{k:04d}", f"{1 + (k - 1) // 2} Section") for i, k, _ in each if k)
+    assert rows(spark, "t16_base_metadata", folder, "document_id", "sections") == [(i, len(cs)) for i, cs in lines.items()]
 
 
 def test_query_sets(spark, tmp_path, monkeypatch):
@@ -43,13 +43,13 @@ def test_query_sets(spark, tmp_path, monkeypatch):
         return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
 
     scores = {q: sorted((-round(cosine(vectors[q][1], e), 6), i) for i, e, _ in vectors) for q in asked}
-    assert rows(spark, "v01_cosine_whole", tmp_path, "query_id", "node_id", "score") == sorted((q, i, -s) for q in asked for s, i in scores[q])
-    assert rows(spark, "o07_topk_vector_whole", tmp_path, "query_id", "rank", "node_id") == sorted((q, r, i) for q in asked for r, (_, i) in enumerate(scores[q][:8], 1))
-    assert rows(spark, "e03_hits_and_reciprocal_rank_whole", tmp_path, "query_id") == [(q,) for q in asked]
-    best = {q: next((i, -s) for s, i in scores[q] if i % 20 and i % 50 % 2 == q % 2) for q in asked}
-    assert rows(spark, "v18_semantic_cache_whole", tmp_path, "query_id", "hit") == [(q, i) for q, (i, s) in best.items() if 1 - s <= 0.95]
-    assert rows(spark, "v03_sparse_topk_whole", tmp_path, "query_id", "doc_id")[::3] == [(q, 0) for q in range(30)]
-    assert {q for q, d in rows(spark, "v03_sparse_topk_whole", tmp_path, "query_id", "doc_id") if q == d} == set(range(30))
+    assert rows(spark, "v01_cosine", tmp_path, "query_id", "node_id", "score") == sorted((q, i, -s) for q in asked for s, i in scores[q])
+    assert rows(spark, "o07_topk_vector", tmp_path, "query_id", "rank", "node_id") == sorted((q, r, i) for q in asked for r, (_, i) in enumerate(scores[q][:8], 1))
+    assert rows(spark, "e03_hits_and_reciprocal_rank", tmp_path, "query_id") == [(q,) for q in asked]
+    best = {q: next((i, -s) for s, i in scores[q] if i % 20 and i % 50 % 2 == q // 20 % 2) for q in asked}
+    assert rows(spark, "v18_semantic_cache", tmp_path, "query_id", "hit") == [(q, i) for q, (i, s) in best.items() if 1 - s <= 0.95]
+    assert rows(spark, "v03_sparse_topk", tmp_path, "query_id", "doc_id")[::3] == [(q, 0) for q in range(30)]
+    assert {q for q, d in rows(spark, "v03_sparse_topk", tmp_path, "query_id", "doc_id") if q == d} == set(range(30))
 
 
 def test_whole_tables(spark, tmp_path):
@@ -60,13 +60,13 @@ def test_whole_tables(spark, tmp_path):
     spark.createDataFrame([(k, f"N{k}") for k in range(20)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
     texts = {i: "a\nb\nc\nd" if i == 403 else "same" if i in (404, 405) else f"text {i} " + "x" * 2500 * (i == 402) for i in (5, 99, 299, *range(400, 420))}
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert rows(spark, "u02_set_difference_whole", tmp_path, "id", "gone") == [(i, sorted({i % 3, i % 5, i % 7} - {i % 2, i % 4})) for i, *_ in events]
-    assert rows(spark, "u03_set_union_whole", tmp_path, "id", "both") == [(i, sorted({i % 3, i % 5, i % 2, i % 4})) for i, *_ in events]
-    assert rows(spark, "t25_cycle_detection_whole", tmp_path, "document_id", "section_id", "cyclic") == [(403, f"sec-{k:04d}", k > 1) for k in range(4)]
-    assert rows(spark, "j03_tenants_of_documents_whole", tmp_path, "id", "tenants") == sorted((i, [f"N{(i + 7) % 20}"] * (i % 4 == 0)) for i in texts)
-    assert rows(spark, "s04_object_write_whole", tmp_path, "doc_id", "text") == sorted(texts.items())
+    assert rows(spark, "u02_set_difference", tmp_path, "id", "gone") == [(i, sorted({i % 3, i % 5, i % 7} - {i % 2, i % 4})) for i, *_ in events]
+    assert rows(spark, "u03_set_union", tmp_path, "id", "both") == [(i, sorted({i % 3, i % 5, i % 2, i % 4})) for i, *_ in events]
+    assert rows(spark, "t25_cycle_detection", tmp_path, "document_id", "section_id", "cyclic") == [(403, f"sec-{k:04d}", k > 1) for k in range(4)]
+    assert rows(spark, "j03_tenants_of_documents", tmp_path, "id", "tenants") == sorted((i, [f"N{(i + 7) % 20}"] * (i % 4 == 0)) for i in texts)
+    assert rows(spark, "s04_object_write", tmp_path, "doc_id", "text") == sorted(texts.items())
     ready = {t for i, t in texts.items() if i % 10 > 1}
-    assert rows(spark, "j16_dedup_probe_whole", tmp_path, "doc_id", "known") == sorted((i, t in ready) for i, t in texts.items())
-    chunks = rows(spark, "t12_chunk_rule_whole", tmp_path, "document_id", "chunk", "text")
+    assert rows(spark, "j16_dedup_probe", tmp_path, "doc_id", "known") == sorted((i, t in ready) for i, t in texts.items())
+    chunks = rows(spark, "t12_chunk_rule", tmp_path, "document_id", "chunk", "text")
     assert [(d, t) for d, _, t in chunks if d != 402] == sorted((i, t) for i, t in texts.items() if i != 402)
     assert "".join(t for d, _, t in chunks if d == 402).replace(" ", "") == texts[402].replace(" ", "")
