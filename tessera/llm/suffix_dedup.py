@@ -20,8 +20,15 @@ meet in one bucket. The steps:
 3. Each bucket: suffix array over its distinct stretches; for each string the smallest id it occurs in; repeats of smaller ids.
 4. Documents with their repeats: runs, remaining bytes.
 
-Buckets are as many as the input asks for, so each is of a bounded size; texts move twice, by hash of the text, never into
-one group.
+Buckets are as many as the input asks for; texts move twice, by hash of the text, never into one group. What very many
+documents share is spread:
+
+* What a slice has settled (repeats, flags of copies of one text) goes to buckets by document, or by text and `SALTS` groups of
+  partitions, so copies of one text meet in no one task.
+* An anchor in more than `HOT` texts is hot. Its strings go out one by one, to buckets by their own hash, each once for a
+  partition as long as the partition hasn't met it in a smaller document: a bucket gets distinct strings, and each at most a few
+  times a partition, whatever surrounds it in how many documents. Hot anchors are broadcast, `HOT_KEYS` of them at most; where there
+  are more, the least number of texts that makes an anchor hot rises to a power of two that leaves as many.
 
 Defined results: a null text is empty; texts of fewer than LENGTH bytes lose nothing; a row with a null doc_id comes after all
 others (and after no other of that kind); rows that share a doc_id aren't smaller than each other; an empty table gives
@@ -35,6 +42,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +53,10 @@ from tessera.llm._spark import saved
 LENGTH, GRAM = 50, 24
 #: Text behind one bucket of anchors, and text in one suffix array.
 ANCHOR_BYTES, ARRAY_BYTES = 48 << 20, 4 << 20
+#: Texts from which an anchor is hot (their stretches would fill half an array), and most hot anchors that are broadcast.
+HOT, HOT_KEYS = ARRAY_BYTES // (4 * LENGTH), 1 << 20
+#: Groups of partitions whose flags for one text meet, and strings of hot anchors from which a partition forgets those it has sent (one may then go out again).
+SALTS, REMEMBERED = 1024, 1 << 18
 _LOW = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
 
@@ -191,18 +204,21 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(key)).astype(np.int64)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int64()), ("th", pa.binary()), ("count", pa.binary()), ("low", pa.binary()), ("flagged", pa.bool_())])
+#: Kinds of rows of anchors: of one text of the slice; flagged in the slice; of several texts of it (then `count` says how many).
+LONE, FLAGGED, SHARED = 0, 1, 2
+_ANCHORS = pa.schema([("bucket", pa.int64()), ("th", pa.binary()), ("count", pa.binary()), ("low", pa.binary()), ("kind", pa.int32())])
 
 
-def _emit_anchors(buckets: int):
+def _emit_anchors(buckets: int, slice_bytes: int):
     """By slice and bucket: texts (their hashes), how many anchors of each follow, and the low bits of these anchors' hashes.
 
-    An anchor goes out once for a slice. If two texts of the slice have it, it is flagged for both here, in rows of
-    their own, and goes out for no text (hash 0).
+    An anchor goes out once for a slice. If several texts of the slice have it, it is flagged for these here, in rows of
+    their own, and goes out for no text, with their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches):
+        salt = X.mix(np.array([TaskContext.get().partitionId() % SALTS], np.uint64))
+        for batch in X.slices(batches, slice_bytes):
             buf, at = X.text_buffer(batch.column("text"))
             th = batch.column("th").to_numpy().view(np.uint64)
             text, _, _, h = anchors(buf, at)
@@ -212,16 +228,19 @@ def _emit_anchors(buckets: int):
             once[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
             h, text = h[once], text[once]
             start, end = _runs(h)
-            several = np.repeat(end - start > 1, end - start)
-            lone = h[start]
-            owner = np.where(end - start > 1, np.uint64(0), th[text[start]] if len(text) else np.uint64(0))
-            yield from _blobs(_bucket(lone, buckets), owner, lone & _LOW, False)
-            yield from _blobs(_bucket(th[text[several]], buckets), th[text[several]], h[several] & _LOW, True)
+            n = end - start
+            own = start[n == 1]
+            yield from _blobs(_bucket(h[own], buckets), th[text[own]], h[own] & _LOW, LONE)
+            several = np.repeat(n > 1, n)
+            yield from _blobs(_bucket(X.mix(th[text[several]] ^ salt), buckets), th[text[several]], h[several] & _LOW, FLAGGED)
+            own = start[n > 1]
+            yield from _blobs(_bucket(h[own], buckets), n[n > 1].astype(np.uint32), h[own] & _LOW, SHARED)
 
     return run
 
 
-def _blobs(bucket: np.ndarray, owner: np.ndarray, low: np.ndarray, flagged: bool) -> Iterator[pa.RecordBatch]:
+def _blobs(bucket: np.ndarray, owner: np.ndarray, low: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind; `owner` is the text of each anchor, or the number of its texts."""
     if not len(bucket):
         return
     order = np.lexsort((low, owner, bucket))
@@ -231,7 +250,10 @@ def _blobs(bucket: np.ndarray, owner: np.ndarray, low: np.ndarray, flagged: bool
     rows = []
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
         s, e = _runs(owner[a:b])
-        rows.append((int(bucket[a]), owner[a:b][s].tobytes(), (e - s).astype(np.uint32).tobytes(), six[a:b].tobytes(), flagged))
+        if kind == SHARED:
+            rows.append((int(bucket[a]), b"", owner[a:b].tobytes(), six[a:b].tobytes(), kind))
+        else:
+            rows.append((int(bucket[a]), owner[a:b][s].tobytes(), (e - s).astype(np.uint32).tobytes(), six[a:b].tobytes(), kind))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANCHORS, strict=True)], schema=_ANCHORS)
 
 
@@ -241,24 +263,58 @@ def _unpack_low(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _flag(table: pa.Table) -> pa.Table:
-    """Rows (th, flags): the flagged anchors of each text that has any in this bucket."""
-    owner, low, flagged = [], [], []
-    for th, count, data, done in zip(*(table.column(c).to_pylist() for c in ("th", "count", "low", "flagged")), strict=True):
-        o = np.repeat(np.frombuffer(th, np.uint64), np.frombuffer(count, np.uint32))
-        owner.append(o)
-        low.append(_unpack_low(data))
-        flagged.append(np.full(len(o), done))
-    owner, low, flagged = np.concatenate(owner), np.concatenate(low), np.concatenate(flagged)
-    seen = np.flatnonzero(~flagged)
-    order = seen[np.argsort(low[seen], kind="stable")]
-    start, end = _runs(low[order])
-    flagged[order] = np.repeat(end - start > 1, end - start)
-    take = np.flatnonzero(flagged & (owner != 0))
-    take = take[np.lexsort((low[take], owner[take]))]
-    owner, low = owner[take], low[take]
-    start, _ = _runs(owner)
-    return pa.table({"th": pa.array(owner[start].view(np.int64)), "flags": _binaries(low, start)}, schema=pa.schema([("th", pa.int64()), ("flags", pa.binary())]))
+_FLAGS = pa.schema([("th", pa.int64()), ("power", pa.int32()), ("flags", pa.binary())])
+
+
+def _flag(hot_from: int):
+    """Rows (th, flags): the flagged anchors of each text that has any in this bucket. And, without a th, hot anchors by the power of two of their number of texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        owner, low, times, kinds = [], [], [], []
+        for th, count, data, kind in zip(*(table.column(c).to_pylist() for c in ("th", "count", "low", "kind")), strict=True):
+            n = np.frombuffer(count, np.uint32).astype(np.int64)
+            low.append(_unpack_low(data))
+            size = len(low[-1])
+            owner.append(np.zeros(size, np.uint64) if kind == SHARED else np.repeat(np.frombuffer(th, np.uint64), n))
+            times.append(n if kind == SHARED else np.ones(size, np.int64))
+            kinds.append(np.full(size, kind, np.int8))
+        owner, low, times, kinds = (np.concatenate(x) for x in (owner, low, times, kinds))
+        seen = np.flatnonzero(kinds != FLAGGED)
+        seen = seen[np.argsort(low[seen], kind="stable")]
+        start, end = _runs(low[seen])
+        texts = np.add.reduceat(times[seen], start) if len(start) else np.zeros(0, np.int64)
+        flagged = kinds == FLAGGED
+        flagged[seen] = np.repeat(texts > 1, end - start)
+        take = np.flatnonzero(flagged & (kinds != SHARED))
+        take = take[np.lexsort((low[take], owner[take]))]
+        o, v = owner[take], low[take]
+        new = np.append(True, (o[1:] != o[:-1]) | (v[1:] != v[:-1])) if len(o) else np.zeros(0, bool)  # slices may have flagged the same
+        o, v = o[new], v[new]
+        first, _ = _runs(o)
+        hot = np.flatnonzero(texts > hot_from)
+        power = np.frexp(texts[hot].astype(np.float64))[1]
+        hot = hot[np.argsort(power, kind="stable")]
+        power = np.sort(power, kind="stable")
+        begin, _ = _runs(power)
+        ths = pa.concat_arrays([pa.array(o[first].view(np.int64)), pa.nulls(len(begin), pa.int64())])
+        powers = pa.concat_arrays([pa.nulls(len(first), pa.int32()), pa.array(power[begin].astype(np.int32))])
+        flags = pa.concat_arrays([_binaries(v, first), _binaries(low[seen][start[hot]], begin)])
+        return pa.table([ths, powers, flags], schema=_FLAGS)
+
+    return run
+
+
+def _hot_anchors(flags: DataFrame, most: int) -> np.ndarray:
+    """Low bits of the hashes of hot anchors, sorted; `most` at most, those of the most texts."""
+    rows = flags.where("th is null")
+    sizes = {r[0]: int(r[1]) for r in rows.groupBy("power").agg(F.sum(F.octet_length("flags") / 8)).collect()}
+    least, total = max(sizes, default=0) + 1, 0
+    for power in sorted(sizes, reverse=True):
+        if total + sizes[power] > most:
+            break
+        least, total = power, total + sizes[power]
+    found = [np.frombuffer(r[0], np.uint64) for r in rows.where(F.col("power") >= least).select("flags").toLocalIterator()] if total else []
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def _binaries(values: np.ndarray, start: np.ndarray) -> pa.Array:
@@ -273,9 +329,32 @@ def _binaries(values: np.ndarray, start: np.ndarray) -> pa.Array:
 _STRETCHES = pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("th", pa.binary()), ("pos", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
 
 
-def _emit_stretches(buckets: int):
+def _settle(buf: np.ndarray, first: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of spans of `buf`: the smallest document of an equal span. Equal by hash, confirmed by their bytes."""
+    _, rep, same = np.unique(X.span_hashes(buf, first, end), return_index=True, return_inverse=True)
+    n = end - first
+    like = n == n[rep[same]]
+    m = np.where(like, n, 0)
+    unlike = buf[X.concat_ranges(first, m)] != buf[X.concat_ranges(first[rep[same]], m)]
+    like &= X.sums(unlike.astype(np.int64), np.concatenate([[0], np.cumsum(m)])) == 0
+    same[~like] = len(rep) + np.arange((~like).sum())
+    least = np.full(len(rep) + int((~like).sum()), LAST)
+    np.minimum.at(least, same, doc)
+    return least[same]
+
+
+def _place(doc: np.ndarray, th: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of what is settled: by document and text."""
+    return _bucket(X.mix(th.view(np.uint64) ^ X.mix(doc.view(np.uint64))), buckets)
+
+
+def _emit_stretches(buckets: int, hot: Broadcast, slice_bytes: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches):
+        often = hot.value
+        sent: dict[bytes, int] = {}
+        for batch in X.slices(batches, slice_bytes):
+            if len(sent) >= remembered:
+                sent.clear()
             buf, at = X.text_buffer(batch.column("text"))
             doc, th = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
             text, first, last, h = anchors(buf, at)
@@ -287,26 +366,43 @@ def _emit_stretches(buckets: int):
             text, first, end, h = text[keep], first[keep], last[keep] + LENGTH, h[keep]
             if not len(text):
                 continue
-            # equal stretches: by hash, confirmed by their bytes
-            _, rep, same = np.unique(X.span_hashes(buf, first, end), return_index=True, return_inverse=True)
-            n = end - first
-            like = n == n[rep[same]]
-            m = np.where(like, n, 0)
-            unlike = buf[X.concat_ranges(first, m)] != buf[X.concat_ranges(first[rep[same]], m)]
-            like &= X.sums(unlike.astype(np.int64), np.concatenate([[0], np.cumsum(m)])) == 0
-            same[~like] = len(rep) + np.arange((~like).sum())
-            least = np.full(len(rep) + int((~like).sum()), LAST)
-            np.minimum.at(least, same, doc[text])
-            repeat = doc[text] > least[same]
-            pos = first - at[text]
+            repeat = doc[text] > _settle(buf, first, end, doc[text])
+            pos, n = first - at[text], end - first
             # decided here: no bytes travel
-            yield from _stretches(_bucket(th[text[repeat]].view(np.uint64), buckets), doc[text[repeat]], th[text[repeat]], pos[repeat], n[repeat], None, None)
-            own = ~repeat
+            yield from _stretches(_place(doc[text[repeat]], th[text[repeat]], buckets), doc[text[repeat]], th[text[repeat]], pos[repeat], n[repeat], None, None)
+            split = ~repeat & np.isin(h & _LOW, often)
+            own = ~repeat & ~split
             yield from _stretches(_bucket(h[own], buckets), doc[text[own]], th[text[own]], pos[own], n[own], buf, first[own])
+            if split.any():
+                yield from _single(buf, first[split], n[split] - LENGTH + 1, doc[text[split]], th[text[split]], pos[split], buckets, sent)
 
     return run
 
 
+def _single(buf, first, count, doc, th, pos, buckets: int, sent: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """The strings of hot anchors, one by one; `sent`: strings that this partition has sent, with the smallest document."""
+    which = np.repeat(np.arange(len(first)), count)
+    at = X.concat_ranges(first, count)
+    doc, th, pos = doc[which], th[which], pos[which] + at - first[which]
+    decided = doc > _settle(buf, at, at + LENGTH, doc)
+    for i in np.flatnonzero(~decided).tolist():
+        key, d = buf[at[i] : at[i] + LENGTH].tobytes(), int(doc[i])
+        before = sent.get(key, LAST)
+        if before < d:
+            decided[i] = True
+        elif d < before:
+            sent[key] = d
+    left = ~decided
+    yield from _stretches(_bucket(X.span_hashes(buf, at[left], at[left] + LENGTH), buckets), doc[left], th[left], pos[left], np.full(int(left.sum()), LENGTH), buf, at[left])
+    # runs of settled strings of one stretch
+    i = np.flatnonzero(decided)
+    new = np.append(True, (which[i][1:] != which[i][:-1]) | (i[1:] != i[:-1] + 1)) if len(i) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(i))) + LENGTH - 1
+    i = i[begin]
+    yield from _stretches(_place(doc[i], th[i], buckets), doc[i], th[i], pos[i], size, None, None)
+
+
 def _stretches(bucket, doc, th, pos, n, buf, first) -> Iterator[pa.RecordBatch]:
     if not len(bucket):
         return
@@ -387,25 +483,30 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_strings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, removed (maximal runs of bytes, end exclusive) and kept_sha256 of every row."""
+def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_KEYS, remembered: int = REMEMBERED, slice_bytes: int = X.SLICE_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, removed (maximal runs of bytes, end exclusive) and kept_sha256 of every row. The other parameters change the plan, not the rows."""
     rows = X.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(16, -(-size // ANCHOR_BYTES))
-    by_bucket = rows.select("th", "text").mapInArrow(_emit_anchors(buckets), "bucket long, th binary, count binary, low binary, flagged boolean")
-    flags = saved(by_bucket.groupBy("bucket").applyInArrow(_flag, "th long, flags binary"))
+    by_bucket = rows.select("th", "text").mapInArrow(_emit_anchors(buckets, slice_bytes), "bucket long, th binary, count binary, low binary, kind int")
+    flags = saved(by_bucket.groupBy("bucket").applyInArrow(_flag(hot_from), "th long, power int, flags binary"))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(flags, hot_keys))
+    flags = flags.where("th is not null")
     # a flagged anchor has one stretch of a text at least, of up to 2 * LENGTH - GRAM bytes, and what belongs to it
     n = flags.agg(F.sum(F.octet_length("flags").cast("long") / 8)).first()[0] or 0
     arrays = max(16, -(-int(n) * (2 * LENGTH) // ARRAY_BYTES))
     per_text = flags.groupBy(F.col("th").alias("own")).agg(F.collect_list("flags").alias("flags"))
     flagged = rows.select("doc", "th", "text").join(per_text, F.col("th") == F.col("own")).select("doc", "th", "flags", "text")
-    stretches = flagged.mapInArrow(_emit_stretches(arrays), "bucket long, doc binary, th binary, pos binary, size binary, bytes binary")
+    stretches = flagged.mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, th binary, pos binary, size binary, bytes binary")
     repeats = saved(stretches.groupBy("bucket").applyInArrow(_repeats, "doc long, th long, spans binary"))
     by_doc = repeats.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list("spans").alias("spans"))
     whole = rows.join(by_doc, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "spans", "text")
     return whole.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 
 
-def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _digest(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet")))

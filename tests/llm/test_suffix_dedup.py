@@ -40,8 +40,8 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("slice_bytes", [400, 1 << 20])
-def test_against_brute_force(spark, tmp_path, monkeypatch, slice_bytes):
+@pytest.mark.parametrize(("slice_bytes", "hot", "keys", "remembered"), [(400, 10**6, 1, 1), (400, 2, 10**6, 10**6), (1 << 20, 2, 10**6, 3), (400, 3, 20, 30)])
+def test_against_brute_force(spark, tmp_path, slice_bytes, hot, keys, remembered):
     rng = np.random.default_rng(6)
     words = ["the", "of", "straße", "and", "é", "token", "aaaa", "to", "☃", "x"]
     base = [" ".join(rng.choice(words, 60)) for _ in range(12)]
@@ -62,8 +62,9 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, slice_bytes):
     ids = rng.permutation(len(texts)).tolist()
     rows = list(zip(ids, texts, strict=True)) + [(ids[7], passage), (ids[30], passage + "again"), (None, passage), (None, texts[40])]
     spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, doc int").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
-    real = S.X.slices
-    monkeypatch.setattr(S.X, "slices", lambda b, size=slice_bytes, text="text": real(b, size, text))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in S._digest(S.repeated_strings(docs, hot, keys, remembered, slice_bytes)).collect()), key=str)
+    assert got == brute(rows)
     got = sorted((tuple(r) for r in S.op2_suffix_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == brute(rows)
 
