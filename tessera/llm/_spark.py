@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import checkpoint_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder. Where the session names none, as in tests, one is made."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """The same rows, read from the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,16 +44,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 
-
 def saved(df: DataFrame) -> DataFrame:
     """The same rows, read from Parquet files in the shared checkpoint folder; for what is too large to keep row by row. The files go when the driver ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, context, path)
+    atexit.register(_remove, spark.sparkContext, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

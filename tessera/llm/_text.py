@@ -144,10 +144,12 @@ def rewritten(df: DataFrame, make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def with_text(batch: pa.RecordBatch, texts: list[str], n_chars: str = "n_chars") -> pa.RecordBatch:
-    """The batch with other texts, and their lengths where it has a column for them."""
+def with_texts(batch: pa.RecordBatch, texts: dict[int, str], n_chars: str = "n_chars") -> pa.RecordBatch:
+    """The batch with other texts in some rows, and their lengths there where it has a column for them."""
     columns = {n: batch.column(n) for n in batch.schema.names}
-    columns["text"] = pa.array(texts, batch.schema.field("text").type)
+    new = {"text": texts}
     if n_chars in columns:
-        columns[n_chars] = pa.array([len(t) for t in texts], batch.schema.field(n_chars).type)
+        new[n_chars] = {i: len(t) for i, t in texts.items()}
+    for name, values in new.items():
+        columns[name] = pa.array([values.get(i, x) for i, x in enumerate(columns[name].to_pylist())], batch.schema.field(name).type)
     return pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)

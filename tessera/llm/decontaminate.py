@@ -6,9 +6,10 @@ a search may jump when the last words under its window are seen, suffix-hash buc
 patterns that end in those words, and a comparison of the bytes of every word confirms an occurrence. All texts
 of a batch are searched at once, one lane for each stretch of text, each at its own jumps.
 
-Items are the stated query set: they are taken in blocks of at most `BLOCK_BYTES` of text, each block is
-broadcast and searched against all documents, and the blocks' findings are joined by document. Documents
-are never shuffled for a single block.
+Items are the stated query set: they are taken in blocks of at most `BLOCK_BYTES` of text (or one longer item), and each block is
+broadcast. A batch of documents is searched for `TOGETHER` blocks one after the other, so that a worker holds no more of them;
+where there are more blocks, the batch goes on, with what was found, to the next worker of the same task. Documents are read once
+and never shuffled, and need no number to be brought together by.
 
 Defined results: a null or empty text has no words and no hit; items without an id are left out, repeated items
 count once; repeated documents give a row each; an empty table of items gives no hits, one of documents no rows.
@@ -27,6 +28,8 @@ from tessera.llm import _text as X
 
 #: Text of benchmark items that is searched for, and broadcast, at a time.
 BLOCK_BYTES = 2 << 20
+#: Blocks that one worker holds.
+TOGETHER = 8
 #: Words of a shift table's block, bits of its index and window ends that a lane covers.
 BLOCK_WORDS, TABLE_BITS, LANE = 3, 18, 512
 
@@ -138,32 +141,42 @@ class Patterns:
             yield w[good], p[good], machine.m, items_at, items
 
 
-def _search(patterns) -> callable:
-    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def _search(blocks: list, last: bool):
+    """Rows (doc_id, text, spans, items) with what the blocks add; after the last ones, n_words in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find: Patterns = patterns.value
         for batch in X.slices(batches):
             raw, at = X.text_buffer(batch.column("text"))
             buf = X.LOWER[raw]
             start, end, words_at = X.word_spans(buf, at, X.ALNUM)
             h = X.span_hashes(buf, start, end)
-            n = np.diff(words_at)
             cover = np.zeros(len(start) + 1, np.int64)
-            pairs = []
-            for w, p, m, items_at, items in find.occurrences(buf, start, end, h, words_at):
-                np.add.at(cover, w, 1)
-                np.add.at(cover, w + m, -1)
-                size = items_at[p + 1] - items_at[p]
-                doc = np.repeat(np.searchsorted(words_at, w, "right") - 1, size)
-                pairs.append(np.stack([doc, items[X.concat_ranges(items_at[p], size)]]))
+            pairs = [np.zeros((2, 0), np.int64)]
+            for r, (spans, items) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                for s in spans or ():
+                    cover[words_at[r] + s["start"]] += 1
+                    cover[words_at[r] + s["end"]] -= 1
+                if items:
+                    pairs.append(np.stack([np.full(len(items), r), np.array(items, np.int64)]))
+            for block in blocks:
+                for w, p, m, items_at, items in block.value.occurrences(buf, start, end, h, words_at):
+                    np.add.at(cover, w, 1)
+                    np.add.at(cover, w + m, -1)
+                    size = items_at[p + 1] - items_at[p]
+                    doc = np.repeat(np.searchsorted(words_at, w, "right") - 1, size)
+                    pairs.append(np.stack([doc, items[X.concat_ranges(items_at[p], size)]]))
             hit = np.cumsum(cover[:-1]) > 0
             s, e, spans_at = X.word_spans(hit.astype(np.uint8), words_at, np.array([False, True]))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(spans_at))
             spans = pa.StructArray.from_arrays([pa.array(s - words_at[doc]), pa.array(e - words_at[doc])], ["start", "end"])
-            both = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), np.int64)
+            both = np.unique(np.concatenate(pairs, 1), axis=1)
             items_of = pa.ListArray.from_arrays(pa.array(np.searchsorted(both[0], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(both[1], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(spans_at, pa.int32()), spans), items_of], schema=out)
+            n = pa.array(np.diff(words_at), pa.int64()) if last else batch.column("text")
+            columns = [batch.column("doc_id"), n, pa.ListArray.from_arrays(pa.array(spans_at, pa.int32()), spans), items_of]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words" if last else "text", "spans", "items"])
 
     return run
 
@@ -178,25 +191,20 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r[0], r[1]) for r in block.toLocalIterator()]
 
 
+def _passes(docs: DataFrame, items: DataFrame, window: int) -> list[list]:
+    """Blocks of patterns, broadcast, TOGETHER to a pass."""
+    sent = [docs.sparkSession.sparkContext.broadcast(Patterns(block, window)) for block in _blocks(items)]
+    return [sent[k : k + TOGETHER] for k in range(0, len(sent), TOGETHER)]
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, spans (runs of hit words, as word numbers, end exclusive) and items (ids, sorted) of each document."""
-    spark = docs.sparkSession
-    rows = X.only(docs.withColumn("row", F.monotonically_increasing_id()), "row", "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    schema = f"row long, doc_id long, n_words long, spans {SPANS}, items array<bigint>"
-    found = None
-    for block in _blocks(items):
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(Patterns(block, window))), schema)
-        found = part if found is None else found.unionByName(part)
-        several = found is not part
-    if not several:
-        return found.drop("row")
-    # a document's rows of all blocks; only contaminated ones carry anything
-    merged = found.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    step = lambda acc, s: F.when(  # noqa: E731  joins spans that touch or overlap, in order of their starts
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return merged.select("doc_id", "n_words", F.aggregate(F.sort_array("spans"), F.expr(f"cast(array() as {SPANS})"), step).alias("spans"), "items")
+    out = X.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<bigint>").alias("items"))
+    passes = _passes(docs, items, window)
+    for k, blocks in enumerate(passes):
+        last = k == len(passes) - 1
+        out = out.mapInArrow(_search(blocks, last), f"doc_id long, {'n_words long' if last else 'text string'}, spans {SPANS}, items array<bigint>")
+    return out
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,20 +238,21 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of `docs`, all columns, without an occurrence of a window of any item. Nothing is shuffled."""
-    for block in _blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(Patterns(block, window))
-        docs = X.rewritten(docs, lambda sent=sent: _clean(sent.value))
+    for blocks in _passes(docs, items, window):
+        docs = X.rewritten(docs, lambda blocks=blocks: _clean(blocks))
     return docs
 
 
-def _clean(find: Patterns):
+def _clean(blocks: list):
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = X.text_buffer(batch.column("text"))
         buf = X.LOWER[raw]
         start, end, words_at = X.word_spans(buf, at, X.ALNUM)
+        h = X.span_hashes(buf, start, end)
         clean = np.ones(batch.num_rows, bool)
-        for w, *_ in find.occurrences(buf, start, end, X.span_hashes(buf, start, end), words_at):
-            clean[np.searchsorted(words_at, w, "right") - 1] = False
+        for block in blocks:
+            for w, *_ in block.value.occurrences(buf, start, end, h, words_at):
+                clean[np.searchsorted(words_at, w, "right") - 1] = False
         return batch.filter(pa.array(clean))
 
     return change

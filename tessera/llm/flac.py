@@ -5,11 +5,12 @@ samples as they are, a fixed predictor, or a linear predictor fitted to the bloc
 carry STREAMINFO (with the MD5 of the samples) and a seek table. The decoder reads any mono stream of 8 bits
 a sample: it follows frame headers, decodes Rice residuals (escaped partitions too) and linear predictors of any order,
 checks the CRC-8 of each header, the CRC-16 of each frame and the MD5, and gives PCM blocks (unsigned 8 bits, as in WAV
-files) with the sample number and the byte offset of each. All frames of a batch are decoded in step with each other,
-one lane each.
+files) with the sample number and the byte offset of each. Frames are coded and decoded in step with each other, one lane each,
+in runs of `RUN` frames, so working memory follows the run and not the length of a text.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal payloads give equal streams; repeated rows give
-a row each; an empty table gives none; other columns are left out. A damaged stream raises `Damaged`.
+a row each; an empty table gives none; other columns are left out. A null stream decodes to nulls, a damaged one to nulls and what
+is wrong with it in `error`; other rows don't change by it. The functions on single streams raise `Damaged`.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tessera.llm import _text as X
 BLOCK, UNIT, RATE = 1024, 64, 8000
 #: Order, coefficient bits and shift of the fitted predictor; partitions of a full block; frames between seek points.
 ORDER, PRECISION, SHIFT, PARTITIONS, SEEK = 4, 10, 7, 4, 8
+#: Frames that are coded or decoded together.
+RUN = 1024
 #: Coefficients of the fixed predictors, by order.
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
 
@@ -215,7 +218,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     number = X.concat_ranges(np.zeros(len(payloads), np.int64), blocks)
     n = np.minimum(size[stream] - number * BLOCK, BLOCK)
     padded = np.frombuffer(b"".join(p.ljust(int(b) * BLOCK, b"\0") for p, b in zip(payloads, blocks, strict=True)), np.uint8)
-    frames = encode_frames(padded.reshape(-1, BLOCK).astype(np.int32) - 128, n, number)
+    samples = padded.reshape(-1, BLOCK)
+    frames = [f for a in range(0, len(n), RUN) for f in encode_frames(samples[a : a + RUN].astype(np.int32) - 128, n[a : a + RUN], number[a : a + RUN])]
     out, first = [], 0
     for p, b in zip(payloads, blocks.tolist(), strict=True):
         own = frames[first : first + b]
@@ -258,6 +262,7 @@ class _Reader:
 
     def __init__(self, data: bytes):
         padded = np.frombuffer(data + b"\0" * 16, np.uint8)
+        self.raw = padded[: len(data)]
         self.words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
         self.end = (len(padded) - 9) * 8
 
@@ -315,16 +320,15 @@ def _heads(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return number, size, length, sound
 
 
-def decode_frames(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decode_frames(bits: _Reader, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the frame at each place: signed samples (longest block, frames), their number, the frame's number and its end.
 
     Raises Damaged unless the CRC-8 of every header and the CRC-16 of every frame hold.
     """
-    raw = np.frombuffer(data, np.uint8)
+    raw = bits.raw
     number, size, head, sound = _heads(raw, at)
     if not sound.all():
         raise Damaged("the CRC-8 of a frame header differs")
-    bits = _Reader(data)
     lanes = len(at)
     pos = (at + head) * 8
     kind = bits.take(pos, 8)
@@ -471,10 +475,11 @@ def _verified(media: bytes, info: dict, pcm: bytes) -> bytes:
 def _in_turn(media: bytes) -> tuple[bytes, list[int], list[int]]:
     info = stream_info(media)
     at, blocks, samples, places = info["frames"], [], [0], []
+    bits = _Reader(media)
     while samples[-1] < info["total"]:
         if at >= len(media):
             raise Damaged("a frame is missing")
-        x, size, number, end = decode_frames(media, np.array([at]))
+        x, size, number, end = decode_frames(bits, np.array([at]))
         if number[0] != len(places):
             raise Damaged("a frame is missing")
         places.append(at)
@@ -490,16 +495,21 @@ def _together(streams: list[bytes]) -> list[tuple[bytes, list[int], list[int]]]:
     base = np.concatenate([[0], np.cumsum([len(s) for s in streams])]).tolist()
     places = [_frames(s, i) for s, i in zip(streams, infos, strict=True)]
     at = np.array([b + p for b, own in zip(base[:-1], places, strict=True) for p in own], np.int64)
-    x, size, _, end = decode_frames(data, at)
-    pcm = (x.T + 128).astype(np.uint8)
+    bits = _Reader(data)
+    pcm, size, end = [], [], []
+    for a in range(0, len(at), RUN):
+        x, n, _, e = decode_frames(bits, at[a : a + RUN])
+        rows = (x.T + 128).astype(np.uint8)
+        pcm += [rows[i, :k].tobytes() for i, k in enumerate(n.tolist())]
+        size += n.tolist()
+        end += e.tolist()
     out, first = [], 0
     for info, own, b, stop in zip(infos, places, base[:-1], base[1:], strict=True):
         k = len(own)
-        ends = end[first : first + k].tolist()
-        if k and [*[p + b for p in own[1:]], stop] != ends:
+        if k and [*[p + b for p in own[1:]], stop] != end[first : first + k]:
             raise Damaged("a frame doesn't end where the next begins")
-        n = size[first : first + k].tolist()
-        blocks = b"".join(pcm[first + i, : n[i]].tobytes() for i in range(k))
+        n = size[first : first + k]
+        blocks = b"".join(pcm[first : first + k])
         first += k
         out.append((_verified(streams[len(out)], info, blocks), np.concatenate([[0], np.cumsum(n)[:-1]]).astype(int).tolist() if k else [], own))
     return out
@@ -511,8 +521,9 @@ def read_range(media: bytes, start: int, count: int) -> bytes:
     stop = min(start + count, info["total"])
     sample, byte = max(((s, b) for s, b, _ in info["points"] if s <= start), default=(0, 0))
     at, out = info["frames"] + byte, []
+    bits = _Reader(media)
     while sample < stop:
-        x, size, _, end = decode_frames(media, np.array([at]))
+        x, size, _, end = decode_frames(bits, np.array([at]))
         block = (x[: size[0], 0] + 128).astype(np.uint8).tobytes()
         out.append(block[max(0, start - sample) : stop - sample])
         sample, at = sample + int(size[0]), int(end[0])
@@ -545,29 +556,49 @@ def _feature(pcm: bytes) -> str:
     return f"peak={int(np.abs(s).max())};energy={int((s * s).sum())};crossings={int(((s[1:] < 0) != (s[:-1] < 0)).sum())}"
 
 
+def _each(streams: list[bytes | None]) -> list[tuple]:
+    """Of each stream: PCM, samples, offsets, feature and what is wrong with it."""
+    known = [i for i, s in enumerate(streams) if s is not None]
+    out: list[tuple] = [(None,) * 5] * len(streams)
+    try:
+        got = [(*x, None) for x in decode([streams[i] for i in known])]
+    except (Damaged, LookupError):
+        got = []
+        for i in known:
+            try:
+                got.append((*decode([streams[i]])[0], None))
+            except (Damaged, LookupError) as e:
+                got.append((None, None, None, str(e) if isinstance(e, Damaged) else "no sound FLAC stream"))
+    for i, (pcm, samples, offsets, error) in zip(known, got, strict=True):
+        out[i] = (pcm, samples, offsets, None if pcm is None else _feature(pcm), error)
+    return out
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = {"pcm": pa.binary(), "samples": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64()), "feature": pa.string(), "error": pa.string()}
     for batch in batches:
-        size = np.cumsum([len(m) for m in batch.column("media").to_pylist()])
+        size = np.cumsum([len(m or b"") for m in batch.column("media").to_pylist()])
         first = 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + (2 << 20), "right")))
             part = batch.slice(first, last - first)
-            got = decode(part.column("media").to_pylist())
-            cols = [pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array([_feature(g[0]) for g in got])]
-            yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "pcm", "samples", "offsets", "feature"])
+            got = zip(*_each(part.column("media").to_pylist()), strict=True)
+            cols = [pa.array(list(c), t) for c, t in zip(got, types.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *types])
             first = last
 
 
 def from_media(media: DataFrame) -> DataFrame:
-    """Adds pcm, samples and offsets (first sample and byte of each block) and feature; raises where a checksum differs."""
+    """Adds pcm, samples and offsets (first sample and byte of each block), feature, and error: what doesn't hold in a damaged stream."""
     m = media.select("doc_id", "n_bytes", "media")
-    return m.mapInArrow(_decode, "doc_id long, n_bytes long, media binary, pcm binary, samples array<bigint>, offsets array<bigint>, feature string")
+    return m.mapInArrow(_decode, "doc_id long, n_bytes long, media binary, pcm binary, samples array<bigint>, offsets array<bigint>, feature string, error string")
 
 
 def pcm_blocks(decoded: DataFrame) -> DataFrame:
-    """A row for each block: doc_id, block, first_sample, byte_offset and pcm, to be written and sought by sample."""
-    rows = decoded.select("doc_id", "pcm", "offsets", F.posexplode("samples").alias("block", "first_sample"))
-    return rows.select("doc_id", "block", "first_sample", F.col("offsets")[F.col("block")].alias("byte_offset"), F.expr(f"substring(pcm, cast(first_sample as int) + 1, {BLOCK})").alias("pcm"))
+    """A row for each block: doc_id, block, first_sample, byte_offset and pcm, to be written and sought by sample. A block ends where the next begins."""
+    block = F.expr("""transform(samples, (s, i) -> named_struct('block', i, 'first_sample', s, 'byte_offset', offsets[i],
+        'pcm', substring(pcm, cast(s as int) + 1, cast(coalesce(get(samples, i + 1), octet_length(pcm)) - s as int))))""")
+    return decoded.select("doc_id", F.explode(block).alias("b")).select("doc_id", "b.*")
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ emptiest bins to fuller ones, each step raising the sum of squared fills, until
 ranks of each length go to which sequences and offsets. Pieces find their ranks from counts by partition and length,
 so nothing but small rows is shuffled, no key holds more than one partition's rows, and no task sees all pieces.
 
-Tokens are those of the byte-level BPE vocabulary `byte_bpe_50k`, whose file in rank form encodes the same ids several
-times as fast as the same vocabulary in JSON (a test holds the ids against it). Strings of special tokens in
-a text are ordinary text. Each document ends in id 0, which a null or empty text consists of.
+Tokens are those of the byte-level BPE vocabulary `byte_bpe_50k.json`. The same vocabulary's file in rank form encodes the same ids
+several times as fast, so that is used (a test holds the ids against the JSON's). A string of a special token in a text is that
+token, as the JSON's tokenizer has it. Each document ends in id 0, which a null or empty text consists of.
 
 Defined results: repeated documents are packed as often as they come; rows with a null doc_id too; an empty
 table gives no rows; other columns are left out. A document of more than `SEQUENCE` ids is cut into pieces of that
@@ -19,10 +19,11 @@ length, the first of which takes the remainder.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -41,14 +42,23 @@ STEPS = 4_000
 
 
 @cache
-def encoder(path: str | None = None):
-    """The vocabulary's encoder; path: its file in rank form."""
+def encoder(path: str | None = None, json_path: str | None = None) -> Callable[[str], list[int]]:
+    """The vocabulary's encoder; path: its file in rank form, json_path: that with its special tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(json_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in special):
+            return encoding.encode(text, allowed_special="all")
+        return encoding.encode_ordinary(text)
+
+    return encode
 
 
 def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -60,7 +70,7 @@ def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
 
 def _tokenise(path: str | None, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         seen = np.zeros(SEQUENCE + 1, np.int64)  # pieces of each length so far in this partition
         for batch in X.slices(batches):
             docs, piece, start, crc, ids, length = [], [], [], [], [], []

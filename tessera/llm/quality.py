@@ -7,8 +7,9 @@ n-grams of that length and sequence, so texts of all lengths are alike; an empty
 A score is one sparse dot product through a logistic function.
 
 Learning is per-coordinate FTRL-proximal over a bounded sample of labelled texts: at most `MAX_TEXTS`
-rows, those with the smallest hash of their id, and of these the first `MAX_BYTES` of whole texts. It runs
-in one task whose input has that bound; scoring reads every text where it lies, without a shuffle.
+texts of the documents with the smallest hash of their id, in that order and each text of a document once; a text that would take
+the sample above `MAX_BYTES` is passed over and the next ones are tried. It runs in one task whose input has that bound; scoring
+reads every text where it lies, without a shuffle.
 
 Defined results: null and empty texts score the intercept; labels other than 0 and 1 and null labels are
 left out; a document with several labels counts by the largest; documents that repeat give a row each; with no usable
@@ -25,8 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as X
+from tessera.llm._spark import saved
 
-#: Bounds of the sample that is learnt from: rows, and bytes of their whole texts.
+#: Bounds of the sample that is learnt from: texts, and bytes of these whole texts.
 MAX_TEXTS, MAX_BYTES = 6000, 48 << 20
 BITS, EPOCHS = 18, 3
 ALPHA, BETA, L1, L2 = 0.5, 1e-2, 1e-6, 1e-6
@@ -116,22 +118,31 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["weights"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> np.ndarray:
     """Weights of all slots and the intercept, from documents with a label 0 or 1 in `labels` (doc_id, label)."""
-    known = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    spark = docs.sparkSession
     order = F.xxhash64("doc_id")
-    sample = known.orderBy(order, "doc_id").limit(MAX_TEXTS)
-    texts = X.only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
-    texts = texts.withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(_by(order))).where(F.col("upto") <= MAX_BYTES)
-    got = texts.select("label", "text").mapInArrow(_learn, "weights binary").collect()
-    return np.frombuffer(got[0][0], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
-
-
-def _by(order: Column):
-    from pyspark.sql import Window as W
-
-    # one partition on purpose: MAX_TEXTS rows at most reach it
-    return W.partitionBy(F.lit(0)).orderBy(order, "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)
+    known = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    n = known.count()
+    if n > 8 * max_texts:  # few rows to sort: hashes are spread evenly, so about four times as many lie below this
+        known = known.where(order < -(1 << 63) + (1 << 64) * 4 * max_texts // n)
+    sample = known.orderBy(order, "doc_id").limit(max_texts)
+    found = X.only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # copies of one document and text count once, before anything comes together
+    texts = saved(found.groupBy("doc_id", "label", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text")))
+    sizes = texts.select("doc_id", "th", F.octet_length("text").alias("size")).orderBy(order, "doc_id", "th").limit(max_texts).collect()
+    chosen, total = [], 0
+    for doc, th, size in sizes:
+        if total + size <= max_bytes:
+            total += size
+            chosen.append((doc, th))
+    if not chosen:
+        return np.zeros((1 << BITS) + 1, np.float32)
+    own = spark.createDataFrame(chosen, "doc_id long, th long")
+    # one partition on purpose: max_texts rows and max_bytes of text at most reach it
+    rows = texts.join(F.broadcast(own), ["doc_id", "th"]).repartition(1).sortWithinPartitions(order, "doc_id", "th")
+    got = rows.select("label", "text").mapInArrow(_learn, "weights binary").collect()
+    return np.frombuffer(got[0][0], np.float32)
 
 
 def _score(weights, schema: pa.Schema) -> Callable:

@@ -23,15 +23,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import _text as X
+from tessera.llm._spark import saved
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of fewer can't hold one of 16
 #: Credential context of the costed values.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|pass|secret|token|credentials?|auth|api_?key)["']?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}["']?([^\s"'<>]{6,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|pass|secret|token|credentials?|auth|api_?key)["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>]{6,})""", re.I | re.A)
 
 #: log10 of the guesses from which a value counts as a secret.
 MIN_GUESSES = 8.0
@@ -168,13 +170,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], guesser: Guesser, least: float = MIN_GUESSES) -> list[tuple[int, int, int]]:
-    """Values in a credential context that cost `least` or more and lie within no base span."""
+    """Values in a credential context that cost `least` or more and lie within no base span (`base` by start). Both lists are walked once."""
     found = []
     if "=" not in text and ":" not in text:
         return found
+    reach, k = -1, 0  # the farthest end of base spans that begin no later than a value
     for m in CONTEXT.finditer(text):
         s, e = m.span(1)
-        if not any(a <= s and e <= b for a, _, b in base) and guesser.reaches(text[s:e], least):
+        while k < len(base) and base[k][0] <= s:
+            reach = max(reach, base[k][2])
+            k += 1
+        if e > reach and guesser.reaches(text[s:e], least):
             found.append((s, 3, e))
     return found
 
@@ -199,13 +205,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
 
-def ranked_words(docs: DataFrame) -> tuple[str, ...]:
-    """WORDS, and the most frequent words of all texts, by falling count."""
-    from pyspark.sql import functions as F
+def ranked_words(docs: DataFrame, most: int = DICTIONARY) -> tuple[str, ...]:
+    """WORDS, and the most frequent words of all texts, `most` at most, by falling count.
 
-    counts = X.only(docs, "text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    return (*WORDS, *(r["word"] for r in top))
+    Counts stay a distributed table. The driver sees the number of words in each class of counts (64 classes to a power of
+    two), and then only the words of the highest classes that together have `most` words or fewer.
+    """
+    words = X.only(docs, "text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = saved(words.where(F.col("n") >= OFTEN).withColumn("class", F.floor(F.log2("n") * 64).cast("int")))
+    least, total = None, 0
+    for k, n in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        if total + n > most:
+            break
+        least, total = k, total + n
+    top = counts.where(F.col("class") >= least).select("word", "n").collect() if total else []
+    return (*WORDS, *(r["word"] for r in sorted(top, key=lambda r: (-r["n"], r["word"]))))
 
 
 def _scan(words: tuple[str, ...], least: float):
@@ -242,8 +256,6 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> s
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -259,20 +271,22 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, words: tuple[str, ...] | None = None, least: float = MIN_GUESSES, mark: str = "[secret]") -> DataFrame:
-    """The rows of `docs`, all columns, with every secret in their texts replaced by a mark. Words are those of `find_secrets`."""
+    """The rows of `docs`, all columns, with every secret in their texts replaced by a mark. Words are those of `find_secrets`.
+
+    A row without a secret stays as it is (a null text null); one with a secret has the new text's length in n_chars.
+    """
     words = ranked_words(docs) if words is None else words
 
     def make():
         guesser = Guesser(words)
 
         def change(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, same = [], True
-            for text in batch.column("text").to_pylist():
+            texts = {}
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 base = base_spans(text or "")
-                spans = [(s, e) for s, _, e in base + guess_spans(text or "", base, guesser, least)]
-                same &= not spans
-                texts.append(redact(text, spans) if spans else text or "")
-            return batch if same else X.with_text(batch, texts)
+                if spans := [(s, e) for s, _, e in base + guess_spans(text or "", base, guesser, least)]:
+                    texts[i] = redact(text, spans, mark)
+            return X.with_texts(batch, texts) if texts else batch
 
         return change
 

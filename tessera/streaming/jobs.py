@@ -13,13 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import checkpoint_folder
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster names for checkpoints; where none is named, as in tests, under a temporary one."""
-    import tempfile
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster names for checkpoints."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
