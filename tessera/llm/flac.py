@@ -320,11 +320,12 @@ def _heads(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return number, size, length, sound
 
 
-def decode_frames(bits: _Reader, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decode_frames(data: bytes | _Reader, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the frame at each place: signed samples (longest block, frames), their number, the frame's number and its end.
 
     Raises Damaged unless the CRC-8 of every header and the CRC-16 of every frame hold.
     """
+    bits = data if isinstance(data, _Reader) else _Reader(data)
     raw = bits.raw
     number, size, head, sound = _heads(raw, at)
     if not sound.all():

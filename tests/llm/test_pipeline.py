@@ -67,7 +67,6 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert sorted(map(tuple, docs.collect())) == sorted(rows), name
     got = C.STAGES[-1][1](spark, docs, SF).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = set()
     for r in rows:
         ids = [*t.encode(r[1], add_special_tokens=False).ids, 0]
@@ -98,7 +97,7 @@ def test_odd_rows(spark, tmp_path):
             assert out.columns == docs.columns
         got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
         if given is docs:
-            assert got == sorted([(1, None), (None, secret.replace("password=abcdefgh12345678", "[secret]")), (3, long), (3, "other text of the same id")], key=str) or got == sorted([(1, ""), (None, secret.replace("password=abcdefgh12345678", "[secret]")), (3, long), (3, "other text of the same id")], key=str)
+            assert got == sorted([(1, None), (None, secret.replace("password=abcdefgh12345678", "[secret]")), (3, long), (3, "other text of the same id")], key=str)
         else:
             assert got == []
         packed = C.pack_sequences(spark, out, str(tmp_path)).collect()
