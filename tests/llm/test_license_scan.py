@@ -61,3 +61,41 @@ def test_span_and_empty(spark):
     assert S.find_licenses(docs.where("false")).collect() == []
     with pytest.raises(ValueError):
         S.Templates({"short": "only four words here"})
+
+
+def test_every_occurrence(spark):
+    mit, bsd = S.TEMPLATES["MIT-text"], S.TEMPLATES["BSD-2-Clause-text"]
+    half = " ".join(mit.split()[:80])
+    text = f"{half} first {mit} {mit}\nthen {bsd} {bsd} {'and more ' * 500} {mit}"
+    (r,) = S.find_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    words = WORD.findall(text.translate(LOWER))
+    for name, times in (("MIT-text", 3), ("BSD-2-Clause-text", 2)):
+        own = WORD.findall(S.TEMPLATES[name].translate(LOWER))
+        at = [i for i in range(len(words)) if words[i : i + len(own)] == own]
+        assert [(x.start, x.end, x.containment) for x in r.found if x.license == name] == [(i, i + len(own), 1.0) for i in at] and len(at) == times
+
+
+def test_recall_with_many_templates(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    templates = {f"T{k:03d}": " ".join(some(int(rng.integers(9, 400)))) for k in range(200)}
+    rows = []
+    for i in range(300):
+        words = some(30)
+        for t in rng.choice(sorted(templates), 3):
+            w = templates[t].split()
+            for j in rng.choice(len(w), len(w) // 60):
+                w[j] = "changed"
+            words += w + some(int(rng.integers(0, 40)))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, x.license) for r in S.find_licenses(docs, templates).collect() for x in r.found}
+    sets = {t: set(shingles(x)) for t, x in templates.items()}
+    want = set()
+    for i, text in rows:
+        own = shingles(text)
+        for t, x in sets.items():
+            m = S.size_class(len(x))
+            if x & set(own) and any(len(x & set(own[lo : lo + 2 * m])) >= 0.8 * len(x) for lo in range(0, len(own), m)):
+                want.add((i, t))
+    assert len(want) > 400 and got <= want and len(got) >= 0.99 * len(want)
