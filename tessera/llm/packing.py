@@ -3,7 +3,8 @@
 Only lengths matter to a packing, so it is planned on the histogram of lengths: at most `SEQUENCE` numbers,
 however many documents there are. Bins of one content are one class with a multiplicity. Best fit (longest first)
 builds classes; local search then moves documents, and exchanges one for one or two for one, from the
-emptiest bins to fuller ones, each step raising the sum of squared fills, until bins empty. The plan says which
+emptiest bins to fuller ones, each step raising the sum of squared fills, until the lower bound is met or no exchange is left
+(it ends, since that sum can't rise for ever). The plan says which
 ranks of each length go to which sequences and offsets. Pieces find their ranks from counts by partition and length,
 so nothing but small rows is shuffled, no key holds more than one partition's rows, and no task sees all pieces.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -37,8 +38,8 @@ from tessera.llm import _text as X
 from tessera.llm._spark import checkpointed
 
 SEQUENCE = 2048
-#: Steps of local search at most; each handles all bins of two classes.
-STEPS = 4_000
+#: Classes of bins from which the search stops opening more: the bound of the plan, which is broadcast.
+CLASSES = 1 << 17
 
 
 @cache
@@ -165,70 +166,94 @@ def _exchange(donor: Counter, taker: Counter, room: int) -> tuple[int, tuple, tu
     return best
 
 
-def local_search(classes: list[tuple[int, Counter]], size: int = SEQUENCE, steps: int = STEPS) -> list[tuple[int, Counter]]:
-    """Fewer bins, if exchanges from the emptiest bins to fuller ones can empty some."""
-    fill = lambda c: sum(k * v for k, v in c.items())
-    total = sum(m * fill(c) for m, c in classes)
+class _Class:
+    """Bins of one content, with what a search needs of it: its fill, the sums of one or two of its lengths as bits, and lengths."""
+
+    def __init__(self, content: Counter):
+        self.bins, self.content, self.live = 0, content, False
+        self.items = tuple(sorted(content.items()))
+        self.fill = sum(k * v for k, v in self.items)
+        self.place = (self.fill, self.items)
+        self.sums = 0
+        for i, (a, n) in enumerate(self.items):
+            self.sums |= 1 << a | (n > 1) << (2 * a)
+            for b, _ in self.items[:i]:
+                self.sums |= 1 << (a + b)
+
+    def gives_to(self, taker: _Class, size: int) -> bool:
+        """Whether some exchange from here fills a bin of the taker more."""
+        if taker.fill < self.fill or (taker is self and self.bins < 2):
+            return False
+        fits = (1 << (size - taker.fill)) - 1
+        return any(self.sums >> (b + 1) & fits for b in (0, *taker.content))
+
+
+def local_search(classes: list[tuple[int, Counter]], size: int = SEQUENCE, most: int = CLASSES) -> list[tuple[int, Counter]]:
+    """Fewer bins, if exchanges from the emptiest bins to fuller ones can empty some; goes on until none is left, the bins are as few as can be, or `most` classes are open."""
+    total = sum(m * sum(k * v for k, v in c.items()) for m, c in classes)
     fewest = -(-total // size)
-    full = [x for x in classes if fill(x[1]) == size]
-    open_: dict[frozenset, list] = {}
+    n_bins = sum(m for m, _ in classes)
+    full: list[tuple[int, Counter]] = []
+    open_: dict[tuple, _Class] = {}
+    order: list[tuple] = []  # places of open classes, emptiest first
+    live: list[tuple] = []  # those that may have an exchange
+
+    def wake(x: _Class) -> None:
+        if not x.live:
+            x.live = True
+            insort(live, x.place)
 
     def add(bins: int, content: Counter) -> None:
         if not bins or not content:
             return
-        if fill(content) == size:
+        new = _Class(content)
+        if new.fill == size:
             full.append((bins, content))
             return
-        key = frozenset(content.items())
-        if key in open_:
-            open_[key][0] += bins
-        else:
-            open_[key] = [bins, content, fill(content)]
+        x = open_.get(new.items)
+        if x is None:
+            x = open_[new.items] = new
+            insort(order, x.place)
+        x.bins += bins
+        wake(x)
+        for _, items in order[: bisect_right(order, x.place)]:  # those that had no exchange may have one with it
+            if not (donor := open_[items]).live and donor.gives_to(x, size):
+                wake(donor)
+
+    def drop(x: _Class, bins: int) -> None:
+        x.bins -= bins
+        if not x.bins:
+            del open_[x.items], order[bisect_left(order, x.place)]
+            if x.live:
+                del live[bisect_left(live, x.place)]
 
     for bins, content in classes:
-        if fill(content) < size:
-            add(bins, content)
-    n_bins = sum(m for m, _ in classes)
-    stuck: set[frozenset] = set()
-    failed: set[tuple] = set()
-    while n_bins > fewest and steps > 0:
-        donors = sorted((x for k, x in open_.items() if k not in stuck), key=lambda x: (x[2], sorted(x[1].items())))
-        if not donors:
-            break
-        donor = donors[0]
-        own = frozenset(donor[1].items())
-        for key, taker in sorted(open_.items(), key=lambda x: (-x[1][2], sorted(x[1][1].items()))):
-            if taker[2] < donor[2] or (key == own and donor[0] < 2) or (own, key) in failed:
-                continue
-            found = _exchange(donor[1], taker[1], size - taker[2])
-            if found is None:
-                failed.add((own, key))
-                continue
-            rise, got, given = found
-            bins = donor[0] // 2 if key == own else min(donor[0], taker[0])
-            less = donor[1] - Counter(got) + Counter(given)
-            more = taker[1] - Counter(given) + Counter(got)
-            for k in {own, key}:
-                open_[k][0] -= bins * (2 if key == own else 1)
-                if not open_[k][0]:
-                    del open_[k]
-            if not less:
-                n_bins -= bins
-            add(bins, less)
-            add(bins, more)
-            steps -= 1
-            stuck.clear()
-            break
-        else:
-            stuck.add(own)
-    return full + [(m, c) for m, c, _ in open_.values()]
+        add(bins, content)
+    while n_bins > fewest and live and len(open_) < most:
+        donor = open_[live[0][1]]
+        taker = next((x for _, items in reversed(order) if donor.gives_to(x := open_[items], size)), None)
+        if taker is None:
+            donor.live = False
+            del live[0]
+            continue
+        _, got, given = _exchange(donor.content, taker.content, size - taker.fill)
+        bins = donor.bins // 2 if taker is donor else min(donor.bins, taker.bins)
+        less = donor.content - Counter(got) + Counter(given)
+        more = taker.content - Counter(given) + Counter(got)
+        drop(taker, bins)
+        drop(donor, bins)
+        if not less:
+            n_bins -= bins
+        add(bins, more)
+        add(bins, less)
+    return full + [(x.bins, x.content) for x in open_.values()]
 
 
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> np.ndarray:
     """Rows (length, first rank, bins, pieces of the length in each bin, first sequence, offset), by length and rank.
 
-    A row for each length of each class. Classes are few: best fit opens two for a length and splits one, and a
-    step of local search adds three at most, so there are under 4 * size + 3 * STEPS.
+    A row for each length of each class. Classes are bounded: best fit opens two for a length and splits one, and local
+    search stops at CLASSES open ones.
     """
     taken: Counter = Counter()
     rows, sequence = [], 0

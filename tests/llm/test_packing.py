@@ -63,3 +63,28 @@ def test_whole(spark):
     packed = P.pack(docs, with_ids=True)
     assert {r.sequence_id: list(r.ids) for r in P.sequences(packed).collect()} == {k: [i for _, _, ids in x for i in ids] for k, x in by.items()}
     assert P.pack(docs.where("false")).collect() == []
+
+
+def exchanges(donor, taker, size):
+    """Whether moving, or exchanging one or two documents for one, fills the taker more."""
+    a, room = list(donor.elements()), size - sum(taker.elements())
+    gets = [x for i, x in enumerate(a)] + [x + y for i, x in enumerate(a) for y in a[:i]]
+    return any(0 < got - gives <= room for got in gets for gives in (0, *taker))
+
+
+def test_search_improves_and_ends_where_nothing_helps():
+    rng = np.random.default_rng(0)
+    fewer = 0
+    for _ in range(12):
+        h = {int(x): int(rng.integers(1, 30)) for x in rng.choice(np.arange(20, 60), 25, replace=False)}
+        first, last = P.best_fit(h, 100), P.local_search(P.best_fit(h, 100), 100)
+        n, m = len(fills(first)), len(fills(last))
+        bound = -(-sum(fills(first)) // 100)
+        assert bound <= m <= n
+        fewer += m < n
+        if m > bound:
+            for i, (k, c) in enumerate(last):
+                for j, (_, d) in enumerate(last):
+                    if sum(c.elements()) <= sum(d.elements()) < 100 and (i != j or k > 1):
+                        assert not exchanges(c, d, 100)
+    assert fewer >= 8

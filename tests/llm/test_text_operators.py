@@ -219,3 +219,95 @@ def test_quality_odd_rows(spark, tmp_path):
     none = np.zeros((1 << Q.BITS) + 1, np.float32)
     assert [r.score for r in Q.score(docs, none).collect()] == [0.5] * 5
     assert Q.keep_good(docs, none).columns == docs.columns and Q.keep_good(docs, none).count() == 5 and Q.keep_good(docs.where("false"), none).count() == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & M64
+    return h ^ (h >> 31)
+
+
+def plain_hash(b):
+    return plain_mix((sum(int(Q.X._BYTE[c]) * pow(int(Q.X._P), i, 1 << 64) for i, c in enumerate(b)) + len(b)) & M64)
+
+
+def plain_features(text):
+    """slot -> value: n-grams of words and of their shapes, each kind sharing 1 among the text's n-grams of it."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    shapes = []
+    for k, w in enumerate(words):
+        kinds = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in w)
+        collapsed = bytes(c for i, c in enumerate(kinds) if not i or c != kinds[i - 1])
+        shapes.append(plain_mix((plain_hash(collapsed) + int(k > 0 and w == words[k - 1])) & M64))
+    words = [plain_hash(w) for w in words]
+    out = {}
+    for salt, (seq, n) in enumerate([(words, 1), (words, 2), (shapes, 1), (shapes, 2), (shapes, 3)]):
+        grams = [seq[i : i + n] for i in range(len(seq) - n + 1)]
+        for g in grams:
+            h = (g[0] + salt) & M64
+            for x in g[1:]:
+                h = (h * int(Q._K) + x) & M64
+            slot = plain_mix(h) >> (64 - Q.BITS)
+            out[slot] = out.get(slot, 0.0) + 1 / len(grams)
+    return out
+
+
+def plain_sigmoid(x):
+    return 1 / (1 + np.exp(-min(max(x, -35), 35)))
+
+
+def plain_ftrl(examples):
+    """Weights by slot; the intercept has slot -1."""
+    z, n = {}, {}
+
+    def weight(slot):
+        v = z.get(slot, 0.0)
+        return 0.0 if abs(v) <= Q.L1 else -(v - np.sign(v) * Q.L1) / ((Q.BETA + n.get(slot, 0.0) ** 0.5) / Q.ALPHA + Q.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(Q.EPOCHS):
+        for i in order.permutation(len(examples)):
+            x, y = examples[i]
+            x = {s: float(np.float32(v)) for s, v in x.items()} | {-1: 1.0}
+            w = {s: weight(s) for s in x}
+            error = plain_sigmoid(sum(x[s] * w[s] for s in x)) - y
+            for s, v in x.items():
+                g, before = error * v, n.get(s, 0.0)
+                z[s] = z.get(s, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / Q.ALPHA * w[s]
+                n[s] = before + g * g
+    return {s: float(np.float32(weight(s))) for s in z}
+
+
+def test_quality_against_plain_learning(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    good = lambda: " ".join(rng.choice("The river rises when spring rain falls on old hills .".split(), 12))
+    bad = lambda: " ".join(rng.choice("BUY now!!! $$$ 99 click here here WIN 1000".split(), 9))
+    rows = [(i, good() if i % 2 else bad()) for i in range(40)] + [(40, None), (41, ""), (42, "é"), (7, "another text of seven"), (None, "no id at all"), (3, bad())]
+    spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2) for i in range(43)] + [(5, 0), (8, None), (9, 7), (None, 1), (77, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    label = {}
+    for d, y in labels:
+        if d is not None and y in (0, 1) and zlib.crc32(str(d).encode()) % 5:
+            label[d] = max(y, label.get(d, 0))
+    known = spark.createDataFrame([(d, t or "") for d, t in set(rows) if d in label], "doc_id long, text string")
+    order = known.select("doc_id", "text", Q.F.xxhash64("doc_id").alias("h"), Q.F.xxhash64("text").alias("th")).orderBy("h", "doc_id", "th").collect()
+    w = plain_ftrl([(plain_features(r.text), label[r.doc_id]) for r in order])
+    want = sorted((str(d), round(plain_sigmoid(w[-1] + sum(v * w.get(s, 0.0) for s, v in plain_features(t).items())), 9)) for d, t in rows)
+    got = Q.op7_quality(spark, str(tmp_path)).collect()
+    assert [d for d, _ in want] == [d for d, _ in sorted((str(r.doc_id), r.score) for r in got)]
+    assert np.allclose([s for _, s in want], [s for _, s in sorted((str(r.doc_id), round(r.score, 9)) for r in got)], atol=2e-9, rtol=0)
+    assert len({s for _, s in want}) > 30 and all(r.predicted == (r.score >= 0.3) for r in got)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = Q.keep_good(docs, Q.fit(spark, str(tmp_path), docs))
+    assert kept.columns == docs.columns and sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(str(r) for r in docs.select("doc_id", "text").collect() if plain_sigmoid(w[-1] + sum(v * w.get(s, 0.0) for s, v in plain_features(r.text).items())) >= 0.3)
+
+
+def test_quality_long_first_text(spark):
+    """A text over the bound of bytes is passed over, not the ones after it."""
+    docs = spark.createDataFrame([(i, "good text " * (5000 if i == 3 else 5) if i % 2 else "BAD " * 9) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    assert np.any(Q.train(docs, labels, max_bytes=2000)) and not np.any(Q.train(docs, labels, max_bytes=3))
