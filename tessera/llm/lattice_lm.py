@@ -3,9 +3,11 @@
 A word's lattice has an arc for every piece of an existing subword vocabulary that spells a part of it, and, if the
 corpus has the word, one arc for all of it. The forward recursion adds, in log space, the weight of every path. Weights are learnt:
 
-* pieces: the vocabulary's order gives first scores (a piece's share falls with its rank), and expectation
-  maximisation over the distinct words of the training texts turns them into unigram probabilities, with one for where a word ends.
-  Single bytes are always pieces, so every text has a probability.
+* pieces: a word is one piece that begins it (with the space before the word), then pieces that go on, then its end. Those that begin
+  have one distribution, those that go on and the end another, so nothing goes to what can't follow. The vocabulary's order
+  gives first scores (a piece's share falls with its rank); `rounds` of expectation maximisation over the distinct words of the training
+  texts (0: the vocabulary's own scores) turn them into unigram probabilities. Single bytes are always pieces, so every text has a
+  probability.
 * whole words: their count in the training texts, less `DISCOUNT`, over all tokens. What the discounts free goes to
   the pieces' paths. Every text ends in one end token, counted as a word.
 
@@ -38,6 +40,8 @@ from tessera.llm._spark import saved
 #: Bound of the broadcast table of frequent words.
 HEAD, HEAD_BYTES = 1 << 18, 32
 DISCOUNT, ROUNDS, PIECE_BYTES, FLOOR = 0.75, 2, 16, 0.05
+#: Share of a word's end in the first scores.
+END = 0.2
 #: Words of up to so many bytes go through the lattice together, longer ones one by one.
 TOGETHER = 48
 _TEN = math.log(10)
@@ -180,6 +184,12 @@ class Pieces:
         return out
 
 
+def logs(pieces: list[bytes], uses: np.ndarray) -> np.ndarray:
+    """Natural logs of the shares of uses (the last of a word's end) in their distribution: that of pieces that begin a word, or that of the others and the end."""
+    begins = np.array([p[:1] == b" " for p in pieces] + [False])
+    return np.log(uses / np.where(begins, uses[begins].sum(), uses[~begins].sum()))
+
+
 def vocabulary(path: str | None = None) -> Pieces:
     """The pieces of a sentencepiece model file that can stand in lower-cased words, and all single bytes, with first scores."""
     import public_tokenizers
@@ -195,8 +205,9 @@ def vocabulary(path: str | None = None) -> Pieces:
             ranked.setdefault(p, i)
     for b in range(256):
         ranked.setdefault(bytes([b]), model.get_piece_size())
-    share = np.array([1 / (100 + r) for r in ranked.values()])
-    return Pieces(list(ranked), np.log(np.append(share / share.sum() * 0.8, 0.2)))
+    share = np.array([1 / (100 + r) for r in ranked.values()] + [0.0])
+    share[-1] = share[[p[:1] != b" " for p in ranked] + [False]].sum() * END / (1 - END)
+    return Pieces(list(ranked), logs(list(ranked), share))
 
 
 def fold(doc_id: Column) -> Column:
@@ -354,7 +365,7 @@ def learn(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> tup
         uses = np.full(len(pieces.scores), FLOOR)
         for k, x in got:
             uses[k] += x
-        pieces = Pieces(pieces.pieces, np.log(uses / uses.sum()))
+        pieces = Pieces(pieces.pieces, logs(pieces.pieces, uses))
     return Model(pieces, n + ends, v + (ends > 0), ends), words
 
 

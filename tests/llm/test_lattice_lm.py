@@ -56,6 +56,12 @@ def test_expected_uses_of_one_word():
         assert got == pytest.approx(pieces.expected(words, np.ones(1)))
 
 
+def plain_logs(pieces, uses):
+    begin = sum(u for p, u in zip(pieces, uses, strict=False) if p.startswith(b" "))
+    rest = sum(uses) - begin
+    return [math.log(u / (begin if k < len(pieces) and pieces[k].startswith(b" ") else rest)) for k, u in enumerate(uses)]
+
+
 def test_long_words_train(spark):
     """A piece that only a word longer than TOGETHER bytes uses gets evidence."""
     from pyspark.sql import functions as F
@@ -68,7 +74,11 @@ def test_long_words_train(spark):
     want = np.full(len(first.scores), L.FLOOR)
     for w in (b" the", b" cat", b" " + long.encode()):
         first.add_expected(w, want)
-    assert model.pieces.scores == pytest.approx(np.log(want / want.sum()))
+    assert model.pieces.scores == pytest.approx(plain_logs(first.pieces, want))
+    for pieces in (first, model.pieces):  # two distributions: what begins a word, and what goes on or ends it
+        p = np.exp(pieces.scores)
+        begins = np.array([x.startswith(b" ") for x in pieces.pieces] + [False])
+        assert p[begins].sum() == pytest.approx(1) and p[~begins].sum() == pytest.approx(1)
     assert want.sum() - L.FLOOR * len(want) > 200
 
 
