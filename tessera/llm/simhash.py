@@ -12,6 +12,10 @@ further by groups of the bits that the key doesn't fix, until each part is small
 of many always has bits left to split by. Within a part, verified pairs only join components, so a group of g near
 copies gives g - 1 links, never g * g.
 
+`one_of_each` gives one row of each class. With `similarity` it also folds what is alike but farther apart: the rows that are left get a
+second fingerprint over pairs of words, which moves less when a word changes; candidates within `WIDE` bits, by the same pigeonholes, are
+verified by the Jaccard similarity of their five-word shingles. Only these rows, of which no two are within RADIUS bits, meet in pairs.
+
 Defined results: a null or empty text, or one of white space, has fingerprint zero, which links like any other; rows
 with a null doc_id keep their fingerprint and lend their component no id (the component is null if no row of it has
 one); repeated rows give a row each; an empty table gives no rows.
@@ -35,6 +39,8 @@ from tessera.llm._spark import checkpointed, components, saved
 RADIUS, SHINGLE = 3, 3
 #: Fingerprints of one key that are compared in one place; a key with more is split.
 FULL = 2048
+#: Candidates of similar rows: radius, and words of the fingerprint's shingles; words of the shingles that verify them.
+WIDE, PAIRS, VERIFIED = 8, 2, 5
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -69,6 +75,35 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
 
+def _shingles(words: int, whole: bool):
+    """Rows (k, fp over pairs of words, n) of texts, n being the number of distinct shingles of `words` words; or, `whole`, rows (k, s: these shingles' hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.slices(batches):
+            buf, at = X.text_buffer(batch.column("text"))
+            low = X.LOWER[buf]
+            start, end, words_at = X.word_spans(low, at, X.NOT_SPACE)
+            h = X.span_hashes(low, start, end)
+            n = np.diff(words_at)
+            sets = []
+            with np.errstate(over="ignore"):
+                for a, size in zip(words_at[:-1].tolist(), n.tolist(), strict=True):
+                    m = min(size, words)
+                    s = np.full(max(size - words + 1, 1) if size else 0, m, np.uint64)  # fewer words: the whole sequence
+                    for k in range(m):
+                        s = s * X._P + h[a + k : a + k + len(s)]
+                    sets.append(np.unique(X.mix(s)))
+            if whole:
+                values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["k", "s"])
+            else:
+                fp = fingerprints_of(buf, at, PAIRS)
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fp.view(np.int64)), pa.array([len(x) for x in sets], pa.int64())], ["k", "fp", "n"])
+
+    return run
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
     return X.only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "text").mapInArrow(_fingerprint, "doc_id long, th long, fp long")
@@ -248,7 +283,25 @@ def link_runs(b: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int) -> np
     return parent
 
 
-def _link(radius: int):
+def _pairs(cols: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
+    """Every two rows of one b within `radius`, one of the two being indexed, a column of distances at a time. A b has FULL rows at most."""
+    b, fp, own = cols
+    i = np.flatnonzero(b[1:] == b[:-1])
+    d = 1
+    while len(i):
+        a = i[own[i] | own[i + d]]
+        a = a[(fp[a] != fp[a + d]) & (np.bitwise_count(fp[a] ^ fp[a + d]) <= radius)]
+        if len(a):
+            x, y = fp[a].view(np.int64), fp[a + d].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        d += 1
+        i = i[: np.searchsorted(i, len(b) - d)]
+        i = i[b[i + d] == b[i]]
+
+
+def _link(radius: int, every: bool):
+    out = _pairs if every else _links
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The partition's rows come in order of b; the last b of a batch waits for the next batch."""
         kept = None
@@ -257,9 +310,9 @@ def _link(radius: int):
             cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
             kept = [x[cut:] for x in cols]
-            yield from _links([x[:cut] for x in cols], radius)
+            yield from out([x[:cut] for x in cols], radius)
         if kept is not None:
-            yield from _links(kept, radius)
+            yield from out(kept, radius)
 
     return run
 
@@ -272,8 +325,8 @@ def _links(cols: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(fp[parent[at]].view(np.int64))], ["a", "b"])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fp` that connect what lies within `radius` of each other."""
+def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL, every: bool = False) -> DataFrame:
+    """Links (a, b) between distinct fingerprints `fp` that connect what lies within `radius` of each other; with `every`, all pairs within it (some of them more than once)."""
     corr, groups, t = plan(nodes, radius)
     schema = "b long, used long, fp long, own boolean"
     rows = nodes.select("fp").mapInArrow(_signatures(groups, t), schema)
@@ -285,7 +338,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame
         some = not large.isEmpty()
         small = rows.join(sizes.where(F.col("n") <= full).select("b") if some else sizes.select("b"), "b", "left_semi")
         small = small.select("b", "fp", "own").repartition("b").sortWithinPartitions("b", "fp")
-        part = small.mapInArrow(_link(radius), "a long, b long")
+        part = small.mapInArrow(_link(radius, every), "a long, b long")
         found = part if found is None else found.unionByName(part)
         if not some:
             break
@@ -319,11 +372,43 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, full: int = FULL) ->
     return classes(docs, radius, full).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
+def _similar(rows: DataFrame, similarity: float, radius: int, full: int) -> DataFrame:
+    """Links (a, b) between rows (k, text) whose sets of five-word shingles have a Jaccard similarity of `similarity` or more, of those whose fingerprints over pairs of words lie within `radius`."""
+    fps = checkpointed(rows.select("k", "text").mapInArrow(_shingles(VERIFIED, False), "k long, fp long, n long"))
+    near = links(fps.select("fp").distinct(), radius, full, every=True).distinct()
+    one, two = fps.select(F.col("k").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na")), fps.select(F.col("k").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+    apart = near.select(F.col("a").alias("x"), F.col("b").alias("y")).join(one, F.col("x") == F.col("fa")).join(two, F.col("y") == F.col("fb"))
+    same = one.join(two, (F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")))
+    alike = F.least("na", "nb") >= similarity * F.greatest("na", "nb")  # sets of other sizes can't be that similar
+    pairs = checkpointed(apart.where(alike).select("a", "b", "na", "nb").unionByName(same.where(alike).select("a", "b", "na", "nb")))
+    asked = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    sets = saved(rows.select("k", "text").join(asked, "k", "left_semi").mapInArrow(_shingles(VERIFIED, True), "k long, s array<bigint>"))
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, full: int = FULL, similarity: float | None = None, wide: int = WIDE) -> DataFrame:
     """One row of each class of near duplicates, with all columns: the one with the smallest doc_id (of repeated ids, with the smallest hash of its text).
 
-    The smallest of each fingerprint, then of each class, is found on ids and hashes alone, map-side first; texts move once.
+    With `similarity`, what is left is folded once more by `_similar` links, from candidates within `wide` bits.
     """
+    kept = _one_of_each(docs, radius, full)
+    if similarity is None:
+        return kept
+    last = (1 << 63) - 1
+    text = F.coalesce(F.col("r.text").cast("string"), F.lit(""))
+    # numbered once, and written with the numbers
+    rows = saved(kept.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("r")).select(F.monotonically_increasing_id().alias("k"), F.coalesce(F.col("r.doc_id").cast("long"), F.lit(last)).alias("d"), text.alias("text"), "r"))
+    classes = components(_similar(rows, similarity, wide, full))
+    order = rows.select("k", "d", F.xxhash64("text").alias("t")).join(classes, F.col("k") == F.col("id")).select("component", F.struct("d", "t", "k").alias("o"))
+    first = order.groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.k").alias("first"))
+    gone = classes.join(first, F.col("id") == F.col("first"), "left_anti").select(F.col("id").alias("k"))
+    return rows.join(gone, "k", "left_anti").select("r.*")
+
+
+def _one_of_each(docs: DataFrame, radius: int, full: int) -> DataFrame:
+    """The smallest of each fingerprint, then of each class, is found on ids and hashes alone, map-side first; texts move once."""
     last = (1 << 63) - 1
     fps = checkpointed(fingerprints(docs))
     named = _named(fps, radius, full)

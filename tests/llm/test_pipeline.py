@@ -1,15 +1,16 @@
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as Q
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from tessera.llm import packing, quality, secrets_scan
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_one_of_each
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,7 +56,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         if name == "quality":
             rows = [r for r in rows if score[r[0]] >= 0.3]
         elif name == "near_duplicates":
-            keep = {d for d, _, c in plain_components([(r[0], plain_fingerprint(r[1])) for r in rows]) if d == c}
+            keep = plain_one_of_each([(r[0], r[1]) for r in rows])
             rows = [r for r in rows if r[0] in keep]
         elif name == "decontamination":
             rows = plain_decontaminated(rows, items)
@@ -102,6 +103,11 @@ def test_odd_rows(spark, tmp_path):
             assert got == []
         packed = C.pack_sequences(spark, out, str(tmp_path)).collect()
         assert bool(packed) == bool(got)
-    scored = quality.score(docs, quality.fit(spark, str(tmp_path), docs)).collect()
+    weights = quality.fit(spark, str(tmp_path), docs)
+    good = C.keep_quality(spark, docs, str(tmp_path))
+    assert good.columns == docs.columns
+    score = quality.score(docs.withColumn("score", Q.lit(3)), weights).select("doc_id", Q.round("score", 9).alias("s")).collect()
+    assert Counter(r.doc_id for r in good.collect()) == Counter(r.doc_id for r in score if r.s >= 0.3)
+    scored = quality.score(docs, weights).collect()
     assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
     assert C.keep_quality(spark, empty, str(tmp_path)).collect() == []

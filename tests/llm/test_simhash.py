@@ -8,11 +8,11 @@ from tessera.llm import simhash as S
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, size=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -38,6 +38,60 @@ def plain_components(rows):
     return sorted(((d, f"{f:016x}", least.get(find(f))) for d, f in rows), key=str)
 
 
+def five_word_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def plain_one_of_each(rows, within=8):
+    """rows (doc_id, text) with distinct ids -> ids kept: of classes of three bits, then of links at 0.8 or more and `within` bits over pairs of words."""
+    left = {d for d, _, c in plain_components([(d, plain_fingerprint(t)) for d, t in rows]) if d == c}
+    own = sorted((d, five_word_shingles(t), plain_fingerprint(t, 2)) for d, t in rows if d in left)
+    root = {d: d for d, *_ in own}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (d, s, f) in enumerate(own):
+        for e, t, g in own[:i]:
+            if (f ^ g).bit_count() <= within and jaccard(s, t) >= 0.8:
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    return {d for d in left if find(d) == d}
+
+
+def test_one_of_each_similar(spark):
+    rng = np.random.default_rng(5)
+    texts = ["", "one", "one two", "one two three"]
+    for _ in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 3000, int(rng.integers(60, 300)))]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            w = list(base)
+            for i in rng.choice(len(w), max(1, int(len(w) * rng.choice([0.004, 0.01, 0.02, 0.06]))), replace=False):
+                w[int(i)] = "changed"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts, 3))
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, k int, r int").repartition(3)  # clashing names
+    got = S.one_of_each(docs, similarity=0.8)
+    assert got.columns == docs.columns
+    got = {r.doc_id for r in got.collect()}
+    assert got == plain_one_of_each(rows)
+    # of texts with a smaller one at 0.8 or more, nearly all go
+    sets = [five_word_shingles(t) for t in texts]
+    near = {d for d, _ in rows if any(jaccard(sets[d - 3], sets[e]) >= 0.8 for e in range(d - 3))}
+    assert len(near) > 40 and len(near & got) <= 0.05 * len(near)
+    odd = spark.createDataFrame([(None, None), (None, "a b c d e f"), (2, "a b c d e f"), (2, "x y z"), (2, "x y z")], "doc_id long, text string")
+    assert sorted(map(str, S.one_of_each(odd, similarity=0.8).collect())) == sorted(["Row(doc_id=None, text=None)", "Row(doc_id=2, text='a b c d e f')", "Row(doc_id=2, text='x y z')"])
+    assert S.one_of_each(odd.where("false"), similarity=0.8).collect() == []
+
+
 def test_texts(spark):
     rng = np.random.default_rng(1)
     base = [" ".join(f"w{k}" for k in rng.integers(0, 400, n)) for n in (0, 1, 2, 3, 40, 200, 5000)]
