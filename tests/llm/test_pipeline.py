@@ -9,7 +9,7 @@ from pyspark.sql import functions as Q
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from tessera.llm import packing, quality, secrets_scan
+from tessera.llm import packing, quality, secrets_scan, simhash
 from tests.llm.test_simhash import plain_one_of_each
 
 SF = "/root/testdata/sf0.001"
@@ -56,7 +56,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         if name == "quality":
             rows = [r for r in rows if score[r[0]] >= 0.3]
         elif name == "near_duplicates":
-            keep = plain_one_of_each([(r[0], r[1]) for r in rows])
+            keep = plain_one_of_each([(r[0], r[1]) for r in rows], simhash.WIDE)
             rows = [r for r in rows if r[0] in keep]
         elif name == "decontamination":
             rows = plain_decontaminated(rows, items)

@@ -47,7 +47,7 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def plain_one_of_each(rows, within=8):
+def plain_one_of_each(rows, within):
     """rows (doc_id, text) with distinct ids -> ids kept: of classes of three bits, then of links at 0.8 or more and `within` bits over pairs of words."""
     left = {d for d, _, c in plain_components([(d, plain_fingerprint(t)) for d, t in rows]) if d == c}
     own = sorted((d, five_word_shingles(t), plain_fingerprint(t, 2)) for d, t in rows if d in left)
@@ -81,9 +81,10 @@ def test_one_of_each_similar(spark):
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, k int, r int").repartition(3)  # clashing names
     got = S.one_of_each(docs, similarity=0.8)
     assert got.columns == docs.columns
-    got = {r.doc_id for r in got.collect()}
-    assert got == plain_one_of_each(rows)
-    # of texts with a smaller one at 0.8 or more, nearly all go
+    assert {r.doc_id for r in got.collect()} == plain_one_of_each(rows, S.WIDE)
+    got = {r.doc_id for r in S.one_of_each(docs, similarity=0.8, wide=8).collect()}
+    assert got == plain_one_of_each(rows, 8)
+    # of texts with a smaller one at 0.8 or more, nearly all go within eight bits
     sets = [five_word_shingles(t) for t in texts]
     near = {d for d, _ in rows if any(jaccard(sets[d - 3], sets[e]) >= 0.8 for e in range(d - 3))}
     assert len(near) > 40 and len(near & got) <= 0.05 * len(near)
