@@ -9,16 +9,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
+HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 CODE = re.compile(r"^(\d+(?:\.\d+)*)(?:[).:]|\s|$)")
+# Titles of what stands before the first heading, of a text without sections, and of an untitled beginning.
+PREFACE, WHOLE, OPENING = "Giới thiệu", "Nội dung", "Phần mở đầu"
 ABBREVIATIONS = ("e.g.", "i.e.", "Dr.", "Mr.", "Mrs.", "vs.", "No.", "etc.")
 
 
+#: White space within a line.
+BLANKS = " \t\r\f\v"
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -30,22 +37,25 @@ def with_headings(text: Column) -> Column:
 
 
 def clean(text: Column, noise: tuple[str, ...] = ()) -> Column:
-    """Drops page numbers, listed header and footer lines, and table-of-contents leaders; runs of blank lines become one."""
-    page = lambda x: F.trim(x).rlike(r"(?i)^(page\s+)?\d+(\s*(/|of)\s*\d+)?$")
-    leader = lambda x: F.contains(x, F.lit("...")) & x.rlike(r"[.·…_]{4,}\s*\d*\s*$")
-    drop = lambda x: page(x) | leader(x) | (F.trim(x).isin(*noise) if noise else F.lit(False))
+    """Drops page numbers (`Page 3`, `Trang 3`, `- 3 -`), `3 / 9`, lines in which a `noise` pattern is found, and table-of-contents leaders; runs of blank lines become one. A line of a number alone stays."""
+    bare = lambda x: F.btrim(x, F.lit(BLANKS))
+    page = lambda x: bare(x).rlike(r"(?i)^(trang|page|-)\s*\d{1,4}\s*-?$")
+    of = lambda x: bare(x).rlike(r"^\d+\s*/+\s*\d+$")
+    leader = lambda x: F.contains(x, F.lit("...")) & F.ltrim(bare(x), F.lit("# ")).rlike(r"[.•…]{4,}")
+    drop = lambda x: reduce(lambda a, p: a | bare(x).rlike(p), noise, page(x) | of(x) | leader(x))
     kept = F.filter(lines_of(text), lambda x: ~drop(x))
-    blank = lambda x: F.trim(x) == ""
+    blank = lambda x: bare(x) == ""
     once = F.filter(kept, lambda x, i: ~(blank(x) & (i > 0) & F.coalesce(blank(F.get(kept, i - 1)), F.lit(False))))
     return F.array_join(once, "\n")
 
 
-def parse_sections(text: str, strict_ids: bool = False, keep_empty: bool = False) -> list[dict]:
+def parse_sections(text: str, strict_ids: bool = False, keep_empty: bool = False, preface: str = PREFACE, whole: str = WHOLE) -> list[dict]:
     """Sections of a Markdown text.
 
     A heading closes those of its level or deeper. A section without a body is dropped (unless keep_empty) but stays an
-    ancestor. Ids count the sections emitted so far, so after a dropped heading a number is used again; strict_ids counts
-    headings as seen. Lines before the first heading are a preface; a text without sections is one section.
+    ancestor. Ids count, from 0, the sections emitted so far, so after a dropped heading a number is used again, and an ancestor of the same
+    id is left out of the breadcrumb; strict_ids counts headings as seen. Lines before the first heading, blank ones left out, are a section
+    titled `preface`; a text without sections is one, titled `whole`.
     """
     out: list[dict] = []
     stack: list[dict] = []
@@ -53,37 +63,81 @@ def parse_sections(text: str, strict_ids: bool = False, keep_empty: bool = False
     body: list[str] = []
     seen = 0
 
+    def made(level: int, title: str, above: list[dict]) -> dict:
+        code = CODE.match(title)
+        number = seen if strict_ids else len(out)
+        name = f"sec-{code[1].replace('.', '-')}-{number:04d}" if code else f"sec-{number:04d}"
+        crumbs = [x["title"] for x in above if x["section_id"] != name]
+        return {"section_id": name, "parent_section_id": above[-1]["section_id"] if above else None, "section_code": code[1] if code else None, "title": title, "level": level, "breadcrumb": [*crumbs, title]}
+
     def close() -> None:
-        content = "\n".join(body).strip()
-        if current is None:
-            if content:
-                out.append({"section_id": "sec-0000", "parent_section_id": None, "section_code": None, "title": "", "level": 0, "breadcrumb": [], "content": content})
-        elif content or keep_empty:
-            out.append({k: current[k] for k in ("section_id", "parent_section_id", "section_code", "title", "level", "breadcrumb")} | {"content": content})
-
-    for line in (text or "").split("\n"):
-        m = HEADING.match(line)
+        nonlocal seen
+        if current is not None:
+            content = "\n".join(body).strip()
+            if content or keep_empty:
+                out.append(current | {"content": content})
+        elif content := "\n".join(x for x in body if x.strip()).strip():
+            out.append(made(1, preface, []) | {"content": content})
+            seen += 1
+
+    for line in (text or "").splitlines():
+        m = HEADING.match(line.strip())
         if not m:
             body.append(line)
             continue
         close()
         body = []
-        level, title = len(m[1]), m[2]
+        level, title = len(m[1]), m[2].strip()
         while stack and stack[-1]["level"] >= level:
             stack.pop()
-        code = CODE.match(title)
-        number = (seen if strict_ids else len(out)) + 1
+        current = made(level, title, stack)
         seen += 1
-        name = f"sec-{code[1].replace('.', '-')}-{number:04d}" if code else f"sec-{number:04d}"
-        parent = stack[-1] if stack else None
-        current = {"section_id": name, "parent_section_id": parent["section_id"] if parent else None, "section_code": code[1] if code else None, "title": title, "level": level, "breadcrumb": [*(parent["breadcrumb"] if parent else []), title]}
         stack.append(current)
     close()
-    if not out and (text or "").strip():
-        out.append({"section_id": "sec-0001", "parent_section_id": None, "section_code": None, "title": "", "level": 1, "breadcrumb": [], "content": text.strip()})
+    if not out:
+        out.append({"section_id": "sec-0000", "parent_section_id": None, "section_code": None, "title": whole, "level": 1, "breadcrumb": [whole], "content": (text or "").strip()})
     return [s | {"order_index": i} for i, s in enumerate(out)]
 
 
+def parse_local(text: str, opening: str = OPENING) -> list[dict]:
+    """Sections of a Markdown text by place, those without a body too (their content is null).
+
+    The parent is the nearest section before it one level up, if that level is open. A text that begins without a heading has a first section titled by its first
+    line. Table rows are counted.
+    """
+    out: list[dict] = []
+    open_: dict[int, str] = {}
+    at_level: dict[int, int] = {}
+    for line in (text or "").split("\n") if text else ():
+        m = re.match(r"^(#{1,6})\s+(.+)$", line)
+        if m:
+            level, title = len(m[1]), m[2].strip()
+            open_ = {k: v for k, v in open_.items() if k < level} | {level: title}
+            above = at_level.get(level - 1) if level - 1 in open_ else None
+            at_level[level] = len(out)
+            out.append({"parent_section_id": None if above is None else f"sec_{above:04d}", "title": title, "level": level, "breadcrumb": [open_[k] for k in sorted(open_)], "content": "", "table_count": 0})
+            continue
+        if not out:
+            at_level[1] = 0
+            out.append({"parent_section_id": None, "title": line.strip()[:50] + "..." if line.strip() else opening, "level": 1, "breadcrumb": [], "content": "", "table_count": 0})
+        out[-1]["content"] += line + "\n"
+        out[-1]["table_count"] += bool(_TABLE.match(line))
+    return [s | {"section_id": f"sec_{i:04d}", "content": s["content"] or None, "order_index": i} for i, s in enumerate(out)]
+
+
+def local_sections(docs: DataFrame) -> DataFrame:
+    """`parse_local` of (document_id, text), one row a section."""
+    names = ["section_id", "parent_section_id", "title", "level", "breadcrumb", "content", "table_count", "order_index"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, *(s[n] for n in names)) for d, t in zip(batch["document_id"], batch["text"], strict=True) for s in parse_local(t)]
+            yield pd.DataFrame(rows, columns=["document_id", *names])
+
+    schema = "document_id long, section_id string, parent_section_id string, title string, level int, breadcrumb array<string>, content string, table_count int, order_index int"
+    return docs.select("document_id", "text").mapInPandas(run, schema)
+
+
 def sections(docs: DataFrame, strict_ids: bool = False, keep_empty: bool = False) -> DataFrame:
     """Sections of (document_id, text), one row each, in order_index."""
     names = ["section_id", "parent_section_id", "section_code", "title", "level", "breadcrumb", "content", "order_index"]

@@ -37,6 +37,10 @@ def ranked(scored: DataFrame, k: int, by: str | list[str], *order: Column, name:
     return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+#: Distinct query terms that are broadcast at most.
+QUERY_TERMS = 1 << 18
+
+
 def against(queries: DataFrame, corpus: DataFrame, score: Callable[[DataFrame], DataFrame], query_id: str = "query_id") -> DataFrame:
     """Every query against every row: queries are a stated set, broadcast in blocks of QUERY_BLOCK rows at most."""
     n = queries.count()
@@ -74,11 +78,19 @@ def corpus_stats(docs: DataFrame, terms: Column, key: str) -> tuple[DataFrame, D
 
 
 def bm25(queries: DataFrame, docs: DataFrame, terms: Column, key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of documents that share a term with a query (query_id, term: one row an occurrence)."""
-    sizes, df = corpus_stats(docs, terms, key)
+    """(query_id, key, score) of documents that share a term with a query (query_id, term: one row an occurrence).
+
+    Only occurrences of query terms leave a document's task, counted there first. Queries are a stated set; their distinct terms are
+    broadcast as long as there are QUERY_TERMS at most, and joined otherwise.
+    """
     q = queries.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # only postings of query terms go on
-    hits = term_counts(docs, terms, key).join(q, "term").join(df, "term").join(sizes, key)
+    asked = q.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= QUERY_TERMS else asked
+    each = docs.select(key, terms.alias("t")).select(key, F.size("t").cast("long").alias("dl"), "t")
+    total = each.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = each.select(key, "dl", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    hits = postings.join(q.join(df, "term"), "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = F.col("qtf") * idf * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", key).agg(F.sum(s).alias("score"))
@@ -179,3 +191,26 @@ def memoised(texts: DataFrame, memo: DataFrame, embed: Callable[[list[str]], lis
     new = keyed.join(memo, "h", "left_anti")
     made = embedded(new.groupBy("h").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "text"), embed).select(F.md5("text").alias("h"), "embedding")
     return known.unionByName(new.join(made, "h").select("id", "embedding"))
+
+
+def allowed_documents(tenants: DataFrame, access: DataFrame, documents: DataFrame) -> DataFrame:
+    """(tenant_id, document_id) that each tenant may read: by `access` (tenant_id, document_id); where it has nothing for a tenant, the tenant's own `documents` (document_id, tenant_id); for a null tenant, all."""
+    given = tenants.join(access, "tenant_id").select("tenant_id", "document_id")
+    own = tenants.join(access, "tenant_id", "left_anti").join(documents, "tenant_id").select("tenant_id", "document_id")
+    every = documents.select(F.lit(None).cast("long").alias("tenant_id"), "document_id").join(tenants.where("tenant_id IS NULL").limit(1).select(), how="left_semi")
+    return given.unionByName(own).unionByName(every).distinct()
+
+
+def expanded(sections: DataFrame, children: int = 5, siblings: int = 4, short: int = 200) -> DataFrame:
+    """(document_id, section_id, text): a section's text with those of its first children; where that is still short, with its first siblings' too. Each has its title above it."""
+    s = sections.select("document_id", "section_id", "parent_section_id", "order_index", "title", F.coalesce("content", F.lit("")).alias("content"))
+    under = s.where("parent_section_id IS NOT NULL").withColumnRenamed("section_id", "own").withColumn("n", F.row_number().over(W.partitionBy("document_id", "parent_section_id").orderBy("order_index")))
+    # a family's first rows are all that is needed: one more than `siblings`, since a section isn't its own sibling
+    family = under.where(F.col("n") <= max(children, siblings + 1)).groupBy("document_id", F.col("parent_section_id").alias("p")).agg(F.array_sort(F.collect_list(F.struct("order_index", "own", "title", "content"))).alias("m"))
+    joined = lambda m: F.array_join(F.transform(m, lambda x: F.concat(F.lit("\n"), x["title"], F.lit("\n"), x["content"])), "")
+    family = family.select(F.col("document_id").alias("d"), "p", "m")
+    a = s.join(family, (F.col("document_id") == F.col("d")) & (F.col("section_id") == F.col("p")), "left").select("document_id", "section_id", "parent_section_id", F.concat("content", F.coalesce(joined(F.slice("m", 1, children)), F.lit(""))).alias("text"))
+    others = F.slice(F.filter("m", lambda x: x["own"] != F.col("section_id")), 1, siblings)
+    b = a.join(family, (F.col("document_id") == F.col("d")) & (F.col("parent_section_id") == F.col("p")), "left")
+    more = F.when(F.length(F.btrim("text", F.lit(" \n"))) < short, joined(others))
+    return b.select("document_id", "section_id", F.concat("text", F.coalesce(more, F.lit(""))).alias("text"))

@@ -59,21 +59,39 @@ def t05(v):
     return s.select("document_id", F.col("order_index").cast("long").alias("k"), "title", F.col("level").cast("long").alias("level"), "content")
 
 
-@query("t02_section_parse", f"{_SECTION} SELECT document_id, count(*) AS sections, CAST(sum(length(content)) AS BIGINT) AS chars FROM b WHERE content <> '' GROUP BY 1")
+_CRUMBS = "array_to_string(list_transform(range(s - level + 1, s + 1), lambda j: j || ' Section'), ' > ')"
+
+
+@query(
+    "t02_section_parse",
+    f"""{_SECTION}, e AS (SELECT document_id, CAST(s AS BIGINT) AS s, CAST(level AS BIGINT) AS level, content, CAST(coalesce(sum(CASE WHEN content <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS k FROM b),
+ x AS (SELECT *, 'sec-' || s || '-' || printf('%04d', k) AS id FROM e), y AS (SELECT *, lag(id) OVER (PARTITION BY document_id ORDER BY s) AS above FROM x)
+ SELECT document_id, k AS order_index, id AS section_id, CASE WHEN level > 1 THEN above END AS parent_section_id, CAST(s AS VARCHAR) AS section_code, s || ' Section' AS title, level, {_CRUMBS} AS breadcrumb, content FROM y WHERE content <> ''
+ UNION ALL SELECT document_id, 0, 'sec-0000', NULL, NULL, 'Nội dung', 1, 'Nội dung', trim(coalesce(text, ''), chr(10) || ' ' || chr(9)) FROM m WHERE document_id NOT IN (SELECT document_id FROM b WHERE content <> '')""",
+)
 def t02(v):
-    return M.sections(markdown(v)).groupBy("document_id").agg(F.count("*").alias("sections"), F.sum(F.length("content")).alias("chars"))
+    s = M.sections(markdown(v))
+    return s.select("document_id", F.col("order_index").cast("long").alias("order_index"), "section_id", "parent_section_id", "section_code", "title", F.col("level").cast("long").alias("level"), F.array_join("breadcrumb", " > ").alias("breadcrumb"), "content")
 
 
-@query("t04_section_parse_keep_empty")
+@query(
+    "t04_section_parse_keep_empty",
+    rf"""{_HEAD}, n AS (SELECT *, CAST(sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY i) AS BIGINT) AS s FROM h),
+ b AS (SELECT document_id, s, CAST(max(level) FILTER (heading) AS BIGINT) AS level, string_agg(line || chr(10), '' ORDER BY i) FILTER (NOT heading) AS content, count(*) FILTER (NOT heading AND regexp_matches(line, '^\s*\|.*\|\s*$')) AS table_count FROM n GROUP BY 1, 2)
+ SELECT document_id, s - 1 AS order_index, 'sec_' || printf('%04d', s - 1) AS section_id, CASE WHEN level > 1 THEN 'sec_' || printf('%04d', s - 2) END AS parent_section_id, s || ' Section' AS title, level, {_CRUMBS} AS breadcrumb, content, table_count FROM b""",
+)
 def t04(v):
-    return M.sections(markdown(v), keep_empty=True)
+    s = M.local_sections(markdown(v))
+    long = [F.col(n).cast("long").alias(n) for n in ("order_index", "level", "table_count")]
+    return s.select("document_id", *long, "section_id", "parent_section_id", "title", F.array_join("breadcrumb", " > ").alias("breadcrumb"), "content")
 
 
 @query("t01_markdown_clean", r"""
-WITH k AS (SELECT doc_id, list_filter(string_split(CAST(doc_id AS VARCHAR) || chr(10) || text || chr(10) || 'Contents .......... 12' || chr(10) || 'Page 3 of 9' || chr(10) || chr(10) || chr(10) || 'end', chr(10)), lambda x: NOT regexp_matches(trim(x), '(?i)^(page\s+)?\d+(\s*(/|of)\s*\d+)?$') AND NOT (contains(x, '...') AND regexp_matches(x, '[.·…_]{4,}\s*\d*\s*$'))) AS a FROM documents)
-SELECT doc_id, array_to_string(list_filter(a, lambda x, i: NOT (trim(x) = '' AND i > 1 AND trim(coalesce(a[i - 1], 'x')) = '')), chr(10)) AS cleaned FROM k""")
+WITH k AS (SELECT doc_id, list_filter(string_split(CAST(doc_id AS VARCHAR) || chr(10) || text || chr(10) || '## Contents .......... 12' || chr(10) || 'Page 3' || chr(10) || 'page 3 of 9' || chr(10) || ' - 7 - ' || chr(10) || '3 / 9' || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || 'end', chr(10)),
+  lambda x: NOT regexp_matches(trim(x, e' \t\r\f\v'), '(?i)^(trang|page|-)\s*\d{1,4}\s*-?$') AND NOT regexp_matches(trim(x, e' \t\r\f\v'), '^\d+\s*/+\s*\d+$') AND NOT (contains(x, '...') AND regexp_matches(ltrim(trim(x, e' \t\r\f\v'), '# '), '[.•…]{4,}'))) AS a FROM documents)
+SELECT doc_id, array_to_string(list_filter(a, lambda x, i: NOT (trim(x, e' \t\r\f\v') = '' AND i > 1 AND trim(coalesce(a[i - 1], 'x'), e' \t\r\f\v') = '')), chr(10)) AS cleaned FROM k""")
 def t01(v):
-    t = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nContents .......... 12\nPage 3 of 9\n\n\nend"))
+    t = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n## Contents .......... 12\nPage 3\npage 3 of 9\n - 7 - \n3 / 9\n\n \n\nend"))
     return v.table("documents").select("doc_id", M.clean(t).alias("cleaned"))
 
 

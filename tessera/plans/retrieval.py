@@ -54,10 +54,17 @@ def p11d(v):
     return v.chunks.where(chunk_filter()).select("node_id")
 
 
-@query("v14_allowed_documents", "SELECT DISTINCT document_id FROM v_access WHERE tenant_id = 3 UNION SELECT id FROM v_documents WHERE tenant_id = 3 AND deleted_at IS NULL")
+@query(
+    "v14_allowed_documents",
+    """WITH t(tenant_id) AS (VALUES (3), (1003), (NULL)), a AS (SELECT DISTINCT tenant_id, document_id FROM v_access), d AS (SELECT id AS document_id, tenant_id FROM v_documents WHERE deleted_at IS NULL)
+ SELECT t.tenant_id, document_id FROM t JOIN a USING (tenant_id)
+ UNION SELECT t.tenant_id, document_id FROM t JOIN d USING (tenant_id) WHERE t.tenant_id NOT IN (SELECT tenant_id FROM a)
+ UNION SELECT NULL, document_id FROM d""",
+)
 def v14(v):
-    own = v.documents.where("tenant_id = 3 AND deleted_at IS NULL").select(F.col("id").alias("document_id"))
-    return v.access.where("tenant_id = 3").select("document_id").unionByName(own).distinct()
+    """What tenants 3 and 1003 and a caller without a tenant may read: documents of the access table; of a tenant that has none there, its own; without a tenant, all."""
+    asked = v.spark.createDataFrame([(3,), (1003,), (None,)], "tenant_id long")
+    return R.allowed_documents(asked, v.access.select("tenant_id", "document_id"), v.documents.where("deleted_at IS NULL").select(F.col("id").alias("document_id"), "tenant_id"))
 
 
 _T = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(replace(lower(text), chr(10), ' '), '[^\p{L}\p{M}\p{N}_\s.,-]', ' ', 'g'), '[.,_-]', ' ', 'g'), '\s+'), lambda w: length(w) > 1 AND w NOT IN ('the', 'a', 'of', 'and', 'is'))"
@@ -274,11 +281,15 @@ def j14(v):
     return R.ranked(both, 4, ["document_id", "section_id"], F.col("order_index")).select("document_id", "section_id", "sibling")
 
 
-@query("v17_expansion", "SELECT p.document_id, p.section_id, p.content || coalesce(chr(10) || string_agg(c.content, chr(10) ORDER BY c.order_index), '') AS text FROM v_sections p LEFT JOIN v_sections c ON c.document_id = p.document_id AND c.parent_section_id = p.section_id GROUP BY p.document_id, p.section_id, p.content")
+@query(
+    "v17_expansion",
+    """WITH s AS (SELECT document_id, section_id, parent_section_id, order_index, title, coalesce(content, '') AS content FROM v_sections), r AS (SELECT *, row_number() OVER (PARTITION BY document_id, parent_section_id ORDER BY order_index) AS n FROM s WHERE parent_section_id IS NOT NULL),
+ a AS (SELECT p.document_id, p.section_id, p.parent_section_id, p.content || coalesce(string_agg(chr(10) || c.title || chr(10) || c.content, '' ORDER BY c.order_index) FILTER (c.n <= 5), '') AS text FROM s p LEFT JOIN r c ON c.document_id = p.document_id AND c.parent_section_id = p.section_id GROUP BY 1, 2, 3, p.content),
+ g AS (SELECT a.document_id, a.section_id, c.title, c.content, c.order_index, row_number() OVER (PARTITION BY a.document_id, a.section_id ORDER BY c.order_index) AS n FROM a JOIN r c ON c.document_id = a.document_id AND c.parent_section_id = a.parent_section_id AND c.section_id <> a.section_id WHERE length(trim(a.text, e' \\n')) < 200)
+ SELECT a.document_id, a.section_id, a.text || coalesce(string_agg(chr(10) || g.title || chr(10) || g.content, '' ORDER BY g.order_index) FILTER (g.n <= 4), '') AS text FROM a LEFT JOIN g ON g.document_id = a.document_id AND g.section_id = a.section_id GROUP BY 1, 2, a.text""",
+)
 def v17(v):
-    c = v.sections.where("parent_section_id IS NOT NULL").groupBy("document_id", F.col("parent_section_id").alias("section_id")).agg(F.array_sort(F.collect_list(F.struct("order_index", "content"))).alias("c"))
-    more = F.concat(F.lit("\n"), F.array_join(F.transform("c", lambda x: x["content"]), "\n"))
-    return v.sections.join(c, ["document_id", "section_id"], "left").select("document_id", "section_id", F.concat("content", F.coalesce(more, F.lit(""))).alias("text"))
+    return R.expanded(v.sections)
 
 
 @query("j17_query_corpus", f"SELECT query_id, count(*) AS pairs, round(max({_COS}), 6) AS best FROM v_chunks c, {_Q} q GROUP BY 1")
@@ -311,11 +322,18 @@ def t32(v):
     return v.messages.where("role = 'user' AND trim(content) <> ''").groupBy("conversation_id").agg(F.max_by("content", "turn").alias("question"))
 
 
-@query("t33_retrieval_queries", "SELECT conversation_id, list(n ORDER BY turn DESC)[1:3] AS sizes FROM (SELECT conversation_id, turn, CAST(length(content) AS BIGINT) AS n FROM v_messages WHERE role = 'user') m GROUP BY 1")
+@query(
+    "t33_retrieval_queries",
+    """WITH m AS (SELECT conversation_id, turn, trim(content, e' \\n\\t') AS q, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS r FROM v_messages WHERE role = 'user' AND trim(content, e' \\n\\t') <> ''),
+ d AS (SELECT conversation_id, q, min(CASE WHEN r = 1 THEN 0 ELSE turn + 1 END) AS place FROM m WHERE r <= 3 GROUP BY 1, 2) SELECT conversation_id, array_to_string(list(q ORDER BY place), ' | ') AS queries FROM d GROUP BY 1""",
+)
 def t33(v):
-    newest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("turn", "content")))), lambda s: s["content"])
-    g = v.messages.where("role = 'user'").groupBy("conversation_id").agg(F.slice(newest, 1, 3).alias("q"))
-    return g.select("conversation_id", F.transform("q", lambda x: F.length(x).cast("long")).alias("sizes"))
+    """The latest question, then the two before it, oldest first, each text once."""
+    q = F.btrim("content", F.lit(" \n\t"))
+    last = R.ranked(v.messages.where("role = 'user'").select("conversation_id", "turn", q.alias("q")).where("q <> ''"), 3, "conversation_id", F.desc("turn"))
+    place = F.when(F.col("rank") == 1, 0).otherwise(F.col("turn") + 1)
+    g = last.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "q"))).alias("m"))
+    return g.select("conversation_id", F.array_join(F.array_distinct(F.transform("m", lambda s: s["q"])), " | ").alias("queries"))
 
 
 @query("t34_history_window", "SELECT conversation_id, turn FROM (SELECT conversation_id, turn, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS r FROM v_messages) x WHERE r <= 6")
@@ -353,11 +371,10 @@ def k19(v):
 @query("v18_semantic_cache", f"SELECT query_id, node_id AS hit FROM ({_dense(1, 'c.node_id % 20 <> 0 AND c.document_id % 2 = q.query_id // 20 % 2')}) d WHERE 1 - score <= 0.95")
 def v18(v):
     """Nearest entry of the same tenant, if its distance is within the threshold."""
-    def nearest(pairs):
-        s = pairs.where("document_id % 2 = query_id div 20 % 2").select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
-        return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id"))
-
-    return R.against(queries(v), v.chunks.where("node_id % 20 <> 0"), nearest).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
+    q = queries(v).withColumn("tenant", F.expr("query_id div 20 % 2"))
+    entries = v.chunks.where("node_id % 20 <> 0").withColumn("tenant", F.expr("document_id % 2"))
+    s = entries.join(q, "tenant").select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id")).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
 
 
 @query("v19_cache_delta", "SELECT node_id, CASE WHEN node_id % 5 = 1 THEN 7 ELSE 1 END AS ttl_days FROM v_chunks WHERE node_id % 5 <> 0")

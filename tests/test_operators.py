@@ -23,17 +23,31 @@ def one(spark, c):
 def test_sections_preface_dropped_reused_fallback():
     s = M.parse_sections("intro\n\n# A\n## B\ntext b\n# C\n### D\ntext d\n## E\ntext e")
     assert [(x["section_id"], x["title"], x["parent_section_id"], x["breadcrumb"]) for x in s] == [
-        ("sec-0000", "", None, []),
-        ("sec-0002", "B", "sec-0002", ["A", "B"]),  # A had no body, so its number came again
-        ("sec-0003", "D", "sec-0003", ["C", "D"]),
-        ("sec-0004", "E", "sec-0003", ["C", "E"]),
+        ("sec-0000", "Giới thiệu", None, ["Giới thiệu"]),
+        ("sec-0001", "B", "sec-0001", ["B"]),  # A had no body, so its number came again, and it isn't told from B
+        ("sec-0002", "D", "sec-0002", ["D"]),
+        ("sec-0003", "E", "sec-0002", ["C", "E"]),
     ]
     strict = M.parse_sections("# A\n## B\ntext b", strict_ids=True)
-    assert [(x["section_id"], x["parent_section_id"]) for x in strict] == [("sec-0002", "sec-0001")]
-    assert M.parse_sections("") == [] and M.parse_sections(None) == []
+    assert [(x["section_id"], x["parent_section_id"]) for x in strict] == [("sec-0001", "sec-0000")]
+    assert [(x["title"], x["level"], x["content"]) for t in ("", None) for x in M.parse_sections(t)] == [("Nội dung", 1, "")] * 2
+    assert [(x["title"], x["level"], x["content"]) for x in M.parse_sections("one\n\n two\n  ## In # it ##  \nbody")] == [("Giới thiệu", 1, "one\n two"), ("In # it ##", 2, "body")]
     assert [x["content"] for x in M.parse_sections("# only\n## headings")] == ["# only\n## headings"]
     coded = M.parse_sections("# 1.2) Title\nbody")
-    assert (coded[0]["section_code"], coded[0]["section_id"]) == ("1.2", "sec-1-2-0001")
+    assert (coded[0]["section_code"], coded[0]["section_id"]) == ("1.2", "sec-1-2-0000")
+
+
+def test_local_sections():
+    s = M.parse_local("| a | b |\n\n# A\n### C\ntext\n## B\n| x |\n### D\n#no heading\n# Z")
+    assert [(x["section_id"], x["title"], x["level"], x["parent_section_id"], x["breadcrumb"], x["content"], x["table_count"]) for x in s] == [
+        ("sec_0000", "| a | b |...", 1, None, [], "| a | b |\n\n", 1),
+        ("sec_0001", "A", 1, None, ["A"], None, 0),
+        ("sec_0002", "C", 3, None, ["A", "C"], "text\n", 0),
+        ("sec_0003", "B", 2, "sec_0001", ["A", "B"], "| x |\n", 1),
+        ("sec_0004", "D", 3, "sec_0003", ["A", "B", "D"], "#no heading\n", 0),
+        ("sec_0005", "Z", 1, None, ["Z"], None, 0),
+    ]
+    assert M.parse_local("") == M.parse_local(None) == [] and [x["title"] for x in M.parse_local("\nx")] == ["Phần mở đầu"]
 
 
 def test_blocks_and_chunks():
@@ -51,8 +65,8 @@ def test_sentences():
 
 
 def test_clean(spark):
-    text = "Title\n12\nChapter ........ 7\na\n\n\n\nb"
-    assert one(spark, M.clean(F.lit(text))) == "Title\na\n\nb"
+    text = "Title\n12\nPage 4\n- 5 -\n3 // 9\nFooter 1\nChapter ........ 7\na\n\n\t\n\nb"
+    assert one(spark, M.clean(F.lit(text), ("Foo.er",))) == "Title\n12\na\n\nb"
 
 
 def test_progress():
