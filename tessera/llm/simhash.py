@@ -334,7 +334,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, full: int = FULL, every: bool
     rows = nodes.select("fp").mapInArrow(_signatures(groups, t), schema)
     found = None
     for _ in range(64):  # each round fixes at least one more bit of a full key
-        rows = saved(rows)
+        rows = saved(rows) if every else checkpointed(rows)
         sizes = rows.groupBy("b").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some")
         large = sizes.where(F.col("n") > full).select("b")
         some = not large.isEmpty()
