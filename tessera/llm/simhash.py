@@ -401,9 +401,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, full: int = FULL, similar
     last = (1 << 63) - 1
     text = F.coalesce(F.col("r.text").cast("string"), F.lit(""))
     # numbered once, and written with the numbers
-    rows = saved(kept.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("r")).select(F.monotonically_increasing_id().alias("k"), F.coalesce(F.col("r.doc_id").cast("long"), F.lit(last)).alias("d"), text.alias("text"), "r"))
-    classes = components(_similar(rows, similarity, wide, full))
-    order = rows.select("k", "d", F.xxhash64("text").alias("t")).join(classes, F.col("k") == F.col("id")).select("component", F.struct("d", "t", "k").alias("o"))
+    rows = saved(kept.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("r")).select(F.monotonically_increasing_id().alias("k"), "r"))
+    classes = components(_similar(rows.select("k", text.alias("text")), similarity, wide, full))
+    order = rows.select("k", F.coalesce(F.col("r.doc_id").cast("long"), F.lit(last)).alias("d"), F.xxhash64(text).alias("t")).join(classes, F.col("k") == F.col("id")).select("component", F.struct("d", "t", "k").alias("o"))
     first = order.groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.k").alias("first"))
     gone = classes.join(first, F.col("id") == F.col("first"), "left_anti").select(F.col("id").alias("k"))
     return rows.join(gone, "k", "left_anti").select("r.*")
