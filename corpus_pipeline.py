@@ -20,21 +20,17 @@ from tessera.llm import decontaminate, packing, quality, secrets_scan, simhash
 from tessera.llm._spark import saved
 
 
-#: Jaccard similarity of five-word shingles from which documents are near duplicates.
-SIMILARITY = 0.8
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. Null and empty texts score the intercept; with no usable label every score is 0.5, so all stay."""
     return quality.keep_good(docs, quality.fit(spark, sf_dir, docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id: first of fingerprints within three bits, then of
-    texts whose five-word shingles have a similarity of 0.8 or more. Null and empty texts are duplicates of each other; of rows that repeat an
-    id and a text one stays, of rows that repeat an id with other texts each group's.
+    """One document of each group of near duplicates, the one with the smallest id: fingerprints that links of three bits
+    connect. Null and empty texts are duplicates of each other; of rows that repeat an id and a text one stays, of rows that repeat an
+    id with other texts each group's.
     """
-    return simhash.one_of_each(docs, similarity=SIMILARITY)
+    return simhash.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
