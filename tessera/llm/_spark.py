@@ -17,12 +17,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): for each id in `links` (a, b; longs), the smallest id that it reaches.
+def components(links: DataFrame, hubs: bool = False) -> DataFrame:
+    """(id, component): for each id in `links` (a, b; of any type that has an order), the smallest id that it reaches.
 
     Alternates the large-star and small-star steps over min-labels: both aggregate first (map-side) and join back,
     so a centre with many links is only a skewed join, which Spark splits. Lineage is cut in each round; the driver
-    sees two numbers a round.
+    sees two numbers a round. hubs: ids with very many links are to be expected, so the aggregate that they join is written first;
+    Spark splits only joins of plain exchanges.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -33,6 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        if hubs:
+            least = checkpointed(least)
         # large star: every larger neighbour of a goes to the least around a
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a and its smaller neighbours go to the least of these
