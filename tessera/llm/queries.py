@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL that gives the same rows, by name."""
 
-from tessera.llm import chat_format, decontaminate, flac, lattice_lm, license_scan, packing, quality, secrets_scan, simhash, spelling, suffix_dedup, url_filters
+from tessera.llm import chat_format, conversation_repair, decontaminate, flac, lattice_lm, license_scan, packing, quality, secrets_scan, simhash, spelling, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_lattice_lm": lattice_lm.op1_lattice_lm,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_licenses": license_scan.op10_licenses,
     "op11_url_filters": url_filters.op11_url_filters,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_spelling": spelling.op13_spelling,
 }
 
