@@ -4,7 +4,8 @@ Only lengths matter to a packing, so it is planned on the histogram of lengths:
 however many documents there are. Bins of one content are one class with a multiplicity. Best fit (longest first)
 builds classes; local search then moves documents, and exchanges one for one or two for one, from the
 emptiest bins to fuller ones, each step raising the sum of squared fills, until the lower bound is met or no exchange is left
-(it ends, since that sum can't rise for ever). The plan says which
+(it ends, since that sum can't rise for ever), or CLASSES classes are open: the plan is broadcast, so its size is bounded; the packing
+found until then is whole and valid. The plan says which
 ranks of each length go to which sequences and offsets. Pieces find their ranks from counts by partition and length,
 so nothing but small rows is shuffled, no key holds more than one partition's rows, and no task sees all pieces.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -38,13 +40,20 @@ from tessera.llm import _text as X
 from tessera.llm._spark import checkpointed
 
 SEQUENCE = 2048
+#: White space as the vocabulary's pattern has it, and how long a run has to be to be cut out before the pattern sees it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 10_000
 #: Classes of bins from which the search stops opening more: the bound of the plan, which is broadcast.
 CLASSES = 1 << 17
 
 
 @cache
 def encoder(path: str | None = None, json_path: str | None = None) -> Callable[[str], list[int]]:
-    """The vocabulary's encoder; path: its file in rank form, json_path: that with its special tokens."""
+    """The vocabulary's encoder; path: its file in rank form, json_path: that with its special tokens.
+
+    The pattern that splits texts looks ahead after white space, for which its engine needs a stack as deep as the run is long. So long runs
+    are cut out by the pattern's own rule: at the end of a text a run is one unit, before other characters all but its last character is.
+    """
     import public_tokenizers
     import tiktoken
 
@@ -54,10 +63,25 @@ def encoder(path: str | None = None, json_path: str | None = None) -> Callable[[
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    names = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    white = re.compile(f"[{WHITE}]+")
+
+    def plain(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return encoding.encode_ordinary(text)
+        ids, done = [], 0
+        for run in white.finditer(text):
+            if run.end() - run.start() >= LONG_RUN:
+                end = run.end() if run.end() == len(text) else run.end() - 1
+                ids += encoding.encode_ordinary(text[done : run.start()])
+                ids += encoding._encode_single_piece(text[run.start() : end])
+                done = end
+        return ids + encoding.encode_ordinary(text[done:])
+
     def encode(text: str) -> list[int]:
-        if any(t in text for t in special):
-            return encoding.encode(text, allowed_special="all")
-        return encoding.encode_ordinary(text)
+        if names is None or not any(t in text for t in special):
+            return plain(text)
+        return [i for part in names.split(text) for i in ([special[part]] if part in special else plain(part))]
 
     return encode
 

@@ -40,9 +40,19 @@ def test_cuts():
     assert P.cuts(5000) == [(0, 904), (904, 2952), (2952, 5000)]
 
 
+def test_long_runs_of_white_space():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 2_000_000
+    runs = [" " * n, "\n" * n, "\t" * n, " \n\u3000\t\x85" * (n // 5)]
+    texts = [runs[0], runs[1], "a" + runs[0] + "b", "a." + runs[1] + "b", runs[2] + "7", "x" + runs[3] + "-", runs[3] + "<|endoftext|>" + runs[0] + "y<|endoftext|>", "a\x1c" * 20_000 + " " * 9_999 + "b" + " " * 10_000 + "é"]
+    for text in texts:
+        assert P.encoder()(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_whole(spark):
     rng = np.random.default_rng(3)
     texts = [None, "", "a", "<|endoftext|> x", "Ünïcödé  \n\n it's 12,5 €", "z" * 30_000, "the same"] + ["the same"] * 5
+    texts += [" " * 1_200_000 + "x", "\n\t" * 600_000]
     texts += [" ".join(f"w{k}" for k in rng.integers(0, 99, n)) for n in rng.integers(1, 3000, 60)]
     rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, "no id", 1), (3, "again", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(5)
