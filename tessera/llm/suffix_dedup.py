@@ -483,6 +483,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def with_flags(rows: DataFrame, flags: DataFrame) -> DataFrame:
+    """doc, th, flags, text: the rows of flagged texts. The flags of a text are written first, so that the join is one of plain exchanges, and Spark
+    splits the rows of a text with very many copies over tasks.
+    """
+    per_text = saved(flags.groupBy(F.col("th").alias("own")).agg(F.collect_list("flags").alias("flags")))
+    return rows.select("doc", "th", "text").join(per_text, F.col("th") == F.col("own")).select("doc", "th", "flags", "text")
+
+
 def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_KEYS, remembered: int = REMEMBERED, slice_bytes: int = X.SLICE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (maximal runs of bytes, end exclusive) and kept_sha256 of every row. The other parameters change the plan, not the rows."""
     rows = X.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
@@ -495,9 +503,7 @@ def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_K
     # a flagged anchor has one stretch of a text at least, of up to 2 * LENGTH - GRAM bytes, and what belongs to it
     n = flags.agg(F.sum(F.octet_length("flags").cast("long") / 8)).first()[0] or 0
     arrays = max(16, -(-int(n) * (2 * LENGTH) // ARRAY_BYTES))
-    per_text = flags.groupBy(F.col("th").alias("own")).agg(F.collect_list("flags").alias("flags"))
-    flagged = rows.select("doc", "th", "text").join(per_text, F.col("th") == F.col("own")).select("doc", "th", "flags", "text")
-    stretches = flagged.mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, th binary, pos binary, size binary, bytes binary")
+    stretches = with_flags(rows, flags).mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, th binary, pos binary, size binary, bytes binary")
     repeats = saved(stretches.groupBy("bucket").applyInArrow(_repeats, "doc long, th long, spans binary"))
     by_doc = repeats.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list("spans").alias("spans"))
     whole = rows.join(by_doc, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "spans", "text")

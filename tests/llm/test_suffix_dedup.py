@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import suffix_dedup as S
 
@@ -72,3 +73,20 @@ def test_against_brute_force(spark, tmp_path, slice_bytes, hot, keys, remembered
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert S.op2_suffix_dedup(spark, str(tmp_path)).collect() == []
+
+
+def test_copies_of_one_text_are_split(spark):
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(97, 123, 70_000)))
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(300).select(F.col("id").alias("doc"), F.lit(7).cast("long").alias("th"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).repartition(6)
+        others = spark.range(40).select((F.col("id") + 300).alias("doc"), (F.col("id") + 100).alias("th"), F.lit("short").alias("text"))
+        flags = rows.unionByName(others).select("th", F.lit(b"\x01").alias("flags")).distinct()
+        parts = S.with_flags(rows.unionByName(others), flags).where("th = 7").groupBy(F.spark_partition_id()).agg(F.count("*"), F.max(F.xxhash64("text"))).collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert sum(p[1] for p in parts) == 300 and max(p[1] for p in parts) < 150
