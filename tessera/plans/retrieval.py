@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import orchestration as O
 from tessera.operators import retrieval as R
 from tessera.operators.scope import chunk_filter
 from tessera.plans.registry import query
@@ -193,9 +194,42 @@ def v09(v):
     return v.sections.select("document_id", "section_id", F.coalesce(window, F.col("content")).alias("text"))
 
 
-@query("v10_bi_encoder_rerank", f"SELECT query_id, node_id, score FROM (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM ({_dense(20, 'c.node_id % 2 = 0')}) d) x WHERE r <= 5")
+def shape(texts: list[str]) -> list[list[float]]:
+    """The embedder of these queries: a text's length, its letters e, its spaces, and 1. It fails for questions of 7k + 3 characters, and returns a vector too few for 7k + 5."""
+    if len(texts[0]) % 7 == 3:
+        raise RuntimeError("no answer")
+    vectors = [[float(len(t)), float(t.count("e")), float(t.count(" ")), 1.0] for t in texts]
+    return vectors[:-1] if len(texts[0]) % 7 == 5 else vectors
+
+
+def _shape(t):
+    return f"[CAST(length({t}) AS DOUBLE), CAST(length({t}) - length(replace({t}, 'e', '')) AS DOUBLE), CAST(length({t}) - length(replace({t}, ' ', '')) AS DOUBLE), 1.0]"
+
+
+_SAME = f"round(list_cosine_similarity(CAST({_shape('question')} AS DOUBLE[]), CAST({_shape('text')} AS DOUBLE[])), 6)"
+_NODES = """(SELECT c.node_id, c.document_id, c.section_id, coalesce(nullif(trim(content), ''), 'node ' || c.node_id) AS text, CASE WHEN c.section_id % 2 = 0 THEN title || ': ' || content END AS win
+ FROM v_chunks c LEFT JOIN v_sections s ON s.document_id = c.document_id AND s.order_index = c.section_id)"""
+
+
+def chunk_texts(v):
+    """A chunk's text is its section's; even sections have a window."""
+    s = v.sections.select("document_id", F.col("order_index").alias("section_id"), "title", "content")
+    own = F.coalesce(F.nullif(F.trim("content"), F.lit("")), F.concat(F.lit("node "), F.col("node_id").cast("string")))
+    window = F.when(F.col("section_id") % 2 == 0, F.concat("title", F.lit(": "), "content"))
+    return v.chunks.select("node_id", "document_id", "section_id").join(s, ["document_id", "section_id"], "left").select("node_id", own.alias("text"), window.alias("window"))
+
+
+@query(
+    "v10_bi_encoder_rerank",
+    f"""WITH h AS (SELECT d.query_id, d.node_id, d.score, d.rank, n.text, q.text AS question FROM ({_dense(20)}) d JOIN {_NODES} n ON n.node_id = d.node_id JOIN v_questions q ON q.query_id = d.query_id),
+ r AS (SELECT *, length(question) % 7 IN (3, 5) AS kept, {_SAME} AS new FROM h), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN kept THEN -rank ELSE new END DESC, rank) AS place FROM r)
+ SELECT query_id, node_id, CASE WHEN kept THEN score ELSE new END AS score, place FROM o WHERE place <= 5 OR length(question) % 7 = 3""",
+)
 def v10(v):
-    return R.ranked(dense(v, 20, v.chunks.where("node_id % 2 = 0")), 5, "query_id", F.desc("score"), F.col("node_id"), name="r").select("query_id", "node_id", "score")
+    """Scores by the embedder, the best five of each query; a query for which it fails keeps all its hits, one for which vectors are missing its first five."""
+    h = dense(v, 20).select("query_id", "node_id", "score", F.col("rank").alias("place"))
+    h = h.join(chunk_texts(v).select("node_id", "text"), "node_id").join(v.questions.select("query_id", F.col("text").alias("question")), "query_id")
+    return O.reranked(h, shape, 5).select("query_id", "node_id", "score", "place")
 
 
 @query("v11_cross_encoder_rerank", f"SELECT query_id, node_id, round(-score, 6) AS score FROM ({_dense(6)}) d")
@@ -212,17 +246,24 @@ def a17(v):
     return R.confidence(dense(v, 6)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("f14_rerank_skip", f"SELECT query_id, CASE WHEN n <= 1 THEN 'single' WHEN CASE WHEN second > 0 THEN top / second ELSE 999 END >= 1.35 THEN 'dominant' END AS reason FROM ({_CONF}) c")
+_SHORT = r"length(trim(text)) <= 48 AND len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) <= 8"
+_SKIP = "CASE WHEN {short} THEN CASE WHEN n = 1 THEN 'single' WHEN top <= 0 THEN NULL WHEN coalesce(second, 0) <= 0 THEN 'no-second' WHEN top / second >= 1.35 THEN 'dominant' END END".replace("{short}", _SHORT)
+
+
+def skips(v, hits):
+    c = R.confidence(hits).join(v.questions.select("query_id", "text"), "query_id")
+    return c.select("query_id", O.skip_reason(F.col("text"), F.col("n"), F.col("top"), F.col("second")).alias("reason"))
+
+
+@query("f14_rerank_skip", f"SELECT query_id, {_SKIP} AS reason FROM ({_CONF}) c JOIN (SELECT query_id, text FROM v_questions) q USING (query_id)")
 def f14(v):
-    c = R.confidence(dense(v, 6))
-    return c.select("query_id", R.rerank_decision(F.lit("short query"), F.col("n"), F.col("top"), F.col("second")).alias("reason"))
+    return skips(v, dense(v, 6))
 
 
-@query("v12_rerank_when_useful", f"SELECT d.query_id, node_id, CASE WHEN CASE WHEN second > 0 THEN top / second ELSE 999 END >= 1.35 THEN score ELSE round(1 - score, 6) END AS score FROM ({_dense(6)}) d JOIN ({_CONF}) c USING (query_id)")
+@query("v12_rerank_when_useful", f"SELECT d.query_id, node_id, CASE WHEN {_SKIP} IS NOT NULL THEN score ELSE round(1 - score, 6) END AS score FROM ({_dense(6)}) d JOIN ({_CONF}) c USING (query_id) JOIN (SELECT query_id, text FROM v_questions) q USING (query_id)")
 def v12(v):
     h = dense(v, 6)
-    c = R.confidence(h).select("query_id", R.rerank_decision(F.lit("short query"), F.col("n"), F.col("top"), F.col("second")).alias("reason"))
-    return h.join(c, "query_id").select("query_id", "node_id", F.when(F.col("reason").isNotNull(), F.col("score")).otherwise(F.round(1 - F.col("score"), 6)).alias("score"))
+    return h.join(skips(v, h), "query_id").select("query_id", "node_id", F.when(F.col("reason").isNotNull(), F.col("score")).otherwise(F.round(1 - F.col("score"), 6)).alias("score"))
 
 
 @query("w05_rank_in_query", _dense(10).replace("SELECT query_id, node_id, document_id, section_id, score, rank FROM", "SELECT query_id, node_id, rank FROM", 1))
@@ -347,11 +388,45 @@ def t35(v):
     return dense(v, 6).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c.alias("c")))), lambda x: x["c"]).alias("citations"))
 
 
-@query("v13_retrieval_orchestration", f"SELECT query_id, document_id, score, rank FROM (SELECT query_id, document_id, max(score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, document_id) AS BIGINT) AS rank FROM ({_dense(20, 'c.document_id IN (SELECT document_id FROM v_access WHERE tenant_id < 8)')}) t GROUP BY 1, 2) x WHERE rank <= 6")
+_V13 = rf"""WITH q AS (SELECT * FROM v_questions), acc AS (SELECT DISTINCT tenant_id, document_id FROM v_access),
+ allowed AS (SELECT tenant_id, document_id FROM acc UNION SELECT tenant_id, id FROM v_documents WHERE deleted_at IS NULL AND tenant_id NOT IN (SELECT tenant_id FROM acc)),
+ nodes AS {_NODES}, sections AS (SELECT document_id, order_index AS section_id, content FROM v_sections),
+ pairs AS (SELECT q.query_id, c.node_id, c.document_id, c.section_id, {_COS} AS score FROM v_chunks c JOIN allowed a ON a.document_id = c.document_id JOIN q ON q.tenant_id = a.tenant_id),
+ heads AS (SELECT document_id, section_id, min(node_id) AS node_id FROM v_chunks GROUP BY 1, 2),
+ routed AS (SELECT query_id FROM q WHERE regexp_matches(text, '\b\d+(\.\d+)+\b') OR (length(text) <= 96 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 12)),
+ near AS (SELECT p.query_id, p.section_id, row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, p.document_id, p.section_id) AS r FROM pairs p JOIN heads h ON h.node_id = p.node_id JOIN routed USING (query_id)),
+ routes AS (SELECT query_id, section_id, min(r) AS sr FROM near WHERE r <= 8 GROUP BY 1, 2),
+ a AS (SELECT p.*, sr, row_number() OVER (PARTITION BY query_id, section_id ORDER BY score DESC, node_id) AS r FROM pairs p JOIN routes USING (query_id, section_id)),
+ s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM pairs) x WHERE r <= 20),
+ size AS (SELECT document_id, section_id, count(*) AS size FROM v_chunks WHERE (document_id, section_id) IN (SELECT (document_id, section_id) FROM sections) GROUP BY 1, 2),
+ m AS (SELECT query_id, CAST(NULL AS BIGINT) AS node_id, document_id, section_id, round(avg(score), 9) AS score FROM s JOIN size USING (document_id, section_id) GROUP BY 1, 3, 4 HAVING count(*) / CAST(max(size) AS DOUBLE) > 0.5),
+ listed AS (SELECT query_id, node_id, document_id, section_id, score, 0 AS branch, sr * 9 + r AS place FROM a WHERE r <= 8
+  UNION ALL SELECT query_id, node_id, document_id, section_id, score, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id NULLS FIRST, document_id, section_id) FROM (SELECT query_id, node_id, document_id, section_id, score FROM s UNION ALL SELECT * FROM m) y),
+ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_id, document_id, section_id ORDER BY branch, place) AS k FROM listed) y WHERE k = 1),
+ placed AS (SELECT o.query_id, o.node_id, o.document_id, o.section_id, o.score, row_number() OVER (PARTITION BY o.query_id ORDER BY branch, place) AS place, coalesce(n.win, n.text, c.content, '') AS text, q.text AS question, q.request_id
+  FROM once o JOIN q ON q.query_id = o.query_id LEFT JOIN nodes n ON n.node_id = o.node_id LEFT JOIN sections c ON o.node_id IS NULL AND c.document_id = o.document_id AND c.section_id = o.section_id),
+ told AS (SELECT *, count(*) OVER w AS n, max(score) FILTER (place = 1) OVER w AS top, max(score) FILTER (place = 2) OVER w AS second FROM placed WINDOW w AS (PARTITION BY query_id)),
+ decided AS (SELECT * EXCLUDE (n, top, second), {_SKIP.replace("text", "question")} IS NULL AS reranked FROM told),
+ safe AS (SELECT * REPLACE (CASE WHEN trim(text) = '' THEN ' ' ELSE text END AS text), text AS shown FROM decided),
+ scored AS (SELECT *, {_SAME} AS new, length(question) % 7 AS d FROM safe),
+ again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN d = 5 THEN -place ELSE new END DESC, place) AS np FROM scored WHERE reranked),
+ final AS (SELECT query_id, request_id, node_id, document_id, section_id, score, place, shown, false AS reranked FROM scored WHERE NOT reranked
+  UNION ALL SELECT query_id, request_id, node_id, document_id, section_id, CASE WHEN d IN (3, 5) THEN score ELSE new END, CASE WHEN d IN (3, 5) THEN place ELSE np END, shown, true FROM again WHERE d = 3 OR np <= 10),
+ ups AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, place) - 1 AS up, (count(*) OVER (PARTITION BY query_id) + 1) // 2 AS half FROM final),
+ ends AS (SELECT *, CASE WHEN up % 2 = 0 THEN half - 1 - up // 2 ELSE half + (up - 1) // 2 END AS spot FROM ups),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, node_id, document_id, section_id ORDER BY score DESC, query_id, spot) AS k FROM ends) z WHERE k = 1),
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, query_id, spot) AS BIGINT) AS rank FROM best)
+ SELECT request_id, rank, node_id, document_id, section_id, query_id, score, reranked, substring(shown, 1, 400) AS summary FROM ranked WHERE rank <= 20"""
+
+
+@query("v13_retrieval_orchestration", _V13)
 def v13(v):
-    """Scope, dense search, dedup with the best score, limit."""
-    scope = v.access.where("tenant_id < 8").select("document_id").distinct()
-    return R.dedup_limit(dense(v, 20, v.chunks.join(scope, "document_id", "left_semi")).select("query_id", "document_id", "score"), 6, "document_id").withColumn("rank", F.col("rank").cast("long"))
+    """All steps, of all requests at once. The index of sections has the vector of each section's first chunk."""
+    heads = v.chunks.groupBy("document_id", "section_id").agg(F.min_by("embedding", "node_id").alias("embedding"))
+    sections = v.sections.select("document_id", F.col("order_index").cast("int").alias("section_id"), "content")
+    asking = v.questions.select("tenant_id").distinct()
+    allowed = R.allowed_documents(asking, v.access, v.documents.where("deleted_at IS NULL").select(F.col("id").alias("document_id"), "tenant_id"))
+    return O.orchestrated(v.questions, v.chunks, chunk_texts(v), heads, sections, allowed, shape)
 
 
 @query("v15_embedding_batches", "SELECT item_id AS id, CAST(length(text) AS DOUBLE) AS first FROM benchmark")

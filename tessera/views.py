@@ -40,6 +40,9 @@ SELECT doc_id AS id, source AS file_name, CAST(row_number() OVER (PARTITION BY s
   lang, n_chars, text FROM documents""",
     "v_access": "SELECT (doc_id + 7) % 20 AS tenant_id, doc_id AS document_id FROM documents WHERE doc_id % 4 = 0",
     "v_chunks": "SELECT vec_id AS node_id, vec_id % 50 AS document_id, label AS section_id, embedding FROM embeddings",
+    "v_questions": """
+SELECT vec_id AS query_id, vec_id // 100 AS request_id, vec_id // 20 % 25 AS tenant_id, CASE WHEN vec_id % 60 = 0 THEN 'section 2.1 ' ELSE '' END || coalesce(string_split(text, chr(10))[1], '') AS text, embedding
+FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0""",
     "v_messages": "SELECT conv_id AS conversation_id, turn, role, text AS content FROM conversations",
     "v_requests": "SELECT event_id, user_id % 20 AS key, user_id, ts, CAST(floor(value) AS BIGINT) AS cost FROM events",
     "v_audit": "SELECT event_id, ts, CASE WHEN event_id % 50 = 0 THEN ' ' ELSE event_type END AS action, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 11 = 0 THEN 'None' ELSE CAST(user_id AS VARCHAR) END AS actor, props AS details_json FROM events",
@@ -136,6 +139,14 @@ class Views:
     def chunks(self) -> DataFrame:
         return self.table("embeddings").selectExpr("vec_id AS node_id", "vec_id % 50 AS document_id", "label AS section_id", "embedding")
 
+    @cached_property
+    def questions(self) -> DataFrame:
+        """Every vector whose id is divisible by 20 as a question, with the first line of a document as its text; every third names a section; five make a request."""
+        d = self.table("documents").select(F.col("doc_id").alias("vec_id"), F.element_at(F.split("text", "\n", -1), 1).alias("line"))
+        e = self.table("embeddings").where("vec_id % 20 = 0").join(d, "vec_id", "left")
+        text = F.concat(F.when(F.col("vec_id") % 60 == 0, "section 2.1 ").otherwise(""), F.coalesce("line", F.lit("")))
+        return e.select(F.col("vec_id").alias("query_id"), F.expr("vec_id div 100").alias("request_id"), F.expr("vec_id div 20 % 25").alias("tenant_id"), text.alias("text"), F.col("embedding").alias("qvec"))
+
     @cached_property
     def messages(self) -> DataFrame:
         return self.table("conversations").selectExpr("conv_id AS conversation_id", "turn", "role", "text AS content")
