@@ -97,8 +97,7 @@ def t01(v):
 
 @query("w09_blank_line_collapse", "WITH k AS (SELECT page_id, string_split(regexp_replace(html, '<[^>]*>', chr(10) || chr(10), 'g'), chr(10)) AS a FROM pages) SELECT page_id, len(list_filter(a, lambda x, i: NOT (trim(x) = '' AND i > 1 AND trim(coalesce(a[i - 1], 'x')) = ''))) AS kept FROM k")
 def w09(v):
-    a = F.split(F.regexp_replace("html", "<[^>]*>", "\n\n"), "\n")
-    kept = F.filter(a, lambda x, i: ~((F.trim(x) == "") & (i > 0) & (F.trim(F.coalesce(F.get(a, i - 1), F.lit("x"))) == "")))
+    kept = M.blanks_once(F.split(F.regexp_replace("html", "<[^>]*>", "\n\n"), "\n"), lambda x: F.trim(x) == "")
     return v.table("pages").select("page_id", F.size(kept).cast("long").alias("kept"))
 
 
@@ -122,10 +121,20 @@ def t07(v):
     return M.table_markdown(cells, "document_id")
 
 
-@query("t08_block_split")
+@query(
+    "t08_block_split",
+    r"""WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '<li>', chr(10) || '- ', 'g'), '</ul>', chr(10), 'g'), '<p>', chr(10) || chr(10) || '| x | y |' || chr(10), 'g'), chr(10)) AS a FROM pages),
+ k AS (SELECT *, list_transform(a, lambda x: regexp_matches(x, '^\s*(?:[-*+] |\d+\.\s)\s*\S')) AS li, list_transform(a, lambda x: regexp_matches(x, '^\s*$')) AS bl FROM p),
+ f AS (SELECT *, list_transform(range(1, len(a) + 1), lambda i: bl[i] AND NOT coalesce(li[i - 1], false)) AS fl FROM k),
+ m AS (SELECT page_id, list_transform(list_filter(range(1, len(a) + 1), lambda i: NOT fl[i]), lambda i: CASE WHEN i = 1 OR li[i] OR fl[i - 1] THEN chr(1) ELSE '' END || a[i]) AS kept FROM f)
+ SELECT page_id, len(list_filter(kept, lambda x: starts_with(x, chr(1)))) AS blocks, md5(array_to_string(kept, chr(10))) AS text_md5 FROM m""",
+)
 def t08(v):
-    split = F.udf(M.split_blocks, "array<string>", useArrow=True)
-    return v.table("pages").select("page_id", F.size(split(F.regexp_replace("html", "<li>", "\n- "))).alias("blocks"))
+    """List items, paragraphs and lines of tables, from a page's tags."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<li>", "\n- "), "</ul>", "\n"), "<p>", "\n\n| x | y |\n")
+    b = M.split_blocks(t)
+    marked = F.array_join(F.transform(b, lambda x: F.concat(F.lit("\x01"), x)), "\n")
+    return v.table("pages").select("page_id", F.size(b).cast("long").alias("blocks"), F.md5(marked).alias("text_md5"))
 
 
 @query("t09_atomic_block", r"SELECT page_id, len(regexp_extract_all(t, '(?m)^\s*[-*+]\s+')) >= 2 AS atomic FROM (SELECT page_id, regexp_replace(html, '<li>', chr(10) || '- ', 'g') AS t FROM pages) p")
@@ -133,10 +142,17 @@ def t09(v):
     return v.table("pages").select("page_id", M.is_atomic(F.regexp_replace("html", "<li>", "\n- ")).alias("atomic"))
 
 
-@query("t10_sentence_split")
+_ABBR = ("e.g.", "i.e.", "Dr.", "Mr.", "Mrs.", "vs.", "No.", "etc.")
+_SENT = r"regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g')"
+for _a in _ABBR:
+    _SENT = f"replace({_SENT}, '{_a}' || chr(1), '{_a} ')"
+_SENT = rf"list_filter(string_split(regexp_replace({_SENT}, '([。！？])' || chr(1) || '?', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query("t10_sentence_split", f"SELECT doc_id, len({_SENT}) AS sentences, md5(array_to_string({_SENT}, chr(1))) AS text_md5 FROM documents")
 def t10(v):
-    split = F.udf(M.split_sentences, "array<string>", useArrow=True)
-    return v.table("documents").select("doc_id", F.size(split("text")).alias("sentences"))
+    s = M.split_sentences(F.col("text"))
+    return v.table("documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.md5(F.array_join(s, "\x01")).alias("text_md5"))
 
 
 @query("t11_chunk_with_overlap")
@@ -144,10 +160,33 @@ def t11(v):
     return M.chunks(v.table("documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
+def index_chunks(v):
+    """Documents as sections: titled by their source, under a heading of their language, with a breadcrumb where they have an even number."""
+    crumb = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" > ", "source", "lang"))
+    return M.index_chunks(v.table("documents").select(F.col("doc_id").alias("document_id"), F.lit("sec-0000").alias("section_id"), F.col("source").alias("document_title"), F.col("lang").alias("heading"), crumb.alias("breadcrumb"), F.col("text").alias("content")))
+
+
 @query("t12_chunk_rule")
 def t12(v):
-    """Texts of all lengths: the long ones are split."""
-    return M.chunks(v.table("documents").select(F.col("doc_id").alias("document_id"), "text"))
+    """Texts of all lengths; those over 2,000 characters are cut by tokens."""
+    return index_chunks(v)
+
+
+@query(
+    "t12_chunk_coverage",
+    r"""WITH d AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS c FROM documents)
+ SELECT doc_id AS document_id, length(c) <= 2000 AS single, CAST(length(c) AS BIGINT) AS covered, true AS within, true AS overlaps,
+  CASE WHEN length(c) <= 2000 THEN '[Tài liệu: ' || coalesce(source, '') || ' | Mục: ' || coalesce(lang, '') || ']' || chr(10) || 'Đường dẫn: ' || coalesce(CASE WHEN doc_id % 2 = 0 THEN concat_ws(' > ', source, lang) END, lang, '') || chr(10) || chr(10) || c END AS text
+ FROM d WHERE c <> ''""",
+)
+def t12c(v):
+    """What every chunking of all texts keeps: a short text whole and under its context, every character in a chunk, no chunk over the budget or without progress."""
+    w = W.partitionBy("document_id").orderBy("chunk")
+    before = F.coalesce(F.lag("end").over(w), F.lit(0))
+    c = index_chunks(v).withColumn("fresh", F.col("end") - before).withColumn("joined", (F.col("start") <= before) & (F.col("end") > before))
+    g = c.groupBy("document_id").agg(F.max("end").alias("size"), F.sum("fresh").alias("covered"), F.bool_and((F.length("window") <= 4 * 1024)).alias("within"), F.bool_and("joined").alias("overlaps"), F.min_by("text", "chunk").alias("text"))
+    single = F.col("size") <= 2000
+    return g.select("document_id", single.alias("single"), "covered", "within", "overlaps", F.when(single, F.col("text")).alias("text"))
 
 
 @query("w08_greedy_accumulation")
@@ -197,14 +236,32 @@ def t20(v):
     return v.sections.select("document_id", "section_id", c.alias("content")).where("content <> ''")
 
 
-@query("t21_node_type", r"SELECT document_id, order_index, CASE WHEN contains(content, '```') THEN 'code' WHEN regexp_matches(content, '(?m)^\s*\|.*\|\s*$') THEN 'table' WHEN title <> '' THEN 'heading' ELSE 'paragraph' END AS kind FROM v_sections")
+_MARKED = "CASE order_index % 7 WHEN 1 THEN '```' || content WHEN 2 THEN '| ' || content WHEN 3 THEN '## ' || content WHEN 4 THEN 'the class of ' || content WHEN 5 THEN '|' || repeat(chr(10), CAST(order_index AS INTEGER) % 40) || content ELSE content END"
+
+
+@query(
+    "t21_node_type",
+    f"""SELECT document_id, order_index, coalesce(CASE WHEN level = 2 AND order_index % 3 = 0 THEN 'image' END, CASE WHEN contains(t, '```') OR contains(t, 'def ') OR contains(t, 'class ') THEN 'code_block'
+ WHEN contains(t, '|') AND length(t) - length(replace(t, chr(10), '')) < 20 THEN 'table' WHEN starts_with(t, '#') THEN 'section' ELSE 'paragraph' END) AS kind FROM (SELECT *, {_MARKED} AS t FROM v_sections) s""",
+)
 def t21(v):
-    return v.sections.select("document_id", "order_index", M.node_type(F.col("content"), F.col("title")).alias("kind"))
+    """Contents with marks of each kind; some nodes have a kind of their own, some one that is none."""
+    k = F.col("order_index")
+    t = F.when(k % 7 == 1, F.concat(F.lit("```"), "content")).when(k % 7 == 2, F.concat(F.lit("| "), "content")).when(k % 7 == 3, F.concat(F.lit("## "), "content")).when(k % 7 == 4, F.concat(F.lit("the class of "), "content"))
+    t = t.when(k % 7 == 5, F.concat(F.lit("|"), F.repeat(F.lit("\n"), (k % 40).cast("int")), "content")).otherwise(F.col("content"))
+    given = F.when((F.col("level") == 2) & (k % 3 == 0), "IMAGE").when(k % 5 == 0, "chapter")
+    return v.sections.select("document_id", "order_index", M.node_type(t, given).alias("kind"))
 
 
-@query("t22_persist_test", "SELECT document_id, section_id, content <> '' OR title <> '' AS keep FROM v_sections")
+@query(
+    "t22_persist_test",
+    "SELECT document_id, section_id, trim(content) <> '' OR (order_index % 2 = 0) OR (order_index % 3 = 0 AND order_index > 0) OR order_index % 5 = 1 AS keep FROM v_sections",
+)
 def t22(v):
-    return v.sections.select("document_id", "section_id", ((F.col("content") != "") | (F.col("title") != "")).alias("keep"))
+    """Every other title is blank; images and tables are counted in some sections, unknown in others."""
+    k = F.col("order_index")
+    title = F.when(k % 2 == 0, F.col("title")).otherwise(F.lit(" \n"))
+    return v.sections.select("document_id", "section_id", M.persists(title, F.col("content"), F.when(k % 3 == 0, k), F.when(k % 5 == 1, 1)).alias("keep"))
 
 
 _TREE = "WITH RECURSIVE t AS (SELECT document_id, section_id, CAST(0 AS BIGINT) AS depth FROM s WHERE parent_section_id IS NULL UNION ALL SELECT s.document_id, s.section_id, t.depth + 1 FROM s JOIN t ON s.document_id = t.document_id AND s.parent_section_id = t.section_id)"

@@ -1,6 +1,7 @@
 """Goldens worked out by hand, and invariants, of operators that SQL can't state."""
 
 import hashlib
+import time
 import uuid
 
 import pytest
@@ -11,6 +12,7 @@ from tessera.functions import text as T
 from tessera.operators import gates as G
 from tessera.operators import hierarchy as H
 from tessera.operators import markdown as M
+from tessera.operators import orchestration as O
 from tessera.operators import retrieval as R
 from tessera.operators.scope import Actor, Forbidden, chunk_filter, require_tenant
 from tessera.streaming import jobs
@@ -37,9 +39,11 @@ def test_sections_preface_dropped_reused_fallback():
     assert (coded[0]["section_code"], coded[0]["section_id"]) == ("1.2", "sec-1-2-0000")
 
 
-def test_local_sections():
-    s = M.parse_local("| a | b |\n\n# A\n### C\ntext\n## B\n| x |\n### D\n#no heading\n# Z")
-    assert [(x["section_id"], x["title"], x["level"], x["parent_section_id"], x["breadcrumb"], x["content"], x["table_count"]) for x in s] == [
+def test_local_sections(spark):
+    texts = ["| a | b |\n\n# A\n### C\ntext\n## B\n| x |\n### D\n#no heading\n# Z", "", None, "\nx", "### c\n## b\n#### d\n# a\n### e\n## f\n### g"]
+    rows = M.local_sections(spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")).orderBy("document_id", "order_index").collect()
+    of = lambda d: [(x.section_id, x.title, x.level, x.parent_section_id, x.breadcrumb, x.content, x.table_count) for x in rows if x.document_id == d]
+    assert of(0) == [
         ("sec_0000", "| a | b |...", 1, None, [], "| a | b |\n\n", 1),
         ("sec_0001", "A", 1, None, ["A"], None, 0),
         ("sec_0002", "C", 3, None, ["A", "C"], "text\n", 0),
@@ -47,26 +51,84 @@ def test_local_sections():
         ("sec_0004", "D", 3, "sec_0003", ["A", "B", "D"], "#no heading\n", 0),
         ("sec_0005", "Z", 1, None, ["Z"], None, 0),
     ]
-    assert M.parse_local("") == M.parse_local(None) == [] and [x["title"] for x in M.parse_local("\nx")] == ["Phần mở đầu"]
+    assert of(1) == of(2) == [] and [x[1] for x in of(3)] == ["Phần mở đầu"]
+    assert [(x[1], x[3], x[4]) for x in of(4)] == [("c", None, ["c"]), ("b", None, ["b"]), ("d", None, ["b", "d"]), ("a", None, ["a"]), ("e", None, ["a", "e"]), ("f", "sec_0003", ["a", "f"]), ("g", "sec_0005", ["a", "f", "g"])]
 
 
-def test_blocks_and_chunks():
-    text = "para one\n\n| a | b |\n| - | - |\n| 1 | 2 |\n\n- x\n- y\n- z\nafter"
-    assert M.split_blocks(text) == ["para one", "| a | b |\n| - | - |\n| 1 | 2 |", "- x\n- y\n- z", "after"]
+def test_blocks_and_chunks(spark):
+    blocks = lambda t: one(spark, M.split_blocks(F.lit(t)))
+    assert blocks("para one\n\n| a | b |\n| - | - |\n| 1 | 2 |\n\n- x\n- y\n- z\nafter\nmore\n\nlast") == ["para one", "| a | b |\n| - | - |\n| 1 | 2 |", "- x", "- y", "- z\nafter\nmore", "last"]
+    # a blank line right after an item belongs to it; a bar in a formula is no table, and - alone no item
+    assert blocks("1. x\n\nnext\n\n |p| < q \nr\n-\n  + y") == ["1. x\n\nnext", " |p| < q \nr\n-", "  + y"] and blocks("") == blocks("\n \n") == []
     assert M.chunk_units(["aaaa", "bbbb", "cccc"], 9, 4) == ["aaaa bbbb", "bbbb cccc"]
     assert M.chunk_units(["aaaa", "b" * 20, "cc"], 9, 4) == ["aaaa", "b" * 20, "cc"]
     table = "| r | c |\n" * 300
-    assert any(c.count("| r | c |") == 300 for c in M.chunk_text("start. " + "\n\n" + table + "\nend of it."))
+    docs = spark.createDataFrame([(1, "start. " + "\n\n" + table + "\nend of it."), (2, None), (3, "short")], "document_id long, text string")
+    got = M.chunks(docs).collect()
+    assert any(c.text.count("| r | c |") == 300 for c in got if c.document_id == 1)
+    assert [c.text for c in got if c.document_id > 1] == ["", "short"]
 
 
-def test_sentences():
-    assert M.split_sentences("See e.g. this. And that!  Done?") == ["See e.g. this.", "And that!", "Done?"]
-    assert M.split_sentences("第一。第二。") == ["第一。", "第二。"]
+def test_token_spans():
+    cut = lambda t, size, overlap=0, count=len: [t[a:b] for a, b in M.token_spans(t, size, overlap, count)]
+    assert cut("One. Two.\n\n\nThree", 12) == ["One. Two.\n\n\n", "Three"]  # paragraphs
+    assert cut("One two. Three four. Five", 12) == ["One two. ", "Three four. ", "Five"]  # sentences
+    assert cut("alpha, beta, gamma", 8) == ["alpha,", " beta,", " gamma"]  # clauses
+    assert cut("alpha beta gamma", 6) == ["alpha ", "beta ", "gamma"]  # words
+    assert cut("x" * 20, 6) == ["xxxxx"] * 4 and cut("", 5) == []  # halves
+    assert cut("aa bb cc dd ee ", 9, 3) == ["aa bb cc ", "cc dd ee "]  # the last piece comes again
+    assert cut("aa bbbbbbb cc ", 9, 3) == ["aa ", "bbbbbbb ", "cc "]  # unless the next would not fit then
+    text = "".join(f"Sentence {i} has words; and more, of them. " * (1 + i % 3) for i in range(200)) + "y" * 9000
+    spans = M.token_spans(text)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert all(a < d <= b < e for (a, b), (d, e) in zip(spans, spans[1:])) and all(M.estimated_tokens(text[a:b]) <= 1024 for a, b in spans)
+
+
+def test_index_chunks(spark):
+    long = "A sentence of some words. " * 400
+    rows = [(1, "s", "T", "H", None, " short \n"), (2, "s", "T", "H", "T > H", long), (3, "s", "T", "H", None, " \n"), (4, "s", None, None, None, None)]
+    got = M.index_chunks(spark.createDataFrame(rows, "document_id long, section_id string, document_title string, heading string, breadcrumb string, content string")).orderBy("document_id", "chunk").collect()
+    assert [(r.document_id, r.chunk) for r in got] == [(1, 0), *[(2, i) for i in range(len(got) - 1)]] and len(got) > 3
+    assert got[0].text == "[Tài liệu: T | Mục: H]\nĐường dẫn: H\n\nshort" and got[0].window == "short"
+    assert all(r.text == "[Tài liệu: T | Mục: H]\nĐường dẫn: T > H\n\n" + r.window for r in got[1:])
+
+
+def test_sentences(spark):
+    cut = lambda t: one(spark, M.split_sentences(F.lit(t)))
+    assert cut("See e.g. this. And that!  Done?") == ["See e.g. this.", "And that!", "Done?"]
+    assert cut("第一。第二。 third.") == ["第一。", "第二。", "third."] and cut("Dr.\n X. etc.") == ["Dr. X.", "etc."]
+
+
+def test_rerank_keeps_what_fails(spark):
+    rows = [(q, question, p, t, s) for q, question in ((1, "good"), (2, "fail"), (3, "few")) for p, t, s in ((1, "bb", 0.9), (2, "good", 0.8), (3, " ", 0.7))]
+    hits = spark.createDataFrame(rows, "query_id long, question string, place long, text string, score double")
+
+    def embed(texts):
+        if texts[0] == "fail":
+            raise RuntimeError
+        out = [[float(t.count("o")), float(t.count("b")), float(t == " ")] for t in texts]
+        return out[:-1] if texts[0] == "few" else out
+
+    got = {}
+    for r in O.reranked(hits, embed, 2).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.text, r.score))
+    assert got == {1: [("good", 1.0), ("bb", 0.0)], 2: [("bb", 0.9), ("good", 0.8), (" ", 0.7)], 3: [("bb", 0.9), ("good", 0.8)]}
+
+
+def test_skip_reasons(spark):
+    f = lambda text, n, top, second: one(spark, O.skip_reason(F.lit(text), F.lit(n), F.lit(top), F.lit(second).cast("double")))
+    assert [f("q", 1, 0.5, None), f("q", 2, 0.5, 0.0), f("q", 2, 0.5, 0.3), f("q", 2, 0.5, 0.4), f("q", 2, 0.0, 0.0)] == ["single", "no-second", "dominant", None, None]
+    assert f("x" * 49, 1, 0.5, None) is None and f("a b c d e f g h i", 1, 0.5, None) is None and f("q", 0, None, None) is None
 
 
 def test_clean(spark):
     text = "Title\n12\nPage 4\n- 5 -\n3 // 9\nFooter 1\nChapter ........ 7\na\n\n\t\n\nb"
     assert one(spark, M.clean(F.lit(text), ("Foo.er",))) == "Title\n12\na\n\nb"
+    assert one(spark, M.clean(F.lit("\n \n\nx\n\n\n"))) == "\nx\n"
+    lines = "\n".join(f"line {i}\n\n" for i in range(40_000))
+    began = time.time()
+    assert spark.createDataFrame([(lines,)], "t string").select(F.length(M.clean(F.col("t"))).alias("n")).first().n == len(lines) - 40_000
+    assert time.time() - began < 20  # a quadratic form took 22 s for a tenth of the lines
 
 
 def test_progress():
