@@ -58,28 +58,48 @@ def admit(times_ms: list[int], window_ms: int, limit: int) -> list[bool]:
 
 
 def sliding_window(events: DataFrame, key: str, window_ms: int, limit: int) -> DataFrame:
-    """(key, event_id, ms, allowed): events of a key in order, streamed through its log. State is the log, of `limit` entries at most; events are never collected."""
-    e = events.select(key, "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', ts)").alias("ms"))
-    e = e.repartition(key).sortWithinPartitions(key, "ms", "event_id")
+    """(key, event_id, ms, allowed): what `admit` says of each key's events (event_id, ts), in order of time and id.
 
+    A key's history is cut into buckets of one window. An event with no more than `limit` in the window that it ends is admitted whatever came
+    before; a bucket of such events is settled by a count. What is left are islands of buckets with more. An island's events, after those of
+    the settled bucket before it, are streamed through a log of `limit` entries at most: nothing earlier is inside its first event's window. So a key
+    is spread over its buckets, and only a stretch that is over the limit without a pause is one task's.
+    """
+    e = events.select(F.col(key).cast("long").alias(key), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', ts)").alias("ms"))
+    e = e.withColumn("bucket", F.floor(F.col("ms") / window_ms))
+    # every event counts in its own bucket and in the next, so each bucket sees all that its windows reach
+    seen = e.select(key, "ms", "bucket", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("part"))
+    n = F.count("*").over(W.partitionBy(key, "part").orderBy("ms").rangeBetween(1 - window_ms, 0))
+    over = seen.withColumn("n", n).where((F.col("bucket") == F.col("part")) & (F.col("n") > limit)).select(key, "bucket").distinct()
+    islands = over.withColumn("island", F.col("bucket") - F.row_number().over(W.partitionBy(key).orderBy("bucket")))
+    before = islands.groupBy(key, "island").agg((F.min("bucket") - 1).alias("bucket")).select(key, "bucket", "island", F.lit(True).alias("settled"))
+    marks = islands.withColumn("settled", F.lit(False)).unionByName(before)
+    ours = F.col(key).eqNullSafe(F.col("k")) & (F.col("bucket") == F.col("b"))
+    marked = e.join(marks.select(F.col(key).alias("k"), F.col("bucket").alias("b"), "island", "settled"), ours).drop("k", "b", "bucket")
+    replayed = marked.repartition(key, "island").sortWithinPartitions(key, "island", "ms", "event_id").mapInPandas(_replay(key, window_ms, limit), f"{key} long, event_id long, ms long, allowed boolean")
+    calm = e.join(islands.select(F.col(key).alias("k"), F.col("bucket").alias("b")), ours, "left_anti")
+    return calm.select(key, "event_id", "ms", F.lit(True).alias("allowed")).unionByName(replayed)
+
+
+def _replay(key: str, window_ms: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log: deque[int] = deque()
         now = None
         for batch in batches:
             out = []
-            for k, t in zip(batch[key].tolist(), batch["ms"].tolist(), strict=True):
-                if k != now:
-                    now, log = k, deque()
+            for k, island, t in zip(batch[key].astype("object").where(batch[key].notna(), None).tolist(), batch["island"].tolist(), batch["ms"].tolist(), strict=True):
+                if (k, island) != now:
+                    now, log = (k, island), deque()
                 while log and log[0] <= t - window_ms:
                     log.popleft()
                 go = len(log) < limit
                 if go and not (log and log[-1] == t):
                     log.append(t)
                 out.append(go)
-            batch["allowed"] = out
-            yield batch
+            done = batch.assign(allowed=out)
+            yield done.loc[~done["settled"], [key, "event_id", "ms", "allowed"]]
 
-    return e.mapInPandas(run, f"{key} long, event_id long, ms long, allowed boolean")
+    return run
 
 
 def floored_counter(events: DataFrame, key: str) -> DataFrame:

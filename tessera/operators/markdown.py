@@ -334,18 +334,6 @@ def persists(title: Column, content: Column, images: Column, tables: Column) ->
     return filled(title) | filled(content) | (F.coalesce(images, F.lit(0)) > 0) | (F.coalesce(tables, F.lit(0)) > 0)
 
 
-def emitted(events: list[tuple[str, float]], step: float = 5.0) -> list[bool]:
-    """Which (stage, percent) updates go out: a new stage, `step` points since the last that went out, the end, or the start."""
-    out: list[bool] = []
-    last: tuple[str, float] | None = None
-    for stage, percent in events:
-        go = last is None or stage != last[0] or percent - last[1] >= step or percent >= 100 or percent <= 0
-        out.append(go)
-        if go:
-            last = (stage, percent)
-    return out
-
-
 _OVERRIDES = ((re.compile(r"^\s*(chapter|part|appendix)\b", re.I), 1), (re.compile(r"^\s*(section|article)\b", re.I), 2))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import hierarchy as H
 from tessera.operators import markdown as M
+from tessera.operators import progress as P
 from tessera.plans.registry import query
 
 _MD = """SELECT doc_id AS document_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 0 THEN repeat('#', CAST(1 + ((i - 1) // 4) % 3 AS INTEGER)) || ' ' || ((i - 1) // 4 + 1) || ' Section' || chr(10) || x ELSE x END), chr(10)) AS text FROM documents"""
@@ -352,14 +353,16 @@ def t36(v):
     return v.citations.groupBy("id", "document_id").agg(F.count("*").alias("citations"), F.max("title").alias("title"))
 
 
-@query("w10_progress_throttle")
+@query(
+    "w10_progress_throttle",
+    """WITH RECURSIVE e AS (SELECT user_id % 20 AS task, event_id, event_type AS stage, value % 100 AS p, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
+ r(task, event_id, stage, n, emitted, last) AS (SELECT task, event_id, stage, n, true, p FROM e WHERE n = 1
+  UNION ALL SELECT e.task, e.event_id, e.stage, e.n, e.stage <> r.stage OR e.p - r.last >= 5 OR e.p >= 100 OR e.p <= 0, CASE WHEN e.stage <> r.stage OR e.p - r.last >= 5 OR e.p >= 100 OR e.p <= 0 THEN e.p ELSE r.last END FROM r JOIN e ON e.task = r.task AND e.n = r.n + 1)
+ SELECT task, event_id, emitted FROM r""",
+)
 def w10(v):
-    d = v.table("events").groupBy((F.col("user_id") % 20).alias("task")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("event_type").alias("stage"), (F.col("value") % 100).alias("percent")))).alias("e"))
-
-    def fold(e):
-        return sum(M.emitted([(x["stage"], x["percent"]) for x in e]))
-
-    return d.select("task", F.size("e").alias("events"), F.udf(fold, "int")("e").alias("emitted"))
+    e = v.table("events").select((F.col("user_id") % 20).alias("key"), "ts", "event_id", F.col("event_type").alias("stage"), (F.col("value") % 100).alias("percent"))
+    return P.throttled(e).select(F.col("key").cast("long").alias("task"), "event_id", "emitted")
 
 
 @query("w11_change_only", "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) e WHERE p IS NULL OR p <> event_type")

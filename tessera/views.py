@@ -208,6 +208,8 @@ def with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS ({SQL[n]})" for n in need)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

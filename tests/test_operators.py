@@ -1,6 +1,8 @@
 """Goldens worked out by hand, and invariants, of operators that SQL can't state."""
 
+import datetime
 import hashlib
+import random
 import time
 import uuid
 
@@ -13,6 +15,7 @@ from tessera.operators import gates as G
 from tessera.operators import hierarchy as H
 from tessera.operators import markdown as M
 from tessera.operators import orchestration as O
+from tessera.operators import progress as P
 from tessera.operators import retrieval as R
 from tessera.operators.scope import Actor, Forbidden, chunk_filter, require_tenant
 from tessera.streaming import jobs
@@ -131,8 +134,40 @@ def test_clean(spark):
     assert time.time() - began < 20  # a quadratic form took 22 s for a tenth of the lines
 
 
-def test_progress():
-    assert M.emitted([("a", 0), ("a", 3), ("a", 6), ("b", 7), ("b", 9), ("b", 100)]) == [True, False, True, True, False, True]
+def emitted(events, step=5.0):
+    """The rule of throttled progress, as a fold."""
+    out, last = [], None
+    for stage, percent in events:
+        go = last is None or stage != last[0] or percent - last[1] >= step or percent >= 100 or percent <= 0
+        out.append(go)
+        last = (stage, percent) if go else last
+    return out
+
+
+def test_progress(spark):
+    assert emitted([("a", 0), ("a", 3), ("a", 6), ("b", 7), ("b", 9), ("b", 100)]) == [True, False, True, True, False, True]
+    rng = random.Random(4)
+    logs = {"one": [("a", float(i % 90) / 3 + 1) for i in range(900)], None: [], "x": [], "": [("b", 50.0), (None, 51.0), (None, 52.0)]}
+    for key in (None, "x"):
+        p = 0.0
+        for _ in range(700):
+            p = rng.choice([p + rng.random(), p + rng.random(), p - 2, rng.random() * 100, 100.0, 0.0] if rng.random() < 0.1 else [p + rng.random() * 0.3])
+            logs[key].append((rng.choice("ab") if rng.random() < 0.02 else "a", p))
+    rows = [(k, i, 1000 * j + i, s, p) for j, (k, log) in enumerate(logs.items()) for i, (s, p) in enumerate(log)]
+    df = spark.createDataFrame(rows, "key string, ts int, event_id long, stage string, percent double").repartition(3)
+    want = sorted(((k, 1000 * j + i, e) for j, (k, log) in enumerate(logs.items()) for i, e in enumerate(emitted(log))), key=str)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for block in (512, 7):
+        assert sorted(map(tuple, P.throttled(df, block=block).collect()), key=str) == want
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_progress_of_one_task_in_many(spark):
+    df = spark.range(20_000).select(F.lit("t").alias("key"), F.col("id").alias("ts"), F.col("id").alias("event_id"), F.lit("s").alias("stage"), (F.col("id") % 99 + 0.5).alias("percent")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = [r.n for r in P.throttled(df).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(parts) == 20_000 and len(parts) > 1 and max(parts) < 15_000
 
 
 def test_sliding_window_counts_admitted_only():
@@ -140,6 +175,23 @@ def test_sliding_window_counts_admitted_only():
     assert G.admit([5, 5, 5, 6, 7], 100, 2) == [True, True, True, True, False]  # one entry a millisecond
 
 
+def test_sliding_window_in_buckets(spark):
+    """Bursts, pauses and equal times of several keys, with limits that are reached; a null key too."""
+    rng = random.Random(9)
+    rows, t = [], 0
+    for i in range(4000):
+        t += rng.choice([0, 1, 3, 10, 40]) if rng.random() < 0.97 else rng.choice([500, 1000, 5000])
+        rows.append((rng.choice([1, 1, 1, 2, None]), i, datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=t)))
+    df = spark.createDataFrame(rows, "k long, event_id long, ts timestamp_ntz").repartition(5)
+    for window, limit in ((100, 3), (1000, 20), (50, 0), (7, 1)):
+        want = {}
+        for k in (1, 2, None):
+            own = sorted((int((ts - datetime.datetime(1970, 1, 1)) / datetime.timedelta(milliseconds=1)), i) for key, i, ts in rows if key == k)
+            want |= dict(zip([i for _, i in own], G.admit([ms for ms, _ in own], window, limit), strict=True))
+        got = {r.event_id: r.allowed for r in G.sliding_window(df, "k", window, limit).collect()}
+        assert got == want and (limit == 0 or 0 < sum(want.values()) < len(rows))
+
+
 def test_sliding_window_batch_equals_stream(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select((F.col("user_id") % 5).alias("key"), "event_id", "ts")
     want = sorted(map(tuple, G.sliding_window(e, "key", 7_200_000, 2).collect()))
