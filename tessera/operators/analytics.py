@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import times
@@ -85,3 +86,24 @@ def recent(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def page(df: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def merged_citations(citations: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """by, title, pages of citations (by, order, title, page_range): the first title, and the union of page ranges as `3-5, 7`; empty where there are none.
+
+    A range is its first and its last part between hyphens; what isn't two whole numbers is left out, and one that ends before it begins has no
+    page. Ranges are joined by the furthest end so far, so no page becomes a row.
+    """
+    part = lambda k: F.expr("try_cast(trim(%s) AS int)" % f"element_at(split(page_range, '-', -1), {k})")
+    spans = citations.select(*by, part(1).alias("a"), part(-1).alias("b")).where("a <= b")
+    before = W.partitionBy(*by).orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("a") > F.max("b").over(before) + 1, F.lit(True))
+    runs = spans.withColumn("fresh", fresh.cast("long")).withColumn("run", F.sum("fresh").over(W.partitionBy(*by).orderBy("a", "b").rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy(*by, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
+    pages = runs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", shown.alias("s")))), lambda x: x["s"]), ", ").alias("pages"))
+    # Fixed value: the title of what has none.
+    titles = citations.groupBy(*by).agg(F.min_by(F.coalesce("title", F.lit("Tài liệu")), F.struct(*order)).alias("title"))
+    other = pages.withColumnsRenamed({c: f"{c}_2" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in by]
+    return titles.join(other, same, "left").select(*by, "title", F.coalesce("pages", F.lit("")).alias("pages"))

@@ -65,29 +65,31 @@ def sliding_window(events: DataFrame, key: str, window_ms: int, limit: int) -> D
     the settled bucket before it, are streamed through a log of `limit` entries at most: nothing earlier is inside its first event's window. So a key
     is spread over its buckets, and only a stretch that is over the limit without a pause is one task's.
     """
-    e = events.select(F.col(key).cast("long").alias(key), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', ts)").alias("ms"))
+    e = events.select(F.col(key).cast("long").alias("own"), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', ts)").alias("ms"))
     e = e.withColumn("bucket", F.floor(F.col("ms") / window_ms))
     # every event counts in its own bucket and in the next, so each bucket sees all that its windows reach
-    seen = e.select(key, "ms", "bucket", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("part"))
-    n = F.count("*").over(W.partitionBy(key, "part").orderBy("ms").rangeBetween(1 - window_ms, 0))
-    over = seen.withColumn("n", n).where((F.col("bucket") == F.col("part")) & (F.col("n") > limit)).select(key, "bucket").distinct()
-    islands = over.withColumn("island", F.col("bucket") - F.row_number().over(W.partitionBy(key).orderBy("bucket")))
-    before = islands.groupBy(key, "island").agg((F.min("bucket") - 1).alias("bucket")).select(key, "bucket", "island", F.lit(True).alias("settled"))
+    seen = e.select("own", "ms", "bucket", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("part"))
+    n = F.count("*").over(W.partitionBy("own", "part").orderBy("ms").rangeBetween(1 - window_ms, 0))
+    over = seen.withColumn("n", n).where((F.col("bucket") == F.col("part")) & (F.col("n") > limit)).select("own", "bucket").distinct()
+    islands = over.withColumn("island", F.col("bucket") - F.row_number().over(W.partitionBy("own").orderBy("bucket")))
+    before = islands.groupBy("own", "island").agg((F.min("bucket") - 1).alias("bucket")).select("own", "bucket", "island", F.lit(True).alias("settled"))
     marks = islands.withColumn("settled", F.lit(False)).unionByName(before)
-    ours = F.col(key).eqNullSafe(F.col("k")) & (F.col("bucket") == F.col("b"))
-    marked = e.join(marks.select(F.col(key).alias("k"), F.col("bucket").alias("b"), "island", "settled"), ours).drop("k", "b", "bucket")
-    replayed = marked.repartition(key, "island").sortWithinPartitions(key, "island", "ms", "event_id").mapInPandas(_replay(key, window_ms, limit), f"{key} long, event_id long, ms long, allowed boolean")
-    calm = e.join(islands.select(F.col(key).alias("k"), F.col("bucket").alias("b")), ours, "left_anti")
-    return calm.select(key, "event_id", "ms", F.lit(True).alias("allowed")).unionByName(replayed)
+    named = lambda df: df.withColumnsRenamed({"own": "o", "bucket": "b"})
+    same = F.col("own").eqNullSafe(F.col("o")) & (F.col("bucket") == F.col("b"))
+    marked = e.join(named(marks), same).select("own", "island", "event_id", "ms", "settled")
+    replayed = marked.repartition("own", "island").sortWithinPartitions("own", "island", "ms", "event_id").mapInPandas(_replay(window_ms, limit), "own long, event_id long, ms long, allowed boolean")
+    calm = e.join(named(islands.select("own", "bucket")), same, "left_anti")
+    return calm.select("own", "event_id", "ms", F.lit(True).alias("allowed")).unionByName(replayed).withColumnRenamed("own", key)
 
 
-def _replay(key: str, window_ms: int, limit: int):
+def _replay(window_ms: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log: deque[int] = deque()
         now = None
         for batch in batches:
             out = []
-            for k, island, t in zip(batch[key].astype("object").where(batch[key].notna(), None).tolist(), batch["island"].tolist(), batch["ms"].tolist(), strict=True):
+            owners = [None if pd.isna(k) else int(k) for k in batch["own"]]
+            for k, island, t in zip(owners, batch["island"].tolist(), batch["ms"].tolist(), strict=True):
                 if (k, island) != now:
                     now, log = (k, island), deque()
                 while log and log[0] <= t - window_ms:
@@ -97,7 +99,7 @@ def _replay(key: str, window_ms: int, limit: int):
                     log.append(t)
                 out.append(go)
             done = batch.assign(allowed=out)
-            yield done.loc[~done["settled"], [key, "event_id", "ms", "allowed"]]
+            yield done.loc[~done["settled"], ["own", "event_id", "ms", "allowed"]]
 
     return run
 

@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import analytics as A
+from tessera.operators import bloom as B
 from tessera.operators import hierarchy as H
 from tessera.operators import markdown as M
 from tessera.operators import progress as P
@@ -268,13 +270,34 @@ def t22(v):
 _TREE = "WITH RECURSIVE t AS (SELECT document_id, section_id, CAST(0 AS BIGINT) AS depth FROM s WHERE parent_section_id IS NULL UNION ALL SELECT s.document_id, s.section_id, t.depth + 1 FROM s JOIN t ON s.document_id = t.document_id AND s.parent_section_id = t.section_id)"
 
 
-@query("t24_hierarchy_validation", """SELECT document_id, count(*) AS nodes, count(*) FILTER (content = '') AS empties, count(*) FILTER (parent_section_id IS NOT NULL AND parent_section_id NOT IN ('sec-0000', 'sec-0001', 'sec-0002', 'sec-0003')) AS strays, CAST(0 AS BIGINT) AS orphans FROM v_sections GROUP BY 1""")
+#: Sections with a defect of each kind, by document: a parent that isn't there, a cycle with what hangs from it, a section twice, one without an id.
+_DEFECTS = """SELECT document_id, CASE WHEN document_id % 5 = 4 AND order_index = 2 THEN NULL ELSE section_id END AS section_id, CASE WHEN document_id % 5 = 1 AND order_index = 3 THEN 'sec-9999'
+  WHEN document_id % 5 = 2 AND order_index = 1 THEN 'sec-0003' ELSE parent_section_id END AS parent_section_id, content FROM v_sections
+ UNION ALL SELECT document_id, section_id, parent_section_id, '' FROM v_sections WHERE document_id % 5 = 3 AND order_index = 1"""
+
+
+@query(
+    "t24_hierarchy_validation",
+    f"""WITH RECURSIVE s AS ({_DEFECTS}), i AS (SELECT document_id, section_id, min(parent_section_id) AS up, count(*) AS times FROM s WHERE section_id IS NOT NULL GROUP BY 1, 2),
+ k AS (SELECT i.*, p.section_id IS NOT NULL AS there FROM i LEFT JOIN i p ON p.document_id = i.document_id AND p.section_id = i.up),
+ t AS (SELECT document_id, section_id, CAST(CASE WHEN up IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth FROM k WHERE up IS NULL OR NOT there
+  UNION ALL SELECT k.document_id, k.section_id, t.depth + 1 FROM t JOIN k ON k.document_id = t.document_id AND k.up = t.section_id),
+ r AS (SELECT document_id, count(*) AS nodes, count(*) FILTER (section_id IS NULL) AS missing, count(*) FILTER (trim(content) = '') AS empties, count(parent_section_id) AS hierarchical,
+  count(*) FILTER (parent_section_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i WHERE i.document_id = s.document_id AND i.section_id = s.parent_section_id)) AS orphans FROM s GROUP BY 1),
+ g AS (SELECT k.document_id, CAST(sum(times - 1) AS BIGINT) AS duplicates, count(*) FILTER (t.section_id IS NULL) AS cyclic, coalesce(max(depth), 0) AS depth FROM k LEFT JOIN t ON t.document_id = k.document_id AND t.section_id = k.section_id GROUP BY 1)
+ SELECT document_id, nodes, coalesce(duplicates, 0) AS duplicates, missing, orphans, coalesce(cyclic, 0) AS cyclic, empties, hierarchical, coalesce(depth, 0) AS depth,
+  coalesce(duplicates, 0) = 0 AND missing = 0 AND orphans = 0 AND coalesce(cyclic, 0) = 0 AS valid FROM r LEFT JOIN g USING (document_id)""",
+)
 def t24(v):
-    s = v.sections
-    bad = H.orphans(s, "document_id", "section_id", "parent_section_id").groupBy("document_id").agg(F.count("*").alias("orphans"))
-    first4 = ["sec-0000", "sec-0001", "sec-0002", "sec-0003"]
-    g = s.groupBy("document_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("content") == "").alias("empties"), F.count_if(F.col("parent_section_id").isNotNull() & ~F.col("parent_section_id").isin(first4)).alias("strays"))
-    return g.join(bad, "document_id", "left").na.fill(0, ["orphans"])
+    k, d = F.col("order_index"), F.col("document_id") % 5
+    s = v.sections.select(
+        "document_id",
+        F.when((d == 4) & (k == 2), None).otherwise(F.col("section_id")).alias("section_id"),
+        F.when((d == 1) & (k == 3), "sec-9999").when((d == 2) & (k == 1), "sec-0003").otherwise(F.col("parent_section_id")).alias("parent_section_id"),
+        "content",
+    )
+    again = v.sections.where((d == 3) & (k == 1)).select("document_id", "section_id", "parent_section_id", F.lit("").alias("content"))
+    return H.report(s.unionByName(again), "document_id", "section_id", "parent_section_id", "content")
 
 
 @query("t25_cycle_detection", "SELECT document_id, section_id, order_index >= 2 AS cyclic FROM v_sections WHERE document_id IN (SELECT document_id FROM v_sections GROUP BY 1 HAVING count(*) >= 4)")
@@ -348,9 +371,25 @@ def w07(v):
     return r.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", span.alias("s")))), lambda x: x["s"]), ", ").alias("pages"))
 
 
-@query("t36_citation_merge", "SELECT id, document_id, count(*) AS citations, max(title) AS title FROM v_citations GROUP BY 1, 2")
+_RANGES = """SELECT tenant_id, document_id, id, pos, title, CASE (id + pos) % 7 WHEN 0 THEN '3-5' WHEN 1 THEN ' 7 ' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN '9 - 4'
+ WHEN 5 THEN (20 + id % 40) || '-' || (20 + id % 40 + id % 3) ELSE '1-2-' || (2 + id % 2) END AS page_range FROM v_citations"""
+
+
+@query(
+    "t36_citation_merge",
+    f"""WITH c AS ({_RANGES}), t AS (SELECT tenant_id, document_id, arg_min(coalesce(title, 'Tài liệu'), (id, pos)) AS title FROM c GROUP BY 1, 2),
+ n AS (SELECT tenant_id, document_id, TRY_CAST(trim(string_split(page_range, '-')[1]) AS INTEGER) AS a, TRY_CAST(trim(string_split(page_range, '-')[-1]) AS INTEGER) AS b FROM c WHERE page_range IS NOT NULL),
+ p AS (SELECT DISTINCT tenant_id, document_id, unnest(range(a, b + 1)) AS page FROM n WHERE a IS NOT NULL AND b IS NOT NULL), g AS (SELECT *, page - row_number() OVER (PARTITION BY tenant_id, document_id ORDER BY page) AS g FROM p),
+ r AS (SELECT tenant_id, document_id, min(page) AS a, max(page) AS b FROM g GROUP BY 1, 2, g.g), d AS (SELECT tenant_id, document_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM r GROUP BY 1, 2)
+ SELECT t.tenant_id, t.document_id, title, coalesce(pages, '') AS pages FROM t LEFT JOIN d ON d.tenant_id IS NOT DISTINCT FROM t.tenant_id AND d.document_id = t.document_id""",
+)
 def t36(v):
-    return v.citations.groupBy("id", "document_id").agg(F.count("*").alias("citations"), F.max("title").alias("title"))
+    """A tenant's citations as those of one answer."""
+    k = (F.col("id") + F.col("pos")) % 7
+    page = F.when(k == 0, "3-5").when(k == 1, " 7 ").when(k == 2, "x").when(k == 3, None).when(k == 4, "9 - 4")
+    from_ = 20 + F.col("id") % 40
+    page = page.when(k == 5, F.concat_ws("-", from_.cast("string"), (from_ + F.col("id") % 3).cast("string"))).otherwise(F.concat(F.lit("1-2-"), (2 + F.col("id") % 2).cast("string")))
+    return A.merged_citations(v.citations.withColumn("page_range", page), ["tenant_id", "document_id"], ["id", "pos"])
 
 
 @query(
@@ -437,8 +476,11 @@ def j15(v):
 
 @query("j16_dedup_probe", "SELECT doc_id, sha256(text) IN (SELECT sha256 FROM v_documents WHERE status = 'ready') AS known FROM documents")
 def j16(v):
-    seen = v.documents.where("status = 'ready'").select("sha256").distinct().withColumn("known", F.lit(True))
-    return v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256")).join(seen, "sha256", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"))
+    """A Bloom sketch of the known hashes first; only texts that pass it meet the hashes themselves."""
+    seen = v.documents.where("status = 'ready'").select("sha256")
+    words = B.words_for(seen.count())
+    rows = v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return B.known(rows, "sha256", seen, B.sketch(seen, "sha256", words), words).select("doc_id", "known")
 
 
 @query("j18_previous_user_turn", "SELECT conversation_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM v_messages")

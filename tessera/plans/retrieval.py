@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import boost as BO
 from tessera.operators import orchestration as O
 from tessera.operators import retrieval as R
 from tessera.operators.scope import chunk_filter
@@ -127,23 +128,25 @@ def v04w(v):
     return R.fuse_weighted(dense(v, 20), lexical(v, 20), "node_id").select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
+_ASKED = "(item_id % 9 + 1) || ' Section ' || (10 + item_id % 5) || ' ' || text"
+_CLEAN = rf"lower(trim(regexp_replace(regexp_replace({_ASKED}, '[^\p{{L}}\p{{M}}\p{{N}}_\s.,-]', ' ', 'g'), '\s+', ' ', 'g')))"
+
+
 @query(
     "v06_phrase_boost",
-    f"""WITH q AS (SELECT item_id AS query_id, {_T} AS t FROM benchmark), g AS (SELECT query_id, n, array_to_string(t[k : k + n - 1], ' ') AS gram FROM (SELECT query_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM q, (VALUES (2), (3), (4)) x(n) WHERE len(t) >= n) y),
- d AS (SELECT doc_id, ' ' || array_to_string({_T}, ' ') || ' ' AS body FROM documents), u AS (SELECT DISTINCT query_id, n, gram FROM g)
- SELECT query_id, doc_id, CAST(sum(5 * n) AS BIGINT) AS boost FROM u JOIN d ON contains(body, ' ' || gram || ' ') GROUP BY 1, 2""",
+    rf"""WITH q AS (SELECT item_id AS query_id, {_CLEAN} AS c FROM benchmark), w AS (SELECT query_id, c, string_split(c, ' ') AS t FROM q),
+ g AS (SELECT query_id, n, gram, count(*) AS times FROM (SELECT query_id, n, array_to_string(t[k : k + n - 1], ' ') AS gram FROM (SELECT query_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM w, (VALUES (2), (3), (4)) x(n) WHERE len(t) >= n) y) z GROUP BY 1, 2, 3),
+ s AS (SELECT document_id, section_id, section_code, lower(title) AS title, lower(content) AS content FROM v_sections),
+ u AS (SELECT DISTINCT n, gram FROM g), p AS (SELECT document_id, section_id, gram, CASE WHEN contains(title, gram) THEN 25 * n ELSE 5 * n END AS pts FROM u JOIN s ON contains(content, gram) OR contains(title, gram)),
+ k AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(list_filter(regexp_extract_all(c, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: length(x) > 1 AND x NOT IN ('the', 'a', 'of', 'and', 'is'))) AS token FROM q) z GROUP BY 1, 2),
+ c AS (SELECT query_id, document_id, section_id, 35 * times AS pts FROM k JOIN s ON section_code = token OR starts_with(section_code, token || '.'))
+ SELECT query_id, document_id, section_id, CAST(sum(pts) AS BIGINT) AS boost FROM (SELECT query_id, document_id, section_id, pts * times AS pts FROM p JOIN g USING (gram) UNION ALL SELECT * FROM c) z GROUP BY 1, 2, 3""",
 )
 def v06(v):
-    """5n for each of a query's n-grams (2 to 4 terms) that a document has: n-grams meet by equality, not by search."""
-
-    def grams(df, key):
-        t = df.select(key, terms().alias("t"))
-        each = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(0))), lambda k: F.when((k >= 1) & (k + n - 1 <= F.size("t")), F.struct(n.cast("long").alias("n"), F.array_join(F.slice("t", k, n), " ").alias("gram"))))))
-        return t.select(key, F.explode(F.array_distinct(F.filter(each, lambda x: x.isNotNull()))).alias("g")).select(key, "g.n", "g.gram")
-
-    q = grams(v.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
-    d = grams(v.table("documents").select("doc_id", "text"), "doc_id")
-    return d.join(q, ["n", "gram"]).groupBy("query_id", "doc_id").agg(F.sum(5 * F.col("n")).alias("boost"))
+    """Benchmark texts as queries, each after words that titles and codes of some sections have."""
+    asked = F.concat((F.col("item_id") % 9 + 1).cast("string"), F.lit(" Section "), (10 + F.col("item_id") % 5).cast("string"), F.lit(" "), "text")
+    q = v.table("benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text"))
+    return BO.boosted(q, v.sections, T.STOPWORDS)
 
 
 _SECV = "(SELECT section_id, min(node_id) AS head FROM v_chunks GROUP BY 1)"

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import money
 from tessera.functions import text as T
+from tessera.operators import analytics as A
+from tessera.operators import bloom as B
+from tessera.operators import boost as BO
 from tessera.operators import gates as G
 from tessera.operators import hierarchy as H
 from tessera.operators import markdown as M
@@ -164,9 +167,12 @@ def test_progress(spark):
 
 def test_progress_of_one_task_in_many(spark):
     df = spark.range(20_000).select(F.lit("t").alias("key"), F.col("id").alias("ts"), F.col("id").alias("event_id"), F.lit("s").alias("stage"), (F.col("id") % 99 + 0.5).alias("percent")).repartition(8)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    set_ = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in set_.items():
+        spark.conf.set(k, v)
     parts = [r.n for r in P.throttled(df).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in set_:
+        spark.conf.unset(k)
     assert sum(parts) == 20_000 and len(parts) > 1 and max(parts) < 15_000
 
 
@@ -267,3 +273,44 @@ def test_items():
         ("sec_0006", "Next", 0, None, "t", 0, 0),
     ]
     assert M.parse_items([]) == []
+
+
+def test_bloom(spark):
+    keys = spark.range(0, 6000, 2).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("h")).unionByName(spark.createDataFrame([(None,)], "h string"))
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 100 != 7, F.concat(F.lit("k"), F.col("id").cast("string"))).alias("h"))
+    words = B.words_for(3000)
+    whole = B.sketch(keys, "h", words)
+    parts = B.merged(B.sketch(keys.where("h < 'k3'"), "h", words), B.sketch(keys.where("h >= 'k3'"), "h", words))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    p = B.probed(rows, "h", whole, words)
+    assert p.where("NOT maybe AND id < 6000 AND id % 2 = 0 AND h IS NOT NULL").count() == 0  # no key is lost
+    assert p.where("maybe AND (id >= 6000 OR id % 2 = 1)").count() < 0.05 * 17_000  # few others go on to the join
+    want = {i: i < 6000 and i % 2 == 0 and i % 100 != 7 for i in range(20_000)}
+    for s, w in ((whole, words), (B.sketch(keys, "h", 1), 1)):  # a sketch that is full still gives the exact rows
+        assert {r.id: r.known for r in B.known(rows, "h", keys, s, w).collect()} == want
+    assert not any(r.known for r in B.known(rows, "h", keys.limit(0), B.sketch(keys.limit(0), "h", 1), 1).collect())
+    assert B.words_for(10**12) == B.WORDS and B.words_for(0) == 1
+
+
+def test_merged_citations(spark):
+    pages = ["1-2", "4", "3", "10-12", "11-20", "30 ", "x-3", "-3", None, "9-8", "15", "1000000000-2000000000"]
+    rows = [("d", i, None if i == 0 else f"t{i}", p) for i, p in enumerate(pages)] + [(None, 0, "none", None)]
+    got = A.merged_citations(spark.createDataFrame(rows, "d string, i int, title string, page_range string"), ["d"], ["i"]).collect()
+    assert {r.d: (r.title, r.pages) for r in got} == {"d": ("Tài liệu", "1-4, 10-20, 30, 1000000000-2000000000"), None: ("none", "")}
+
+
+def test_hierarchy_report(spark):
+    chain = [("long", f"n{i}", f"n{i - 1}" if i else None, "x") for i in range(200)]
+    rows = [*chain, ("g", "a", None, " "), ("g", "a", "", "x"), ("g", "b", "a", None), ("g", "c", "lost", "x"), ("g", "d", "c", "x"), ("g", "x", "y", "x"), ("g", "y", "x", "x"), ("g", "z", "y", "x"), ("g", None, "a", "x"), ("g", "s", "s", "x"), (None, "q", None, "x")]
+    r = {x[0]: tuple(x)[1:] for x in H.report(spark.createDataFrame(rows, "g string, n string, p string, t string"), "g", "n", "p", "t").collect()}
+    assert r["long"] == (200, 0, 0, 0, 0, 0, 199, 199, True)
+    assert r["g"] == (10, 1, 1, 1, 4, 2, 8, 2, False)
+    assert r[None] == (1, 0, 1, 0, 0, 0, 0, 0, False)
+
+
+def test_boosts(spark):
+    q = spark.createDataFrame([(1, "Red  Apple pie, red apple"), (2, "code 1 12"), (3, None)], "query_id long, text string")
+    s = spark.createDataFrame([(1, "a", "12.3", "The RED apple", "red apple pie,"), (1, "b", "1.12", None, "xred appley"), (1, "c", "12", "", None), (1, "d", None, "one", "two")], "document_id long, section_id string, section_code string, title string, content string")
+    got = {(r.query_id, r.section_id): r.boost for r in BO.boosted(q, s, ("the",)).collect()}
+    # "red apple" counts twice, "red apple pie," and "apple pie," are phrases too; 1 is too short for a code
+    assert got == {(1, "a"): 25 * 2 * 2 + 5 * 3 + 5 * 2, (1, "b"): 5 * 2 * 2, (2, "a"): 35, (2, "c"): 35}
