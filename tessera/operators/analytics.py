@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import times
+from tessera.sources.folders import checkpoint_folder
 
 MODEL_TYPES = ("llm", "embedding", "reranker")
 
@@ -107,3 +108,14 @@ def merged_citations(citations: DataFrame, by: list[str], order: list[str]) -> D
     other = pages.withColumnsRenamed({c: f"{c}_2" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in by]
     return titles.join(other, same, "left").select(*by, "title", F.coalesce("pages", F.lit("")).alias("pages"))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with their number in a total order, from 1. Rows are sorted in ranges; the numbers before a range come from counts, one for each range, so no task sorts all."""
+    checkpoint_folder(rows.sparkSession)
+    at = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at).withColumn("range", F.shiftright("at", 33)).checkpoint()
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
+    local = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "range").withColumn(name, F.col("before") + local + 1).drop("at", "range", "before")

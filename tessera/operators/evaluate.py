@@ -15,10 +15,9 @@ def keyword_recall(text: Column, keywords: Column) -> Column:
     return F.size(F.filter(keywords, lambda k: F.contains(F.lower(text), F.lower(k)))) / F.greatest(F.size(keywords), F.lit(1))
 
 
-def first_ranks(hits: DataFrame, relevant: DataFrame, key: str) -> DataFrame:
-    """Rank of each query's first relevant hit; 0 if there is none."""
-    r = hits.join(relevant, ["query_id", key], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    return hits.select("query_id").distinct().join(r, "query_id", "left").na.fill(0, ["rank"])
+def first_ranks(hits: DataFrame, relevant: Column) -> DataFrame:
+    """Rank of each query's first relevant hit; 0 if there is none. Whether a hit is relevant, its own columns say."""
+    return hits.groupBy("query_id").agg(F.coalesce(F.min(F.when(relevant, F.col("rank"))), F.lit(0)).alias("rank"))
 
 
 def case_metrics(rank: Column) -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,12 @@ def consistency(sections: DataFrame, vectors: DataFrame, *key: str) -> DataFrame
     lost = v.join(s, list(key), "left_anti").agg(F.count("*").alias("orphan_vectors"))
     bare = s.join(v.distinct(), list(key), "left_anti").agg(F.count("*").alias("bare_sections"))
     return total.crossJoin(lost).crossJoin(bare)
+
+
+def left_over(gone: DataFrame, key: str, **tables: DataFrame) -> DataFrame:
+    """For each deleted key the rows that each table still has of it, and whether that is none (`clean`)."""
+    out = gone.select(key).distinct()
+    for name, table in tables.items():
+        n = table.join(gone.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count("*").alias(name))
+        out = out.join(n, key, "left")
+    return out.na.fill(0, list(tables)).withColumn("clean", reduce(lambda a, b: a & b, [F.col(n) == 0 for n in tables], F.lit(True)))

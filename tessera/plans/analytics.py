@@ -121,7 +121,7 @@ def a12(v):
 
 @query("a13_next_version", "SELECT f.file_name, CAST(coalesce(max(version) FILTER (deleted_at IS NULL), 0) + 1 AS BIGINT) AS next_version FROM v_documents f GROUP BY 1")
 def a13(v):
-    return v.documents.groupBy("file_name").agg((F.coalesce(F.max(F.when(F.col("deleted_at").isNull(), F.col("version"))), F.lit(0)) + 1).alias("next_version"))
+    return v.versions.groupBy("file_name").agg((F.coalesce(F.max(F.when(F.col("deleted_at").isNull(), F.col("version"))), F.lit(0)) + 1).alias("next_version"))
 
 
 @query("a14_document_counts", "SELECT count(*) AS live, count(*) FILTER (status = 'ready') AS ready FROM v_documents WHERE deleted_at IS NULL")
@@ -264,8 +264,10 @@ def p14(v):
 
 @query("o04_nulls_first_last", "SELECT key_id, CAST(row_number() OVER (ORDER BY last_used_at ASC NULLS FIRST, key_id) AS BIGINT) AS by_use, CAST(row_number() OVER (ORDER BY rate_limited_until ASC NULLS LAST, key_id) AS BIGINT) AS by_limit FROM v_keys")
 def o04(v):
-    by = lambda c: F.row_number().over(W.partitionBy(F.lit(1)).orderBy(c, "key_id")).cast("long")  # noqa: E731  a small dimension
-    return v.keys.select("key_id", by(F.col("last_used_at").asc_nulls_first()).alias("by_use"), by(F.col("rate_limited_until").asc_nulls_last()).alias("by_limit"))
+    k = v.keys.select("key_id", "last_used_at", "rate_limited_until")
+    by_use = A.numbered(k, "by_use", F.col("last_used_at").asc_nulls_first(), F.col("key_id")).select("key_id", "by_use")
+    by_limit = A.numbered(k, "by_limit", F.col("rate_limited_until").asc_nulls_last(), F.col("key_id")).select("key_id", "by_limit")
+    return by_use.join(by_limit, "key_id")
 
 
 # --- joins
@@ -274,7 +276,7 @@ def o04(v):
 @query("j01_user_roles", "SELECT user_id, username, role, r.n AS role_size FROM v_users u JOIN (SELECT role, count(*) AS n FROM v_users GROUP BY 1) r USING (role)")
 def j01(v):
     roles = v.users.groupBy("role").agg(F.count("*").alias("role_size"))
-    return v.users.join(F.broadcast(roles), "role").select("user_id", "username", "role", "role_size")
+    return v.users.join(roles, "role").select("user_id", "username", "role", "role_size")
 
 
 @query("j02_tenants_of_document", "SELECT t.tenant_id, t.name FROM v_access a JOIN v_tenants t USING (tenant_id) WHERE a.document_id = 8 ORDER BY t.name")

@@ -300,11 +300,10 @@ def t24(v):
     return H.report(s.unionByName(again), "document_id", "section_id", "parent_section_id", "content")
 
 
-@query("t25_cycle_detection", "SELECT document_id, section_id, order_index >= 2 AS cyclic FROM v_sections WHERE document_id IN (SELECT document_id FROM v_sections GROUP BY 1 HAVING count(*) >= 4)")
+@query("t25_cycle_detection", "SELECT document_id, section_id, order_index >= 2 AND count(*) OVER (PARTITION BY document_id) >= 4 AS cyclic FROM v_sections")
 def t25(v):
     """Sections 2 and 3 point at each other, so these and what hangs from them (4 on) are cyclic, if 3 exists; others hang from the root or from section 1."""
-    n = W.partitionBy("document_id")
-    s = v.sections.withColumn("n", F.count("*").over(n)).where("n >= 4")
+    s = v.sections
     k = F.col("order_index")
     up = F.when(k == 2, "sec-0003").when(k == 3, "sec-0002").when(k > 3, "sec-0003").otherwise(F.col("parent_section_id"))
     d = H.depths(s.withColumn("parent_section_id", up), "document_id", "section_id", "parent_section_id")
@@ -414,9 +413,9 @@ def w11(v):
 # --- sets, copies, versions, access
 
 
-@query("u01_bag_concat", "SELECT node_id FROM v_chunks WHERE section_id < 3 UNION ALL SELECT node_id FROM v_chunks WHERE document_id < 10")
+@query("u01_bag_concat", "SELECT node_id FROM v_chunks UNION ALL SELECT document_id FROM v_sections")
 def u01(v):
-    return v.chunks.where("section_id < 3").select("node_id").unionByName(v.chunks.where("document_id < 10").select("node_id"))
+    return v.chunks.select("node_id").unionByName(v.sections.select(F.col("document_id").alias("node_id")))
 
 
 @query("u02_set_difference", "SELECT id, list_sort(list_distinct(list_filter([id % 3, id % 5, id % 7], lambda x: NOT list_contains([id % 2, id % 4], x)))) AS gone FROM v_usage")
@@ -451,7 +450,7 @@ def u06(v):
 
 @query("j06_latest_version", "SELECT id, file_name, version FROM (SELECT *, rank() OVER (PARTITION BY file_name ORDER BY version DESC) AS r FROM v_documents WHERE status = 'ready' AND deleted_at IS NULL) d WHERE r = 1")
 def j06(v):
-    live = v.documents.where("status = 'ready' AND deleted_at IS NULL").select("id", "file_name", "version")
+    live = v.versions.where("status = 'ready' AND deleted_at IS NULL").select("id", "file_name", "version")
     top = live.groupBy("file_name").agg(F.max("version").alias("version"))
     return live.join(top, ["file_name", "version"]).select("id", "file_name", "version")
 
@@ -502,11 +501,17 @@ def k22(v):
     return v.table("benchmark").select("item_id", F.when(F.element_at(new, 1) == "h", 1).otherwise(0).alias("kept"))
 
 
-@query("t03_section_parse_items", """WITH i AS (SELECT doc_id AS document_id, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents), s AS (SELECT document_id, count(*) FILTER (k % 3 = 0) AS sections FROM i GROUP BY 1) SELECT document_id, sections FROM s""")
+@query(
+    "t03_section_parse_items",
+    r"""WITH a AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS l FROM documents), i AS (SELECT document_id, l, unnest(range(0, len(l), 3)) AS k FROM a)
+ SELECT document_id, k // 3 AS order_index, 'sec_' || printf('%04d', k // 3 + 1) AS section_id, CASE WHEN k % 6 <> 0 THEN 'sec_' || printf('%04d', k // 3) END AS parent_section_id, 'x ' || l[k + 1] AS title, CASE WHEN k % 6 = 0 THEN 1 ELSE 2 END AS level,
+  CASE WHEN k % 6 = 0 THEN 'x ' || l[k + 1] ELSE 'x ' || l[k - 2] || ' > x ' || l[k + 1] END AS breadcrumb, coalesce(trim('x ' || l[k + 2], e' \t\n\r\f\v'), '') AS content, CAST(k + 2 < len(l) AS INTEGER) AS pictures FROM i""",
+)
 def t03(v):
-    """Every third line is a heading, of level 1 or 2."""
+    """Every third line is a heading, of level 1 or 2, with a text and a picture after it."""
     d = v.table("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(M.lines_of(F.col("text"))).alias("seq", "text"))
     k = F.col("seq")
     kind = F.when(k % 3 == 0, "heading").when(k % 3 == 1, "text").otherwise("picture")
     items = d.select("document_id", k.alias("seq"), kind.alias("kind"), F.when(k % 6 == 0, 1).otherwise(2).alias("level"), F.concat(F.lit("x "), "text").alias("text"))
-    return M.item_sections(items).groupBy("document_id").agg(F.count("*").alias("sections"))
+    s = M.item_sections(items)
+    return s.select("document_id", F.col("order_index").cast("long").alias("order_index"), "section_id", "parent_section_id", "title", "level", F.array_join("breadcrumb", " > ").alias("breadcrumb"), "content", "pictures")

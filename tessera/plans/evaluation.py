@@ -14,9 +14,8 @@ _CASES = f"SELECT query_id, CASE WHEN query_id // 20 % 2 = 0 THEN 'even' ELSE 'o
 
 
 def ranks(v):
-    q = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
-    relevant = v.chunks.join(q, "section_id").where("node_id <> query_id").select("query_id", "node_id")
-    return E.first_ranks(dense(v, 5), relevant, "node_id")
+    q = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return E.first_ranks(dense(v, 5).join(q, "query_id"), (F.col("section_id") == F.col("label")) & (F.col("node_id") != F.col("query_id")))
 
 
 def cases(v):

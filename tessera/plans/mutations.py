@@ -68,11 +68,18 @@ def d09(v):
     return count(v.chunks.select("document_id"), "vectors").crossJoin(count(v.sections.select("document_id"), "sections")).crossJoin(count(docs, "documents"))
 
 
-@query("d10_delete_verification", "SELECT CAST(0 AS BIGINT) AS vectors, CAST(0 AS BIGINT) AS rows")
+@query(
+    "d10_delete_verification",
+    """SELECT d.id AS document_id, (SELECT count(*) FROM v_chunks c WHERE c.document_id = d.id AND c.node_id % 3 = 0) AS vectors, (SELECT count(*) FROM v_sections s WHERE s.document_id = d.id AND s.order_index > 20) AS sections, CAST(0 AS BIGINT) AS rows,
+ NOT EXISTS (SELECT 1 FROM v_chunks c WHERE c.document_id = d.id AND c.node_id % 3 = 0) AND NOT EXISTS (SELECT 1 FROM v_sections s WHERE s.document_id = d.id AND s.order_index > 20) AS clean FROM v_documents d WHERE d.deleted_at IS NOT NULL""",
+)
 def d10(v):
-    gone = v.spark.createDataFrame([(6,), (7,)], "document_id long")
-    left = lambda df, name: U.delete(df, gone, "document_id").where("document_id IN (6, 7)").agg(F.count("*").alias(name))
-    return left(v.chunks.select("document_id"), "vectors").crossJoin(left(v.documents.select(F.col("id").alias("document_id")), "rows"))
+    """After a delete of all soft-deleted documents that left every third vector and long documents' last sections."""
+    docs = v.documents.select(F.col("id").alias("document_id"), "deleted_at")
+    gone = docs.where("deleted_at IS NOT NULL").select("document_id")
+    vectors = U.delete(v.chunks.where("node_id % 3 <> 0"), gone, "document_id").select("document_id").unionByName(v.chunks.where("node_id % 3 = 0").select("document_id"))
+    sections = U.delete(v.sections.where("order_index <= 20"), gone, "document_id").select("document_id").unionByName(v.sections.where("order_index > 20").select("document_id"))
+    return U.left_over(gone, "document_id", vectors=vectors, sections=sections, rows=U.delete(docs, gone, "document_id"))
 
 
 @query(

@@ -58,14 +58,14 @@ def p11d(v):
 
 @query(
     "v14_allowed_documents",
-    """WITH t(tenant_id) AS (VALUES (3), (1003), (NULL)), a AS (SELECT DISTINCT tenant_id, document_id FROM v_access), d AS (SELECT id AS document_id, tenant_id FROM v_documents WHERE deleted_at IS NULL)
+    """WITH t AS (SELECT tenant_id FROM v_tenants UNION ALL SELECT NULL), a AS (SELECT DISTINCT tenant_id, document_id FROM v_access), d AS (SELECT id AS document_id, tenant_id FROM v_documents WHERE deleted_at IS NULL)
  SELECT t.tenant_id, document_id FROM t JOIN a USING (tenant_id)
  UNION SELECT t.tenant_id, document_id FROM t JOIN d USING (tenant_id) WHERE t.tenant_id NOT IN (SELECT tenant_id FROM a)
  UNION SELECT NULL, document_id FROM d""",
 )
 def v14(v):
-    """What tenants 3 and 1003 and a caller without a tenant may read: documents of the access table; of a tenant that has none there, its own; without a tenant, all."""
-    asked = v.spark.createDataFrame([(3,), (1003,), (None,)], "tenant_id long")
+    """What each tenant and a caller without a tenant may read: documents of the access table; of a tenant that has none there, its own; without a tenant, all."""
+    asked = v.tenants.select("tenant_id").unionByName(v.spark.createDataFrame([(None,)], "tenant_id long"))
     return R.allowed_documents(asked, v.access.select("tenant_id", "document_id"), v.documents.where("deleted_at IS NULL").select(F.col("id").alias("document_id"), "tenant_id"))
 
 
@@ -91,10 +91,10 @@ def v05(v):
     return bm25(v)
 
 
-@query("a21_corpus_statistics", f"{_BM} SELECT term, df, (SELECT n FROM n) AS n, round((SELECT avgdl FROM n), 6) AS avgdl FROM f WHERE df > 5")
+@query("a21_corpus_statistics", f"{_BM} SELECT term, df, (SELECT n FROM n) AS n, round((SELECT avgdl FROM n), 6) AS avgdl FROM f")
 def a21(v):
     d = v.table("documents").select("doc_id", "text")
-    df = R.term_counts(d, terms(), "doc_id").groupBy("term").agg(F.count("*").alias("df")).where("df > 5")
+    df = R.term_counts(d, terms(), "doc_id").groupBy("term").agg(F.count("*").alias("df"))
     n = d.select(F.size(terms()).alias("dl")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
     return df.crossJoin(F.broadcast(n))
 
@@ -106,9 +106,13 @@ def v03(v):
 
 def lexical(v, k):
     """A second ranking over the same nodes: those of the query's section, by distance of ids."""
-    q = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("section_id"))
-    s = v.chunks.join(q, "section_id").select("query_id", "node_id", (1.0 / (1 + F.abs(F.col("node_id") - F.col("query_id")))).alias("score"))
-    return R.ranked(s, k, "query_id", F.desc("score"), F.col("node_id")).withColumn("rank", F.col("rank").cast("long"))
+    q = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+
+    def score(pairs):
+        s = pairs.where("section_id = label").select("query_id", "node_id", (1.0 / (1 + F.abs(F.col("node_id") - F.col("query_id")))).alias("score"))
+        return R.ranked(s, k, "query_id", F.desc("score"), F.col("node_id"))
+
+    return R.against(q, v.chunks.select("node_id", "section_id"), score).withColumn("rank", F.col("rank").cast("long"))
 
 
 _LEX = "SELECT query_id, node_id, score, rank FROM (SELECT q.query_id, c.node_id, 1.0 / (1 + abs(c.node_id - q.query_id)) AS score, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY 1.0 / (1 + abs(c.node_id - q.query_id)) DESC, c.node_id) AS BIGINT) AS rank FROM v_chunks c JOIN (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0) q ON c.section_id = q.label) x WHERE rank <= 20"

@@ -39,14 +39,14 @@ def c10(v):
 def c18s(v):
     to = jobs.shared_folder(v.spark, "conversations")
     jobs.conversation_stream(_events(v).select(F.col("user_id").alias("conversation_id"), "ts"), to)
-    return jobs.result(v.spark, to).select("conversation_id", "message_count")
+    return jobs.newest(v.spark, to, "conversation_id").select("conversation_id", "message_count")
 
 
 @query("c01_minute_stream", "SELECT user_id % 20 AS key, count(*) AS requests, count(DISTINCT date_trunc('minute', ts)) AS minutes FROM events GROUP BY 1")
 def c01s(v):
     to = jobs.shared_folder(v.spark, "minutes")
     jobs.minute_counts(_events(v).select((F.col("user_id") % 20).alias("key"), F.col("ts").cast("timestamp").alias("ts")), to)
-    return jobs.result(v.spark, to).groupBy("key").agg(F.sum("n").alias("requests"), F.count("*").alias("minutes"))
+    return jobs.newest(v.spark, to, "key", "minute").groupBy("key").agg(F.sum("n").alias("requests"), F.count("*").alias("minutes"))
 
 
 @query("c07_sliding_window_stream")

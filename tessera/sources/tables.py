@@ -29,9 +29,9 @@ def existing(keys: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     return keys.join(found, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def write_blobs(df: DataFrame, path: str, key: str, body: str, parts: int = 8) -> None:
-    """Bodies as rows of Parquet, dealt by key."""
-    df.select(key, body).repartition(parts, key).write.mode("overwrite").parquet(path)
+def write_blobs(df: DataFrame, path: str, key: str, body: str) -> None:
+    """Bodies as rows of Parquet, in files of a size that Spark chooses; rows are balanced, whatever their keys."""
+    df.select(key, body).hint("rebalance").write.mode("overwrite").parquet(path)
 
 
 def usage_rows(requests: DataFrame) -> DataFrame:
@@ -49,6 +49,9 @@ def attach_sparse(store: DataFrame, sparse: DataFrame, key: str = "node_id") ->
     return store.join(sparse, key, "left")
 
 
-def report(df: DataFrame, path: str) -> None:
-    """A small JSON report in one file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def report(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A JSON report in one file; a table of more than `most` rows is refused, since one task writes it."""
+    few = df.limit(most + 1)
+    if few.count() > most:
+        raise ValueError(f"a report has {most} rows at most")
+    few.coalesce(1).write.mode("overwrite").json(path)

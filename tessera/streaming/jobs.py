@@ -39,6 +39,13 @@ def numbered(folder: str) -> Callable[[DataFrame, int], None]:
     return lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/data/batch={n}")
 
 
+def newest(spark: SparkSession, folder: str, *key: str) -> DataFrame:
+    """The last state of each key, of batches that hold what changed."""
+    rows = spark.read.parquet(f"{folder}/data")
+    own = [c for c in rows.columns if c not in key and c != "batch"]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*own), "batch").alias("row")).select(*key, "row.*")
+
+
 def result(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/data").drop("batch")
 
@@ -55,16 +62,16 @@ def audit_stream(stream: DataFrame, folder: str, late: str = "30 days") -> None:
 
 
 def conversation_stream(stream: DataFrame, folder: str, days: int = 90) -> None:
-    """One row a conversation: first and last message, count, expiry; the last state of each batch replaces the one before."""
+    """A row for each conversation that a batch changes: first and last message, count, expiry. `newest` by conversation_id is the table; no batch replaces another's files."""
     g = stream.groupBy("conversation_id").agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_message_at"), F.count("*").alias("message_count"))
     g = g.withColumn("expires_at", F.col("last_message_at") + F.make_dt_interval(days=F.lit(days)))
-    drain(g, folder, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/data"), "complete")
+    drain(g, folder, numbered(folder), "update")
 
 
-def minute_counts(stream: DataFrame, folder: str) -> None:
-    """Requests of each key and minute."""
-    g = stream.groupBy("key", F.window("ts", "1 minute").alias("w")).count().select("key", F.col("w.start").alias("minute"), F.col("count").alias("n"))
-    drain(g, folder, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/data"), "complete")
+def minute_counts(stream: DataFrame, folder: str, late: str = "30 days") -> None:
+    """Requests of each key and minute, as batches change them; `newest` by key and minute is the table. Minutes before the watermark leave the state."""
+    g = stream.withWatermark("ts", late).groupBy("key", F.window("ts", "1 minute").alias("w")).count().select("key", F.col("w.start").alias("minute"), F.col("count").alias("n"))
+    drain(g, folder, numbered(folder), "update")
 
 
 def sliding_window_stream(stream: DataFrame, folder: str, window_ms: int, limit: int) -> None:
