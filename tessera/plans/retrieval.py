@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import boost as BO
 from tessera.operators import orchestration as O
 from tessera.operators import retrieval as R
+from tessera.operators import semantic_cache as SC
 from tessera.operators.scope import chunk_filter
 from tessera.plans.registry import query
 
@@ -450,13 +451,29 @@ def k19(v):
     return R.memoised(t, memo, lambda texts: [[float(len(x))] for x in texts]).select("id", F.col("embedding")[0].cast("double").alias("first"))
 
 
-@query("v18_semantic_cache", f"SELECT query_id, node_id AS hit FROM ({_dense(1, 'c.node_id % 20 <> 0 AND c.document_id % 2 = q.query_id // 20 % 2')}) d WHERE 1 - score <= 0.95")
+_TTL, _NEAR = 60_000, 0.9
+#: Every fourth vector is put as an entry, the others ask; tenants pause now and then for longer than entries live.
+_CACHE = "SELECT node_id % 5 AS tenant, node_id * 3000 + node_id // 90 * 200000 AS ms, node_id AS event_id, CASE WHEN node_id // 5 % 4 = 0 THEN 'put' ELSE 'get' END AS op, node_id % 35 AS entry, CAST(embedding AS DOUBLE[]) AS vector FROM v_chunks"
+
+
+def cache_events(v):
+    k = F.col("node_id")
+    return v.chunks.select((k % 5).alias("tenant"), (k * 3000 + F.expr("node_id div 90") * 200_000).alias("ms"), k.alias("event_id"), F.when(F.expr("node_id div 5 % 4 = 0"), "put").otherwise("get").alias("op"), (k % 35).alias("entry"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query(
+    "v18_semantic_cache",
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY ms, event_id) AS n FROM ({_CACHE}) x),
+ r(tenant, event_id, n, op, hit, live) AS (SELECT tenant, event_id, n, op, CAST(NULL AS BIGINT), CASE WHEN op = 'put' THEN [{{'id': entry, 'vec': vector, 'till': ms + {_TTL}}}] ELSE [] END FROM e WHERE n = 1
+  UNION ALL SELECT tenant, event_id, n, op, hit, CASE WHEN op = 'put' THEN list_append(list_filter(live, lambda x: x.id <> entry), {{'id': entry, 'vec': vector, 'till': ms + {_TTL}}})
+   WHEN hit IS NOT NULL THEN list_transform(live, lambda x: {{'id': x.id, 'vec': x.vec, 'till': CASE WHEN x.id = hit THEN ms + {_TTL} ELSE x.till END}}) ELSE live END
+  FROM (SELECT *, CASE WHEN op = 'get' AND near.d <= {_NEAR} THEN near.id END AS hit FROM (SELECT *, list_min(list_transform(live, lambda x: {{'d': round(1 - list_cosine_similarity(x.vec, vector), 6), 'id': x.id}})) AS near
+   FROM (SELECT e.*, list_filter(r.live, lambda x: x.till > e.ms) AS live FROM r JOIN e ON e.tenant = r.tenant AND e.n = r.n + 1) a) b) c)
+ SELECT tenant, event_id, hit FROM r WHERE op = 'get'""",
+)
 def v18(v):
-    """Nearest entry of the same tenant, if its distance is within the threshold."""
-    q = queries(v).withColumn("tenant", F.expr("query_id div 20 % 2"))
-    entries = v.chunks.where("node_id % 20 <> 0").withColumn("tenant", F.expr("document_id % 2"))
-    s = entries.join(q, "tenant").select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
-    return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id")).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
+    """Lookups over time: a hit renews its entry, an expired entry is no candidate."""
+    return SC.lookups(cache_events(v), _TTL, _NEAR)
 
 
 @query("v19_cache_delta", "SELECT node_id, CASE WHEN node_id % 5 = 1 THEN 7 ELSE 1 END AS ttl_days FROM v_chunks WHERE node_id % 5 <> 0")

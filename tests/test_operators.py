@@ -20,6 +20,7 @@ from tessera.operators import markdown as M
 from tessera.operators import orchestration as O
 from tessera.operators import progress as P
 from tessera.operators import retrieval as R
+from tessera.operators import semantic_cache as SC
 from tessera.operators.scope import Actor, Forbidden, chunk_filter, require_tenant
 from tessera.streaming import jobs
 
@@ -314,3 +315,29 @@ def test_boosts(spark):
     got = {(r.query_id, r.section_id): r.boost for r in BO.boosted(q, s, ("the",)).collect()}
     # "red apple" counts twice, "red apple pie," and "apple pie," are phrases too; 1 is too short for a code
     assert got == {(1, "a"): 25 * 2 * 2 + 5 * 3 + 5 * 2, (1, "b"): 5 * 2 * 2, (2, "a"): 35, (2, "c"): 35}
+
+
+def test_semantic_cache_over_time(spark, tmp_path):
+    rng = random.Random(3)
+    rows, t = [], 0
+    for i in range(600):
+        t += rng.choice([1, 5, 20]) if rng.random() < 0.95 else rng.choice([90, 101, 400])
+        rows.append((rng.choice([1, 1, 2, None]), t, i, rng.choice(["put", "get", "get"]), rng.randrange(12), [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]))
+    schema = "tenant long, ms long, event_id long, op string, entry long, vector array<double>"
+    df = spark.createDataFrame(rows, schema)
+    want = {}
+    for tenant in (1, 2, None):
+        live = SC.Live(100, 0.4)
+        want |= {i: live.step(ms, op, entry, x) for k, ms, i, op, entry, x in rows if k == tenant}
+    want = {i: want[i] for _, _, i, op, _, _ in rows if op == "get"}
+    got = {r.event_id: r.hit for r in SC.lookups(df.repartition(4), 100, 0.4).collect()}
+    assert got == want and 50 < sum(x is not None for x in got.values()) < len(got) - 50
+    assert SC.parts(df, 100).select("tenant", "part").distinct().count() > 6
+    # a stream in three batches gives the same
+    src = tmp_path / "in"
+    for b in range(3):
+        part = spark.createDataFrame(rows[200 * b : 200 * b + 200], schema)
+        part.where("tenant IS NOT NULL").withColumn("ts", F.timestamp_millis("ms")).coalesce(1).write.mode("append").parquet(str(src / f"b={b}"))
+    stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).option("maxFilesPerTrigger", 1).parquet(str(src)).withWatermark("ts", "1 second")
+    jobs.drain(SC.stream_lookups(stream, 100, 0.4), str(tmp_path), jobs.numbered(str(tmp_path)))
+    assert {r.event_id: r.hit for r in jobs.result(spark, str(tmp_path)).collect()} == {i: want[i] for k, _, i, op, _, _ in rows if op == "get" and k is not None}
