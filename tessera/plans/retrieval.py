@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import boost as BO
 from tessera.operators import orchestration as O
+from tessera.operators import quantised as QU
 from tessera.operators import retrieval as R
 from tessera.operators import semantic_cache as SC
 from tessera.operators.scope import chunk_filter
@@ -47,6 +48,20 @@ def o07(v):
     return dense(v, 8)
 
 
+@query("s18_quantised_topk", _dense(8))
+def s18(v):
+    """A coarse scan over whole numbers first, exact scores of what it leaves; the rows of an exact scan."""
+    return QU.topk(queries(v), QU.quantised(v.chunks), v.chunks, 8).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("s18_schema_check", "SELECT node_id, CASE WHEN node_id % 11 = 0 THEN 'missing' WHEN node_id % 7 = 0 OR len(embedding) <> 64 THEN 'dimension' WHEN node_id % 5 = 0 THEN 'not-finite' WHEN node_id % 3 = 0 THEN 'zero' END AS fault FROM v_chunks")
+def s18c(v):
+    """Vectors with a fault of each kind, before they go to a collection of 64 dimensions."""
+    k, e = F.col("node_id"), F.col("embedding").cast("array<float>")
+    odd = F.when(k % 11 == 0, None).when(k % 7 == 0, F.slice(e, 1, 3)).when(k % 5 == 0, F.transform(e, lambda x, i: F.when(i == 1, float("nan")).otherwise(x).cast("float"))).when(k % 3 == 0, F.transform(e, lambda x: F.lit(0).cast("float"))).otherwise(e)
+    return QU.checked(v.chunks.withColumn("embedding", odd), 64).select("node_id", "fault")
+
+
 @query("p11_metadata_prefilter", "SELECT node_id FROM v_chunks WHERE document_id IN (3, 4) AND section_id = 2")
 def p11(v):
     return v.chunks.where(chunk_filter([3, 4], 2)).select("node_id")

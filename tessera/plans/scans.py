@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators.scope import Actor, require_tenant, tenant_filter
 from tessera.plans.registry import query
 from tessera.sources import tables as S
+from tessera.sources.manifest import BlobStore
 from tessera.streaming import jobs
 
 
@@ -36,6 +37,17 @@ def s04(v):
     return v.spark.read.parquet(to)
 
 
+@query("s05_prefix_delete", "SELECT lang || '/' || doc_id AS key, CASE WHEN doc_id % 10 = 0 THEN 'new ' ELSE '' END || text AS body FROM documents WHERE lang <> 'de'")
+def s05(v):
+    """All texts by language, every tenth put again, then a language deleted; what readers see after that."""
+    store = BlobStore(v.spark, jobs.shared_folder(v.spark, "store"))
+    d = v.table("documents").select("doc_id", F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("body"))
+    store.put(d)
+    store.put(d.where("doc_id % 10 = 0").withColumn("body", F.concat(F.lit("new "), "body")))
+    store.delete_prefix("de/")
+    return store.read()
+
+
 @query("s14_stream_sink_rows", "SELECT event_id, action, nullif(nullif(trim(actor), ''), 'None') AS actor, coalesce(details_json, '{}') AS details_json FROM v_audit WHERE trim(action) <> ''")
 def s14(v):
     return jobs.audit_rows(v.audit).drop("ts")

@@ -19,9 +19,11 @@ from tessera.operators import hierarchy as H
 from tessera.operators import markdown as M
 from tessera.operators import orchestration as O
 from tessera.operators import progress as P
+from tessera.operators import quantised as QU
 from tessera.operators import retrieval as R
 from tessera.operators import semantic_cache as SC
 from tessera.operators.scope import Actor, Forbidden, chunk_filter, require_tenant
+from tessera.sources.manifest import BlobStore
 from tessera.streaming import jobs
 
 
@@ -341,3 +343,41 @@ def test_semantic_cache_over_time(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).option("maxFilesPerTrigger", 1).parquet(str(src)).withWatermark("ts", "1 second")
     jobs.drain(SC.stream_lookups(stream, 100, 0.4), str(tmp_path), jobs.numbered(str(tmp_path)))
     assert {r.event_id: r.hit for r in jobs.result(spark, str(tmp_path)).collect()} == {i: want[i] for k, _, i, op, _, _ in rows if op == "get" and k is not None}
+
+
+def test_quantised_topk_is_exact(spark):
+    rng = random.Random(8)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    rows = [(i, [x + rng.gauss(0, 0.002 * (i % 4)) for x in base[i % 30]]) for i in range(900)] + [(900, [0.0] * 16), (901, [1.0, 2.0]), *[(902 + i, base[0]) for i in range(9)]]
+    df = spark.createDataFrame(rows, "node_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, base[i]) for i in range(12)] + [(12, [0.0] * 16), (13, [1.0] * 3)], "query_id long, qvec array<double>")
+    key = lambda d: sorted((r.query_id, r.node_id, r.score, r["rank"]) for r in d.collect())
+    for k in (1, 5, 40):
+        assert key(QU.topk(q, QU.quantised(df), df, k)) == key(R.dense_topk(q, df, k))
+    c = QU.quantised(df).where("node_id < 900")
+    assert c.agg(F.max("slack")).first()[0] < 0.02 and dict(c.dtypes)["codes"] == "array<tinyint>"
+
+
+def test_blob_store(spark, tmp_path):
+    store = BlobStore(spark, str(tmp_path / "store"))
+    seen = lambda v=None: {r.key: r.body for r in store.read(v).collect()}
+    blobs = lambda **kv: spark.createDataFrame([(k.replace("_", "/"), v) for k, v in kv.items()], "key string, body string")
+    assert store.version() == 0 and seen() == {}
+    first = store.put(blobs(a_1="x", a_2="yé", b_1="z"))
+    store.put(blobs(a_2="new", ab="q"))
+    assert seen() == {"a/1": "x", "a/2": "new", "b/1": "z", "ab": "q"} and seen(first) == {"a/1": "x", "a/2": "yé", "b/1": "z"}
+    assert {r.key: r.length for r in store.listing(first).collect()} == {"a/1": 1, "a/2": 3, "b/1": 1}
+    before = store.version()
+    reader = store.read()
+    # a change that was broken off isn't seen, and is written over
+    (tmp_path / "store" / "listing" / f"v={before + 1}").mkdir()
+    assert store.version() == before
+    store.delete_prefix("a/")
+    assert seen() == {"b/1": "z", "ab": "q"} and len(reader.collect()) == 4
+    with pytest.raises(ValueError, match="prefix"):
+        store.delete_prefix("")
+    assert store.vacuum() == [] and seen() == {"b/1": "z", "ab": "q"}  # each batch has a live key
+    store.delete_prefix("b/")
+    assert len(store.vacuum()) == 1 and seen() == {"ab": "q"} and store.version() == before + 2
+    store.delete(F.lit(True))
+    assert seen() == {}
