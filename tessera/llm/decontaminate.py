@@ -7,9 +7,10 @@ patterns that end in those words, and a comparison of the bytes of every word co
 of a batch are searched at once, one lane for each stretch of text, each at its own jumps.
 
 Items are the stated query set: they are taken in blocks of at most `BLOCK_BYTES` of text (or one longer item), and each block is
-broadcast. A batch of documents is searched for `TOGETHER` blocks one after the other, so that a worker holds no more of them;
-where there are more blocks, the batch goes on, with what was found, to the next worker of the same task. Documents are read once
-and never shuffled, and need no number to be brought together by.
+broadcast. A batch of documents is searched for `TOGETHER` blocks one after the other, so that a worker holds no more of them; usual
+benchmarks need one such pass. Where there are more blocks, the rows are written with what was found, and the next pass reads them; the blocks of a pass are built when it
+begins and let go when it ends, so neither the driver nor a task ever holds more than those of one. Documents are never
+shuffled, and need no number to be brought together by.
 
 Defined results: a null or empty text has no words and no hit; items without an id are left out, repeated items
 count once; repeated documents give a row each; an empty table of items gives no hits, one of documents no rows.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as X
+from tessera.llm._spark import saved
 
 #: Text of benchmark items that is searched for, and broadcast, at a time.
 BLOCK_BYTES = 2 << 20
@@ -181,29 +183,35 @@ def _search(blocks: list, last: bool):
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded text, read from Spark a block at a time."""
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Items in blocks of bounded text, read from Spark a block at a time, and whether a block is the last."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in block.toLocalIterator()]
+        yield [(r[0], r[1]) for r in block.toLocalIterator()], k == n - 1
 
 
-def _passes(docs: DataFrame, items: DataFrame, window: int) -> list[list]:
-    """Blocks of patterns, broadcast, TOGETHER to a pass."""
-    sent = [docs.sparkSession.sparkContext.broadcast(Patterns(block, window)) for block in _blocks(items)]
-    return [sent[k : k + TOGETHER] for k in range(0, len(sent), TOGETHER)]
+def _passes(docs: DataFrame, items: DataFrame, window: int) -> Iterator[tuple[list, bool]]:
+    """Blocks of patterns, broadcast, TOGETHER to a pass, and whether a pass is the last. The rows of a pass but the last are to be written before the next is asked for."""
+    sent: list = []
+    for block, last in _blocks(items):
+        sent.append(docs.sparkSession.sparkContext.broadcast(Patterns(block, window)))
+        if last or len(sent) == TOGETHER:
+            yield sent, last
+            if not last:
+                for b in sent:
+                    b.unpersist()
+            sent = []
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, spans (runs of hit words, as word numbers, end exclusive) and items (ids, sorted) of each document."""
     out = X.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<bigint>").alias("items"))
-    passes = _passes(docs, items, window)
-    for k, blocks in enumerate(passes):
-        last = k == len(passes) - 1
+    for blocks, last in _passes(docs, items, window):
         out = out.mapInArrow(_search(blocks, last), f"doc_id long, {'n_words long' if last else 'text string'}, spans {SPANS}, items array<bigint>")
+        out = out if last else saved(out)
     return out
 
 
@@ -238,8 +246,9 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of `docs`, all columns, without an occurrence of a window of any item. Nothing is shuffled."""
-    for blocks in _passes(docs, items, window):
+    for blocks, last in _passes(docs, items, window):
         docs = X.rewritten(docs, lambda blocks=blocks: _clean(blocks))
+        docs = docs if last else saved(docs)
     return docs
 
 
