@@ -15,8 +15,9 @@ The probability of a text is the product over its words and its end; log10 of it
 a plain unigram model of words with half a count added.
 
 Counts cover all words of all training texts: they are summed map-side and by word, and stay a distributed table. Words
-that are frequent (at most `HEAD` words of at most `HEAD_BYTES` bytes: a bound on what is broadcast) are scored where texts lie;
-the others of each text go through a join with the table. No key of that join is frequent.
+that are frequent (at most `HEAD` words and `HEAD_BYTES` bytes of them: a bound on what is broadcast; single ones of `LONG_BYTES` at most) are scored where texts lie;
+the others of each text go through a join with the table, in which a text has a word once. A word beyond these bounds that very many texts hold is a
+hot key of that join, which is one of plain exchanges, so Spark splits it.
 
 Defined results: a null or empty text consists of its end; with no training texts all words are unknown and the
 pieces keep their first scores; rows with a null doc_id are held back from training and are not marked held out; repeated
@@ -38,7 +39,7 @@ from tessera.llm import _text as X
 from tessera.llm._spark import saved
 
 #: Bound of the broadcast table of frequent words.
-HEAD, HEAD_BYTES = 1 << 18, 32
+HEAD, HEAD_BYTES, LONG_BYTES = 1 << 18, 8 << 20, 4096
 DISCOUNT, ROUNDS, PIECE_BYTES, FLOOR = 0.75, 2, 16, 0.05
 #: Share of a word's end in the first scores.
 END = 0.2
@@ -373,14 +374,17 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """From docs (doc_id, held_out, text): doc_id, held_out, n_tokens, n_known, base_score and score of every row."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((model.pieces.pieces, model.pieces.scores, model.n, model.v, model.ends))
-    short = F.octet_length("word") <= HEAD_BYTES
-    # words by the power of two of their count; the least power from which at most HEAD words are left
-    powers = dict(words.where(short & (F.col("c") > 0)).groupBy(F.floor(F.log2("c")).cast("int").alias("p")).count().collect())
+    short = F.octet_length("word") <= LONG_BYTES
+    # words by the power of two of their count; the least power from which at most HEAD words of HEAD_BYTES in all are left
+    sizes = words.where(short & (F.col("c") > 0)).groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count("*"), F.sum(F.octet_length("word")))
+    powers = {p: (n, size) for p, n, size in sizes.collect()}
     least = max(powers, default=0) + 1
-    total = 0
-    while least - 1 in powers and total + powers[least - 1] <= HEAD or least > 0 and least - 1 not in powers:
-        least -= 1
-        total += powers.get(least, 0)
+    total = size = 0
+    while least > 0:
+        more, bytes_ = powers.get(least - 1, (0, 0))
+        if total + more > HEAD or size + bytes_ > HEAD_BYTES:
+            break
+        least, total, size = least - 1, total + more, size + bytes_
     frequent = short & (F.col("c") >= 2**least)
     schema = "word string, c long, base_w double, score_w double"
     head = context.broadcast(words.where(frequent).mapInArrow(_score_words(sent), schema).toArrow())
