@@ -23,6 +23,8 @@ meet in one bucket. The steps:
 Buckets are as many as the input asks for; texts move twice, by hash of the text, never into one group. What very many
 documents share is spread:
 
+* Texts that very many rows hold are known from counts, and all their rows but those of the smallest document are settled by that alone
+  (`split_copies`), so they don't meet the text's flags in one task.
 * What a slice has settled (repeats, flags of copies of one text) goes to buckets by document, or by text and `SALTS` groups of
   partitions, so copies of one text meet in no one task.
 * An anchor in more than `HOT` texts is hot. Its strings go out one by one, to buckets by their own hash, each once for a
@@ -57,6 +59,8 @@ ANCHOR_BYTES, ARRAY_BYTES = 48 << 20, 4 << 20
 HOT, HOT_KEYS = ARRAY_BYTES // (4 * LENGTH), 1 << 20
 #: Groups of partitions whose flags for one text meet, and strings of hot anchors from which a partition forgets those it has sent (one may then go out again).
 SALTS, REMEMBERED = 1024, 1 << 18
+#: Rows of one text from which its copies are settled by a count, and most such texts that are broadcast (5 MB).
+MANY, COPIED = 64, 1 << 16
 _LOW = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
 
@@ -483,12 +487,24 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_flags(rows: DataFrame, flags: DataFrame) -> DataFrame:
-    """doc, th, flags, text: the rows of flagged texts. The flags of a text are written first, so that the join is one of plain exchanges, and Spark
-    splits the rows of a text with very many copies over tasks.
+def split_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that need a search, copies) of rows (doc, th, text): copies have a text of a smaller doc that very many rows hold.
+
+    Of texts with MANY rows or more, the COPIED most frequent are broadcast with their smallest doc; a text beyond these has less than one row in COPIED, so no text that is
+    left is one task's burden. All 50-byte strings of a copy start in that smaller doc, so it needs no search.
     """
-    per_text = saved(flags.groupBy(F.col("th").alias("own")).agg(F.collect_list("flags").alias("flags")))
-    return rows.select("doc", "th", "text").join(per_text, F.col("th") == F.col("own")).select("doc", "th", "flags", "text")
+    marked = rows.withColumn("digest", F.md5("text"))
+    many = marked.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where(F.col("n") >= MANY).orderBy(F.desc("n")).limit(COPIED)
+    marked = marked.join(F.broadcast(many.select("digest", "least")), "digest", "left").drop("digest")
+    copy = F.coalesce(F.col("doc") > F.col("least"), F.lit(False))
+    return marked.where(~copy).drop("least"), marked.where(copy).drop("least")
+
+
+def _whole(copies: DataFrame) -> DataFrame:
+    """(doc, th, spans) of copies: all of a text, if it has a string at all."""
+    h = F.lpad(F.hex(F.octet_length("text").cast("long")), 8, "0")
+    end = F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+    return copies.where(F.octet_length("text") >= LENGTH).select("doc", "th", F.unhex(F.concat(F.lit("00000000"), end)).alias("spans"))
 
 
 def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_KEYS, remembered: int = REMEMBERED, slice_bytes: int = X.SLICE_BYTES) -> DataFrame:
@@ -503,9 +519,12 @@ def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_K
     # a flagged anchor has one stretch of a text at least, of up to 2 * LENGTH - GRAM bytes, and what belongs to it
     n = flags.agg(F.sum(F.octet_length("flags").cast("long") / 8)).first()[0] or 0
     arrays = max(16, -(-int(n) * (2 * LENGTH) // ARRAY_BYTES))
-    stretches = with_flags(rows, flags).mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, th binary, pos binary, size binary, bytes binary")
+    searched, copies = split_copies(rows.select("doc", "th", "text"))
+    per_text = flags.groupBy(F.col("th").alias("own")).agg(F.collect_list("flags").alias("flags"))
+    flagged = searched.join(per_text, F.col("th") == F.col("own")).select("doc", "th", "flags", "text")
+    stretches = flagged.mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, th binary, pos binary, size binary, bytes binary")
     repeats = saved(stretches.groupBy("bucket").applyInArrow(_repeats, "doc long, th long, spans binary"))
-    by_doc = repeats.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list("spans").alias("spans"))
+    by_doc = repeats.unionByName(_whole(copies)).groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list("spans").alias("spans"))
     whole = rows.join(by_doc, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "spans", "text")
     return whole.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 

@@ -75,18 +75,19 @@ def test_empty(spark, tmp_path):
     assert S.op2_suffix_dedup(spark, str(tmp_path)).collect() == []
 
 
-def test_copies_of_one_text_are_split(spark):
-    rng = np.random.default_rng(2)
-    text = "".join(map(chr, rng.integers(97, 123, 70_000)))
-    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
-    for k, v in small.items():
-        spark.conf.set(k, v)
-    try:
-        rows = spark.range(300).select(F.col("id").alias("doc"), F.lit(7).cast("long").alias("th"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).repartition(6)
-        others = spark.range(40).select((F.col("id") + 300).alias("doc"), (F.col("id") + 100).alias("th"), F.lit("short").alias("text"))
-        flags = rows.unionByName(others).select("th", F.lit(b"\x01").alias("flags")).distinct()
-        parts = S.with_flags(rows.unionByName(others), flags).where("th = 7").groupBy(F.spark_partition_id()).agg(F.count("*"), F.max(F.xxhash64("text"))).collect()
-    finally:
-        for k in small:
-            spark.conf.unset(k)
-    assert sum(p[1] for p in parts) == 300 and max(p[1] for p in parts) < 150
+@pytest.mark.parametrize("many", [64, 2])
+def test_copies_of_one_text(spark, monkeypatch, many):
+    """Of 3,000 copies one row goes on to the search, and the result is that of brute force."""
+    monkeypatch.setattr(S, "MANY", many)
+    text = "A passage of more than fifty bytes, é, which very many documents hold as it is."
+    rows = [(i, text) for i in range(10, 3010)] + [(3, "x " + text[:60]), (4000, text + " and more"), (4001, "short"), *[(5000 + i, "short, too") for i in range(100)], (None, text), (None, text), (10, text), (7, None)]
+    rng = np.random.default_rng(4)
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(None if d is None else int(d), t) for d, t in rows], "doc_id long, text string").repartition(6)
+    own = docs.select(F.coalesce("doc_id", F.lit(S.LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    rest, copies = S.split_copies(own)
+    assert rest.where(F.col("text") == text).count() == 2 and copies.where(F.col("text") == text).count() == 3001  # document 10 has two rows
+    assert rest.count() + copies.count() == len(rows)
+    got = sorted(((S.LAST if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S._digest(S.repeated_strings(docs)).collect()), key=str)
+    want = sorted(((S.LAST if d is None else d, *rest_) for d, *rest_ in brute([(None if d is None else int(d), t) for d, t in rows])), key=str)
+    assert got == want
