@@ -476,8 +476,21 @@ def cache_events(v):
     return v.chunks.select((k % 5).alias("tenant"), (k * 3000 + F.expr("node_id div 90") * 200_000).alias("ms"), k.alias("event_id"), F.when(F.expr("node_id div 5 % 4 = 0"), "put").otherwise("get").alias("op"), (k % 35).alias("entry"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
+@query("v18_semantic_cache", f"SELECT query_id, node_id AS hit FROM ({_dense(1, 'c.node_id % 20 <> 0 AND c.document_id % 2 = q.query_id // 20 % 2')}) d WHERE 1 - score <= 0.95")
+def v18(v):
+    """Nearest entry of the same tenant at one moment, if its distance is within the threshold. Queries are broadcast in blocks."""
+    q = queries(v).withColumn("tenant", F.expr("query_id div 20 % 2"))
+    entries = v.chunks.where("node_id % 20 <> 0").select("node_id", "embedding", F.expr("document_id % 2").alias("owner"))
+
+    def nearest(pairs):
+        s = pairs.where("owner = tenant").select("query_id", "node_id", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+        return R.ranked(s, 1, "query_id", F.desc("score"), F.col("node_id"))
+
+    return R.against(q, entries, nearest).where("1 - score <= 0.95").select("query_id", F.col("node_id").alias("hit"))
+
+
 @query(
-    "v18_semantic_cache",
+    "v18_cache_with_renewal",
     f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY ms, event_id) AS n FROM ({_CACHE}) x),
  r(tenant, event_id, n, op, hit, live) AS (SELECT tenant, event_id, n, op, CAST(NULL AS BIGINT), CASE WHEN op = 'put' THEN [{{'id': entry, 'vec': vector, 'till': ms + {_TTL}}}] ELSE [] END FROM e WHERE n = 1
   UNION ALL SELECT tenant, event_id, n, op, hit, CASE WHEN op = 'put' THEN list_append(list_filter(live, lambda x: x.id <> entry), {{'id': entry, 'vec': vector, 'till': ms + {_TTL}}})
@@ -486,7 +499,7 @@ def cache_events(v):
    FROM (SELECT e.*, list_filter(r.live, lambda x: x.till > e.ms) AS live FROM r JOIN e ON e.tenant = r.tenant AND e.n = r.n + 1) a) b) c)
  SELECT tenant, event_id, hit FROM r WHERE op = 'get'""",
 )
-def v18(v):
+def v18r(v):
     """Lookups over time: a hit renews its entry, an expired entry is no candidate."""
     return SC.lookups(cache_events(v), _TTL, _NEAR)
 
