@@ -6,7 +6,7 @@ carry STREAMINFO (with the MD5 of the samples) and a seek table. The decoder rea
 a sample: it follows frame headers, decodes Rice residuals (escaped partitions too) and linear predictors of any order,
 checks the CRC-8 of each header, the CRC-16 of each frame and the MD5, and gives PCM blocks (unsigned 8 bits, as in WAV
 files) with the sample number and the byte offset of each. Frames are coded and decoded in step with each other, one lane each,
-in runs of `RUN` frames, so working memory follows the run and not the length of a text.
+in runs of `RUN` and `LANES` frames, so working memory follows the run and not the length of a text.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal payloads give equal streams; repeated rows give
 a row each; an empty table gives none; other columns are left out. A null stream decodes to nulls, a damaged one to nulls and what
@@ -29,8 +29,8 @@ from tessera.llm import _text as X
 BLOCK, UNIT, RATE = 1024, 64, 8000
 #: Order, coefficient bits and shift of the fitted predictor; partitions of a full block; frames between seek points.
 ORDER, PRECISION, SHIFT, PARTITIONS, SEEK = 4, 10, 7, 4, 8
-#: Frames that are coded or decoded together.
-RUN = 1024
+#: Frames that are coded together, and that are decoded together.
+RUN, LANES = 1024, 4096
 #: Coefficients of the fixed predictors, by order.
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
 
@@ -288,6 +288,17 @@ class _Reader:
             going = going[top == 0]
         return count
 
+    def rice(self, at: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the Rice code with parameter r at each place: bits of its unary part, and the value. One word of each lane nearly always holds both."""
+        word = self.word(at)
+        ones = 53 - np.frexp((word >> np.uint64(12)).astype(np.float64))[1].astype(np.int64)
+        if len(at) and int((ones + r).max()) <= 52:
+            low = ((word << ones.astype(np.uint64)) >> np.uint64(1) >> (63 - r).astype(np.uint64)).astype(np.int64)
+        else:
+            ones = self.zeros(at) + 1
+            low = self.take(at + ones, r)
+        return ones, (ones - 1) << r | low
+
 
 def _signed(value: np.ndarray, width) -> np.ndarray:
     return value - ((value >> (np.maximum(width, 1) - 1) & 1) << width)
@@ -406,8 +417,7 @@ def decode_frames(data: bytes | _Reader, at: np.ndarray) -> tuple[np.ndarray, np
                 value = np.where(e, value, (value >> 1) ^ -(value & 1))
                 p[own] = q + ones + w
             else:
-                ones = bits.zeros(q) + 1
-                value = ((ones - 1) << r) | bits.take(q + ones, r)
+                ones, value = bits.rice(q, r)
                 value = (value >> 1) ^ -(value & 1)
                 p[own] = q + ones + r
             pred = np.zeros(len(q), np.int64)
@@ -498,8 +508,8 @@ def _together(streams: list[bytes]) -> list[tuple[bytes, list[int], list[int]]]:
     at = np.array([b + p for b, own in zip(base[:-1], places, strict=True) for p in own], np.int64)
     bits = _Reader(data)
     pcm, size, end = [], [], []
-    for a in range(0, len(at), RUN):
-        x, n, _, e = decode_frames(bits, at[a : a + RUN])
+    for a in range(0, len(at), LANES):
+        x, n, _, e = decode_frames(bits, at[a : a + LANES])
         rows = (x.T + 128).astype(np.uint8)
         pcm += [rows[i, :k].tobytes() for i, k in enumerate(n.tolist())]
         size += n.tolist()
