@@ -159,5 +159,5 @@ def strip_suffix(url: Column, suffix: str) -> Column:
 
 def clean_terms(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Terms of more than one character of lower-cased text without punctuation, less stopwords."""
-    c = F.regexp_replace(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), r"(?U)[^\w\s.,_-]", " ")
-    return F.filter(F.split(F.regexp_replace(c, r"[.,_-]", " "), r"(?U)\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
+    # whatever is no word character, and the underscore, parts terms: one pattern does for punctuation, line ends and spaces
+    return F.filter(F.split(F.lower(text), r"(?U)[\W_]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import checkpoint_folder
+
 #: Queries that are broadcast against a corpus at a time.
 QUERY_BLOCK = 10_000
 
@@ -37,7 +39,7 @@ def ranked(scored: DataFrame, k: int, by: str | list[str], *order: Column, name:
     return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-#: Distinct query terms that are broadcast at most.
+#: Terms of queries, counted for each query, that are broadcast at most.
 QUERY_TERMS = 1 << 18
 
 
@@ -80,17 +82,23 @@ def corpus_stats(docs: DataFrame, terms: Column, key: str) -> tuple[DataFrame, D
 def bm25(queries: DataFrame, docs: DataFrame, terms: Column, key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score) of documents that share a term with a query (query_id, term: one row an occurrence).
 
-    Only occurrences of query terms leave a document's task, counted there first. Queries are a stated set; their distinct terms are
+    Documents are read and cut into terms once: of each, occurrences of query terms and one row with its length leave its task, to where
+    all of its key meet; a task then sums whole scores, so one row a query and document goes on. Queries are a stated set; their terms are
     broadcast as long as there are QUERY_TERMS at most, and joined otherwise.
+    A null or empty text has length 0 and counts among the documents; rows of one key and length count as one document's in tf and df.
     """
     q = queries.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = q.select("term").distinct()
-    asked = F.broadcast(asked) if asked.count() <= QUERY_TERMS else asked
-    each = docs.select(key, terms.alias("t")).select(key, F.size("t").cast("long").alias("dl"), "t")
-    total = each.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = each.select(key, "dl", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hits = postings.join(q.join(df, "term"), "term").crossJoin(F.broadcast(total))
+    few = q.count() <= QUERY_TERMS
+    asked = q.select("term").distinct().withColumn("asked", F.lit(True))
+    each = docs.select(key, F.coalesce(terms, F.array().cast("array<string>")).alias("t")).select(key, F.size("t").cast("long").alias("dl"), F.posexplode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("at", "term"))
+    met = each.join(F.broadcast(asked) if few else asked, "term", "left").where("asked or at = dl")
+    checkpoint_folder(docs.sparkSession)
+    # the row of the length is the last, without a term
+    postings = met.repartition(key).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"), F.count_if(F.col("at") == F.col("dl")).alias("ends")).checkpoint()
+    total = postings.agg(F.sum("ends").alias("n"), (F.sum(F.col("ends") * F.col("dl")) / F.sum("ends")).alias("avgdl"))
+    df = postings.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = q.join(df, "term")
+    hits = postings.where("term IS NOT NULL").join(F.broadcast(weighed) if few else weighed, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = F.col("qtf") * idf * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", key).agg(F.sum(s).alias("score"))

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import random
 import time
 import uuid
@@ -256,6 +257,44 @@ def test_trees(spark):
     assert [r.n for r in H.orphans(t, "g", "n", "p").collect()] == ["o"]
 
 
+def plain_bm25(queries, docs, k1=1.5, b=0.75):
+    n, avgdl = len(docs), sum(len(t) for _, t in docs) / len(docs)
+    out = {}
+    for q, asked in queries:
+        for d, t in docs:
+            for term in asked:  # one occurrence after the other
+                df = sum(term in u for _, u in docs)
+                if tf := t.count(term):
+                    idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+                    out[q, d] = out.get((q, d), 0.0) + idf * (k1 + 1) * tf / (tf + k1 * (1 - b + b * len(t) / avgdl))
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 18, 1])
+def test_bm25(spark, monkeypatch, most):
+    """Broadcast and joined query terms give the scores of the formula; null and empty texts count as documents of no length."""
+    monkeypatch.setattr(R, "QUERY_TERMS", most)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(40)] + [None, "", "w1 " * 500]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    asked = [(q, rng.choices([*words, "unknown"], k=6)) for q in range(7)]
+    q = spark.createDataFrame([(i, t) for i, terms in asked for t in terms], "query_id long, term string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("term", F.lit("w1")).withColumn("dl", F.lit(3))
+    terms = F.filter(F.split("text", " "), lambda w: w != "")
+    got = {(r.query_id, r.doc_id): r.score for r in R.bm25(q, d, terms, "doc_id").collect()}
+    want = plain_bm25(asked, [(i, (t or "").split()) for i, t in docs])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert R.bm25(q, d.where("false"), terms, "doc_id").collect() == R.bm25(q.where("false"), d, terms, "doc_id").collect() == []
+
+
+def test_terms_of_odd_texts(spark):
+    """Punctuation, underscores, line ends and all Unicode spaces part terms; marks stay in them."""
+    text = "Tệp_tin, the\u00a0BIÊN-bản...a1\u2028b2\tx 9 số\n\n§12.34% e\u0301tude __ of\u3000end"
+    assert one(spark, T.clean_terms(F.lit(text))) == ["tệp", "tin", "biên", "bản", "a1", "b2", "số", "12", "34", "e\u0301tude", "end"]
+    assert one(spark, T.clean_terms(F.lit(""))) == [] and one(spark, T.clean_terms(F.lit(None).cast("string"))) is None
+
+
 def test_packing_keeps_budget(spark):
     h = spark.createDataFrame([(1, 1, "x" * 40), (1, 2, "x" * 50), (1, 3, "x" * 20), (1, 4, "x")], "query_id int, rank int, text string")
     assert [r.rank for r in R.pack_context(h, "text", 100).orderBy("rank").collect()] == [1, 2]
