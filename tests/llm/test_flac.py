@@ -85,3 +85,17 @@ def test_table(spark, tmp_path):
     blocks = M.pcm_blocks(M.from_media(M.to_media(docs))).where("doc_id = 5").orderBy("block").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == M.payload(texts[5]) and [b.first_sample for b in blocks] == list(range(0, 4416, 1024))
     assert M.from_media(M.to_media(docs.where("false"))).collect() == []
+
+
+def test_rice_codes_of_any_length():
+    """Short codes come from one word, a lane with a long one from several: both give what the bits say."""
+    rng = np.random.default_rng(4)
+    for longest in (3, 40, 400):
+        r = rng.integers(0, 15, 200)
+        high = rng.integers(0, longest, 200)
+        low = rng.integers(0, 1 << 15, 200) & ((1 << r) - 1)
+        codes = ["0" * h + "1" + (format(v, f"0{k}b") if k else "") for h, v, k in zip(high.tolist(), low.tolist(), r.tolist(), strict=True)]
+        at = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+        data = bits(*[(int(c, 2), len(c)) for c in codes])
+        ones, value = M._Reader(data).rice(at[:-1], r)
+        assert (ones == high + 1).all() and (value == (high << r | low)).all()
