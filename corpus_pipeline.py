@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing, quality, secrets_scan, simhash
+from tessera.llm import decontaminate, near_texts, packing, quality, secrets_scan
 from tessera.llm._spark import saved
 
 
@@ -26,11 +26,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id: fingerprints that links of three bits
-    connect. Null and empty texts are duplicates of each other; of rows that repeat an id and a text one stays, of rows that repeat an
-    id with other texts each group's.
+    """One document of each group of near duplicates, the one with the smallest id: simhash fingerprints that links of three bits
+    connect, and candidates of simhash over distinct words whose five-word shingles have a similarity of 0.8 or more. Null and empty texts
+    are duplicates of each other; of rows that repeat an id and a text one stays, of rows that repeat an id with other texts each group's.
     """
-    return simhash.one_of_each(docs)
+    return near_texts.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

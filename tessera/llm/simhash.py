@@ -129,18 +129,18 @@ def _ball(width: int, t: int) -> int:
     return total
 
 
-def thresholds(candidates: list[float], widths: list[int], radius: int) -> tuple[float, list[int]]:
+def thresholds(candidates: list[float], widths: list[int], radius: int, row: float = 1) -> tuple[float, list[int]]:
     """Least cost and thresholds of the groups: the sum of t + 1 is radius + 1, each t is -1 or more.
 
-    candidates[g]: fingerprints that share a fingerprint's key of group g, on average. A threshold costs its probes
-    and, for each, that many candidates.
+    candidates[g]: fingerprints that share a fingerprint's key of group g, on average. A threshold costs its probes,
+    at `row` each, and, for each, that many candidates.
     """
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for near, width in zip(candidates, widths, strict=True):
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, t) in best.items():
             for own in range(-1, radius - used + 1):
-                more = 0.0 if own < 0 else _ball(width, own) * (1 + near)
+                more = 0.0 if own < 0 else _ball(width, own) * (row + near)
                 if (have := step.get(used + own + 1)) is None or cost + more < have[0]:
                     step[used + own + 1] = (cost + more, [*t, own])
         best = step
@@ -164,7 +164,7 @@ def _key(groups: list[list[int]]):
     return run
 
 
-def plan(nodes: DataFrame, radius: int = RADIUS) -> tuple[np.ndarray, list[list[int]], list[int]]:
+def plan(nodes: DataFrame, radius: int = RADIUS, row: float = 1) -> tuple[np.ndarray, list[list[int]], list[int]]:
     """Bit correlation, groups of bits, and their thresholds, for the number of groups that costs least."""
     corr = correlation(nodes)
     options = [group_bits(corr, list(range(64)), m) for m in range(2, radius + 3)]
@@ -176,7 +176,7 @@ def plan(nodes: DataFrame, radius: int = RADIUS) -> tuple[np.ndarray, list[list[
     for groups in options:
         near = [pairs.get(at + g, (0.0, 1))[0] / max(pairs.get(at + g, (0.0, 1))[1], 1) for g in range(len(groups))]
         at += len(groups)
-        cost, t = thresholds(near, [len(g) for g in groups], radius)
+        cost, t = thresholds(near, [len(g) for g in groups], radius, row)
         if best is None or cost < best[0]:
             best = (cost, groups, t)
     return corr, best[1], best[2]

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from tessera.llm import packing, quality, secrets_scan
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_texts import plain_one_of_each, prints_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,11 +52,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     weights = quality.fit(spark, SF, docs)
     score = {r.doc_id: r.score for r in quality.score(docs, weights).collect()}
     for k, (name, stage) in enumerate(C.STAGES[:-1]):
-        docs = stage(spark, docs, SF)
+        before, docs = docs, stage(spark, docs, SF)
         if name == "quality":
             rows = [r for r in rows if score[r[0]] >= 0.3]
         elif name == "near_duplicates":
-            keep = {d for d, _, c in plain_components([(r[0], plain_fingerprint(r[1])) for r in rows]) if d == c}
+            keep = plain_one_of_each([(r[0], r[1]) for r in rows], prints_of(before))
             rows = [r for r in rows if r[0] in keep]
         elif name == "decontamination":
             rows = plain_decontaminated(rows, items)
