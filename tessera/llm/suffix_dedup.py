@@ -17,9 +17,14 @@ meet in one bucket. The steps:
 2. Texts with flags: for each flagged anchor, the stretch of text whose strings have that anchor, to the anchor's bucket.
    Of equal stretches within a slice of documents only the one with the smallest id goes there; the others are
    repeats of it as they stand. So a passage that very many documents share sends one row for each slice.
-3. Each bucket: suffix array over its distinct stretches; for each string the smallest id it occurs in; repeats of smaller ids.
+3. Each bucket: equal stretches are settled by the smallest id among them, and a stretch whose anchor no other distinct one has by that
+   alone (equal strings have equal anchors); suffix array over the distinct stretches that share anchors; for each string the smallest
+   id it occurs in; repeats of smaller ids.
 4. Documents with their repeats: runs, remaining bytes.
 
+What travels is kept short: anchors as 32 bits of their hash within a bucket (where two have the same, texts are searched in vain), documents, places
+and sizes as byte planes, and rows are told apart by doc_id alone unless several have it (`with_ties`).
+
 Buckets are as many as the input asks for; texts move twice, by hash of the text, never into one group. What very many
 documents share is spread:
 
@@ -44,6 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +59,8 @@ from tessera.llm import _text as X
 from tessera.llm._spark import saved
 
 LENGTH, GRAM = 50, 24
+#: Places whose grams are hashed at once (what is at hand then stays in a core's cache), and the bits of a key that hold the place.
+BLOCK, _PLACE = 1 << 15, np.uint64((1 << 16) - 1)
 #: Text behind one bucket of anchors, and text in one suffix array.
 ANCHOR_BYTES, ARRAY_BYTES = 48 << 20, 4 << 20
 #: Texts from which an anchor is hot (their stretches would fill half an array), and most hot anchors that are broadcast.
@@ -61,7 +69,7 @@ HOT, HOT_KEYS = ARRAY_BYTES // (4 * LENGTH), 1 << 20
 SALTS, REMEMBERED = 1024, 1 << 18
 #: Rows of one text from which its copies are settled by a count, and most such texts that are broadcast (5 MB).
 MANY, COPIED = 64, 1 << 16
-_LOW = np.uint64((1 << 48) - 1)
+_SPREAD = np.uint64(0x9FB21C651E98DF25)
 LAST = (1 << 63) - 1
 
 
@@ -166,36 +174,51 @@ def smallest_owner(pieces: list[bytes], owner: np.ndarray, length: int) -> tuple
 # --- anchors
 
 
+def _gram_hashes(parts: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of grams, from their words of eight bytes."""
+    h = parts[0]
+    with np.errstate(over="ignore"):
+        for word in parts[1:]:
+            h = (h ^ (h >> np.uint64(32))) * _SPREAD + word
+    return X.mix(h)
+
+
 def anchors(buf: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first string, last string, hash) of each anchor: the strings from first to last, by their starts in `buf`, have it."""
-    none = np.zeros(0, np.int64)
-    if len(buf) < length:
+    n, width = len(buf) - length + 1, length - gram + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        power, inverse = X._pow(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(X._BYTE[buf] * power[: len(buf)], out=total[1:])
-        h = X.mix((total[gram:] - total[:-gram]) * inverse[: len(buf) - gram + 1])
-    width = length - gram + 1
-    best, where, k = h, np.arange(len(h), dtype=np.int32), 1
-    while k < width:
-        step = min(k, width - k)
-        a, b = best[:-step], best[step:]
-        left = a <= b
-        best, where = np.where(left, a, b), np.where(left, where[:-step], where[step:])
-        k += step
+    words = np.ndarray((len(buf) - 7,), np.uint64, np.ascontiguousarray(buf), strides=(1,))
+    steps = [*range(0, gram - 8, 8), gram - 8]
+    where = np.empty(n, np.int32)
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        near = words[a : b + length - 8].astype(np.uint64)
+        h = _gram_hashes([near[k : k + b - a + width - 1] for k in steps])
+        best, k = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), 1  # the leftmost of those alike
+        while k < width:
+            step = min(k, width - k)
+            best = np.minimum(best[:-step], best[step:])
+            k += step
+        where[a:b] = (best & _PLACE).astype(np.int32) + np.int32(a)
     size = np.diff(at)
     count = np.maximum(size - length + 1, 0)
-    starts = X.concat_ranges(at[:-1], count)
-    text = np.repeat(np.arange(len(size)), count)
-    anchor = where[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    new = np.ones(n, bool)
+    np.not_equal(where[1:], where[:-1], out=new[1:])
+    new[at[:-1][count > 0]] = True
+    ends = X.concat_ranges(at[:-1] + count, size - count)  # where no string of the text starts
+    new[ends[ends < n]] = False
     begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(starts)) - 1
-    if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
-    return text[begin], starts[begin], starts[end], h[anchor[begin]]
+    text = np.searchsorted(at, begin, "right") - 1
+    last = np.minimum(np.append(begin[1:], n) - 1, at[text] + count[text] - 1)
+    anchor = where[begin]
+    return text, begin, last, _gram_hashes([words[anchor + k].astype(np.uint64) for k in steps])
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    """What stands for an anchor within its bucket, and for a hot one. Where two anchors have the same, texts without repeats may be searched too."""
+    return h.astype(np.uint32)
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -226,7 +249,7 @@ def _emit_anchors(buckets: int, slice_bytes: int):
             buf, at = X.text_buffer(batch.column("text"))
             th = batch.column("th").to_numpy().view(np.uint64)
             text, _, _, h = anchors(buf, at)
-            order = np.lexsort((text, h))
+            order = np.argsort(h, kind="stable")  # texts stay in order
             h, text = h[order], text[order]
             once = np.ones(len(h), bool)  # an anchor that a text has twice
             once[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
@@ -234,37 +257,29 @@ def _emit_anchors(buckets: int, slice_bytes: int):
             start, end = _runs(h)
             n = end - start
             own = start[n == 1]
-            yield from _blobs(_bucket(h[own], buckets), th[text[own]], h[own] & _LOW, LONE)
+            yield from _blobs(_bucket(h[own], buckets), text[own], th, _low(h[own]), LONE)
             several = np.repeat(n > 1, n)
-            yield from _blobs(_bucket(X.mix(th[text[several]] ^ salt), buckets), th[text[several]], h[several] & _LOW, FLAGGED)
+            yield from _blobs(_bucket(X.mix(th[text[several]] ^ salt), buckets), text[several], th, _low(h[several]), FLAGGED)
             own = start[n > 1]
-            yield from _blobs(_bucket(h[own], buckets), n[n > 1].astype(np.uint32), h[own] & _LOW, SHARED)
+            yield from _blobs(_bucket(h[own], buckets), n[n > 1], None, _low(h[own]), SHARED)
 
     return run
 
 
-def _blobs(bucket: np.ndarray, owner: np.ndarray, low: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one kind; `owner` is the text of each anchor, or the number of its texts."""
+def _blobs(bucket: np.ndarray, owner: np.ndarray, th: np.ndarray | None, low: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind; `owner` is the text of each anchor (a place in `th`), or the number of its texts."""
     if not len(bucket):
         return
-    order = np.lexsort((low, owner, bucket))
+    order = np.argsort(bucket * (int(owner.max()) + 1) + owner, kind="stable")
     bucket, owner, low = bucket[order], owner[order], low[order]
-    six = np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-    start, end = _runs(bucket)
-    rows = []
-    for a, b in zip(start.tolist(), end.tolist(), strict=True):
-        s, e = _runs(owner[a:b])
-        if kind == SHARED:
-            rows.append((int(bucket[a]), b"", owner[a:b].tobytes(), six[a:b].tobytes(), kind))
-        else:
-            rows.append((int(bucket[a]), owner[a:b][s].tobytes(), (e - s).astype(np.uint32).tobytes(), six[a:b].tobytes(), kind))
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANCHORS, strict=True)], schema=_ANCHORS)
-
-
-def _unpack_low(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    start, _ = _runs(bucket)
+    if kind == SHARED:
+        ths, counts = pa.array([b""] * len(start), pa.binary()), _planes(owner.astype(np.uint32), start)
+    else:
+        first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])))
+        cell = np.searchsorted(first, start)
+        ths, counts = _binaries(th[owner[first]], cell), _planes(np.diff(np.append(first, len(owner))).astype(np.uint32), cell)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), ths, counts, _binaries(low, start), pa.array(np.full(len(start), kind, np.int32))], schema=_ANCHORS)
 
 
 _FLAGS = pa.schema([("th", pa.int64()), ("power", pa.int32()), ("flags", pa.binary())])
@@ -274,17 +289,16 @@ def _flag(hot_from: int):
     """Rows (th, flags): the flagged anchors of each text that has any in this bucket. And, without a th, hot anchors by the power of two of their number of texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        owner, low, times, kinds = [], [], [], []
-        for th, count, data, kind in zip(*(table.column(c).to_pylist() for c in ("th", "count", "low", "kind")), strict=True):
-            n = np.frombuffer(count, np.uint32).astype(np.int64)
-            low.append(_unpack_low(data))
-            size = len(low[-1])
-            owner.append(np.zeros(size, np.uint64) if kind == SHARED else np.repeat(np.frombuffer(th, np.uint64), n))
-            times.append(n if kind == SHARED else np.ones(size, np.int64))
-            kinds.append(np.full(size, kind, np.int8))
-        owner, low, times, kinds = (np.concatenate(x) for x in (owner, low, times, kinds))
+        kind = table.column("kind").to_numpy()
+        th, _ = _values(table.column("th"), np.uint64)
+        count, each = _unplaned(table.column("count"), np.uint32)
+        low, size = _values(table.column("low"), np.uint32)
+        shared, kinds = np.repeat(kind == SHARED, each), np.repeat(kind, size)
+        times, owner = np.ones(len(low), np.int64), np.zeros(len(low), np.uint64)
+        times[kinds == SHARED] = count[shared]
+        owner[kinds != SHARED] = np.repeat(th, count[~shared])
         seen = np.flatnonzero(kinds != FLAGGED)
-        seen = seen[np.argsort(low[seen], kind="stable")]
+        seen = seen[np.argsort(low[seen])]
         start, end = _runs(low[seen])
         texts = np.add.reduceat(times[seen], start) if len(start) else np.zeros(0, np.int64)
         flagged = kinds == FLAGGED
@@ -311,14 +325,14 @@ def _flag(hot_from: int):
 def _hot_anchors(flags: DataFrame, most: int) -> np.ndarray:
     """Low bits of the hashes of hot anchors, sorted; `most` at most, those of the most texts."""
     rows = flags.where("th is null")
-    sizes = {r[0]: int(r[1]) for r in rows.groupBy("power").agg(F.sum(F.octet_length("flags") / 8)).collect()}
+    sizes = {r[0]: int(r[1]) for r in rows.groupBy("power").agg(F.sum(F.octet_length("flags") / 4)).collect()}
     least, total = max(sizes, default=0) + 1, 0
     for power in sorted(sizes, reverse=True):
         if total + sizes[power] > most:
             break
         least, total = power, total + sizes[power]
-    found = [np.frombuffer(r[0], np.uint64) for r in rows.where(F.col("power") >= least).select("flags").toLocalIterator()] if total else []
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = [np.frombuffer(r[0], np.uint32) for r in rows.where(F.col("power") >= least).select("flags").toLocalIterator()] if total else []
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint32)
 
 
 def _binaries(values: np.ndarray, start: np.ndarray) -> pa.Array:
@@ -328,28 +342,75 @@ def _binaries(values: np.ndarray, start: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data.view(np.uint8) if len(data) else b"")])
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of binaries, end to end, and the length of each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column), np.int64)
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values in a column of binaries, and how many each holds."""
+    data, size = _flat(column)
+    return data.view(kind), size // np.dtype(kind).itemsize
+
+
+def _byte_places(n: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each byte of values of `width` bytes: its places in binaries of n values each, which hold the first bytes of their values, then the second ones, and so on."""
+    before = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) + np.repeat((width - 1) * before, n)
+    step = np.repeat(n, n)
+    for k in range(width):
+        yield at + k * step
+
+
+def _planes(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """values, cut at `start`, as binaries of byte planes: where values are small, the codec of shuffles and files finds runs of zeros."""
+    data = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
+    out = np.empty(data.size, np.uint8)
+    for k, place in enumerate(_byte_places(np.diff(np.append(start, len(values))), data.shape[1])):
+        out[place] = data[:, k]
+    return _binaries(out, start * data.shape[1])
+
+
+def _unplaned(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values in a column of `_planes`, and how many each holds."""
+    data, size = _flat(column)
+    width = np.dtype(kind).itemsize
+    n = size // width
+    out = np.empty((int(n.sum()), width), np.uint8)
+    for k, place in enumerate(_byte_places(n, width)):
+        out[:, k] = data[place]
+    return out.view(kind).ravel(), n
+
+
 # --- stretches of text and their repeats
 
-_STRETCHES = pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("th", pa.binary()), ("pos", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
+_STRETCHES = pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("tie", pa.binary()), ("pos", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
+
+
+def _alike(data: np.ndarray, n: np.ndarray) -> pa.DictionaryArray:
+    """Pieces of n bytes each, which `data` holds end to end, as a dictionary of the distinct ones."""
+    return _binaries(data, np.cumsum(n) - n).dictionary_encode()
 
 
 def _settle(buf: np.ndarray, first: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of spans of `buf`: the smallest document of an equal span. Equal by hash, confirmed by their bytes."""
-    _, rep, same = np.unique(X.span_hashes(buf, first, end), return_index=True, return_inverse=True)
-    n = end - first
-    like = n == n[rep[same]]
-    m = np.where(like, n, 0)
-    unlike = buf[X.concat_ranges(first, m)] != buf[X.concat_ranges(first[rep[same]], m)]
-    like &= X.sums(unlike.astype(np.int64), np.concatenate([[0], np.cumsum(m)])) == 0
-    same[~like] = len(rep) + np.arange((~like).sum())
-    least = np.full(len(rep) + int((~like).sum()), LAST)
-    np.minimum.at(least, same, doc)
-    return least[same]
-
-
-def _place(doc: np.ndarray, th: np.ndarray, buckets: int) -> np.ndarray:
+    """Of spans of `buf`: the smallest document of an equal span."""
+    pieces = _alike(buf[X.concat_ranges(first, end - first)], end - first)
+    which = pieces.indices.to_numpy()
+    least = np.full(len(pieces.dictionary), LAST)
+    np.minimum.at(least, which, doc)
+    return least[which]
+
+
+def _place(doc: np.ndarray, tie: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets of what is settled: by document and text."""
-    return _bucket(X.mix(th.view(np.uint64) ^ X.mix(doc.view(np.uint64))), buckets)
+    return _bucket(X.mix(tie.view(np.uint64) ^ X.mix(doc.view(np.uint64))), buckets)
 
 
 def _emit_stretches(buckets: int, hot: Broadcast, slice_bytes: int, remembered: int):
@@ -360,34 +421,37 @@ def _emit_stretches(buckets: int, hot: Broadcast, slice_bytes: int, remembered:
             if len(sent) >= remembered:
                 sent.clear()
             buf, at = X.text_buffer(batch.column("text"))
-            doc, th = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
+            doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             text, first, last, h = anchors(buf, at)
-            low = h & _LOW
-            keep = np.zeros(len(text), bool)
-            edge = np.searchsorted(text, np.arange(len(at)))
-            for i, flags in enumerate(batch.column("flags").to_pylist()):
-                keep[edge[i] : edge[i + 1]] = np.isin(low[edge[i] : edge[i + 1]], np.frombuffer(b"".join(flags), np.uint64))
+            cells = batch.column("flags")
+            flags, n = _values(cells.flatten(), np.uint32)
+            flagged = np.repeat(np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), n)
+            keep = np.isin(_of_text(text, _low(h)), _of_text(flagged, flags))
             text, first, end, h = text[keep], first[keep], last[keep] + LENGTH, h[keep]
             if not len(text):
                 continue
             repeat = doc[text] > _settle(buf, first, end, doc[text])
             pos, n = first - at[text], end - first
             # decided here: no bytes travel
-            yield from _stretches(_place(doc[text[repeat]], th[text[repeat]], buckets), doc[text[repeat]], th[text[repeat]], pos[repeat], n[repeat], None, None)
-            split = ~repeat & np.isin(h & _LOW, often)
+            yield from _stretches(_place(doc[text[repeat]], tie[text[repeat]], buckets), doc[text[repeat]], tie[text[repeat]], pos[repeat], n[repeat], None, None)
+            split = ~repeat & np.isin(_low(h), often)
             own = ~repeat & ~split
-            yield from _stretches(_bucket(h[own], buckets), doc[text[own]], th[text[own]], pos[own], n[own], buf, first[own])
+            yield from _stretches(_bucket(h[own], buckets), doc[text[own]], tie[text[own]], pos[own], n[own], buf, first[own])
             if split.any():
-                yield from _single(buf, first[split], n[split] - LENGTH + 1, doc[text[split]], th[text[split]], pos[split], buckets, sent)
+                yield from _single(buf, first[split], n[split] - LENGTH + 1, doc[text[split]], tie[text[split]], pos[split], buckets, sent)
 
     return run
 
 
-def _single(buf, first, count, doc, th, pos, buckets: int, sent: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+def _of_text(text: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (text.astype(np.uint64) << np.uint64(32)) | low
+
+
+def _single(buf, first, count, doc, tie, pos, buckets: int, sent: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """The strings of hot anchors, one by one; `sent`: strings that this partition has sent, with the smallest document."""
     which = np.repeat(np.arange(len(first)), count)
     at = X.concat_ranges(first, count)
-    doc, th, pos = doc[which], th[which], pos[which] + at - first[which]
+    doc, tie, pos = doc[which], tie[which], pos[which] + at - first[which]
     decided = doc > _settle(buf, at, at + LENGTH, doc)
     for i in np.flatnonzero(~decided).tolist():
         key, d = buf[at[i] : at[i] + LENGTH].tobytes(), int(doc[i])
@@ -397,78 +461,87 @@ def _single(buf, first, count, doc, th, pos, buckets: int, sent: dict[bytes, int
         elif d < before:
             sent[key] = d
     left = ~decided
-    yield from _stretches(_bucket(X.span_hashes(buf, at[left], at[left] + LENGTH), buckets), doc[left], th[left], pos[left], np.full(int(left.sum()), LENGTH), buf, at[left])
+    yield from _stretches(_bucket(X.span_hashes(buf, at[left], at[left] + LENGTH), buckets), doc[left], tie[left], pos[left], np.full(int(left.sum()), LENGTH), buf, at[left])
     # runs of settled strings of one stretch
     i = np.flatnonzero(decided)
     new = np.append(True, (which[i][1:] != which[i][:-1]) | (i[1:] != i[:-1] + 1)) if len(i) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(i))) + LENGTH - 1
     i = i[begin]
-    yield from _stretches(_place(doc[i], th[i], buckets), doc[i], th[i], pos[i], size, None, None)
+    yield from _stretches(_place(doc[i], tie[i], buckets), doc[i], tie[i], pos[i], size, None, None)
 
 
-def _stretches(bucket, doc, th, pos, n, buf, first) -> Iterator[pa.RecordBatch]:
+def _stretches(bucket, doc, tie, pos, n, buf, first) -> Iterator[pa.RecordBatch]:
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
-    bucket, doc, th, pos, n = bucket[order], doc[order], th[order], pos[order].astype(np.uint32), n[order].astype(np.uint32)
-    start, end = _runs(bucket)
+    bucket, doc, tie, pos, n = bucket[order], doc[order], tie[order], pos[order].astype(np.uint32), n[order].astype(np.uint32)
+    start, _ = _runs(bucket)
     data = buf[X.concat_ranges(first[order], n.astype(np.int64))] if buf is not None else np.zeros(0, np.uint8)
     upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
     text = _binaries(data, upto[start]) if buf is not None else pa.nulls(len(start), pa.binary())
-    cols = [pa.array(bucket[start]), _binaries(doc, start), _binaries(th, start), _binaries(pos, start), _binaries(n, start), text]
-    yield pa.RecordBatch.from_arrays(cols, schema=_STRETCHES)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), *(_planes(x, start) for x in (doc, tie, pos, n)), text], schema=_STRETCHES)
+
 
+_SPANS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("spans", pa.binary())])
 
-_SPANS = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
+
+def _share_anchors(pieces: pa.Array) -> np.ndarray:
+    """True for distinct pieces that have an anchor of another one."""
+    buf, size = _flat(pieces)
+    piece, _, _, h = anchors(buf, np.concatenate([[0], np.cumsum(size)]))
+    _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+    out = np.zeros(len(pieces), bool)
+    out[piece[times[which] > 1]] = True
+    return out
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """Rows (doc, th, spans): repeated runs of each document that has any in this bucket, as pairs of 32-bit positions."""
-    cols: dict[str, list] = {k: [] for k in ("doc", "th", "start", "end")}
-    doc, th, pos, pieces = [], [], [], []
-    for d, t, p, n, data in zip(*(table.column(c).to_pylist() for c in ("doc", "th", "pos", "size", "bytes")), strict=True):
-        d, t, p, n = np.frombuffer(d, np.int64), np.frombuffer(t, np.int64), np.frombuffer(p, np.uint32).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.int64)
-        if data is None:
-            for k, v in zip(cols, (d, t, p, p + n), strict=True):
-                cols[k].append(v)
-            continue
-        cut = np.concatenate([[0], np.cumsum(n)]).tolist()
-        pieces += [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        doc.append(d)
-        th.append(t)
-        pos.append(p)
-    if pieces:
-        doc, th, pos = np.concatenate(doc), np.concatenate(th), np.concatenate(pos)
-        number = {}
-        which = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
-        owner = np.full(len(number), LAST)
-        np.minimum.at(owner, which, doc)
-        least, first = smallest_owner(list(number), owner, LENGTH)
+    """Rows (doc, tie, spans): repeated runs of each document that has any in this bucket; a span's start is its low 32 bits, its size the high ones."""
+    doc, rows = _unplaned(table.column("doc"), np.int64)
+    tie, pos, size = (_unplaned(table.column(c), k)[0] for c, k in (("tie", np.int64), ("pos", np.uint32), ("size", np.uint32)))
+    pos, size = pos.astype(np.int64), size.astype(np.int64)
+    open_ = np.flatnonzero(np.repeat(table.column("bytes").combine_chunks().is_valid().to_numpy(zero_copy_only=False), rows))
+    settled = np.ones(len(doc), bool)  # whole stretches that are repeats; `row`, `start` and `end` are those in part
+    row = start = end = np.zeros(0, np.int64)
+    if len(open_):
+        pieces = _alike(_flat(table.column("bytes").drop_null())[0], size[open_])
+        which, distinct = pieces.indices.to_numpy(), pieces.dictionary
+        owner = np.full(len(distinct), LAST)
+        np.minimum.at(owner, which, doc[open_])
+        settled[open_] = owner[which] < doc[open_]
+        # equal strings have equal anchors: a suffix array decides among distinct stretches that share one
+        common = _share_anchors(distinct)
+    else:
+        common = np.zeros(0, bool)
+    if common.any():
+        left = common[which] & ~settled[open_]
+        part, which = open_[left], (np.cumsum(common) - 1)[which[left]]
+        least, first = smallest_owner(distinct.filter(pa.array(common)).to_pylist(), owner[common], LENGTH)
         count = first[which + 1] - first[which]
-        hit = least[X.concat_ranges(first[which], count)] < np.repeat(doc, count)
+        hit = least[X.concat_ranges(first[which], count)] < np.repeat(doc[part], count)
         edge = np.concatenate([[0], np.cumsum(count)])
         s, e, at = X.word_spans(hit.astype(np.uint8), edge, np.array([False, True]))
-        row = np.repeat(np.arange(len(which)), np.diff(at))
-        for k, v in zip(cols, (doc[row], th[row], pos[row] + s - edge[row], pos[row] + e - edge[row] - 1 + LENGTH), strict=True):
-            cols[k].append(v)
-    got = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in cols.items()}
-    order = np.lexsort((got["start"], got["th"], got["doc"]))
-    got = {k: v[order] for k, v in got.items()}
-    new = np.flatnonzero(np.append(True, (got["doc"][1:] != got["doc"][:-1]) | (got["th"][1:] != got["th"][:-1]))) if len(order) else np.zeros(0, np.int64)
-    pairs = np.stack([got["start"], got["end"]], 1).astype(np.uint32).ravel()
-    return pa.table({"doc": pa.array(got["doc"][new]), "th": pa.array(got["th"][new]), "spans": _binaries(pairs, 2 * new)}, schema=_SPANS)
+        k = np.repeat(np.arange(len(which)), np.diff(at))
+        row, start, end = part[k], pos[part[k]] + s - edge[k], pos[part[k]] + e - edge[k] - 1 + LENGTH
+    whole = np.flatnonzero(settled)
+    row, start, end = np.concatenate([whole, row]), np.concatenate([pos[whole], start]), np.concatenate([pos[whole] + size[whole], end])
+    order = np.lexsort((tie[row], doc[row]))
+    doc, tie, start, end = doc[row[order]], tie[row[order]], start[order], end[order]
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))) if len(order) else np.zeros(0, np.int64)
+    spans = start.astype(np.uint64) | ((end - start).astype(np.uint64) << np.uint64(32))
+    return pa.table([pa.array(doc[new]), pa.array(tie[new]), _planes(spans, new)], schema=_SPANS)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in X.slices(batches):
         buf, at = X.text_buffer(batch.column("text"))
         cover = np.zeros(len(buf) + 1, np.int64)
-        for base, spans in zip(at.tolist(), batch.column("spans").to_pylist(), strict=False):
-            if spans:
-                pairs = np.frombuffer(b"".join(spans), np.uint32).reshape(-1, 2).astype(np.int64) + base
-                np.add.at(cover, pairs[:, 0], 1)
-                np.add.at(cover, pairs[:, 1], -1)
+        cells = batch.column("spans")
+        spans, n = _unplaned(cells.flatten(), np.uint64)
+        first = np.repeat(np.repeat(at[:-1], pc.fill_null(cells.value_lengths(), 0).to_numpy()), n) + (spans & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        np.add.at(cover, first, 1)
+        np.add.at(cover, first + (spans >> np.uint64(32)).astype(np.int64), -1)
         gone = np.cumsum(cover[:-1]) > 0
         start, end, first = X.word_spans(gone.astype(np.uint8), at, np.array([False, True]))
         kept = buf[~gone].tobytes()
@@ -494,22 +567,35 @@ def split_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     left is one task's burden. All 50-byte strings of a copy start in that smaller doc, so it needs no search.
     """
     marked = rows.withColumn("digest", F.md5("text"))
-    many = marked.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where(F.col("n") >= MANY).orderBy(F.desc("n")).limit(COPIED)
+    many = saved(marked.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where(F.col("n") >= MANY).orderBy(F.desc("n")).limit(COPIED))
     marked = marked.join(F.broadcast(many.select("digest", "least")), "digest", "left").drop("digest")
     copy = F.coalesce(F.col("doc") > F.col("least"), F.lit(False))
     return marked.where(~copy).drop("least"), marked.where(copy).drop("least")
 
 
 def _whole(copies: DataFrame) -> DataFrame:
-    """(doc, th, spans) of copies: all of a text, if it has a string at all."""
+    """(doc, tie, spans) of copies: all of a text, if it has a string at all."""
     h = F.lpad(F.hex(F.octet_length("text").cast("long")), 8, "0")
     end = F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
-    return copies.where(F.octet_length("text") >= LENGTH).select("doc", "th", F.unhex(F.concat(F.lit("00000000"), end)).alias("spans"))
+    return copies.where(F.octet_length("text") >= LENGTH).select("doc", "tie", F.unhex(F.concat(F.lit("00000000"), end)).alias("spans"))
+
+
+def with_ties(rows: DataFrame) -> DataFrame:
+    """rows (doc, th, ...) and `tie`: 0 where no other row has that doc, else th. (doc, tie) tells texts apart as (doc, th) does, in fewer bytes.
+
+    Docs of several rows are broadcast; if there are more than COPIED, every row's tie is its th.
+    """
+    several = [r[0] for r in rows.groupBy("doc").count().where("count > 1").select("doc").limit(COPIED + 1).collect()]
+    if not several or len(several) > COPIED:
+        return rows.withColumn("tie", F.col("th") if several else F.lit(0).cast("long"))
+    known = rows.sparkSession.createDataFrame([(d,) for d in several], "doc long").withColumn("again", F.lit(True))
+    return rows.join(F.broadcast(known), "doc", "left").withColumn("tie", F.when(F.col("again"), F.col("th")).otherwise(F.lit(0).cast("long"))).drop("again")
 
 
 def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_KEYS, remembered: int = REMEMBERED, slice_bytes: int = X.SLICE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (maximal runs of bytes, end exclusive) and kept_sha256 of every row. The other parameters change the plan, not the rows."""
     rows = X.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
+    rows = with_ties(rows)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(16, -(-size // ANCHOR_BYTES))
     by_bucket = rows.select("th", "text").mapInArrow(_emit_anchors(buckets, slice_bytes), "bucket long, th binary, count binary, low binary, kind int")
@@ -517,15 +603,15 @@ def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_K
     hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(flags, hot_keys))
     flags = flags.where("th is not null")
     # a flagged anchor has one stretch of a text at least, of up to 2 * LENGTH - GRAM bytes, and what belongs to it
-    n = flags.agg(F.sum(F.octet_length("flags").cast("long") / 8)).first()[0] or 0
+    n = flags.agg(F.sum(F.octet_length("flags").cast("long") / 4)).first()[0] or 0
     arrays = max(16, -(-int(n) * (2 * LENGTH) // ARRAY_BYTES))
-    searched, copies = split_copies(rows.select("doc", "th", "text"))
+    searched, copies = split_copies(rows.select("doc", "tie", "th", "text"))
     per_text = flags.groupBy(F.col("th").alias("own")).agg(F.collect_list("flags").alias("flags"))
-    flagged = searched.join(per_text, F.col("th") == F.col("own")).select("doc", "th", "flags", "text")
-    stretches = flagged.mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, th binary, pos binary, size binary, bytes binary")
-    repeats = saved(stretches.groupBy("bucket").applyInArrow(_repeats, "doc long, th long, spans binary"))
-    by_doc = repeats.unionByName(_whole(copies)).groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list("spans").alias("spans"))
-    whole = rows.join(by_doc, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "spans", "text")
+    flagged = searched.join(per_text, F.col("th") == F.col("own")).select("doc", "tie", "flags", "text")
+    stretches = flagged.mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, tie binary, pos binary, size binary, bytes binary")
+    repeats = saved(stretches.groupBy("bucket").applyInArrow(_repeats, "doc long, tie long, spans binary"))
+    by_doc = repeats.unionByName(_whole(copies)).groupBy(F.col("doc").alias("d"), F.col("tie").alias("t")).agg(F.collect_list("spans").alias("spans"))
+    whole = rows.join(by_doc, (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t")), "left").select("doc_id", "spans", "text")
     return whole.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 
 

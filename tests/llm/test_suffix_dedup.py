@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +92,58 @@ def test_copies_of_one_text(spark, monkeypatch, many):
     got = sorted(((S.LAST if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S._digest(S.repeated_strings(docs)).collect()), key=str)
     want = sorted(((S.LAST if d is None else d, *rest_) for d, *rest_ in brute([(None if d is None else int(d), t) for d, t in rows])), key=str)
     assert got == want
+
+
+def test_suffix_array_over_stretches_that_share_an_anchor(monkeypatch):
+    """A stretch that only equal ones share an anchor with is settled by its smallest document; no suffix array is built over it."""
+    searched = []
+    plain = S.smallest_owner
+    monkeypatch.setattr(S, "smallest_owner", lambda pieces, *a: searched.extend(pieces) or plain(pieces, *a))
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 40 * 60).astype(np.uint8)
+    n = np.full(40, 60)
+    doc = np.arange(40)
+    # texts 0 to 29 are alone; 30 to 34 have copies; 35 to 39 are 60 bytes around one string of 55 bytes
+    first = np.arange(40) * 60
+    for k in range(35, 40):
+        text[60 * k + k - 35 : 60 * k + k + 20] = text[60 * 35 : 60 * 35 + 55]
+    first = np.concatenate([first, first[30:35]])
+    doc, n = np.concatenate([doc, np.arange(100, 105)]), np.concatenate([n, n[30:35]])
+    order = rng.permutation(45)
+    rows = S._stretches(np.zeros(45, np.int64), doc[order], np.zeros(45, np.int64), np.full(45, 7), n[order], text, first[order])
+    got = S._repeats(pa.Table.from_batches(list(rows)))
+    assert sorted(searched) == sorted(text[60 * k : 60 * k + 60].tobytes() for k in range(35, 40))
+    spans = {d: s for d, s in zip(got.column("doc").to_pylist(), got.column("spans").to_pylist(), strict=True)}
+    want = {d: (7, 60) for d in range(100, 105)} | {k: (7 + k - 35, 55) for k in range(36, 40)}
+    assert {d: tuple(np.frombuffer(s, np.uint32).tolist()) for d, s in spans.items()} == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**63 - 1), max_size=5), min_size=1, max_size=6))
+def test_byte_planes(cells):
+    values = np.array([x for c in cells for x in c], np.int64)
+    start = np.cumsum([0] + [len(c) for c in cells])[:-1]
+    got, n = S._unplaned(S._planes(values, start), np.int64)
+    assert got.tolist() == values.tolist() and n.tolist() == [len(c) for c in cells]
+
+
+def test_anchors_go_out_in_four_bytes(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, bytes(rng.integers(97, 123, 3000).astype(np.uint8)).decode()) for i in range(8)]
+    own = spark.createDataFrame(rows, "th long, text string").mapInArrow(S._emit_anchors(16, 1 << 20), "bucket long, th binary, count binary, low binary, kind int").collect()
+    texts = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    n = len(S.anchors(texts, np.arange(9) * 3000)[0])
+    assert sum(len(r.low) for r in own) <= 4 * n
+
+
+@pytest.mark.parametrize("most", [S.COPIED, 1])
+def test_texts_that_share_a_doc_id(spark, monkeypatch, most):
+    """Rows are told apart by doc_id where that is enough, else by their text too."""
+    monkeypatch.setattr(S, "COPIED", most)
+    text = "A passage of more than fifty bytes, é, which several documents hold as it is."
+    rows = [(1, text), (2, "x " + text), (2, text + " y"), (3, text), (None, "z " + text), (None, text), (4, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = docs.select(F.coalesce("doc_id", F.lit(S.LAST)).alias("doc"), F.xxhash64("text").alias("th"))
+    told = S.with_ties(own).collect()
+    assert len(told) == len(rows) and all(r.tie == (r.th if most == 1 or r.doc in (2, S.LAST) else 0) for r in told)
+    assert sorted((tuple(r) for r in S._digest(S.repeated_strings(docs)).collect()), key=str) == brute(rows)
