@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.folders import checkpoint_folder
@@ -56,6 +58,15 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of finished queries once the driver has collected its garbage, which may be after all is done. After a `saved` that ends a
+    large shuffle, this has it do so now, so that what follows doesn't need disk on top. Twice, and half a second apart, as a single pass was seen to leave the files of the latest query."""
+    for wait in (0.5, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
+
+
 def _remove(context, path: str) -> None:
     try:
         where = context._jvm.org.apache.hadoop.fs.Path(path)

@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as X
-from tessera.llm._spark import saved
+from tessera.llm._spark import let_go, saved
 
 LENGTH, GRAM = 50, 24
 #: Places whose grams are hashed at once (what is at hand then stays in a core's cache), and the bits of a key that hold the place.
@@ -600,6 +600,7 @@ def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_K
     buckets = max(16, -(-size // ANCHOR_BYTES))
     by_bucket = rows.select("th", "text").mapInArrow(_emit_anchors(buckets, slice_bytes), "bucket long, th binary, count binary, low binary, kind int")
     flags = saved(by_bucket.groupBy("bucket").applyInArrow(_flag(hot_from), "th long, power int, flags binary"))
+    let_go(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(flags, hot_keys))
     flags = flags.where("th is not null")
     # a flagged anchor has one stretch of a text at least, of up to 2 * LENGTH - GRAM bytes, and what belongs to it
@@ -610,6 +611,7 @@ def repeated_strings(docs: DataFrame, hot_from: int = HOT, hot_keys: int = HOT_K
     flagged = searched.join(per_text, F.col("th") == F.col("own")).select("doc", "tie", "flags", "text")
     stretches = flagged.mapInArrow(_emit_stretches(arrays, hot, slice_bytes, remembered), "bucket long, doc binary, tie binary, pos binary, size binary, bytes binary")
     repeats = saved(stretches.groupBy("bucket").applyInArrow(_repeats, "doc long, tie long, spans binary"))
+    let_go(docs.sparkSession)
     by_doc = repeats.unionByName(_whole(copies)).groupBy(F.col("doc").alias("d"), F.col("tie").alias("t")).agg(F.collect_list("spans").alias("spans"))
     whole = rows.join(by_doc, (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t")), "left").select("doc_id", "spans", "text")
     return whole.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept_sha256 string")

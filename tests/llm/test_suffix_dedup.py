@@ -1,4 +1,6 @@
 import hashlib
+import os
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -147,3 +149,24 @@ def test_texts_that_share_a_doc_id(spark, monkeypatch, most):
     told = S.with_ties(own).collect()
     assert len(told) == len(rows) and all(r.tie == (r.th if most == 1 or r.doc in (2, S.LAST) else 0) for r in told)
     assert sorted((tuple(r) for r in S._digest(S.repeated_strings(docs)).collect()), key=str) == brute(rows)
+
+
+def test_shuffle_files_go_before_the_last_join(spark):
+    """The shuffles of anchors and of stretches don't stay on disk while texts and their repeats are joined."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def sizes():
+        found = [f for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "shuffle_" in f]
+        return {f: os.path.getsize(f) for f in found if os.path.exists(f)}
+
+    before = sizes()
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.sha2((F.col("id") % 500).cast("string"), 256), 2).alias("text"))
+    out = S.repeated_strings(docs)
+    left, until = {}, time.time() + 20
+    while time.time() < until:
+        left = {f: n for f, n in sizes().items() if f not in before}
+        if sum(left.values()) < 10_000:  # anchors, texts and stretches are more than that each
+            break
+        time.sleep(0.2)
+    assert sum(left.values()) < 10_000, left
+    assert out.where("n_removed = 128").count() == 1500
