@@ -12,6 +12,17 @@ from tessera.sources.folders import checkpoint_folder
 MODEL_TYPES = ("llm", "embedding", "reranker")
 
 
+def whole_mean(column: str) -> Column:
+    """The mean of doubles, cut to a whole number.
+
+    Doubles are summed as the decimals that they are written as, so that a mean that is whole isn't cut to the number below by the order of the sum. Values that aren't
+    finite or don't fit (20 digits before the point, 18 after it) take the mean of doubles.
+    """
+    decimal = f"try_cast({column} AS decimal(38, 18))"
+    exact = F.expr(f"try_sum({decimal}) div nullif(count({column}), 0)")
+    return F.coalesce(F.when(F.expr(f"count({decimal}) = count({column})"), exact), F.avg(column).cast("long"))
+
+
 def measures() -> list[Column]:
     """Requests, tokens, cost and mean latency (cut to a whole number), zero where there is nothing."""
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -21,7 +32,7 @@ def measures() -> list[Column]:
         whole("completion_tokens").alias("completion_tokens"),
         whole("total_tokens").alias("total_tokens"),
         whole("cost_micros_vnd").alias("cost_micros"),
-        F.coalesce(F.avg("latency_ms"), F.lit(0.0)).cast("long").alias("avg_latency_ms"),
+        F.coalesce(whole_mean("latency_ms"), F.lit(0)).cast("long").alias("avg_latency_ms"),
     ]
 
 
