@@ -9,13 +9,15 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import cells
 from tessera.sources.folders import checkpoint_folder
 
-#: Queries that are broadcast against a corpus at a time.
+#: Queries that meet rows of a corpus at a time.
 QUERY_BLOCK = 10_000
 
 
@@ -54,16 +56,34 @@ def against(queries: DataFrame, corpus: DataFrame, score: Callable[[DataFrame],
     return reduce(DataFrame.unionByName, parts)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "node_id") -> DataFrame:
-    """From queries (query_id, qvec) and corpus (key, embedding, ...): the k closest by cosine, rounded to six places."""
-    q = queries.withColumn("qnorm", norm(F.col("qvec")))
-    c = corpus.withColumn("cnorm", norm(F.col("embedding")))
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "node_id", within: tuple[str, str] | None = None, by: str | list[str] = "query_id") -> DataFrame:
+    """From queries (query_id, qvec, ...) and corpus (key, embedding, ...): the k closest of each query by cosine, rounded to six places; with `within`, among rows whose second column equals the query's first."""
 
-    def score(pairs: DataFrame) -> DataFrame:
-        s = F.round(cosine(F.col("embedding"), F.col("qvec"), F.col("cnorm"), F.col("qnorm")), 6)
-        return ranked(pairs.withColumn("score", s).drop("embedding", "qvec", "cnorm", "qnorm"), k, "query_id", F.desc("score"), F.col(key))
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        return cells.closest(q, c, k, key, within)
 
-    return against(q, c, score)
+    return ranked(cells.grid(queries, corpus, key, run, _columns(queries, corpus, "score double"), QUERY_BLOCK), k, by, F.desc("score"), F.col(key))
+
+
+def cosines(queries: DataFrame, corpus: DataFrame, key: str = "node_id") -> DataFrame:
+    """All pairs of queries (query_id, qvec, ...) and corpus (key, embedding, ...) with their cosine, rounded to six places."""
+    return cells.grid(queries, corpus, key, cells.every, _columns(queries, corpus, "score double"), QUERY_BLOCK, pairs=cells.PAIRS)
+
+
+def nearest_ids(queries: DataFrame, corpus: DataFrame, k: int, within: tuple[str, str], key: str = "node_id") -> DataFrame:
+    """From queries (query_id, ...) and corpus (key, ...): of the rows whose second column of `within` equals the query's first, the k of nearest ids, ranked; score: 1 / (1 + distance)."""
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        return cells.nearest_ids(q, c, k, key, within)
+
+    # rows without an id have no distance
+    near = cells.grid(queries, corpus.where(F.col(key).isNotNull()), key, run, _columns(queries, corpus), QUERY_BLOCK, rows=cells.ID_ROWS)
+    return ranked(near.withColumn("score", 1.0 / (1 + F.abs(F.col(key) - F.col("query_id")))), k, "query_id", F.desc("score"), F.col(key))
+
+
+def _columns(queries: DataFrame, corpus: DataFrame, *more: str) -> str:
+    kept = [f"`{n}` {kind}" for n, kind in [*corpus.dtypes, *queries.dtypes] if n not in ("embedding", "qvec")]
+    return ", ".join([*kept, *more])
 
 
 def term_counts(docs: DataFrame, terms: Column, key: str) -> DataFrame:
