@@ -7,9 +7,12 @@ are read for the others only, and the result is that of an exact scan, ties and
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import cells
 from tessera.operators import retrieval as R
 
 #: Scores are rounded to six places; what may round to the same value isn't ruled out.
@@ -36,13 +39,19 @@ def quantised(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def topk(queries: DataFrame, coarse: DataFrame, exact: DataFrame, k: int, key: str = "node_id") -> DataFrame:
-    """Of queries (query_id, qvec) the k closest rows of `coarse` (key, codes, scale, length, slack, ...) by the vectors of `exact` (key, embedding): the rows of `dense_topk`."""
-    near = F.when((F.size("codes") == F.size("qvec")) & (F.col("length") * F.col("qnorm") > 0), F.col("scale") * R.dot(F.col("codes"), F.col("qvec")) / (F.col("length") * F.col("qnorm"))).otherwise(0.0)
-    q = queries.withColumn("qnorm", R.norm(F.col("qvec")))
-    rough = lambda pairs: pairs.withColumn("near", near)
-    low = R.against(q, coarse, lambda p: R.ranked(rough(p).select("query_id", key, (F.col("near") - F.col("slack")).alias("low")), k, "query_id", F.desc("low"), F.col(key)))
-    least = low.groupBy("query_id").agg(F.min("low").alias("least"))
-    keep = [c for c in coarse.columns if c not in ("codes", "scale", "length", "slack")]
-    left = R.against(q.join(least, "query_id"), coarse, lambda p: rough(p).where(F.col("near") + F.col("slack") + ROUNDING >= F.col("least")).select("query_id", "qvec", *keep))
-    scored = left.join(exact.select(key, "embedding"), key).withColumn("score", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6)).drop("embedding", "qvec")
+    """Of queries (query_id, qvec) the k closest rows of `coarse` (key, codes, scale, length, slack, ...) by the vectors of `exact` (key, embedding): the rows of `dense_topk`. Ids of queries are unique."""
+    spare = [n for n in ("codes", "scale", "length") if n in coarse.columns]
+    kept = [f"`{n}` {kind}" for n, kind in [*coarse.dtypes, *queries.dtypes] if n not in ("codes", "qvec")]
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        return cells.not_ruled_out(q, c, k, ROUNDING)
+
+    rough = cells.grid(queries, coarse, key, run, ", ".join([*kept, "near double"]), R.QUERY_BLOCK, pairs=cells.PAIRS)
+    # what a cell's own k-th lower bound left is held against that of all cells
+    low = F.col("near") - F.col("slack")
+    own = W.partitionBy("query_id")
+    first = rough.withColumn("low", low).withColumn("at", F.row_number().over(own.orderBy(F.desc("low"), F.col(key))))
+    left = first.withColumn("least", F.min(F.when(F.col("at") <= k, F.col("low"))).over(own)).where(F.col("near") + F.col("slack") + ROUNDING >= F.col("least")).drop("near", "slack", "low", "at", "least", *spare)
+    scored = left.join(queries.select("query_id", "qvec"), "query_id").join(exact.select(key, "embedding"), key)
+    scored = scored.withColumn("score", F.round(R.cosine(F.col("embedding"), F.col("qvec")), 6)).drop("embedding", "qvec")
     return R.ranked(scored, k, "query_id", F.desc("score"), F.col(key))
