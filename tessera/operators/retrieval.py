@@ -76,8 +76,10 @@ def nearest_ids(queries: DataFrame, corpus: DataFrame, k: int, within: tuple[str
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         return cells.nearest_ids(q, c, k, key, within)
 
-    # rows without an id have no distance
     near = cells.grid(queries, corpus.where(F.col(key).isNotNull()), key, run, _columns(queries, corpus), QUERY_BLOCK, rows=cells.ID_ROWS)
+    # rows without an id have no distance and come last
+    last = ranked(corpus.where(F.col(key).isNull()), k, within[1], F.col(key)).drop("rank")
+    near = near.unionByName(last.join(queries, F.col(within[0]) == F.col(within[1])))
     return ranked(near.withColumn("score", 1.0 / (1 + F.abs(F.col(key) - F.col("query_id")))), k, "query_id", F.desc("score"), F.col(key))
 
 

@@ -38,7 +38,7 @@ def odd_vectors(spark, n=300):
 
 
 def plain(rows):
-    return sorted(tuple("nan" if isinstance(x, float) and math.isnan(x) else x for x in r) for r in rows)
+    return sorted((tuple("nan" if isinstance(x, float) and math.isnan(x) else x for x in r) for r in rows), key=str)
 
 
 def test_cells_against_pairs(spark, monkeypatch):
@@ -62,7 +62,7 @@ def test_cells_against_pairs(spark, monkeypatch):
 def test_nearest_ids_against_pairs(spark, monkeypatch):
     monkeypatch.setattr(cells, "ID_ROWS", 60)
     monkeypatch.setattr(R, "QUERY_BLOCK", 7)
-    c = odd_vectors(spark).select((F.col("node_id") * 389 % 1009).alias("node_id"), "section_id")
+    c = odd_vectors(spark).select((F.col("node_id") * 389 % 1009).alias("node_id"), "section_id").unionByName(spark.createDataFrame([(None, 1), (None, None)], "node_id long, section_id int"))
     q = c.where("node_id % 9 = 0").select(F.col("node_id").alias("query_id"), F.col("section_id").alias("label"))
     pairs = q.join(c, F.col("label") == F.col("section_id")).withColumn("score", 1.0 / (1 + F.abs(F.col("node_id") - F.col("query_id"))))
     for k in (1, 6, 400):
